@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import licenses, simhash
+from . import licenses, mixing, packing, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_license_scans": licenses.query,
         "op2_simhash_near_dedup": simhash.query,
+        "op3_packing": packing.query,
+        "op9_mixing_sources": mixing.query,
     }
 
 
