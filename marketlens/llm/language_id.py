@@ -74,7 +74,7 @@ def batch_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def composed(texts: list[str | None]) -> list[str]:
-    return [x if (x := x or "").isascii() else unicodedata.normalize("NFC", x) for x in texts]
+    return [x if x.isascii() else unicodedata.normalize("NFC", x) for x in (y or "" for y in texts)]
 
 
 def counted(codes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
