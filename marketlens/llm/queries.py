@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, licenses, mixing, packing, quality, simhash, toxicity
+from . import fingerprints, language_id, licenses, mixing, packing, quality, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_toxicity": toxicity.query,
         "op7_language_id": language_id.query,
         "op9_mixing_sources": mixing.query,
+        "op10_document_fingerprints": fingerprints.query,
     }
 
 
