@@ -1,7 +1,7 @@
 """Document fingerprints: invertible Bloom lookup sketches of a text's paragraphs, in DataFrame operations only.
 
-A text is cut at line ends, and long lines into stretches of ``PIECE`` characters (``FINE`` at the text's beginning); every distinct paragraph has a 64-bit digest. A sketch has ``CELLS``
-cells in ``HASHES`` parts; a digest goes into one cell of each part, where a count, the exclusive-or of digests and that of their check hashes are kept. Two
+A text is cut at line ends, and long lines into stretches of ``PIECE`` characters (``FINE`` at the text's beginning); every distinct paragraph has a 64-bit digest. A sketch has three
+parts of eight cells; a digest goes into one cell of each part, where a count, the exclusive-or of digests and that of their check hashes are kept. Two
 sketches subtract cell by cell, and peeling takes digests out of cells that hold just one until nothing is left: the digests that only one
 text has. If peeling sticks, both texts' digests are dealt by hash to more sketches of the same size, several times finer each time,
 until every one peels. The likeness is the share of digests in common, (a + b - d) / (a + b + d) for a and b digests of which d differ.
@@ -34,7 +34,9 @@ RANGE, RANGES = 2048, 65536
 
 def digests(text: str) -> str:
     """SQL for the distinct paragraph digests of a text."""
-    cut = f"flatten(transform(split({text}, '\\n', -1), l -> if(length(l) <= {PIECE}, array(l), transform(sequence(1, length(l), {PIECE}), k -> substring(l, k, {PIECE})))))"
+    long = f"if(length(l) <= {PIECE}, array(l), transform(sequence(1, length(l), {PIECE}), k -> substring(l, k, {PIECE})))"
+    first = f"transform(sequence(1, greatest(1, least(length(l), {PIECE})), {FINE}), k -> substring(l, k, {FINE}))"
+    cut = f"flatten(transform(split({text}, '\\n', -1), (l, i) -> if(i > 0, {long}, if(length(l) <= {PIECE}, {first}, concat({first}, transform(sequence({PIECE + 1}, length(l), {PIECE}), k -> substring(l, k, {PIECE})))))))"
     return f"array_sort(array_distinct(transform(filter({cut}, l -> l <> ''), l -> xxhash64(l))))"
 
 
