@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language_id, licenses, mixing, packing, quality, simhash, toxicity
+from . import fingerprints, language_id, licenses, mixing, packing, pii, quality, simhash, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_quality_rules": quality.query,
         "op6_toxicity": toxicity.query,
         "op7_language_id": language_id.query,
+        "op8_pii": pii.query,
         "op9_mixing_sources": mixing.query,
         "op10_document_fingerprints": fingerprints.query,
     }
