@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language_id, licenses, mixing, packing, pii, quality, simhash, toxicity
+from . import fingerprints, language_id, licenses, mixing, packing, pii, quality, simhash, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,6 +14,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_license_scans": licenses.query,
         "op2_simhash_near_dedup": simhash.query,
         "op3_packing": packing.query,
+        "op4_suffix_array_dedup": suffix_dedup.query,
         "op5_quality_rules": quality.query,
         "op6_toxicity": toxicity.query,
         "op7_language_id": language_id.query,
