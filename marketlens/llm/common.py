@@ -31,19 +31,21 @@ def id_text(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint: lineage is cut and the rows lie in the folder that the cluster's machines share.
-
-    The folder is that of ``spark.checkpoint.dir``. Where neither the session nor its context has one
-    (single-machine tests), a temporary folder is set.
-    """
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that all machines share, as ``spark.checkpoint.dir`` names it. Where neither the session nor its context has one (single-machine tests), a temporary folder is set."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+        where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
         if not where:
             where = tempfile.mkdtemp(prefix="marketlens-checkpoint-")
             atexit.register(shutil.rmtree, where, ignore_errors=True)
         sc.setCheckpointDir(where)
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the shared folder: lineage is cut, and the rows survive the loss of executors."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

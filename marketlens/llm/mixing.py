@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, saved
+from .common import SPACE, WORD, documents, saved
 
 #: Fixed values of the contract: weights in turn, the share of all words, the most times that a source is taken.
 WEIGHTS, SHARE, EPOCHS = (3, 1, 2), 1.5, 2
@@ -33,9 +33,13 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def row_key() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text")).alias("key")
+
+
 def sized(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, size, h): h is the document's place in its source's shuffled order."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")).withColumn("h", F.xxhash64("doc_id", "size", F.lit("order")))
+    """(doc_id, source, size, key, h): key stands for id and text, h is the document's place in its source's shuffled order."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), row_key()).withColumn("h", F.xxhash64("key", F.lit("order")))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
@@ -90,7 +94,7 @@ def schedule(goals: DataFrame, block: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken): one row per document with the words that the mix takes of it, repeats counted."""
+    """(doc_id, key, source, size, source_size, target, taken): one row per document with the words that the mix takes of it, repeats counted."""
     sizes = saved(sized(docs))
     goals = saved(targets(sizes, weights, share, epochs))
     block = block_size(goals)
@@ -100,13 +104,28 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     goal = goals.select("s", F.col("source").alias("goal_source"), "source_size", "target")
     # as many rows as sources, each of a few bytes: broadcast by size if Spark finds it small, else joined
     placed = placed.join(goal, placed["source"].eqNullSafe(F.col("goal_source"))).drop("goal_source")
-    lined = saved(running(placed, "size", ["s"], [F.col("h"), F.col("doc_id"), F.col("size")], "bucket").withColumn("row", F.monotonically_increasing_id()))
+    lined = saved(running(placed, "size", ["s"], [F.col("h"), F.col("key")], "bucket").withColumn("row", F.monotonically_increasing_id()))
     # a document's stretches in the endless repetition of its source, up to the target, cut at the blocks' ends
     copies = lined.where("size > 0").select("row", "s", F.explode(F.expr(f"transform(sequence(0, {epochs - 1}), e -> struct(e * source_size + before as a, least(e * source_size + before + size, cast(round(target) as bigint)) as b))")).alias("x")).where("x.a < x.b")
     parts = copies.select("row", "s", "x", F.explode(F.sequence(F.floor(F.col("x.a") / block), F.floor((F.col("x.b") - 1) / block))).alias("rank"))
     parts = parts.select("row", "s", "rank", (F.least(F.col("x.b"), (F.col("rank") + 1) * block) - F.greatest(F.col("x.a"), F.col("rank") * block)).alias("words"))
     taken = parts.join(slots, ["s", "rank"]).groupBy("row").agg(F.sum("words").alias("taken"))
-    return lined.join(taken, "row", "left").select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return lined.join(taken, "row", "left").select("doc_id", "key", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+
+
+def mixed_texts(docs: DataFrame) -> DataFrame:
+    """The rows of docs as the mix takes them: left out, whole, or repeated in one text, a line end between; n_chars, if there, is counted anew.
+
+    The one document of each source at which its target is reached is cut after the last word taken, with single spaces between its words.
+    Rows with one id and text share what the mix takes of them equally, rounded down.
+    """
+    shares = mix(docs).groupBy("key").agg(F.floor(F.sum("taken") / F.count(F.lit(1))).alias("taken"), F.max("size").alias("size")).where("taken > 0").withColumnsRenamed({"key": "mix_key", "taken": "mix_taken", "size": "mix_size"})
+    row = docs.select(F.struct(*docs.columns).alias("row"), row_key().alias("mix_key"))
+    rest = F.when(F.col("mix_taken") % F.col("mix_size") > 0, F.array_join(F.slice(F.filter(F.split("row.text", SPACE + "+"), lambda x: x != ""), F.lit(1), (F.col("mix_taken") % F.col("mix_size")).cast("int")), " "))
+    parts = F.array_join(F.concat(F.array_repeat(F.col("row.text"), F.floor(F.col("mix_taken") / F.col("mix_size")).cast("int")), F.array(rest)), "\n")
+    taken = row.join(shares, "mix_key").select("row", parts.alias("mix_text"))
+    new = {"text": F.col("mix_text"), "n_chars": F.length("mix_text").cast(dict(docs.dtypes).get("n_chars", "long"))}
+    return taken.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, id_text, mapped, raw, saved
@@ -188,5 +188,17 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", "fp", F.when(F.col("root") <= top, F.col("root")).alias("component_id"))
 
 
+def first_of_each(docs: DataFrame) -> DataFrame:
+    """The rows of docs, whole, one for each component: that with its smallest doc_id (of rows that share it, the one whose text sorts first).
+
+    A row without an id can't be named by a component and stays. Texts move once, for the join by id.
+    """
+    named = near_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
+    own = docs.where("doc_id is not null").join(named, "doc_id", "left_semi")
+    first = Window.partitionBy("doc_id").orderBy("text")
+    kept = own.select(F.struct(*docs.columns).alias("row"), "doc_id", "text").withColumn("at", F.row_number().over(first)).where("at = 1").select("row.*")
+    return kept.unionByName(docs.where("doc_id is null"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(documents(spark, sf_dir)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
