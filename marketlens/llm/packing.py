@@ -15,7 +15,6 @@ an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 import re
-import struct
 import zlib
 from functools import lru_cache
 
@@ -35,12 +34,14 @@ TOKENIZER, CLOSING = "word_bpe_49k.json", 1
 #: Pieces that are packed together.
 BLOCK = 4096
 #: Words whose ids a worker keeps.
-MEMO = 250_000
+MEMO = 500_000
 
 #: What the fast way leaves to the tokenizer: characters outside ASCII and the Latin-1 letters, the separators U+001C to U+001F, special tokens.
 OTHER = re.compile("[^\\x00-\\x1b\\x20-\\x7fÀ-ÖØ-öø-ÿ]|<\\|(?:start|end)oftext\\|>")
-#: The tokenizer's own splitting pattern over those characters in lower case.
-SPLIT = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^ \\t-\\ra-zß-öø-ÿ0-9]+")
+#: How the tokenizer splits those characters in lower case: kinds of bytes, and the contractions of its pattern (fixed values).
+SPACE, DIGIT, LETTER, SIGN = range(4)
+KIND = np.array([SPACE if c in b" \t\n\x0b\x0c\r" else DIGIT if 48 <= c <= 57 else LETTER if 97 <= c <= 122 or c >= 128 else SIGN for c in range(256)], np.uint8)
+CONTRACTIONS = (b"s", b"t", b"re", b"ve", b"m", b"ll", b"d")
 
 
 @lru_cache(maxsize=2)
@@ -48,23 +49,78 @@ def tokenizer(path: str) -> Tokenizer:
     return Tokenizer.from_file(path)
 
 
-class WordIds:
-    """Little-endian 32-bit ids of texts, words kept."""
+def segments(data: np.ndarray) -> np.ndarray:
+    """Where the words, and the runs of white space between them, begin in lower-case UTF-8 that OTHER finds nothing in.
 
-    def __init__(self, path: str):
-        self.of, self.kept = tokenizer(path), {}
+    Runs of letters, single digits and runs of other signs, but a contraction that begins at an apostrophe after none of these signs is a word.
+    """
+    kind = KIND[data]
+    begins = np.r_[True, kind[1:] != kind[:-1]] | (kind == DIGIT)
+    for at in np.flatnonzero(data == ord("'")).tolist():
+        if begins[at]:
+            for tail in CONTRACTIONS:
+                if data[at + 1 : at + 1 + len(tail)].tobytes() == tail:
+                    begins[at + 1] = False
+                    begins[at + 1 + len(tail) : at + 2 + len(tail)] = True
+                    break
+    return np.flatnonzero(begins)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(x.ids, "<u4").tobytes() for x in self.of.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def texts(self, texts: list[str]) -> list[bytes]:
-        words = [None if OTHER.search(x) else SPLIT.findall(x.lower()) for x in texts]
+class WordIds:
+    """Ids of texts, with those of words kept."""
+
+    def __init__(self, path: str):
+        self.of = tokenizer(path)
+        self.ends = np.zeros(self.of.get_vocab_size(), bool)
+        self.ends[[k for x, k in self.of.get_vocab().items() if x.endswith("</w>")]] = True
+        self.kept: dict[str, bytes] = {}
+
+    def encode(self, text: str) -> np.ndarray:
+        return np.asarray(self.of.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def encode_words(self, words: list[str]) -> list[bytes]:
+        """The ids of each word, from one text that holds them all: every word ends in an id of its own kind."""
+        out: list[bytes] = []
+        for at in range(0, len(words), 20_000):
+            ids = self.encode(" ".join(words[at : at + 20_000]))
+            cuts, data = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist(), ids.tobytes()
+            out += [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+        return out
+
+    def words(self, words: list[str]) -> list[bytes]:
         if len(self.kept) > MEMO:
             self.kept.clear()
-        missing = list(set().union(*(x for x in words if x)) - self.kept.keys())
-        self.kept.update(zip(missing, self.encode(missing), strict=True))
-        ids = self.kept.__getitem__
-        return [self.encode([text])[0] if own is None else b"".join(map(ids, own)) for text, own in zip(texts, words, strict=True)]
+        missing = [x for x in words if x not in self.kept]
+        blank = [x for x in missing if x.isspace()]
+        missing = [x for x in missing if not x.isspace()]
+        self.kept.update(zip(missing, self.encode_words(missing), strict=True))
+        self.kept.update((x, b"") for x in blank)
+        return list(map(self.kept.__getitem__, words))
+
+    def texts(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        usual = [k for k, x in enumerate(texts) if not OTHER.search(x)]
+        out: list[np.ndarray] = [np.zeros(0, "<u4")] * len(texts)
+        for k in set(range(len(texts))) - set(usual):
+            out[k] = self.encode(texts[k])
+        parts = [texts[k].lower().encode() for k in usual]
+        if not any(parts):
+            return out
+        data = b"\n".join([*parts, b""])
+        begins = segments(np.frombuffer(data, np.uint8))
+        found = pa.StringArray.from_buffers(len(begins), pa.py_buffer(np.r_[begins, len(data)].astype(np.int32)), pa.py_buffer(data)).dictionary_encode()
+        own = self.words(found.dictionary.to_pylist())
+        which = found.indices.to_numpy()
+        sizes = np.fromiter(map(len, own), np.int64, len(own)) // 4
+        flat, starts = np.frombuffer(b"".join(own), "<u4"), np.cumsum(sizes) - sizes
+        n = sizes[which]
+        upto = np.r_[0, np.cumsum(n)]
+        ids = flat[np.arange(upto[-1]) + np.repeat(starts[which] - upto[:-1], n)]
+        # a text ends before its line end, which may stand within a run of white space
+        ends = upto[np.searchsorted(begins, np.cumsum([len(x) + 1 for x in parts]) - 1, side="right") - 1]
+        for k, a, b in zip(usual, [0, *ends.tolist()], ends.tolist(), strict=False):
+            out[k] = ids[a:b]
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -79,10 +135,10 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, with_ids: bool = Fa
         rows: list[tuple] = []
         doc_ids = batch.column("doc_id").to_pylist()
         for doc, ids in zip(doc_ids, word_ids(path).texts(batch.column("text").to_pylist()), strict=True):
-            ids += struct.pack("<I", CLOSING)
-            for at in range(0, len(ids), 4 * window):
-                part = ids[at : at + 4 * window]
-                rows.append((doc, at // 4, len(part) // 4, zlib.crc32(part), len(ids) // 4) + ((np.frombuffer(part, "<u4").astype(np.int32),) if with_ids else ()))
+            ids = np.append(ids, np.uint32(CLOSING)).astype("<u4")
+            for at in range(0, len(ids), window):
+                part = ids[at : at + window]
+                rows.append((doc, at, len(part), zlib.crc32(part.tobytes()), len(ids)) + ((part.astype(np.int32),) if with_ids else ()))
         kinds = [pa.int64()] * 5 + [pa.list_(pa.int32())] * with_ids
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids)
 
