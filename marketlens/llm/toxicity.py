@@ -61,14 +61,14 @@ class Toxicity:
         out = np.full(len(texts), self.bias)
         for k, text in enumerate(texts):
             words = words_of(text or "")
-            if new := words - self.known.keys():
+            if new := [x for x in words if x not in self.known]:
                 if len(self.known) > MEMO:
-                    self.known, self.telling, new = {}, {}, words
+                    self.known, self.telling, new = {}, {}, list(words)
                 for word in new:
                     self.known[word] = own = frozenset(f for f in word_features(word) if f in self.weights)
                     if own:
                         self.telling[word] = own
-            if found := words & self.telling.keys():
+            if found := [x for x in words if x in self.telling]:
                 out[k] += sum(map(self.weights.__getitem__, sorted(frozenset().union(*map(self.telling.__getitem__, found)))))
         return sigmoid(out)
 
