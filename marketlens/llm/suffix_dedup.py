@@ -94,7 +94,9 @@ def rows(**columns: np.ndarray) -> pa.RecordBatch:
 
 def runs(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Intervals in order of (doc, start), with adjacent ones joined."""
-    begin = np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + n[:-1])] if len(doc) else np.zeros(0, bool)
+    if not len(doc):
+        return doc, start, n
+    begin = np.r_[True, (doc[1:] != doc[:-1]) | (start[1:] > start[:-1] + n[:-1])]
     at = np.flatnonzero(begin)
     last = np.r_[at[1:], len(doc)] - 1
     return doc[at], start[at], start[last] + n[last] - start[at]
