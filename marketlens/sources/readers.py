@@ -1,0 +1,54 @@
+"""Sources: feeds in JSON, XML, CSV and Parquet, mapped to the listing schema; landed files of many sites by name; sitemap and snapshot reads."""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def json_feed(spark: SparkSession, path: str, items: str | None = None, schema: str | None = None) -> DataFrame:
+    """A JSON feed; ``items`` is the dotted path of the array of items in each file."""
+    reader = spark.read.option("multiLine", True)
+    df = (reader.schema(schema) if schema else reader).json(path)
+    return df.select(F.explode(F.col(items)).alias("item")).select("item.*") if items else df
+
+
+def xml_feed(spark: SparkSession, path: str, tag: str, schema: str | None = None) -> DataFrame:
+    reader = spark.read.format("xml").option("rowTag", tag).option("ignoreNamespace", True)
+    return (reader.schema(schema) if schema else reader).load(path)
+
+
+def csv_feed(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    reader = spark.read.option("header", True)
+    return (reader.schema(schema) if schema else reader).csv(path)
+
+
+def sitemap(spark: SparkSession, path: str, keep: str = ".*", drop: str = "^$") -> DataFrame:
+    """(loc): the URLs of a sitemap that match one pattern and not the other, once each."""
+    urls = xml_feed(spark, path, "url", "loc string")
+    return urls.select(F.trim("loc").alias("loc")).where(F.col("loc").rlike(keep) & ~F.col("loc").rlike(drop)).distinct()
+
+
+def mapped(df: DataFrame, columns: dict[str, str], casts: dict[str, str] | None = None, specs: list[str] | None = None) -> DataFrame:
+    """Columns under the listing's names, leniently cast; ``specs`` go into one map."""
+    out = [F.col(src).try_cast(casts[dst]).alias(dst) if dst in (casts or {}) else F.col(src).alias(dst) for dst, src in columns.items()]
+    if specs:
+        out.append(F.create_map(*(x for s in specs for x in (F.lit(s), F.col(s).cast("string")))).alias("specs"))
+    return df.select(*out)
+
+
+def union_of(frames: list[DataFrame], keys: list[str]) -> DataFrame:
+    """All frames by name, one row a key."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames).dropDuplicates(keys)
+
+
+def landed(spark: SparkSession, root: str, sites: list[str]) -> DataFrame:
+    """The landed folders of several sites as one frame with a ``site_domain`` column."""
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [spark.read.parquet(f"{root}/{s}").withColumn("site_domain", F.lit(s)) for s in sites])
+
+
+def fresh(df: DataFrame, at: str, as_of: str, ttl: str = "6 HOURS") -> DataFrame:
+    """Rows no older than the time to live at ``as_of``."""
+    return df.where(F.col(at) >= F.to_timestamp(F.lit(as_of)) - F.expr(f"INTERVAL {ttl}"))
