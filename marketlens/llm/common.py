@@ -67,11 +67,11 @@ def slices(batches: Iterator[pa.RecordBatch], name: str = "text", most: int = 8
             at = to
 
 
-def mapped(df: DataFrame, of_batch: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, name: str = "text") -> DataFrame:
+def mapped(df: DataFrame, of_batch: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, name: str = "text", most: int = 8 << 20) -> DataFrame:
     """``mapInArrow`` of a function of one batch of bounded size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, name):
+        for batch in slices(batches, name, most):
             if (out := of_batch(batch)) is not None:
                 yield out
 

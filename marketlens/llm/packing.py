@@ -34,7 +34,7 @@ TOKENIZER, CLOSING = "word_bpe_49k.json", 1
 #: Pieces that are packed together.
 BLOCK = 4096
 #: Words whose ids a worker keeps.
-MEMO = 500_000
+MEMO = 300_000
 
 #: What the fast way leaves to the tokenizer: characters outside ASCII and the Latin-1 letters, the separators U+001C to U+001F, special tokens.
 OTHER = re.compile("[^\\x00-\\x1b\\x20-\\x7fÀ-ÖØ-öø-ÿ]|<\\|(?:start|end)oftext\\|>")
@@ -142,7 +142,7 @@ def pieces(docs: DataFrame, path: str, window: int = WINDOW, with_ids: bool = Fa
         kinds = [pa.int64()] * 5 + [pa.list_(pa.int32())] * with_ids
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids)
 
-    return mapped(id_text(docs), of_batch, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids)
+    return mapped(id_text(docs), of_batch, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * with_ids, most=4 << 20)
 
 
 class OpenWindows:

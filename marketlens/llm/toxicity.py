@@ -31,7 +31,7 @@ LEAST_POSITIVES, LEAST_SHARE, LEAST_SURE, EXCLUSIVE = 5, 0.003, 2.0, 0.5
 #: Lengths in bytes of the word beginnings that are features beside the whole word.
 BEGINNINGS = (3, 4, 5, 6)
 #: Words that a worker remembers.
-MEMO = 400_000
+MEMO = 150_000
 
 #: Everything in ASCII but lower-case letters separates words.
 FOLD = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -54,20 +54,18 @@ class Toxicity:
 
     def __init__(self, kept: np.ndarray, weights: np.ndarray, bias: float):
         self.weights, self.bias = dict(zip(kept.tolist(), weights.tolist(), strict=True)), bias
-        self.known: dict[bytes, frozenset[int]] = {}
+        self.known: set[bytes] = set()
         self.telling: dict[bytes, frozenset[int]] = {}
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
         out = np.full(len(texts), self.bias)
         for k, text in enumerate(texts):
             words = words_of(text or "")
-            if new := [x for x in words if x not in self.known]:
+            if new := words - self.known:
                 if len(self.known) > MEMO:
-                    self.known, self.telling, new = {}, {}, list(words)
-                for word in new:
-                    self.known[word] = own = frozenset(f for f in word_features(word) if f in self.weights)
-                    if own:
-                        self.telling[word] = own
+                    self.known, self.telling, new = set(), {}, words
+                self.known |= new
+                self.telling |= {w: own for w in new if (own := frozenset(f for f in word_features(w) if f in self.weights))}
             if found := [x for x in words if x in self.telling]:
                 out[k] += sum(map(self.weights.__getitem__, sorted(frozenset().union(*map(self.telling.__getitem__, found)))))
         return sigmoid(out)
