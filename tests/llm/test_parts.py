@@ -1,0 +1,124 @@
+"""Parts of the corpus operators on made-up inputs, against plain versions."""
+
+import random
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from marketlens.llm import crf, licenses, packing, simhash, suffix_dedup
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=60))
+def test_best_fit_takes_the_tightest_window(lengths):
+    lengths = sorted(lengths, reverse=True)
+    room: list[int] = []
+    for n, (which, offset) in zip(lengths, packing.best_fit(lengths, 64), strict=True):
+        fits = [r for r in room if r >= n]
+        if which == len(room):
+            assert not fits and offset == 0
+            room.append(64)
+        assert room[which] == (min(fits) if fits else 64) and offset == 64 - room[which]
+        room[which] -= n
+
+
+def test_words_have_the_tokenizers_ids():
+    import public_tokenizers
+
+    own = packing.WordIds(public_tokenizers.path(packing.TOKENIZER))
+    dice = random.Random(1)
+    texts = ["it's they're I'M you'll!'s 'satisfied ''s a'b 'd'll don't", "", " \n\t", "École's ½ “q” naïve", "<|endoftext|> x", "a\x1fb\x85c", "İΣ"]
+    texts += ["".join(dice.choice("ab's tTrRevl mD1 \n.!É-") for _ in range(dice.randint(0, 30))) for _ in range(500)]
+    for text, ids in zip(texts, own.texts(texts), strict=True):
+        assert ids.tolist() == own.of.encode(text, add_special_tokens=False).ids, text
+
+
+def parts(n, pairs):
+    root = list(range(n))
+
+    def find(k):
+        while root[k] != k:
+            k = root[k]
+        return k
+
+    for a, b in pairs:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return [find(k) for k in range(n)]
+
+
+def near_prints(n, seed):
+    dice = random.Random(seed)
+    fps = [dice.getrandbits(64) for _ in range(n // 8)]
+    while len(fps) < n:
+        fps.append(dice.choice(fps) ^ sum(1 << b for b in dice.sample(range(64), dice.randint(0, 4))))
+    return np.array(fps, np.uint64)
+
+
+def test_tiles_find_every_link():
+    fps = near_prints(700, 1)
+    fps = fps[np.argsort(np.bitwise_count(fps), kind="stable")]
+    got = {(int(a), int(b)) for i, j in simhash.tile_links(fps, side=64) for a, b in zip(i, j, strict=True)}
+    assert got == {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if int(fps[i] ^ fps[j]).bit_count() <= 2}
+
+
+@pytest.mark.parametrize("tile", [4096, 16])
+def test_blocks_and_tiles_keep_the_components(spark, monkeypatch, tile):
+    monkeypatch.setattr(simhash, "TILE", tile)
+    fps = np.unique(np.concatenate([near_prints(300, 2), np.uint64(7) ^ (np.uint64(1) << np.arange(64, dtype=np.uint64))]))
+    reps = spark.createDataFrame([(k, int(np.int64(fp.astype(np.int64)))) for k, fp in enumerate(fps)], "node long, fp long")
+    roots = {r.u: r.v for r in simhash.components(simhash.links(reps)).collect()}
+    pairs = [(i, j) for i in range(len(fps)) for j in range(i) if int(fps[i] ^ fps[j]).bit_count() <= 2]
+    assert [roots.get(k, k) for k in range(len(fps))] == parts(len(fps), pairs)
+
+
+def test_components_of_a_long_path(spark):
+    edges = spark.createDataFrame([(k + 1, k) for k in range(200)] + [(500, 400)], "u long, v long")
+    assert {r.u: r.v for r in simhash.components(edges).collect()} == {k: 0 for k in range(1, 201)} | {500: 400}
+
+
+def test_longest_previous_factors():
+    dice = random.Random(3)
+    for _ in range(30):
+        data = bytes(dice.choice(b"ab") for _ in range(dice.randint(1, 40)))
+        expected = [max((next((k for k in range(len(data) - i) if data[i + k] != data[j + k]), len(data) - i) for j in range(i)), default=0) for i in range(len(data))]
+        assert suffix_dedup.longest_previous_factors(data).tolist() == expected
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_suffix_dedup_of_repeats_and_edges(spark, tmp_path, seed):
+    """Copied passages with cut and shifted edges, periodic texts, repeated rows."""
+    from marketlens.llm.suffix_dedup import remove
+
+    from .test_queries import check_removed
+
+    dice = random.Random(seed)
+    noise = lambda n: "".join(dice.choice("abcdefgh é\n") for _ in range(n))
+    passages = [noise(dice.randint(90, 400)) for _ in range(5)]
+    docs = [(k, "".join(dice.choice([noise(dice.randint(0, 150)), p[dice.randint(0, 40) : len(p) - dice.randint(0, 40)], "ab" * dice.randint(30, 120), p]) for p in dice.choices(passages, k=4))) for k in range(40)]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    check_removed({r["doc_id"]: r.asDict() for r in remove(rows).collect()}, [(k, t.encode()) for k, t in docs])
+
+
+def test_suppression_by_priority():
+    inner, outer, other = (3, 5, 40, "gpl", 0.7), (1, 9, 80, "gpl-3.0", 0.9), (4, 12, 40, "x", 0.5)
+    assert licenses.settled([inner, other, outer]) == [outer, other]
+    assert [x[3] for x in licenses.detections(licenses.normal(b"Licensed under the Apache License, Version 2.0.")[0])] == ["apache-2.0"]
+
+
+def test_viterbi_is_the_best_path():
+    dice = np.random.default_rng(1)
+    chain = crf.LinearChain(5, 3)
+    chain.move, chain.start = dice.normal(size=(3, 3)), dice.normal(size=3)
+    lengths = np.array([4, 1, 0, 6])
+    scores = dice.normal(size=(int(lengths.sum()), 3))
+    got, at = chain.viterbi(scores, lengths), 0
+    for n in lengths:
+        x = scores[at : at + n]
+        paths = np.array(np.meshgrid(*[range(3)] * n, indexing="ij")).reshape(n, -1).T if n else np.zeros((0, 0), int)
+        if n:
+            value = [chain.start[p[0]] + x[0, p[0]] + sum(chain.move[p[k - 1], p[k]] + x[k, p[k]] for k in range(1, n)) for p in paths]
+            assert got[at : at + n].tolist() == paths[int(np.argmax(value))].tolist()
+        at += n
