@@ -3,8 +3,8 @@
 A text is cut at line ends, and long lines into stretches of ``PIECE`` characters (``FINE`` at the text's beginning); every distinct paragraph has a 64-bit digest. A sketch has three
 parts of eight cells; a digest goes into one cell of each part, where a count, the exclusive-or of digests and that of their check hashes are kept. Two
 sketches subtract cell by cell, and peeling takes digests out of cells that hold just one until nothing is left: the digests that only one
-text has. If peeling sticks, both texts' digests are dealt by hash to more sketches of the same size, several times finer each time,
-until every one peels. The likeness is the share of digests in common, (a + b - d) / (a + b + d) for a and b digests of which d differ.
+text has. If peeling sticks, the texts' digests are dealt by hash to as many sketches of the same size as they need, a larger sketch in parts
+that peel by themselves; a part that sticks is dealt again, to eight. The likeness is the share of digests in common, (a + b - d) / (a + b + d) for a and b digests of which d differ.
 
 The edited text of a document takes the beginning of the next one by doc_id. Documents are dealt once into ranges of ids; the first of each
 range is also sent to the range before it (that of the first range to the last), so that each range finds its neighbours itself. The bounds
@@ -27,8 +27,8 @@ PIECE = 256
 FINE = 32
 #: A sketch has three parts of eight cells; a digest's cell in part p is three bits of its hash, from bit 8p.
 PARTS, SIDE = 3, 8
-#: Sketches in the n-th try for each digest that both texts have together, as a divisor: 0 for a single sketch.
-TRIES = (0, 12, 8, 5, 3, 2)
+#: Rounds of peeling at most; digests a sketch gets on average where one doesn't do; more hash functions for the smallest parts.
+ROUNDS, PER_SKETCH, SALTS = 12, 9, (3, 4, 5)
 RANGE, RANGES = 2048, 65536
 
 
@@ -46,15 +46,17 @@ def let(name: str, value: str, then: str) -> str:
 
 
 def hashed(of: str, salt: int) -> str:
-    """SQL for the digests with their hash for cells and their check hash."""
-    return f"transform({of}, d -> named_struct('key', d, 'h', xxhash64(d, {salt}), 'chk', xxhash64(d, 'check')))"
+    """SQL for the digests with the numbers of their three cells and their check hash."""
+    cells = ", ".join(f"'p{p}', {p * SIDE} + cast(shiftright(h, {8 * p}) & {SIDE - 1}L as int)" for p in range(PARTS))
+    return f"transform({of}, d -> {let('h', f'xxhash64(d, {salt})', f'named_struct({chr(39)}key{chr(39)}, d, {cells}, {chr(39)}chk{chr(39)}, xxhash64(d, {chr(39)}check{chr(39)}))')})"
 
 
 def sketch(of: str) -> str:
     """SQL for the cells (n, key, chk) of hashed digests."""
     empty = "named_struct('n', 0, 'key', 0L, 'chk', 0L)"
     add = "named_struct('n', s.n + 1, 'key', s.key ^ x.key, 'chk', s.chk ^ x.chk)"
-    return f"transform(sequence(0, {PARTS * SIDE - 1}), i -> aggregate(filter({of}, x -> (shiftright(x.h, 8 * (i div {SIDE})) & {SIDE - 1}) = i % {SIDE}), {empty}, (s, x) -> {add}))"
+    parts = (f"transform(sequence({p * SIDE}, {p * SIDE + SIDE - 1}), i -> aggregate(filter({of}, x -> x.p{p} = i), {empty}, (s, x) -> {add}))" for p in range(PARTS))
+    return f"concat({', '.join(parts)})"
 
 
 def subtracted(a: str, b: str) -> str:
@@ -64,42 +66,45 @@ def subtracted(a: str, b: str) -> str:
 def peeled(cells: str, salt: int) -> str:
     """SQL for the number of digests that peel off, or null if some are left. A round takes every digest that is alone in a cell out of all its cells."""
     alone = "abs(x.n) = 1 and xxhash64(x.key, 'check') = x.chk"
-    pure = f"array_distinct(transform(filter(s.cells, x -> {alone}), x -> named_struct('n', x.n, 'key', x.key, 'h', xxhash64(x.key, {salt}), 'chk', x.chk)))"
-    mine = f"filter(p, d -> (shiftright(d.h, 8 * cast(i div {SIDE} as int)) & {SIDE - 1}) = i % {SIDE})"
+    places = ", ".join(f"'p{p}', {p * SIDE} + cast(shiftright(xxhash64(x.key, {salt}), {8 * p}) & {SIDE - 1}L as int)" for p in range(PARTS))
+    pure = f"array_distinct(transform(filter(s.cells, x -> {alone}), x -> named_struct('n', x.n, 'key', x.key, {places}, 'chk', x.chk)))"
+    mine = f"filter(p, d -> {' or '.join(f'd.p{p} = i' for p in range(PARTS))})"
     less = f"aggregate({mine}, x, (t, d) -> named_struct('n', t.n - d.n, 'key', t.key ^ d.key, 'chk', t.chk ^ d.chk))"
     take = let("p", pure, f"if(size(p) = 0, named_struct('cells', s.cells, 'd', s.d, 'on', false), named_struct('cells', transform(s.cells, (x, i) -> {less}), 'd', s.d + size(p), 'on', true))")
     left = "exists(s.cells, x -> x.n <> 0 or x.key <> 0)"
-    return f"aggregate(sequence(1, {PARTS * SIDE}), named_struct('cells', {cells}, 'd', 0, 'on', true), (s, r) -> if(s.on, {take}, s), s -> if({left}, cast(null as int), s.d))"
+    return f"aggregate(sequence(1, {ROUNDS}), named_struct('cells', {cells}, 'd', 0, 'on', true), (s, r) -> if(s.on, {take}, s), s -> if({left}, cast(null as int), s.d))"
 
 
-def difference(a: str, b: str) -> str:
-    """SQL for the number of digests that only one of two arrays has: subtract and peel, with more sketches on failure; null if all tries fail."""
+def both(a: str, b: str, salt: int) -> str:
+    """SQL: sketch, subtract and peel two arrays of digests."""
+    return peeled(subtracted(sketch(hashed(a, salt)), sketch(hashed(b, salt))), salt)
 
-    def both(a: str, b: str, salt: int) -> str:
-        return peeled(subtracted(sketch(hashed(a, salt)), sketch(hashed(b, salt))), salt)
 
-    tries = []
-    for k, per in enumerate(TRIES):
-        if not per:
-            tries.append(both(a, b, k))
-            continue
-        dealt = lambda x: f"transform({x}, z -> named_struct('z', z, 'g', pmod(xxhash64(z, 'part', {k}), n)))"  # noqa: B023, E731
-        own = lambda x: f"transform(filter({x}, z -> z.g = g), z -> z.z)"
-        each = f"transform(sequence(0, n - 1), g -> {let('ab', f'named_struct({chr(39)}a{chr(39)}, {own('v.a')}, {chr(39)}b{chr(39)}, {own('v.b')})', both('ab.a', 'ab.b', k))})"
-        whole = let("v", f"named_struct('a', {dealt(a)}, 'b', {dealt(b)})", f"aggregate({each}, 0, (t, d) -> t + d)")
-        tries.append(let("n", f"greatest(1, cast(ceil((size({a}) + size({b})) / {per}.0D) as int))", whole))
-    return f"coalesce({', '.join(tries)})"
+def dealt(a: str, b: str, parts: str, depth: int) -> str:
+    """SQL for the difference of two arrays by one sketch for each part of their digests, by hash; a part that doesn't peel is dealt to eight, and those that don't either are tried with other hash functions."""
+    n, v, g, ab, t = (f"{x}{depth}" for x in ("n", "v", "g", "ab", "t"))
+    tagged = lambda x: f"transform({x}, z -> named_struct('z', z, 'g', pmod(xxhash64(z, 'part', {depth}), {n})))"
+    own = lambda x: f"transform(filter({v}.{x}, z -> z.g = {g}), z -> z.z)"
+    one = both(f"{ab}.a", f"{ab}.b", depth)
+    if depth == 1:
+        one = f"coalesce({one}, {dealt(f'{ab}.a', f'{ab}.b', '8L', 2)})"
+    else:
+        one = f"coalesce({', '.join([one, *(both(f'{ab}.a', f'{ab}.b', salt) for salt in SALTS)])})"
+    each = f"transform(sequence(0L, {n} - 1), {g} -> {let(ab, f'named_struct({chr(39)}a{chr(39)}, {own(chr(97))}, {chr(39)}b{chr(39)}, {own(chr(98))})', one)})"
+    whole = let(v, f"named_struct('a', {tagged(a)}, 'b', {tagged(b)})", f"aggregate({each}, 0, ({t}, d) -> {t} + d)")
+    return let(n, parts, whole)
 
 
-def likeness(a: str, b: str) -> Column:
-    """(common digests) / (all digests) of two arrays, from their sketches; if no try peels, the tries having failed as a rare chance, the differing cells bound it."""
+def likeness(a: str, b: str, sketch_a: str, sketch_b: str) -> Column:
+    """(common digests) / (all digests) of two arrays: from their sketches, and larger ones where these don't peel. Should even the finest not peel, which takes equal hashes, all digests count as different."""
     n = f"(size({a}) + size({b}))"
-    return F.expr(f"if({n} = 0, 1.0D, {let('d', f'coalesce({difference(a, b)}, {n})', f'({n} - d) / cast({n} + d as double)')})")
+    found = f"coalesce({peeled(subtracted(sketch_a, sketch_b), 0)}, {dealt(a, b, f'greatest(1L, cast(ceil({n} / {PER_SKETCH}.0D) as bigint))', 1)}, {n})"
+    return F.expr(f"if({n} = 0, 1.0D, {let('d', found, f'({n} - d) / cast({n} + d as double)')})")
 
 
-def written(of: str) -> Column:
+def written(of: str, cells: str) -> Column:
     """A sketch as a string: the number of digests, then each cell as count.key.check in hexadecimal, empty ones blank."""
-    return F.expr(f"concat(size({of}), ':', array_join(transform({sketch(hashed(of, 0))}, x -> if(x.n = 0, '', concat(x.n, '.', lower(hex(x.key)), '.', lower(hex(x.chk))))), ','))")
+    return F.expr(f"concat(size({of}), ':', array_join(transform({cells}, x -> if(x.n = 0, '', concat(x.n, '.', lower(hex(x.key)), '.', lower(hex(x.chk))))), ','))")
 
 
 def neighbours(docs: DataFrame) -> DataFrame:
@@ -124,14 +129,15 @@ def neighbours(docs: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, digests, fingerprint): each document's paragraph digests and their sketch."""
-    return id_text(docs).select("doc_id", F.expr(digests("text")).alias("digests")).withColumn("fingerprint", written("digests"))
+    return id_text(docs).select("doc_id", F.expr(digests("text")).alias("digests")).withColumn("fingerprint", written("digests", sketch(hashed("digests", 0))))
 
 
 def compare(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint against those of its edited text and of the next document."""
     edited = neighbours(docs).select("doc_id", "text", "next_text", F.length("text").cast("long").alias("n_chars")).withColumn("edited", F.expr("concat(substring(text, 1, n_chars - n_chars div 4), substring(next_text, 1, cast(n_chars div 4 as int)))"))
     found = edited.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.expr(digests("text")).alias("a"), F.expr(digests("edited")).alias("b"), F.expr(digests("next_text")).alias("c"))
-    return found.select("doc_id", "n_chars", "edited_sha256", written("a").alias("fingerprint"), written("b").alias("edited_fingerprint"), likeness("a", "b").alias("near_edited"), likeness("a", "c").alias("near_next"))
+    found = found.select("*", *(F.expr(sketch(hashed(x, 0))).alias(f"s{x}") for x in "abc"))
+    return found.select("doc_id", "n_chars", "edited_sha256", written("a", "sa").alias("fingerprint"), written("b", "sb").alias("edited_fingerprint"), likeness("a", "b", "sa", "sb").alias("near_edited"), likeness("a", "c", "sa", "sc").alias("near_next"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
