@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
@@ -19,25 +20,57 @@ class Query:
 
 # Weights of brand, year (equal, one off), words, price and state; price above 1.1 times the limit halves the score.
 BRAND, YEAR, NEAR_YEAR, WORDS, PRICE, STATE, OVER = 0.3, 0.2, 0.1, 0.3, 0.1, 0.1, 1.1
+# What an approximate pass gives for a year further off, and the part of the strict threshold that it asks.
+FAR_YEAR, FAR_STEP, NO_BRAND, RELAXED = 0.05, 0.005, 0.5, 0.5
 
 
 def points(test: Column, weight: float) -> Column:
     return F.when(test, F.lit(weight)).otherwise(F.lit(0.0))
 
 
-def score(q: Query) -> Column:
-    total = F.lit(0.0)
+def score(q: Query, approximate: bool = False) -> Column:
+    """0 to 1. A brand that isn't there or a year more than one off rules a listing out; in an approximate pass they cost points instead."""
+    total, out, factor = F.lit(0.0), F.lit(False), F.lit(1.0)
     if q.brand:
-        total += points(F.lower("marque") == q.brand, BRAND)
+        has = (F.lower("marque") == q.brand) | F.contains(F.lower("name"), F.lit(q.brand))
+        total += points(has, BRAND)
+        out, factor = out | ~has, F.when(has, 1.0).otherwise(NO_BRAND)
     if q.year:
-        total += F.when(F.col("annee") == q.year, YEAR).when(F.abs(F.col("annee") - q.year) == 1, NEAR_YEAR).otherwise(0.0)
+        gap = F.abs(F.col("annee") - q.year)
+        far = F.greatest(F.lit(0.0), F.lit(FAR_YEAR) - (gap - 2) * FAR_STEP) if approximate else F.lit(0.0)
+        total += F.when(gap == 0, YEAR).when(gap == 1, NEAR_YEAR).otherwise(far)
+        out = out | (gap > 1)
     if q.words:
         total += sum((points(F.contains(F.lower("name"), F.lit(w)), 1.0) for w in q.words), F.lit(0.0)) * WORDS / len(q.words)
     if q.max_price:
         total += points(F.col("prix") <= q.max_price, PRICE)
+        factor = factor * F.when(F.col("prix") > q.max_price * OVER, 0.5).otherwise(1.0)
     if q.state:
         total += points(F.col("etat") == q.state, STATE)
-    return total * F.when(F.col("prix") > q.max_price * OVER, 0.5).otherwise(1.0) if q.max_price else total
+    total = total * factor
+    return total if approximate else F.when(out, 0.0).otherwise(total)
+
+
+def strict_or_relaxed(rows: DataFrame, q: Query, least: float = 0.4) -> DataFrame:
+    """Strict hits of the sources that have any; of the others the approximate ones, at half the threshold. Adds score and is_approximate."""
+    both = rows.withColumns({"strict": F.round(score(q), 6), "loose": F.round(score(q, True), 6)})
+    own = both.withColumn("any_strict", F.max((F.col("strict") >= least).cast("int")).over(Window.partitionBy("site")) == 1)
+    kept = own.where(F.when(F.col("any_strict"), F.col("strict") >= least).otherwise(F.col("loose") >= least * RELAXED))
+    return kept.withColumns({"score": F.when(F.col("any_strict"), F.col("strict")).otherwise(F.col("loose")), "is_approximate": ~F.col("any_strict")}).drop("strict", "loose", "any_strict")
+
+
+def parse(text: str, brands: list[str], as_of: int = 2025) -> Query:
+    """A free-text query: a year, a price limit, a state and a known brand are taken out; the rest are words."""
+    x = " ".join(text.lower().split())
+    year = next((int(m) for m in re.findall(r"\b((?:19|20)\d{2})\b", x) if 1970 <= int(m) <= as_of + 1), None)
+    price = re.search(r"(?:moins de|max|under|<|sous)\s*\$?\s*([\d ]+)\s*(k)?", x)
+    limit = float(price[1].replace(" ", "")) * (1000 if price[2] else 1) if price and price[1].strip() else None
+    state = "occasion" if re.search(r"\b(?:occasion|usag[ée]e?|used)\b", x) else "neuf" if re.search(r"\b(?:neuf|neuve|new)\b", x) else None
+    rest = re.sub(r"(?:moins de|max|under|<|sous)\s*\$?\s*[\d ]+\s*k?\$?", " ", x)
+    rest = re.sub(r"\b(?:(?:19|20)\d{2}|occasion|usag[ée]e?|used|neuf|neuve|new)\b", " ", rest)
+    brand = next((b for b in sorted(brands, key=len, reverse=True) if re.search(rf"\b{re.escape(b)}\b", rest)), None)
+    words = [w for w in (rest.replace(brand, " ") if brand else rest).split() if len(w) > 1]
+    return Query(tuple(words), brand, year, limit, state)
 
 
 def federated(rows: DataFrame, q: Query, least: float = 0.4, per_source: int = 3, limit: int = 50) -> DataFrame:

@@ -163,16 +163,24 @@ def m8(spark: SparkSession, d: str) -> DataFrame:
 
 # --- search -------------------------------------------------------------------------------------------------------------------------
 QUERY = search.Query(words=("blue", "anvil"), brand="brand#13", year=1997, max_price=2000.0, state="neuf")
-SCORE_SQL = """(CASE WHEN lower(marque) = 'brand#13' THEN 0.3 ELSE 0 END + CASE WHEN annee = 1997 THEN 0.2 WHEN abs(annee - 1997) = 1 THEN 0.1 ELSE 0 END + 0.3 * (CASE WHEN contains(lower(name), 'blue') THEN 1 ELSE 0 END + CASE WHEN contains(lower(name), 'anvil') THEN 1 ELSE 0 END) / 2
- + CASE WHEN prix <= 2000 THEN 0.1 ELSE 0 END + CASE WHEN etat = 'neuf' THEN 0.1 ELSE 0 END) * CASE WHEN prix > 2200 THEN 0.5 ELSE 1 END"""
+HAS_BRAND = "(lower(marque) = 'brand#13' OR contains(lower(name), 'brand#13'))"
+WORD_SQL = "0.3 * (CASE WHEN contains(lower(name), 'blue') THEN 1 ELSE 0 END + CASE WHEN contains(lower(name), 'anvil') THEN 1 ELSE 0 END) / 2 + CASE WHEN prix <= 2000 THEN 0.1 ELSE 0 END + CASE WHEN etat = 'neuf' THEN 0.1 ELSE 0 END"
+OVER_SQL = "CASE WHEN prix > 2200 THEN 0.5 ELSE 1 END"
+SCORE_SQL = f"CASE WHEN NOT {HAS_BRAND} OR abs(annee - 1997) > 1 THEN 0.0 ELSE (0.3 + CASE WHEN annee = 1997 THEN 0.2 ELSE 0.1 END + {WORD_SQL}) * {OVER_SQL} END"
+LOOSE_SQL = f"(CASE WHEN {HAS_BRAND} THEN 0.3 ELSE 0 END + CASE abs(annee - 1997) WHEN 0 THEN 0.2 WHEN 1 THEN 0.1 ELSE greatest(0.0, 0.05 - (abs(annee - 1997) - 2) * 0.005) END + {WORD_SQL}) * CASE WHEN {HAS_BRAND} THEN 1.0 ELSE 0.5 END * {OVER_SQL}"
 
 
-@query("q2_search_scores", f"{SQL} SELECT unit_key, round({SCORE_SQL}, 6) AS score FROM listing")
+@query("q4_relaxed_search", f"{SQL}, s AS (SELECT *, round({SCORE_SQL}, 6) AS st, round({LOOSE_SQL}, 6) AS lo FROM listing), o AS (SELECT *, max(CASE WHEN st >= 0.6 THEN 1 ELSE 0 END) OVER (PARTITION BY site) = 1 AS a FROM s) SELECT unit_key, CAST(CASE WHEN a THEN st ELSE lo END AS DOUBLE) AS score, NOT a AS is_approximate FROM o WHERE CASE WHEN a THEN st >= 0.6 ELSE lo >= 0.3 END")
+def q4(spark: SparkSession, d: str) -> DataFrame:
+    return search.strict_or_relaxed(listing(spark, d), QUERY, 0.6).select("unit_key", "score", "is_approximate")
+
+
+@query("q2_search_scores", f"{SQL} SELECT unit_key, CAST(round({SCORE_SQL}, 6) AS DOUBLE) AS score FROM listing")
 def q2(spark: SparkSession, d: str) -> DataFrame:
     return listing(spark, d).select("unit_key", F.round(search.score(QUERY), 6).alias("score"))
 
 
-@query("q5_federated_search", f"{SQL}, s AS (SELECT *, round({SCORE_SQL}, 6) AS score FROM listing), k AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY score DESC, ord, unit_key) AS rn FROM s WHERE score >= 0.4) SELECT unit_key, score FROM k WHERE rn <= 3 ORDER BY score DESC, unit_key LIMIT 50")
+@query("q5_federated_search", f"{SQL}, s AS (SELECT *, CAST(round({SCORE_SQL}, 6) AS DOUBLE) AS score FROM listing), k AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY score DESC, ord, unit_key) AS rn FROM s WHERE score >= 0.4) SELECT unit_key, score FROM k WHERE rn <= 3 ORDER BY score DESC, unit_key LIMIT 50")
 def q5(spark: SparkSession, d: str) -> DataFrame:
     return search.federated(listing(spark, d), QUERY, per_source=3, limit=50).select("unit_key", "score")
 
