@@ -41,9 +41,12 @@ def match(rows: DataFrame, reference: int, mode: str = "exact", how: str = "inne
     ref = own.where(F.col("site") == reference).select(*key, F.struct("unit_key", "ord", "prix", "category").alias("ref"))
     other = own.where(F.col("site") != reference)
     best = F.min_by("ref", nearest(F.col("prix"), F.col("ref.prix"), F.col("ref.ord"), F.col("ref.unit_key"))).alias("ref")
-    picked = other.select(*key, "unit_key", "prix").join(ref, key).groupBy("unit_key").agg(best)
+    # one pass over the competitors: their columns ride along while the candidates of a unit are reduced to one, mostly before the shuffle
+    same = ["unit_key", "ord", "prix"]
+    rest = [c for c in other.columns if c not in same]
+    picked = other.join(ref, key, how).groupBy(*same).agg(F.any_value(F.struct(*rest)).alias("own"), best)
     priced = (F.col("prix") > 0) & (F.col("ref.prix") > 0)
-    return other.join(picked, "unit_key", how).select(*other.columns, F.col("ref.unit_key").alias("ref_unit_key"), F.col("ref.prix").alias("ref_prix"), F.when(priced, F.col("prix") - F.col("ref.prix")).alias("difference"))
+    return picked.select(*same, *(F.col(f"own.{c}").alias(c) for c in rest), F.col("ref.unit_key").alias("ref_unit_key"), F.col("ref.prix").alias("ref_prix"), F.when(priced, F.col("prix") - F.col("ref.prix")).alias("difference"))
 
 
 def union_of_sites(rows: DataFrame, reference: int, mode: str = "exact") -> DataFrame:

@@ -223,9 +223,9 @@ def ratio_factor(r: str) -> str:
     WHEN {r} < 1.5e0 THEN 0.95e0 - (({r} - 1.2e0) / 0.3e0) * 0.10e0 WHEN {r} < 2.5e0 THEN 0.85e0 - (({r} - 1.5e0) / 1.0e0) * 0.15e0 ELSE 0.70e0 END"""
 
 
-@query("f30_mileage_factor", f"SELECT event_id, round(CAST({ratio_factor('r')} AS DOUBLE), 6) AS factor FROM (SELECT event_id, value / 40 AS r FROM events)")
+@query("f30_mileage_factor", f"SELECT event_id, round(CAST({ratio_factor('r')} AS DOUBLE), 9) AS factor FROM (SELECT event_id, value / 40 AS r FROM events)")
 def f30(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", (F.col("value") / 40).alias("r")).select("event_id", F.round(F.expr(ratio_factor("r")).cast("double"), 6).alias("factor"))
+    return table(spark, d, "events").select("event_id", (F.col("value") / 40).alias("r")).select("event_id", F.round(F.expr(ratio_factor("r")).cast("double"), 9).alias("factor"))
 
 
 @query("f32_token_cost", "SELECT conv_id, round(sum(CASE role WHEN 'assistant' THEN 15.0 ELSE 3.0 END * length(text) / 4.0) / 1000000, 9) AS usd FROM conversations GROUP BY conv_id")
