@@ -76,7 +76,7 @@ def fit(rows: list[tuple[bool, np.ndarray]], prior: float, rounds: int = 300, ra
     n_pos, n_un = sum(p for p, _ in rows), sum(not p for p, _ in rows)
     if not n_pos or not n_un:
         return Toxicity(np.zeros(0, int), np.zeros(0), float(np.log((prior + 1e-6) / (1 - prior + 1e-6))))
-    seen = [sum((np.bincount(f, minlength=SPACE) for q, f in rows if q == p), np.zeros(SPACE)) for p in (True, False)]
+    seen = [np.bincount(np.concatenate([f for q, f in rows if q == p]), minlength=SPACE) for p in (True, False)]
     in_pos, in_un = (seen[0] + 0.5) / (n_pos + 1), (seen[1] + 0.5) / (n_un + 1)
     # a feature must be clearly more common among positives, by its standard error, and in more than a few of them: copies share rare words by chance
     sure = (in_pos - in_un) / np.sqrt(in_pos / n_pos + in_un / n_un)
