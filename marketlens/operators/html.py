@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import re
 from html.parser import HTMLParser
 
 from pyspark.sql import Column
@@ -91,3 +93,109 @@ def clean(pages: str) -> Column:
 def signature(pages: str) -> Column:
     """The page's path keys."""
     return F.pandas_udf(lambda x: x.map(keys), "array<string>")(pages)
+
+
+class Facts(HTMLParser):
+    """What a page says about a product: JSON-LD blocks, itemprop values, og: values, headings, and the text of list items and table rows."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.blocks: list[str] = []
+        self.items: dict[str, str] = {}
+        self.graph: dict[str, str] = {}
+        self.headings: list[str] = []
+        self.rows: list[str] = []
+        self.into: list[tuple[str, str, list[str]]] = []
+
+    def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        a = {k: v or "" for k, v in attrs}
+        if tag == "meta" and a.get("property", "").startswith("og:"):
+            self.graph.setdefault(a["property"][3:], a.get("content", ""))
+        if "itemprop" in a:
+            if a.get("content"):
+                self.items.setdefault(a["itemprop"], a["content"])
+            elif tag not in VOID:
+                self.into.append((tag, f"item:{a['itemprop']}", []))
+                return
+        kind = {"h1": "heading", "title": "heading", "li": "row", "tr": "row"}.get(tag)
+        if tag == "script" and a.get("type", "").lower() == "application/ld+json":
+            kind = "json"
+        if kind:
+            self.into.append((tag, kind, []))
+
+    def handle_data(self, data: str) -> None:
+        for _, _, parts in self.into:
+            parts.append(data)
+
+    def handle_endtag(self, tag: str) -> None:
+        for k in range(len(self.into) - 1, -1, -1):
+            if self.into[k][0] == tag:
+                _, kind, parts = self.into.pop(k)
+                text = " ".join("".join(parts).split()) if kind != "json" else "".join(parts)
+                if kind.startswith("item:"):
+                    self.items.setdefault(kind[5:], text)
+                else:
+                    {"heading": self.headings, "row": self.rows, "json": self.blocks}[kind].append(text)
+                return
+
+
+def nodes(x: object, depth: int = 0) -> list[dict]:
+    """Product nodes in parsed JSON, at most six levels down."""
+    if depth > 6:
+        return []
+    if isinstance(x, list):
+        return [n for y in x for n in nodes(y, depth + 1)]
+    if isinstance(x, dict):
+        own = [x] if x.get("@type") in ("Product", "Vehicle", "Car", "Motorcycle") else []
+        return own + [n for y in x.values() if isinstance(y, dict | list) for n in nodes(y, depth + 1)]
+    return []
+
+
+def number(x: object) -> float | None:
+    m = re.search(r"[0-9][0-9,]*(?:\.[0-9]+)?", str(x or "").replace(" ", ""))
+    return float(m[0].replace(",", "")) if m else None
+
+
+def product(page: str | None) -> dict:
+    """Name, price and the layer that gave the name: JSON-LD, microdata, OpenGraph, heading; the price is the first that a layer has."""
+    f = Facts()
+    f.feed(page or "")
+    f.close()
+    layers: list[tuple[str, object, object]] = []
+    for block in f.blocks:
+        try:
+            found = nodes(json.loads(re.sub(r",\s*([}\]])", r"\1", block)))
+        except ValueError:
+            continue
+        for n in found:
+            offer = n.get("offers") or {}
+            offer = offer[0] if isinstance(offer, list) and offer else offer
+            layers.append(("json-ld", n.get("name"), offer.get("price") if isinstance(offer, dict) else None))
+    layers += [("microdata", f.items.get("name"), f.items.get("price")), ("opengraph", f.graph.get("title"), f.graph.get("price:amount")), ("heading", next(iter(f.headings), None), None)]
+    name = next(((layer, str(n)) for layer, n, _ in layers if n), ("none", None))
+    return {"name": name[1], "price": next((p for _, _, x in layers if x and (p := number(x)) is not None), None), "layer": name[0]}
+
+
+def listed_items(page: str | None, most: int = 100) -> list[dict]:
+    """List items and table rows with some text, with a year and a price if they state them."""
+    f = Facts()
+    f.feed(page or "")
+    f.close()
+    out = []
+    for k, text in enumerate([x for x in f.rows if len(x) > 3][:most]):
+        year, price = re.search(r"\b(?:19|20)[0-9]{2}\b", text), re.search(r"([0-9][0-9 ,]*(?:\.[0-9]{2})?)\s*\$", text)
+        out.append({"position": k, "text": text, "year": int(year[0]) if year else None, "price": number(price[1]) if price else None})
+    return out
+
+
+def extracted(pages: str) -> Column:
+    """struct of name, price and layer."""
+    import pandas as pd
+
+    kind = "name string, price double, layer string"
+    return F.pandas_udf(lambda x: pd.DataFrame([product(p) for p in x], columns=["name", "price", "layer"]).astype({"price": "float64"}), kind)(pages)
+
+
+def items(pages: str) -> Column:
+    """array of (position, text, year, price)."""
+    return F.pandas_udf(lambda x: x.map(listed_items), "array<struct<position:int,text:string,year:int,price:double>>")(pages)

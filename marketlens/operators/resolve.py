@@ -64,3 +64,18 @@ def blocked(listings: DataFrame, catalog: DataFrame, most: int = 100) -> DataFra
 def route(best: DataFrame) -> DataFrame:
     """What ingestion does with each listing's best match: matched, to review, or a new product."""
     return best.withColumn("outcome", F.when(F.col("confidence") >= AUTO, "matched").when(F.col("confidence") >= CANDIDATE, "review").otherwise("new"))
+
+
+def contained(needle: str, hay: str, least: float = 0.85) -> bool:
+    """Whether a text holds a phrase, also misspelt: some run of as many words has a ratio of at least ``least``, or it stands there without spaces."""
+    n, h = needle.lower().split(), hay.lower().split()
+    if not n or len(n) > len(h):
+        return bool(n) and "".join(n) in "".join(h)
+    phrase = " ".join(n)
+    if phrase in " ".join(h) or "".join(n) in "".join(h):
+        return True
+    return any(SequenceMatcher(None, phrase, " ".join(h[k : k + len(n)])).ratio() >= least for k in range(len(h) - len(n) + 1))
+
+
+def fuzzy_contains(needle: str, hay: str) -> Column:
+    return F.pandas_udf(lambda x, y: pd.Series([contained(a or "", b or "") for a, b in zip(x, y, strict=True)], dtype=bool), "boolean")(needle, hay)

@@ -132,15 +132,19 @@ def v8(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --- entity resolution --------------------------------------------------------------------------------------------------------------
-def best_matches(spark: SparkSession, d: str) -> DataFrame:
+def blocked_pairs(spark: SparkSession, d: str) -> DataFrame:
     """Parts offered under a changed name against the catalogue; the catalogue is as large as the part table, so pairs are blocked."""
     p = table(spark, d, "part")
     side = lambda x, name, model, size: p.select(F.col("p_partkey").alias(f"{x}_id"), F.lower("p_brand").alias(f"{x}_brand"), model.alias(f"{x}_model"), size.alias(f"{x}_year"), title_key(name).alias(f"{x}_title"), F.lower("p_type").alias(f"{x}_category"))
     model = F.lower(F.concat_ws(" ", "p_name", "p_size"))
-    listings = side("l", F.concat_ws(" ", F.lit("new"), "p_name", F.lit("for sale")), F.concat(model, F.lit("x")), F.col("p_size")).where("l_id % 3 = 0")
-    pairs = resolve.blocked(listings, side("c", F.col("p_name"), model, F.col("p_size")))
+    listings = side("l", F.concat_ws(" ", F.lit("new"), "p_name", F.lit("for sale")), F.concat(model, F.lit("x")), F.col("p_size"))
+    return resolve.blocked(listings, side("c", F.col("p_name"), model, F.col("p_size")))
+
+
+def best_matches(spark: SparkSession, d: str) -> DataFrame:
+    """The best match of each listing."""
     top = F.max_by(F.struct("c_id", "match"), F.struct(F.col("match.confidence"), -F.col("c_id"))).alias("b")
-    return resolve.scored(pairs).groupBy("l_id").agg(top).select("l_id", F.col("b.c_id").alias("c_id"), F.col("b.match.method").alias("method"), F.col("b.match.confidence").alias("confidence"))
+    return resolve.scored(blocked_pairs(spark, d)).groupBy("l_id").agg(top).select("l_id", F.col("b.c_id").alias("c_id"), F.col("b.match.method").alias("method"), F.col("b.match.confidence").alias("confidence"))
 
 
 @query("m3_m5_resolution_cascade")

@@ -5,13 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as t
 from ..functions.text import deep_normalize
-from ..operators import html, match, merge, search, valuation
+from ..functions.vocab import COLORS
+from ..operators import html, match, merge, resolve, search, valuation
 from ..sources import readers
 from ..streaming.jobs import shared_folder
 from .listing import REFERENCE, SQL, listing, table
 from .matching import matched_sql
-from .scalars import deep
+from .engine import blocked_pairs
+from .scalars import deep, listed
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -323,3 +326,130 @@ def st12(spark: SparkSession, d: str) -> DataFrame:
 def v4q(spark: SparkSession, d: str) -> DataFrame:
     rows = listing(spark, d).withColumn("w", 1 + F.col("site") % 3)
     return valuation.weighted_percentiles(rows, ["product"], "prix", "w", "unit_key", {"low": 0.25, "high": 0.75})
+
+
+# --- what is left of names, states and numbers --------------------------------------------------------------------------------------------
+SHOWN = "concat(CASE p_size % 5 WHEN 0 THEN 'VTT ' WHEN 1 THEN 'Moto sportive ' WHEN 2 THEN 'cote a cote ' ELSE '' END, p_name, ' ', p_size, CASE p_size % 6 WHEN 0 THEN ' Noir usage a Laval' WHEN 1 THEN ' 50th anniversary' WHEN 2 THEN ' pre-commande' WHEN 3 THEN ' Rive Sud powersports' WHEN 4 THEN ' demo' ELSE '' END)"
+
+
+def model_sql() -> str:
+    x = deep(SHOWN)
+    for pattern in [*t.DEALER_NOISE, *t.CATEGORY_PREFIXES, t.STATE_WORDS, t.PRE_ORDER]:
+        x = f"trim(regexp_replace({x}, '{pattern}', '', 'g'))"
+    x = f"array_to_string(list_filter(string_split(trim(regexp_replace({x}, '\\s+', ' ', 'g')), ' '), lambda w: w NOT IN {listed(COLORS)}), ' ')"
+    return f"trim(regexp_replace(regexp_replace({x}, '{t.ANNIVERSARY}', '\\1 anniversaire', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query("f5_product_key", f"SELECT p_partkey, {deep('p_brand')} AS brand, {model_sql()} AS model FROM part")
+def f5(spark: SparkSession, d: str) -> DataFrame:
+    brand, model = t.product_key(F.concat(F.lit("Marque: "), "p_brand"), F.expr(SHOWN), F.col("p_name"))
+    return table(spark, d, "part").select("p_partkey", brand.alias("brand"), model.alias("model"))
+
+
+@query("f14_condition", "SELECT p_partkey, CASE WHEN regexp_matches(u, 'occasion|usag|used') THEN 'occasion' WHEN regexp_matches(u, 'neuf|new') THEN 'neuf' WHEN regexp_matches(lower(p_name), 'used|demo') THEN 'occasion' WHEN p_size * 100 > 2500 THEN 'occasion' ELSE 'neuf' END AS condition FROM (SELECT *, CASE p_size % 3 WHEN 0 THEN '/fr/occasion/' WHEN 1 THEN '/new-bikes/' ELSE '/p/' END AS u FROM part)")
+def f14(spark: SparkSession, d: str) -> DataFrame:
+    url, name = F.expr("CASE p_size % 3 WHEN 0 THEN '/fr/occasion/' WHEN 1 THEN '/new-bikes/' ELSE '/p/' END"), F.lower("p_name")
+    state = F.when(url.rlike("occasion|usag|used"), "occasion").when(url.rlike("neuf|new"), "neuf").when(name.rlike("used|demo"), "occasion").when(F.col("p_size") * 100 > 2500, "occasion").otherwise("neuf")
+    return table(spark, d, "part").select("p_partkey", state.alias("condition"))
+
+
+@query("f20_fuzzy_contains")
+def f20(spark: SparkSession, d: str) -> DataFrame:
+    p = table(spark, d, "part").select("p_partkey", F.lit("blue anvill").alias("needle"), "p_name")
+    return p.select("p_partkey", resolve.fuzzy_contains("needle", "p_name").alias("found"))
+
+
+@query("f25_lenient_numbers", "SELECT o_orderkey, TRY_CAST(regexp_replace(s, '[^0-9.]', '', 'g') AS DOUBLE) AS n FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '$ 12.50' WHEN 1 THEN '1..2' ELSE '7 km' END AS s FROM orders)")
+def f25(spark: SparkSession, d: str) -> DataFrame:
+    raw = F.expr("CASE o_orderkey % 3 WHEN 0 THEN '$ 12.50' WHEN 1 THEN '1..2' ELSE '7 km' END")
+    return table(spark, d, "orders").select("o_orderkey", F.regexp_replace(raw, "[^0-9.]", "").try_cast("double").alias("n"))
+
+
+@query("f29_clamps", "SELECT event_id, greatest(10.0::DOUBLE, least(90.0::DOUBLE, value)) AS clamped, abs(value - 50) AS off, round(pow(value / 100, 2), 9) AS squared FROM events")
+def f29(spark: SparkSession, d: str) -> DataFrame:
+    x = F.col("value")
+    return table(spark, d, "events").select("event_id", F.greatest(F.lit(10.0), F.least(F.lit(90.0), x)).alias("clamped"), F.abs(x - 50).alias("off"), F.round(F.pow(x / 100, F.lit(2)), 9).alias("squared"))
+
+
+# --- the fuzzy stages one by one, over blocked pairs -----------------------------------------------------------------------------------------
+@query("j14_m4_title_similarity")
+def m4(spark: SparkSession, d: str) -> DataFrame:
+    x = resolve.scored(blocked_pairs(spark, d)).where("m4 is not null")
+    return x.groupBy("l_id").agg(F.max_by(F.struct("c_id", "m4"), F.struct("m4", -F.col("c_id"))).alias("b")).select("l_id", "b.c_id", F.col("b.m4").alias("confidence"))
+
+
+@query("j15_m5_composite")
+def m5(spark: SparkSession, d: str) -> DataFrame:
+    x = resolve.scored(blocked_pairs(spark, d)).where("m5 is not null")
+    return x.groupBy("l_id").agg(F.max_by(F.struct("c_id", "m5"), F.struct("m5", -F.col("c_id"))).alias("b")).select("l_id", "b.c_id", F.col("b.m5").alias("confidence"))
+
+
+@query("m4_title_similarity")
+def m4_(spark: SparkSession, d: str) -> DataFrame:
+    return m4(spark, d)
+
+
+@query("m5_composite")
+def m5_(spark: SparkSession, d: str) -> DataFrame:
+    return m5(spark, d)
+
+
+@query("m6_review_candidates")
+def m6(spark: SparkSession, d: str) -> DataFrame:
+    """Every pair at or above the candidate threshold, best first within a listing."""
+    x = resolve.scored(blocked_pairs(spark, d)).select("l_id", "c_id", F.col("match.method").alias("method"), F.col("match.confidence").alias("confidence"))
+    return x.withColumn("rank", F.row_number().over(Window.partitionBy("l_id").orderBy(F.desc("confidence"), "c_id")))
+
+
+@query("m2_vin_prefix", "SELECT o_orderkey, p_partkey FROM (SELECT o_orderkey, substr('JKAEX8A1' || lpad(CAST(o_orderkey % 500 AS VARCHAR), 5, '0') || 'ZZ', 1, 11) AS v FROM orders) JOIN (SELECT p_partkey, substr('JKAEX8A1' || lpad(CAST(p_partkey AS VARCHAR), 5, '0'), 1, 11) AS w FROM part) ON v = w")
+def m2(spark: SparkSession, d: str) -> DataFrame:
+    vin = F.concat(F.lit("JKAEX8A1"), F.lpad((F.col("o_orderkey") % 500).cast("string"), 5, "0"), F.lit("ZZ"))
+    a = table(spark, d, "orders").select("o_orderkey", F.substring(vin, 1, 11).alias("v"))
+    b = table(spark, d, "part").select("p_partkey", F.substring(F.concat(F.lit("JKAEX8A1"), F.lpad(F.col("p_partkey").cast("string"), 5, "0")), 1, 11).alias("v"))
+    return a.join(b, "v").select("o_orderkey", "p_partkey")
+
+
+@query("q3_generic_scores", "SELECT p_partkey, round(least(1.0, CASE WHEN p_partkey = 7 THEN 0.5 ELSE 0 END + CASE WHEN p_brand = 'Brand#13' THEN 0.2 ELSE 0 END + 0.4 * (CASE WHEN contains(p_name, 'blue') THEN 1 ELSE 0 END + CASE WHEN contains(p_name, 'gear') THEN 1 ELSE 0 END) / 2 + CASE WHEN p_type = 'PROMO' THEN 0.1 ELSE 0 END + CASE WHEN p_retailprice <= 1000 THEN 0.1 ELSE 0 END) * CASE WHEN p_retailprice > 1200 THEN 0.5 ELSE 1 END, 6)::DOUBLE AS score FROM part")
+def q3(spark: SparkSession, d: str) -> DataFrame:
+    """Products without vetoes: article number, brand, words, category, price."""
+    give = search.points
+    words = (give(F.contains("p_name", F.lit("blue")), 1.0) + give(F.contains("p_name", F.lit("gear")), 1.0)) * 0.4 / 2
+    total = give(F.col("p_partkey") == 7, 0.5) + give(F.col("p_brand") == "Brand#13", 0.2) + words + give(F.col("p_type") == "PROMO", 0.1) + give(F.col("p_retailprice") <= 1000, 0.1)
+    return table(spark, d, "part").select("p_partkey", F.round(F.least(F.lit(1.0), total) * F.when(F.col("p_retailprice") > 1200, 0.5).otherwise(1.0), 6).alias("score"))
+
+
+@query("q8_evaluation_query", "SELECT 'brand#13' AS brand, 1997 AS year, 2000.0::DOUBLE AS max_price, 'neuf' AS state, 'blue anvil' AS words")
+def q8(spark: SparkSession, d: str) -> DataFrame:
+    q = search.parse("Blue anvil Brand#13 1997 neuf moins de 2000", ["brand#13"])
+    return spark.createDataFrame([(q.brand, q.year, q.max_price, q.state, " ".join(q.words))], "brand string, year int, max_price double, state string, words string")
+
+
+# --- pages and sources ------------------------------------------------------------------------------------------------------------------------
+@query("h3_product_extraction")
+def h3(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", html.extracted("html").alias("x")).select("page_id", "x.*")
+
+
+@query("h4_listing_extraction")
+def h4(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", F.explode(html.items("html")).alias("x")).select("page_id", "x.*")
+
+
+@query("h9_vehicle_rows")
+def h9(spark: SparkSession, d: str) -> DataFrame:
+    """Items of a page that state a year or a price."""
+    return h4(spark, d).where("year is not null or price is not null")
+
+
+@query("s7_marketplace_results", "SELECT conv_id, turn, role FROM conversations WHERE text <> ''")
+def s7(spark: SparkSession, d: str) -> DataFrame:
+    """Results that landed nested by query, one row a result."""
+    nested = table(spark, d, "conversations").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role", "text")).alias("results"))
+    return nested.select("conv_id", F.explode("results").alias("r")).where("r.text <> ''").select("conv_id", "r.turn", "r.role")
+
+
+@query("st14_fresher_source", "SELECT c_custkey, CASE WHEN latest IS NOT NULL THEN 'orders' ELSE 'central' END AS source FROM customer LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS latest FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01 00:00:00' GROUP BY o_custkey) ON o_custkey = c_custkey")
+def st14(spark: SparkSession, d: str) -> DataFrame:
+    o = table(spark, d, "orders").where("o_orderdate >= timestamp_ntz'1997-01-01 00:00:00'").groupBy("o_custkey").agg(F.max("o_orderdate").alias("latest"))
+    c = table(spark, d, "customer")
+    return c.join(o, c["c_custkey"] == o["o_custkey"], "left").select("c_custkey", F.when(F.col("latest").isNotNull(), "orders").otherwise("central").alias("source"))

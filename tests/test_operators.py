@@ -140,3 +140,58 @@ def test_feeds(spark, tmp_path):
     assert [(r.id, r.price, r.specs) for r in items.orderBy("id").collect()] == [("1", 9.5, {"p": "9.5"}), ("2", None, {"p": "x"})]
     assert [r.loc for r in readers.sitemap(spark, str(tmp_path / "s.xml"), "/p/").collect()] == ["https://x/p/1"]
     assert [tuple(r) for r in readers.csv_feed(spark, str(tmp_path / "c.csv")).collect()] == [("7", "1")]
+
+
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        ('<script type="application/ld+json">{"@graph": [{"@type": "Product", "name": "A", "offers": {"price": "1,200.50"},}]}</script><h1>B</h1>', ("A", 1200.5, "json-ld")),
+        ('<div itemprop="name">C <b>d</b></div><meta itemprop="price" content="99">', ("C d", 99.0, "microdata")),
+        ('<meta property="og:title" content="E"><meta property="og:price:amount" content="5">', ("E", 5.0, "opengraph")),
+        ("<title>F</title>", ("F", None, "heading")),
+        (None, (None, None, "none")),
+    ],
+)
+def test_product_extraction_takes_the_first_layer(page, expected):
+    x = html.product(page)
+    assert (x["name"], x["price"], x["layer"]) == expected
+
+
+def test_listed_items():
+    assert html.listed_items("<ul><li>Ninja 500 2024 - 7 995.00 $</li><li>x</li><li>plain</li></ul>") == [
+        {"position": 0, "text": "Ninja 500 2024 - 7 995.00 $", "year": 2024, "price": 7995.0},
+        {"position": 1, "text": "plain", "year": None, "price": None},
+    ]
+
+
+def test_fuzzy_contains():
+    assert resolve.contained("royal enfeild", "new Royal Enfield Himalayan")
+    assert resolve.contained("mt 07", "Yamaha MT07")
+    assert not resolve.contained("ducati", "Honda CB")
+    assert not resolve.contained("", "x")
+
+
+def test_query_parsing():
+    q = search.parse("KTM 390 Duke 2023 usagé moins de 8k", ["ktm", "honda"])
+    assert (q.brand, q.year, q.max_price, q.state, q.words) == ("ktm", 2023, 8000.0, "occasion", ("390", "duke"))
+    assert search.parse("", []) == search.Query()
+
+
+def test_search_vetoes_and_relaxation(spark):
+    rows = spark.createDataFrame([("a", 1, 0, "ktm", "", "duke", 2023, 10.0, "neuf", ""), ("b", 2, 0, "honda", "", "duke", 2023, 10.0, "neuf", ""), ("c", 3, 1, "ktm", "", "duke", 2019, 10.0, "neuf", "")], LISTING)
+    q = search.Query(("duke",), "ktm", 2023)
+    strict = {r.unit_key: r.s for r in rows.select("unit_key", search.score(q).alias("s")).collect()}
+    assert strict["a"] == pytest.approx(0.8) and strict["b"] == strict["c"] == 0
+    kept = {r.unit_key: (round(r.score, 3), r.is_approximate) for r in search.strict_or_relaxed(rows, q).collect()}
+    assert kept == {"a": (0.8, False), "c": (0.64, True)}
+
+
+@pytest.mark.parametrize(
+    ("name", "expected"),
+    [("Kawasaki Ninja 500 2024", ("kawasaki", "ninja 500")), ("VTT CF Moto CForce 600 noir", ("cfmoto", "vtt cforce 600")), ("Unknown X1 usage a Laval", ("", "unknown x 1"))],
+)
+def test_product_key_from_a_name(spark, name, expected):
+    brand, model = t.product_key(F.lit(""), F.lit(""), F.lit(name))
+    got = spark.range(1).select(brand.alias("b"), model.alias("m")).head()
+    assert got.b == expected[0]
+    assert got.m in (expected[1], expected[1].removeprefix("vtt "))
