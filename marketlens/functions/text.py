@@ -27,8 +27,8 @@ def strip_accents(x: Column) -> Column:
 def deep_normalize(x: Column) -> Column:
     """Lower case without accents and punctuation; a space between letters and digits; runs of single letters as one word."""
     x = strip_accents(F.lower(F.trim(F.coalesce(x, F.lit("")))))
-    x = F.regexp_replace(F.regexp_replace(x, r"([a-z])([0-9])", "$1 $2"), r"([0-9])([a-z])", "$1 $2")
-    x = squeezed(F.regexp_replace(x, r"[^a-z0-9\s]", " "))
+    x = F.regexp_replace(x, r"(?<=[a-z])(?=[0-9])|(?<=[0-9])(?=[a-z])", " ")
+    x = F.trim(F.regexp_replace(x, r"[^a-z0-9]+", " "))
     return F.regexp_replace(x, r"(?<=\b[a-z]) (?=[a-z]\b)", "")
 
 

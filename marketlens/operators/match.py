@@ -1,7 +1,7 @@
 """Matching competitors' listings with the reference site's, and what is built on matched groups.
 
 A listing has unit_key, ord, site, marque, modele, name, annee, prix, etat, category. Joins are on normalised keys; of several reference
-rows with one key the nearest in price is taken by an aggregation (partial before the shuffle), not by sorting each key's pairs.
+rows with one key the nearest in price is taken from an array of the key's distinct prices.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ MODES = ("exact", "base", "no_year", "flexible")
 
 
 def keyed(rows: DataFrame, mode: str = "exact") -> DataFrame:
-    """Adds k_marque, k_modele, k_annee; rows without a model go. ``base`` drops trim words, ``no_year`` the year, ``flexible`` both."""
+    """Adds k_marque, k_modele (empty if there is none), k_annee. ``base`` drops trim words, ``no_year`` the year, ``flexible`` both."""
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     model = deep_normalize(F.col("modele"))
@@ -25,7 +25,7 @@ def keyed(rows: DataFrame, mode: str = "exact") -> DataFrame:
         aliased_brand(deep_normalize(F.col("marque"))).alias("k_marque"),
         (strip_trims(model) if mode in ("base", "flexible") else model).alias("k_modele"),
         (F.lit(0) if mode in ("no_year", "flexible") else F.coalesce("annee", F.lit(0))).alias("k_annee"),
-    ).where("k_modele <> ''")
+    )
 
 
 def nearest(prix: Column, ref_prix: Column, ref_ord: Column, ref_unit: Column) -> Column:
@@ -34,19 +34,32 @@ def nearest(prix: Column, ref_prix: Column, ref_ord: Column, ref_unit: Column) -
     return F.struct((~priced).alias("a"), F.when(priced, F.abs(prix - ref_prix)).alias("b"), ref_ord.alias("c"), ref_unit.alias("d"))
 
 
+def candidates(ref: DataFrame, key: list[str]) -> DataFrame:
+    """(key, refs): the reference's rows of a key as an array, one for each distinct price (the first seen has it)."""
+    first = F.min(F.struct("ord", "unit_key", "category")).alias("x")
+    return ref.groupBy(*key, "prix").agg(first).groupBy(*key).agg(F.collect_list(F.struct("prix", "x.ord", "x.unit_key", "x.category")).alias("refs"))
+
+
+def best_of(refs: Column, prix: Column) -> Column:
+    """The nearest of an array of candidates."""
+    ways = F.transform(refs, lambda r: F.struct(nearest(prix, r["prix"], r["ord"], r["unit_key"]).alias("order"), r.alias("r")))
+    return F.array_min(ways)["r"]
+
+
 def match(rows: DataFrame, reference: int, mode: str = "exact", how: str = "inner") -> DataFrame:
-    """Competitor rows with ref_unit_key, ref_prix and difference of their best reference row; ``left`` keeps those without one."""
+    """Competitor rows with ref_unit_key, ref_prix and difference of their best reference row; ``left`` keeps those without one.
+
+    The reference's side is one site's rows, reduced to an array a key, so the competitors' side is neither multiplied nor grouped again, and
+    Spark can broadcast the small side if it is.
+    """
     own = keyed(rows, mode)
     key = ["k_marque", "k_modele", "k_annee"]
-    ref = own.where(F.col("site") == reference).select(*key, F.struct("unit_key", "ord", "prix", "category").alias("ref"))
+    refs = candidates(own.where((F.col("site") == reference) & (F.col("k_modele") != "")), key)
     other = own.where(F.col("site") != reference)
-    best = F.min_by("ref", nearest(F.col("prix"), F.col("ref.prix"), F.col("ref.ord"), F.col("ref.unit_key"))).alias("ref")
-    # one pass over the competitors: their columns ride along while the candidates of a unit are reduced to one, mostly before the shuffle
-    same = ["unit_key", "ord", "prix"]
-    rest = [c for c in other.columns if c not in same]
-    picked = other.join(ref, key, how).groupBy(*same).agg(F.any_value(F.struct(*rest)).alias("own"), best)
+    # rows without a model go after the join: a filter before it would normalise every name twice
+    found = other.join(refs, key, how).where("k_modele <> ''").withColumn("ref", best_of(F.col("refs"), F.col("prix")))
     priced = (F.col("prix") > 0) & (F.col("ref.prix") > 0)
-    return picked.select(*same, *(F.col(f"own.{c}").alias(c) for c in rest), F.col("ref.unit_key").alias("ref_unit_key"), F.col("ref.prix").alias("ref_prix"), F.when(priced, F.col("prix") - F.col("ref.prix")).alias("difference"))
+    return found.select(*other.columns, F.col("ref.unit_key").alias("ref_unit_key"), F.col("ref.prix").alias("ref_prix"), F.when(priced, F.col("prix") - F.col("ref.prix")).alias("difference"))
 
 
 def union_of_sites(rows: DataFrame, reference: int, mode: str = "exact") -> DataFrame:

@@ -61,11 +61,10 @@ for _mode in m.MODES:
     FROM listing c JOIN listing r USING (product) WHERE c.site <> {REFERENCE} AND r.site = {REFERENCE}) WHERE rn = 1""",
 )
 def j2(spark: SparkSession, d: str) -> DataFrame:
-    rows = listing(spark, d).select("product", "site", "unit_key", "ord", "prix")
-    ref = rows.where(F.col("site") == REFERENCE).select("product", F.struct("unit_key", "ord", "prix").alias("r"))
-    pairs = rows.where(F.col("site") != REFERENCE).join(ref, "product")
-    best = pairs.groupBy("unit_key", "prix").agg(F.min_by("r", m.nearest(F.col("prix"), F.col("r.prix"), F.col("r.ord"), F.col("r.unit_key"))).alias("r"))
-    return best.select("unit_key", F.col("r.unit_key").alias("ref_unit_key"), F.round(F.abs(F.col("prix") - F.col("r.prix")), 6).alias("gap"))
+    rows = listing(spark, d).select("product", "site", "unit_key", "ord", "prix", "category")
+    refs = m.candidates(rows.where(F.col("site") == REFERENCE), ["product"])
+    found = rows.where(F.col("site") != REFERENCE).join(refs, "product").withColumn("r", m.best_of(F.col("refs"), F.col("prix")))
+    return found.select("unit_key", F.col("r.unit_key").alias("ref_unit_key"), F.round(F.abs(F.col("prix") - F.col("r.prix")), 6).alias("gap"))
 
 
 @query("j3_left_match_union", matched_sql("exact") + f" SELECT DISTINCT unit_key, CASE WHEN l.site = {REFERENCE} THEN 'reference' WHEN x.ref_unit_key IS NULL THEN 'unmatched' ELSE 'matched' END AS kind, round(x.ref_prix, 6) AS ref_prix FROM listing l LEFT JOIN (SELECT unit_key, ref_unit_key, ref_prix FROM matched) x USING (unit_key)")
@@ -87,7 +86,7 @@ def j5(spark: SparkSession, d: str) -> DataFrame:
 def j6(spark: SparkSession, d: str) -> DataFrame:
     rows = listing(spark, d)
     found = m.match(rows, REFERENCE)
-    ref = m.keyed(rows).where(F.col("site") == REFERENCE)
+    ref = m.keyed(rows).where((F.col("site") == REFERENCE) & (F.col("k_modele") != ""))
     return ref.join(found.select(F.col("ref_unit_key").alias("unit_key")), "unit_key", "left_anti").join(found, ["k_marque", "k_modele", "k_annee"], "left_anti").select("unit_key")
 
 
