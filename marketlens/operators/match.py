@@ -76,9 +76,11 @@ def groups(rows: DataFrame, reference: int, mode: str = "exact") -> DataFrame:
     A group is a key; its reference price is that of its first row, its category that of the reference's first row with the key.
     """
     found = match(rows, reference, mode).where(valid_price(F.col("prix")) & (F.col("ref_prix") > 0)).withColumn("g", F.concat_ws("|", "k_marque", "k_modele", F.col("k_annee").cast("string")))
-    head = found.groupBy("g").agg(F.min_by(F.struct("ref_prix", "category"), F.struct("ord", "unit_key")).alias("h"))
-    per = found.groupBy("g", "site").agg(F.count(F.lit(1)).alias("n"), F.sum("prix").alias("total"), F.min("prix").alias("low"))
-    return per.join(head, "g").select("g", "site", F.col("h.category").alias("category"), F.col("h.ref_prix").alias("prix_ref"), "n", "total", "low")
+    first = F.min(F.struct("ord", "unit_key", "ref_prix", F.col("category").alias("category"))).alias("f")
+    per = found.groupBy("g", "site").agg(F.count(F.lit(1)).alias("n"), F.sum("prix").alias("total"), F.min("prix").alias("low"), first)
+    # the group's head is the first of its sites' heads, found among one row a site
+    head = F.min("f").over(Window.partitionBy("g"))
+    return per.withColumn("h", head).select("g", "site", F.col("h.category").alias("category"), F.col("h.ref_prix").alias("prix_ref"), "n", "total", "low")
 
 
 def market(per_site: DataFrame) -> DataFrame:
@@ -103,9 +105,12 @@ def opportunities(per_site: DataFrame) -> DataFrame:
 
 
 def site_prices(per_site: DataFrame, reference: int) -> DataFrame:
-    """(g, site, category, p): mean price of each site in each group, the reference among them."""
-    ref = per_site.groupBy("g").agg(F.first("category").alias("category"), F.first("prix_ref").alias("p")).select("g", F.lit(reference).cast("long").alias("site"), "category", "p")
-    return ref.unionByName(per_site.select("g", "site", "category", (F.col("total") / F.col("n")).alias("p")))
+    """(g, site, category, p): mean price of each site in each group, and the reference's, which a group's first row brings along."""
+    first = F.row_number().over(Window.partitionBy("g").orderBy("site")) == 1
+    own = F.struct(F.col("site").alias("site"), (F.col("total") / F.col("n")).alias("p"))
+    ref = F.struct(F.lit(reference).cast("long").alias("site"), F.col("prix_ref").alias("p"))
+    rows = per_site.select("g", "category", F.when(first, F.array(own, ref)).otherwise(F.array(own)).alias("x"))
+    return rows.select("g", "category", F.explode("x").alias("x")).select("g", "x.site", "category", "x.p")
 
 
 def retailers(per_site: DataFrame, reference: int, by: tuple[str, ...] = ("site",)) -> DataFrame:
