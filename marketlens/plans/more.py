@@ -138,10 +138,10 @@ def s19(spark: SparkSession, d: str) -> DataFrame:
     return c.join(o, c["c_custkey"] == o["o_custkey"], "left").select("c_custkey", F.when(F.col("latest").isNull(), "missing").when(F.col("latest") >= limit, "fresh").otherwise("stale").alias("state"))
 
 
-@query("s21_identifier_upsert", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN 'new' ELSE 'old' END AS status, p_size AS v FROM part")
+@query("s21_identifier_upsert", "SELECT p_partkey, CASE WHEN p_size > 25 THEN 'new' ELSE 'old' END AS status, p_size AS v FROM part")
 def s21(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select("p_partkey", F.lit("old").alias("status"), F.col("p_size").alias("v"))
-    return merge.upsert(p, p.where("p_partkey % 2 = 0").withColumn("status", F.lit("new")), ["p_partkey"])
+    return merge.upsert(p, p.where("v > 25").withColumn("status", F.lit("new")), ["p_partkey"])
 
 
 # --- taxonomy, search and ranking -----------------------------------------------------------------------------------------------------
@@ -256,11 +256,11 @@ def v2(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.coalesce(rules[F.col("p_type")], F.lit("lowest_minus_amount")).alias("strategy"))
 
 
-@query("v3_change_sheet", "SELECT o_orderkey, CASE WHEN o_orderkey % 7 = 0 THEN 1.0 ELSE floor(o_totalprice) END AS price FROM orders WHERE o_orderstatus = 'O'")
+@query("v3_change_sheet", "SELECT o_orderkey, CASE WHEN o_totalprice < 2000 THEN 1.0 ELSE floor(o_totalprice) END AS price FROM orders WHERE o_orderstatus = 'O'")
 def v3(spark: SparkSession, d: str) -> DataFrame:
     """Recommended prices of the requested keys, with manual ones in their place."""
     o = table(spark, d, "orders").where("o_orderstatus = 'O'")
-    manual = table(spark, d, "orders").where("o_orderkey % 7 = 0").select("o_orderkey", F.lit(1.0).alias("manual")).distinct()
+    manual = table(spark, d, "orders").where("o_totalprice < 2000").select("o_orderkey", F.lit(1.0).alias("manual")).distinct()
     return o.join(manual, "o_orderkey", "left").select("o_orderkey", F.coalesce("manual", F.floor("o_totalprice").cast("double")).alias("price"))
 
 

@@ -68,7 +68,7 @@ add("j8_trigger_diff", f"SELECT site, product, y, was AS old_price, p AS new_pri
 add("j9_expand_units", "SELECT site, product, u.unit_key AS unit_key, u.prix AS prix FROM (SELECT site, product, collect_list(named_struct('unit_key', unit_key, 'prix', prix)) AS units FROM {listing} GROUP BY site, product) LATERAL VIEW explode(units) x AS u", "SELECT site, product, unit_key, prix AS prix FROM {listing}")
 add(
     "j10_identifier_cascade",
-    """WITH ids AS (SELECT p_partkey AS c, 'gtin' AS t, 1 AS pr, 'G' || p_partkey AS v FROM {part} WHERE p_partkey % 3 = 0 UNION ALL SELECT p_partkey, 'upc', 2, 'U' || p_size FROM {part} WHERE p_partkey % 3 = 1 UNION ALL SELECT p_partkey, 'mpn', 4, p_brand FROM {part}),
+    """WITH ids AS (SELECT p_partkey AS c, 'gtin' AS t, 1 AS pr, 'G' || p_partkey AS v FROM {part} WHERE p_size > 20 UNION ALL SELECT p_partkey, 'upc', 2, 'U' || p_partkey FROM {part} UNION ALL SELECT p_partkey, 'mpn', 4, p_brand FROM {part}),
     want AS (SELECT l_orderkey * 10 + l_linenumber AS k, 'gtin' AS t, 'G' || l_partkey AS v FROM {lineitem} UNION ALL SELECT l_orderkey * 10 + l_linenumber, 'upc', 'U' || l_suppkey FROM {lineitem})
     SELECT k, t AS id_type, c AS canonical FROM (SELECT k, ids.t, c, row_number() OVER (PARTITION BY k ORDER BY pr, c) AS rn FROM want JOIN ids ON ids.t = want.t AND ids.v = want.v) WHERE rn = 1""",
 )
