@@ -8,13 +8,17 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Confidence that links at once, and that makes a candidate.
 AUTO, CANDIDATE = 0.85, 0.50
 EXACT = 0.99
+#: Names of one brand that a tile holds, and keys of one name that a row holds, on average.
+TILE = 256
 
 
 def ratios(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -32,6 +36,52 @@ def seq_ratio(a: str, b: str) -> Column:
     return F.pandas_udf(lambda x, y: ratios(x, y), "double")(a, b)
 
 
+def similar_names(a: list[str], b: list[str], least: float) -> list[tuple[str, str, float]]:
+    """(x of a, y of b, ratio) where the ratio is ``least`` or more. Matched characters are shared ones, so pairs that share too few are not compared."""
+    shared = np.zeros((len(a), len(b)), np.int32)
+    for c in set("".join(a)) & set("".join(b)):
+        shared += np.minimum.outer([x.count(c) for x in a], [y.count(c) for y in b]).astype(np.int32)
+    near = 2.0 * shared / np.maximum(1, np.add.outer([len(x) for x in a], [len(y) for y in b])) >= least
+    out, matcher = [], SequenceMatcher(None)
+    for j, y in enumerate(b):
+        which = np.flatnonzero(near[:, j]).tolist()
+        if which:
+            matcher.set_seq2(y)
+        for i in which:
+            matcher.set_seq1(a[i])
+            if (r := matcher.ratio()) >= least:
+                out.append((a[i], y, r))
+    return out
+
+
+def similar_pairs(rows: DataFrame, least: float) -> DataFrame:
+    """(a, b, r) for each two keys a < b of one brand whose names, a's first, have a sequence ratio of ``least`` or more, equal names included.
+
+    rows: key, brand, n. Every two distinct names of a brand meet, in tiles, so that a large brand is many groups; keys join the similar names
+    in lists of about ``TILE``, so that a common name is many rows. Empty names and brands match nothing.
+    """
+    rows = rows.where("key is not null and brand <> '' and n <> ''")
+    sizes = rows.groupBy("brand", "n").agg(F.count(F.lit(1)).alias("size"))
+    tiles = sizes.groupBy("brand").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    names = sizes.join(tiles, "brand").select("brand", "n", F.pmod(F.xxhash64("n"), "tiles").cast("int").alias("tile"), "tiles")
+    left = names.select("brand", F.col("tile").alias("i"), F.explode(F.sequence("tile", F.col("tiles") - 1)).alias("j"), "n")
+    right = names.select(F.col("brand").alias("brand2"), F.explode(F.sequence(F.lit(0), "tile")).alias("i2"), F.col("tile").alias("j2"), F.col("n").alias("n2"))
+
+    def compare(key: tuple, one: pa.Table, two: pa.Table) -> pa.Table:
+        brand, i, j = (x.as_py() for x in key)
+        a, b = one["n"].to_pylist(), two["n2"].to_pylist()
+        found = similar_names(a, b, least) + (similar_names(b, a, least) if i != j else [])  # a ratio depends on the order
+        na, nb, r = zip(*found, strict=True) if found else ((), (), ())
+        return pa.table({"brand": pa.array([brand] * len(na), pa.string()), "na": pa.array(na, pa.string()), "nb": pa.array(nb, pa.string()), "r": pa.array(r, pa.float64())})
+
+    pairs = left.groupBy("brand", "i", "j").cogroup(right.groupBy("brand2", "i2", "j2")).applyInArrow(compare, "brand string, na string, nb string, r double")
+    part = F.pmod(F.xxhash64("key"), F.ceil(F.col("size") / TILE))
+    lists = rows.join(sizes, ["brand", "n"]).groupBy("brand", "n", part.alias("part")).agg(F.collect_list("key").alias("keys"))
+    met = pairs.join(lists.select("brand", F.col("n").alias("na"), F.col("keys").alias("ka")), ["brand", "na"]).join(lists.select("brand", F.col("n").alias("nb"), F.col("keys").alias("kb")), ["brand", "nb"])
+    spread = met.select("ka", "kb", "r").repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return spread.select(F.explode("ka").alias("a"), "kb", "r").select("a", F.explode("kb").alias("b"), "r").where("a < b")
+
+
 def jaccard(a: Column, b: Column) -> Column:
     x, y = F.split(a, " "), F.split(b, " ")
     return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))

@@ -243,10 +243,8 @@ def a15(spark: SparkSession, d: str) -> DataFrame:
 
 @query("j13_similarity_join")
 def j13(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "part").select("p_partkey", "p_brand", deep_normalize(F.col("p_name")).alias("n"))
-    a, b = p.alias("a"), p.alias("b")
-    pairs = a.join(b, (F.col("a.p_brand") == F.col("b.p_brand")) & (F.substring("a.n", 1, 4) == F.substring("b.n", 1, 4)) & (F.col("a.p_partkey") < F.col("b.p_partkey")))
-    return pairs.select(F.col("a.p_partkey").alias("a"), F.col("b.p_partkey").alias("b"), resolve.seq_ratio("a.n", "b.n").alias("r")).where("r >= 0.6 and r < 1").select("a", "b", F.round("r", 6).alias("ratio"))
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("brand"), deep_normalize(F.col("p_name")).alias("n"))
+    return resolve.similar_pairs(p, 0.6).select("a", "b", F.round("r", 6).alias("ratio"))
 
 
 @query("st9_stream_tumbling", "SELECT date_trunc('day', ts) AS day, event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1, 2")

@@ -195,3 +195,25 @@ def test_product_key_from_a_name(spark, name, expected):
     got = spark.range(1).select(brand.alias("b"), model.alias("m")).head()
     assert got.b == expected[0]
     assert got.m in (expected[1], expected[1].removeprefix("vtt "))
+
+
+@pytest.mark.parametrize("tile", [256, 3])
+def test_similarity_join_is_brute_force(spark, monkeypatch, tile):
+    """Names that begin differently, equal names, and a ratio that depends on the order; empty ones match nothing."""
+    monkeypatch.setattr(resolve, "TILE", tile)
+    names = ["large ring", "blue ring", "large ring", "tide", "diet", "ring large", "small red anvil", "red small anvil", "", "", None, "x" * 250 + "y", "x" * 250 + "z"]
+    rows = [(k, f"b{k % 2}" if k > 40 else "b", n) for k, n in enumerate(names * 4)] + [(100, "", "large ring"), (101, None, "large ring"), (102, "", "large ring")]
+    got = {(r.a, r.b, r.r) for r in resolve.similar_pairs(spark.createDataFrame(rows, "key long, brand string, n string"), 0.6).collect()}
+    expected = {(a, b, SequenceMatcher(None, x, y).ratio()) for a, p, x in rows for b, q, y in rows if a < b and p and p == q and x and y}
+    assert got == {x for x in expected if x[2] >= 0.6}
+    assert {r for _, _, r in got} >= {1.0} and (0, 1) in {(a, b) for a, b, _ in got}
+
+
+def test_similarity_query_has_no_prefix_rule(spark):
+    import __spark_entry__
+    import pyarrow.parquet as pq
+
+    parts = [(r["p_partkey"], r["p_brand"], r["p_name"]) for r in pq.read_table("/root/testdata/sf0.001/part.parquet").to_pylist()]
+    expected = {(a, b, round(SequenceMatcher(None, x, y).ratio(), 6)) for a, p, x in parts for b, q, y in parts if a < b and p == q}
+    rows = __spark_entry__.queries()["j13_similarity_join"](spark, "/root/testdata/sf0.001").collect()
+    assert sorted((r.a, r.b, r.ratio) for r in rows) == sorted(x for x in expected if x[2] >= 0.6)
