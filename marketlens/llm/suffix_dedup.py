@@ -7,7 +7,7 @@ all texts would not be distributed, so positions that can match are first brough
 1. Every window of ``LENGTH`` bytes takes the least hash among its grams of ``GRAM`` bytes, its anchor (winnowing). Equal windows have equal anchors.
    A run of windows with one anchor is a stretch: one row with the anchor, the place, and a digest of the bytes that the windows cover. Equal
    stretches within a batch collapse to the first, the rest being copies: a passage in a third of all documents costs a row per batch.
-2. Stretches meet by anchor. Equal ones (anchor and digest, 96 bits) are copies of the first. Where stretches with one anchor differ, as at the
+2. Stretches meet by anchor. Equal ones (anchor, digest of 64 bits and number of windows) are copies of the first. Where stretches with one anchor differ, as at the
    edges of a copied passage, the first of each kind goes on.
 3. Their bytes are fetched and laid end to end; the suffixes that start windows are put in order (prefix doubling) and in that order the previous
    smaller position with a common prefix of ``LENGTH`` makes a window a copy.
@@ -67,7 +67,7 @@ def sliding_least(h: np.ndarray, width: int) -> np.ndarray:
 
 
 def stretches(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, start, windows, digest of 32 bits) of each stretch of a text of LENGTH bytes or more; windows has TWICE added where the anchor stands there twice.
+    """(anchor, start, windows, digest of 64 bits) of each stretch of a text of LENGTH bytes or more; windows has TWICE added where the anchor stands there twice.
 
     Only such a stretch can hold equal windows. A gram is an anchor if it equals the largest minimum of the windows that it is in; two equal
     ones that a stretch has next to each other are at most a window apart, with no other anchor between.
@@ -83,8 +83,8 @@ def stretches(text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
     windows = ends - starts
     if len(twice):
         windows = windows + TWICE * np.isin(least[starts], twice)
-    digest = xxhash.xxh32_intdigest
-    digests = np.array([digest(text[a:b]) for a, b in zip(starts.tolist(), (ends + LENGTH - 1).tolist(), strict=True)], np.int64)
+    digest = xxhash.xxh3_64_intdigest
+    digests = np.array([digest(text[a:b]) for a, b in zip(starts.tolist(), (ends + LENGTH - 1).tolist(), strict=True)], np.uint64).view(np.int64)
     return least[starts].view(np.int64), starts, windows, digests
 
 
@@ -102,8 +102,8 @@ def runs(doc: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarray,
     return doc[at], start[at], start[last] + n[last] - start[at]
 
 
-#: A stretch on its way: anchor, x = digest * 2^32 + text key, y = start * 2^32 + windows with marks, d = doc_id.
-STRETCH = "h long, x long, y long, d long"
+#: A stretch on its way: anchor, digest, text key, y = start * 2^32 + windows with marks, d = doc_id.
+STRETCH = "h long, x long, k long, y long, d long"
 
 
 def anchor_batch(batch: pa.RecordBatch) -> pa.RecordBatch | None:
@@ -115,15 +115,16 @@ def anchor_batch(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         return None
     doc = np.repeat([k for k, _ in parts], [len(x[0]) for _, x in parts])
     h, start, n, digest = (np.concatenate([x[j] for _, x in parts]) for j in range(4))
-    order = np.lexsort((start, ids[doc], digest, h))
-    same = np.r_[False, (h[order][1:] == h[order][:-1]) & (digest[order][1:] == digest[order][:-1])]
+    count = n & (TWICE - 1)
+    order = np.lexsort((start, ids[doc], count, digest, h))
+    same = np.r_[False, np.logical_and.reduce([c[order][1:] == c[order][:-1] for c in (h, digest, count)])]
     first = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))]
     copy = np.zeros(len(h), bool)
     copy[order] = (ids[doc[order]] != ids[doc[first]]) | (start[order] != start[first])
-    c_doc, c_start, c_n = runs(doc[copy], start[copy], n[copy] & (TWICE - 1))
+    c_doc, c_start, c_n = runs(doc[copy], start[copy], count[copy])
     own = ~copy
     k = np.r_[doc[own], c_doc]
-    return rows(h=np.r_[h[own], keys[c_doc] * 0x9E3779B9 + c_start], x=(np.r_[digest[own], np.zeros(len(c_doc), np.int64)] << 32) | keys[k], y=(np.r_[start[own], c_start] << 32) | np.r_[n[own], c_n + DONE], d=ids[k])
+    return rows(h=np.r_[h[own], keys[c_doc] * 0x9E3779B9 + c_start], x=np.r_[digest[own], np.zeros(len(c_doc), np.int64)], k=keys[k], y=(np.r_[start[own], c_start] << 32) | np.r_[n[own], c_n + DONE], d=ids[k])
 
 
 def by_group(batches: Iterator[pa.RecordBatch], name: str = "h", least: int = 0) -> Iterator[pa.Table]:
@@ -152,16 +153,16 @@ FOUND = "kind long, h long, d long, k long, s long, n long"
 def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Stretches in order of anchor: copies of equal ones, and the first of each kind where an anchor has several."""
     for table in by_group(batches, least=1 << 20):
-        h, x, y, d = (table.column(c).to_numpy() for c in ("h", "x", "y", "d"))
-        start, n, digest, k = y >> 32, y & LOW, x >> 32, x & LOW
+        h, digest, k, y, d = (table.column(c).to_numpy() for c in ("h", "x", "k", "y", "d"))
+        start, n = y >> 32, y & LOW
         done, twice, n = n >= DONE, n & TWICE > 0, n & (TWICE - 1)
-        order = np.lexsort((start, d, digest, done, h))
+        order = np.lexsort((start, d, n, digest, done, h))
         h, start, n, digest, k, d, done, twice = (c[order] for c in (h, start, n, digest, k, d, done, twice))
         same_h = np.r_[False, (h[1:] == h[:-1]) & ~done[1:] & ~done[:-1]]
-        same = same_h & np.r_[False, digest[1:] == digest[:-1]]
+        same = same_h & np.r_[False, (digest[1:] == digest[:-1]) & (n[1:] == n[:-1])]
         first = np.maximum.accumulate(np.where(same, 0, np.arange(len(h))))
         copy = done | (d != d[first]) | (start != start[first])
-        # kinds of an anchor: firsts of runs of equal digests
+        # kinds of an anchor: firsts of runs of equal digests and lengths
         group = np.cumsum(~same_h) - 1
         several = np.bincount(group, ~same & ~done, group[-1] + 1 if len(group) else 0)[group] > 1 if len(group) else np.zeros(0, bool)
         ask = (several | twice) & ~copy & ~same

@@ -122,3 +122,19 @@ def test_viterbi_is_the_best_path():
             value = [chain.start[p[0]] + x[0, p[0]] + sum(chain.move[p[k - 1], p[k]] + x[k, p[k]] for k in range(1, n)) for p in paths]
             assert got[at : at + n].tolist() == paths[int(np.argmax(value))].tolist()
         at += n
+
+
+@pytest.mark.parametrize("parts", [1, 2])
+def test_suffix_dedup_keeps_unlike_stretches_with_one_32_bit_digest(spark, parts):
+    """Two texts of one window and one anchor, whose XXH32 digests agree."""
+    import xxhash
+
+    from marketlens.llm.suffix_dedup import remove, stretches
+
+    from .test_queries import check_removed
+
+    texts = [f"przcssgzfqqjmdcjihlrjswc{x}{'-' * 68}" for x in ("lefwqucv", "gsqigast")]
+    assert len({stretches(t.encode())[0][0] for t in texts}) == len({xxhash.xxh32_intdigest(t) for t in texts}) == 1
+    docs = [(k, t) for k, t in enumerate([*texts, texts[0]])]
+    rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)
+    check_removed({r["doc_id"]: r.asDict() for r in remove(rows).collect()}, [(k, t.encode()) for k, t in docs])
