@@ -1,7 +1,7 @@
 """The licence signature table.
 
 Patterns run over a text's normalised words: letters and digits in lower case with one space between words, so ``Apache-2.0`` reads
-``apache 2 0``. A rule is tried only where its keyword occurs. ``KINDS`` orders the rules: a higher priority wins.
+``apache 2 0``. A rule is tried only where one of its keywords occurs; every match holds one. ``KINDS`` orders the rules: a higher priority wins.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 #: kind -> (priority, confidence)
 KINDS = {"text": (90, 0.99), "notice": (80, 0.95), "spdx": (70, 0.95), "url": (65, 0.9), "title": (60, 0.85), "family": (40, 0.7), "hint": (20, 0.4)}
 
-#: kind | label | keyword | pattern
+#: kind | label | keyword, or several with slashes between | pattern
 TABLE = r"""
 text | mit | permission is hereby granted free of charge | permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files
 text | mit | the above copyright notice and this permission notice shall be included | the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
@@ -33,21 +33,21 @@ text | epl-2.0 | this program and the accompanying materials | this program and
 text | cddl-1.0 | common development and distribution license | the contents of this file are subject to the terms of the common development and distribution license
 text | postgresql | without a written agreement is hereby granted | permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted
 text | ntp | provided that the above copyright notice appears | for any purpose with or without fee is hereby granted provided that the above copyright notice appears in all copies
-text | curl | person obtaining | permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice
+text | curl | permission to use copy modify and | permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice(?=.{0,120} the software is provided as is without warranty of any kind)
 text | ofl-1.1 | this font software is licensed | this font software is licensed under the sil open font license version 1 1
 text | cc0-1.0 | waived all copyright | has waived all copyright and related or neighbou?ring rights to this work
 text | json | shall be used for good not evil | the software shall be used for good not evil
-text | beerware | buy me a beer | as long as you retain this notice you can do whatever you want with this stuff
+text | beerware | you can do whatever you want with this stuff | as long as you retain this notice you can do whatever you want with this stuff
 text | x11 | x consortium shall not be used | the name of the x consortium shall not be used in advertising
 text | artistic-2.0 | artistic license 2 0 | this is free software licensed under the artistic license 2 0
 text | proprietary | unauthorized copying | unauthorized copying of this file via any medium is strictly prohibited
-text | proprietary | trade secret | (?:proprietary|confidential) and (?:proprietary|confidential|trade secrets?)
+text | proprietary | proprietary and / confidential and | (?:proprietary|confidential) and (?:proprietary|confidential|trade secrets?)
 text | proprietary | no part of this | no part of this (?:publication|work|document|book) may be reproduced
 notice | apache-2.0 | licensed under the apache license | licensed under the apache license version 2(?: 0)?
 notice | apache-1.1 | apache | licensed under the apache (?:software )?license version 1 1
 notice | apache-1.0 | apache | licensed under the apache (?:software )?license version 1 0
-notice | mit | under the mit license | (?:released|licensed|distributed|available|provided) under the (?:terms of the )?mit licen[sc]e
-notice | mit | mit | (?:released|licensed|distributed|available) under (?:the )?(?:expat|x11 mit|mit x11) licen[sc]e
+notice | mit | mit licen | (?:released|licensed|distributed|available|provided) under the (?:terms of the )?mit licen[sc]e
+notice | mit | expat licen / mit licen / mit x11 licen | (?:released|licensed|distributed|available) under (?:the )?(?:expat|x11 mit|mit x11) licen[sc]e
 notice | gpl-3.0 | gnu general public license | (?:licensed|released|distributed|available) under (?:the terms of )?(?:the )?gnu general public license (?:as published by the free software foundation )?(?:either )?v(?:ersion)? ?3
 notice | gpl-2.0 | gnu general public license | (?:licensed|released|distributed|available) under (?:the terms of )?(?:the )?gnu general public license (?:as published by the free software foundation )?(?:either )?v(?:ersion)? ?2
 notice | gpl-1.0 | gnu general public license | (?:licensed|released|distributed|available) under (?:the terms of )?(?:the )?gnu general public license v(?:ersion)? ?1
@@ -66,7 +66,7 @@ notice | cc-by-3.0 | cc by | licensed under (?:a )?cc by (?:version )?3 0
 notice | cc-by-4.0 | creative commons attribution | (?:licensed|released|available) under (?:a |the )?creative commons attribution (?:international )?(?:licen[sc]e )?4 0
 notice | cc-by-3.0 | creative commons attribution | (?:licensed|released|available) under (?:a |the )?creative commons attribution (?:unported )?(?:licen[sc]e )?3 0
 notice | bsd-3-clause | bsd | (?:licensed|released|distributed|available) under the (?:terms of the )?(?:new|modified|revised|3 clause|three clause) bsd licen[sc]e
-notice | bsd-2-clause | bsd | (?:licensed|released|distributed|available) under the (?:terms of the )?(?:simplified|freebsd|2 clause|two clause) (?:bsd )?licen[sc]e
+notice | bsd-2-clause | simplified / freebsd / 2 clause / two clause | (?:licensed|released|distributed|available) under the (?:terms of the )?(?:simplified|freebsd|2 clause|two clause) (?:bsd )?licen[sc]e
 notice | bsd | bsd | (?:licensed|released|distributed|available) under the (?:terms of the )?bsd (?:style )?licen[sc]e
 notice | mpl-2.0 | mozilla public license | (?:licensed|released|subject|available) (?:under|to) the (?:terms of the )?mozilla public license v(?:ersion)? ?2
 notice | mpl-1.1 | mozilla public license | (?:licensed|released|subject|available) (?:under|to) the (?:terms of the )?mozilla public license v(?:ersion)? ?1 1
@@ -82,14 +82,14 @@ notice | artistic-2.0 | artistic license | (?:licensed|released) under the (?:te
 notice | artistic-1.0 | artistic license | (?:licensed|released) under the (?:terms of the )?artistic license (?:version )?1
 notice | perl | perl itself | under the same terms as perl itself
 notice | ruby | ruby | under the same terms as ruby
-notice | psf-2.0 | python software foundation | under the (?:terms of the )?(?:python software foundation|psf) license
+notice | psf-2.0 | python software foundation license / psf license | under the (?:terms of the )?(?:python software foundation|psf) license
 notice | php-3.01 | php license | subject to version 3 01 of the php license
 notice | vim | vim license | under the (?:terms of the )?vim license
-notice | odbl-1.0 | open database license | under the (?:terms of the )?open (?:data commons )?(?:open )?database license
+notice | odbl-1.0 | database license | under the (?:terms of the )?open (?:data commons )?(?:open )?database license
 notice | odc-by-1.0 | open data commons attribution | under the (?:terms of the )?open data commons attribution license
-notice | eupl-1.2 | european union public licence | under the (?:terms of the )?(?:eupl|european union public licen[sc]e)(?: v(?:ersion)? ?1 2)?
+notice | eupl-1.2 | eupl / european union public licen | under the (?:terms of the )?(?:eupl|european union public licen[sc]e)(?: v(?:ersion)? ?1 2)?
 notice | cecill-2.1 | cecill | under the (?:terms of the )?cecill license
-notice | openrail | openrail | under the (?:terms of the )?(?:creativeml |bigscience )?open ?rail(?: m| \+\+ m)? license
+notice | openrail | openrail / open rail | under the (?:terms of the )?(?:creativeml |bigscience )?open ?rail(?: m| \+\+ m)? license
 notice | llama | community license | under the (?:terms of the )?llama [0-9 ]{1,6}community license
 notice | ms-pl | microsoft public license | under the (?:terms of the )?microsoft public license
 notice | ms-rl | microsoft reciprocal license | under the (?:terms of the )?microsoft reciprocal license
@@ -251,7 +251,7 @@ family | artistic | artistic license | artistic license
 family | eupl | european union public licen | european union public licen[sc]e
 family | public-domain | public domain | public domain dedication
 hint | other-license | license | see (?:the )?license (?:file )?for (?:more )?details
-hint | other-license | license | (?:licensed|released) under (?:the )?(?:[a-z0-9]+ ){1,5}?licen[sc]e
+hint | other-license | licen | (?:licensed|released) under (?:the )?(?:[a-z0-9]+ ){1,5}?licen[sc]e
 hint | copyright | copyright | copyright (?:c )?[12][0-9]{3}
 hint | copyright | all rights reserved | all rights reserved
 """
@@ -260,7 +260,7 @@ hint | copyright | all rights reserved | all rights reserved
 ANCHORS = ("licen", "copyright", "permission", "redistribut", "spdx", "cc by", "cc0", "creative", "public domain", "gpl", "rights reserved", "free software", "unencumbered", "bsd", "eupl", "wtfpl", "warranty", "perl itself", "apache", "proprietary", "confidential", "opendatacommons", "same terms as ruby", "mozilla org", "eclipse org", "scripts sil org", "good not evil", "do whatever you want with this stuff", "consortium", "may be reproduced", "unauthorized copying", "acknowledg", "endorse or promote", "the fuck", "mit no")
 
 
-def table() -> list[tuple[str, int, float, str, str]]:
-    """(label, priority, confidence, keyword, pattern) in order."""
+def table() -> list[tuple[str, int, float, tuple[str, ...], str]]:
+    """(label, priority, confidence, keywords, pattern) in order."""
     rows = (tuple(x.strip() for x in line.split(" | ")) for line in TABLE.strip().splitlines())
-    return [(label, *KINDS[kind], keyword, pattern) for kind, label, keyword, pattern in rows]
+    return [(label, *KINDS[kind], tuple(keywords.split(" / ")), pattern) for kind, label, keywords, pattern in rows]

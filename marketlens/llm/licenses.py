@@ -28,8 +28,8 @@ SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word lon
 
 
 @lru_cache(maxsize=1)
-def compiled() -> list[tuple[str, int, float, bytes, re.Pattern[bytes]]]:
-    return [(label, priority, sure, keyword.encode(), re.compile(rb"(?<= )(?:" + pattern.encode() + rb")(?= )")) for label, priority, sure, keyword, pattern in license_rules.table()]
+def compiled() -> list[tuple[str, int, float, tuple[bytes, ...], re.Pattern[bytes]]]:
+    return [(label, priority, sure, tuple(x.encode() for x in keywords), re.compile(rb"(?<= )(?:" + pattern.encode() + rb")(?= )")) for label, priority, sure, keywords, pattern in license_rules.table()]
 
 
 def normal(text: bytes) -> tuple[bytes, int]:
@@ -61,12 +61,12 @@ def detections(text: bytes) -> list[tuple[int, int, int, str, float]]:
     """Of normalised text: what the rules find, after suppression; positions count words."""
     if not any(a.encode() in text for a in license_rules.ANCHORS):
         return []
-    has: dict[bytes, bool] = {}
+    has: dict[tuple[bytes, ...], bool] = {}
     found = []
-    for label, priority, sure, keyword, pattern in compiled():
-        if keyword not in has:
-            has[keyword] = keyword in text
-        if has[keyword]:
+    for label, priority, sure, keywords, pattern in compiled():
+        if keywords not in has:
+            has[keywords] = any(x in text for x in keywords)
+        if has[keywords]:
             for m in pattern.finditer(text):
                 start = text.count(b" ", 0, m.start()) - 1
                 found.append((start, start + m[0].count(b" ") + 1, priority, label, sure))

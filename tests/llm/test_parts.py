@@ -138,3 +138,65 @@ def test_suffix_dedup_keeps_unlike_stretches_with_one_32_bit_digest(spark, parts
     docs = [(k, t) for k, t in enumerate([*texts, texts[0]])]
     rows = spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)
     check_removed({r["doc_id"]: r.asDict() for r in remove(rows).collect()}, [(k, t.encode()) for k, t in docs])
+
+
+def expanded(pattern):
+    """The texts that a rule's pattern matches, repeats at their least; what it looks ahead for is left out."""
+    from re import _constants as c
+    from re import _parser
+
+    def sequence(items):
+        out = [""]
+        for item in items:
+            out = [a + b for a in out for b in one(*item)]
+        return out
+
+    def one(op, x):
+        if op in (c.LITERAL, c.ANY):
+            return [chr(x) if op is c.LITERAL else "x"]
+        if op is c.IN:
+            return [chr(v if o is c.LITERAL else v[0]) for o, v in x]
+        if op is c.SUBPATTERN:
+            return sequence(x[3])
+        if op is c.BRANCH:
+            return [y for b in x[1] for y in sequence(b)]
+        if op in (c.MAX_REPEAT, c.MIN_REPEAT):
+            least, most, of = x
+            return [y * k for y in sequence(of) for k in ((least, most) if most == 1 else (max(1, least),))]
+        assert op in (c.ASSERT, c.ASSERT_NOT), op
+        return [""]
+
+    return sequence(_parser.parse(pattern))
+
+
+def test_every_match_of_a_rule_holds_a_keyword_and_an_anchor():
+    from marketlens.llm import license_rules
+
+    lost = []
+    for label, _, _, keywords, pattern in license_rules.table():
+        keywords = (keywords,) if isinstance(keywords, str) else keywords
+        lost += [(label, x) for x in expanded(pattern) if not any(k in x for k in keywords) or not any(a in x for a in license_rules.ANCHORS)]
+    assert not lost
+
+
+CURL = "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\", "
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("Proprietary and confidential.", {"proprietary"}),
+        (CURL + "WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED", {"curl"}),
+        (CURL + "AND THE AUTHOR DISCLAIMS ALL WARRANTIES", {"isc"}),
+        ("Released under the MIT licence", {"mit"}),
+        ("Released under the Expat licence", {"mit"}),
+        ("Licensed under the simplified license", {"bsd-2-clause"}),
+        ("under the EUPL v1.2", {"eupl-1.2"}),
+        ("under the PSF license", {"psf-2.0"}),
+        ("under the Open Data Commons Database License", {"odbl-1.0"}),
+        ("under the Open RAIL-M license", {"openrail"}),
+        ("released under a Foo licence", {"other-license"}),
+    ],
+)
+def test_rules_fire_on_their_own_text(text, labels):
+    assert {x[3] for x in licenses.detections(licenses.normal(text.encode())[0])} == labels
