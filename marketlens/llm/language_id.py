@@ -1,12 +1,12 @@
 """Language identification with hyperdimensional profiles.
 
-Every letter has a random vector of +1 and -1. A letter trigram's vector binds (multiplies) its three letters' vectors, each permuted (rotated)
+Every letter, case folded, has a random vector of +1 and -1 of its own, drawn from a hash of its code point. A letter trigram's vector binds (multiplies) its three letters' vectors, each permuted (rotated)
 by its place; a text's vector bundles (adds) those of its trigrams, and a language's prototype bundles those of all its learning texts. A
 text gets the language whose prototype, less the mean of all prototypes, has the largest cosine with the text's vector, less the same mean.
 
 Since bundling is a sum, a text's vector is its trigram counts times the trigrams' vectors: counts are integers per batch, and one matrix
-product gives a batch of texts. Learning reads all learning texts once and shuffles only (lang, trigram, count) sums; what reaches the driver
-is bounded by languages times ``CLASSES`` cubed, a few thousand rows a language in practice. Texts are read whole, in pieces of bounded memory.
+product gives a batch of texts. Learning reads all learning texts once and shuffles only sums of vectors; what reaches the driver is
+``DIMENSIONS`` numbers a language, whatever its script. Texts are read whole, in pieces of bounded memory.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0; learning skips null ``lang``; without learning rows every
 language is ``und``; repeated rows give repeated rows; a null ``doc_id`` is treated as held out; an empty table gives an empty result; other columns
@@ -15,6 +15,7 @@ are not read.
 
 from __future__ import annotations
 
+import hashlib
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -28,8 +29,12 @@ from .common import documents, mapped, slices
 
 UNKNOWN = "und"
 DIMENSIONS = 1024
-#: Letter classes: 0 stands between words; each letter of up to U+024F that isn't an accent-free ASCII one, and each block of 128 code points beyond, shares one of the rest.
-CLASSES = 64
+#: Bits of a letter's code point; three letters are one number.
+BITS = 21
+#: Trigrams whose vectors are made at once.
+VECTORS = 4096
+#: Cells of a table of counts for each trigram in it, at most; beyond, the trigrams' vectors are added one by one.
+SPARSE = 16
 #: Learning rows: those whose crc32 of the id's text mod FOLDS isn't HELD. Fixed by the contract.
 FOLDS, HELD = 3, 1
 #: Code points that are counted at once.
@@ -37,54 +42,84 @@ CHARS = 1 << 21
 
 
 @lru_cache(maxsize=1)
-def letter_classes() -> np.ndarray:
-    """Class of each code point: 0 for what isn't a letter, 1 to 26 for a to z in either case, 27 to 63 by rule for other letters, case folded."""
-    classes = np.zeros(0x110000, np.uint8)
+def letters() -> np.ndarray:
+    """The letter of each code point, case folded; 0 for what isn't a letter and stands between words."""
+    table = np.zeros(0x110000, np.int64)
     for c in range(0x110000):
         x = chr(c)
         if x.isalpha():
-            low = ord(x.lower()[0])
-            classes[c] = low - 96 if 97 <= low <= 122 else 27 + (low if low < 0x250 else low >> 7) % (CLASSES - 27)
-    return classes
+            table[c] = ord(x.lower()[0])
+    return table
 
 
-@lru_cache(maxsize=1)
-def letter_vectors() -> np.ndarray:
-    """Three permutations of the letters' random vectors."""
-    own = np.random.default_rng(7).choice(np.array([-1, 1], np.int8), (CLASSES, DIMENSIONS))
-    return np.stack([np.roll(own, k, axis=1) for k in range(3)])
+@lru_cache(maxsize=1 << 14)
+def letter_vector(letter: int) -> np.ndarray:
+    bits = np.frombuffer(hashlib.shake_128(b"%d" % letter).digest(DIMENSIONS // 8), np.uint8)
+    return np.unpackbits(bits).astype(np.int8) * 2 - 1
 
 
 def trigram_vectors(codes: np.ndarray) -> np.ndarray:
-    first, second, third = letter_vectors()
-    return (first[codes // CLASSES**2] * second[codes // CLASSES % CLASSES] * third[codes % CLASSES]).astype(np.float32)
+    """Products of the letters' vectors, each rotated by its place."""
+    out = np.ones((len(codes), DIMENSIONS), np.int8)
+    for k in range(3):
+        own, which = np.unique(codes >> BITS * (2 - k) & (1 << BITS) - 1, return_inverse=True)
+        out *= np.roll(np.stack([letter_vector(x) for x in own.tolist()]), k, axis=1)[which] if len(own) else out
+    return out.astype(np.float32)
 
 
-def batch_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Trigram codes over the texts, the text of each, and which texts have letters. Runs of other characters count as one; trigrams hold a letter in the middle."""
+def batch_codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct trigrams of the texts, the number among them and the text of each place, and which texts have letters. Runs of other characters count as one; trigrams hold a letter in the middle."""
     ends = np.cumsum([len(x) + 1 for x in texts])
     points = np.frombuffer("\n".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
-    classes = letter_classes()[points].astype(np.int32)
-    keep = (classes > 0) | np.r_[True, classes[:-1] > 0]
+    own = letters()[points]
+    keep = (own > 0) | np.r_[True, own[:-1] > 0]
     owner = np.repeat(np.arange(len(texts)), np.diff(ends, prepend=0))[keep]
-    classes = np.r_[0, classes[keep], 0]
-    codes = (classes[:-2] * CLASSES + classes[1:-1]) * CLASSES + classes[2:]
-    middle = classes[1:-1] > 0
-    return codes[middle], owner[middle], np.bincount(owner, classes[1:-1] > 0, len(texts)) > 0
+    own = np.r_[0, own[keep], 0]
+    middle = own[1:-1] > 0
+    # letters by their number in the batch, so that few letters need no sorting
+    has = np.zeros(0x110000, bool)
+    has[own] = True
+    used = np.flatnonzero(has)
+    number = np.zeros(0x110000, np.int64)
+    number[used] = np.arange(len(used))
+    place, n = number[own], len(used)
+    local = ((place[:-2] * n + place[1:-1]) * n + place[2:])[middle]
+    if n**3 <= 1 << 21:
+        distinct = np.flatnonzero(np.bincount(local, minlength=n**3))
+        rank = np.zeros(n**3, np.int64)
+        rank[distinct] = np.arange(len(distinct))
+        which = rank[local]
+    else:
+        distinct, which = np.unique(local, return_inverse=True)
+    codes = (used[distinct // n**2] << 2 * BITS) | (used[distinct // n % n] << BITS) | used[distinct % n]
+    return codes, which, owner[middle], np.bincount(owner, own[1:-1] > 0, len(texts)) > 0
+
+
+def bundled(codes: np.ndarray, which: np.ndarray, owner: np.ndarray, n: int) -> np.ndarray:
+    """For each of n owners the sum of its trigrams' vectors; whole numbers, exact up to 2^24 trigrams of an owner."""
+    out = np.zeros((n, DIMENSIONS), np.float32)
+    if len(codes) > VECTORS:
+        order = np.argsort(which, kind="stable")
+        which, owner = which[order], owner[order]
+    for at in range(0, len(codes), VECTORS):
+        a, b = np.searchsorted(which, (at, at + VECTORS)) if len(codes) > VECTORS else (0, len(which))
+        width = min(VECTORS, len(codes) - at)
+        vectors, pair = trigram_vectors(codes[at : at + width]), owner[a:b] * width + which[a:b] - at
+        if n * width <= SPARSE * len(pair):
+            out += np.bincount(pair, minlength=n * width).reshape(n, width).astype(np.float32) @ vectors
+            continue
+        pair.sort()  # scripts of many letters: few places for so many trigrams
+        for k in range(0, len(pair), VECTORS):
+            of, one = np.divmod(pair[k : k + VECTORS], width)
+            first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            out[of[first]] += np.add.reduceat(vectors[one], first, axis=0)
+    return out
 
 
 def composed(texts: list[str | None]) -> list[str]:
     return [x if x.isascii() else unicodedata.normalize("NFC", x) for x in (y or "" for y in texts)]
 
 
-def counted(codes: np.ndarray, owner: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes, and a row of their counts for each of n texts."""
-    used = np.flatnonzero(np.bincount(codes, minlength=CLASSES**3))
-    place = np.zeros(CLASSES**3, np.int32)
-    place[used] = np.arange(len(used))
-    return used, np.bincount(owner * len(used) + place[codes], minlength=n * len(used)).reshape(n, len(used))
-
-
 def groups(texts: list[str]) -> Iterator[tuple[int, int]]:
     """Ranges of texts with about CHARS code points together."""
     at, size = 0, 0
@@ -100,27 +135,17 @@ def groups(texts: list[str]) -> Iterator[tuple[int, int]]:
 class Profiles:
     """Languages in order and their prototypes."""
 
-    def __init__(self, langs: list[str], counts: dict[str, tuple[np.ndarray, np.ndarray]]):
+    def __init__(self, langs: list[str], sums: np.ndarray):
         self.langs = langs
-        sums = np.stack([self.bundle(*counts[x]) for x in langs]) if langs else np.zeros((0, DIMENSIONS))
+        sums = sums / np.maximum(1, np.linalg.norm(sums, axis=1, keepdims=True))
         self.mean = sums.mean(axis=0) if langs else np.zeros(DIMENSIONS)
         apart = sums - self.mean if len(langs) > 1 else sums
         self.prototypes = apart / np.maximum(np.linalg.norm(apart, axis=1, keepdims=True), 1e-12)
 
-    @staticmethod
-    def bundle(codes: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        out = np.zeros(DIMENSIONS)
-        for at in range(0, len(codes), 4096):
-            out += counts[at : at + 4096].astype(np.float64) @ trigram_vectors(codes[at : at + 4096])
-        return out / max(1, np.linalg.norm(out))
-
     def cosines(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(texts x languages) cosines, and which texts have letters."""
-        codes, owner, lettered = batch_codes(texts)
-        used, counts = counted(codes, owner, len(texts))
-        vectors = np.zeros((len(texts), DIMENSIONS), np.float32)
-        for at in range(0, len(used), 8192):
-            vectors += counts[:, at : at + 8192].astype(np.float32) @ trigram_vectors(used[at : at + 8192])
+        *places, lettered = batch_codes(texts)
+        vectors = bundled(*places, len(texts))
         vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
         if len(self.langs) > 1:
             vectors -= self.mean
@@ -142,20 +167,19 @@ class Profiles:
         return langs, scores
 
 
-def learning_counts(learn: DataFrame) -> DataFrame:
-    """(lang, code, n): trigram counts of the learning texts, summed within each task before they are shuffled."""
+def learning_sums(learn: DataFrame) -> DataFrame:
+    """(lang, k, n): number k of the sum of the learning texts' vectors, summed within each task before they are shuffled."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for batch in (x for whole in batches for x in slices(iter([whole]))):
             texts, langs = composed(batch.column("text").to_pylist()), batch.column("lang").to_pylist()
             for a, b in groups(texts):
                 names = sorted(set(langs[a:b]))
-                codes, owner, _ = batch_codes(texts[a:b])
-                at = np.array([names.index(x) for x in langs[a:b]])[owner]
-                for k, name in enumerate(names):
-                    own = np.bincount(codes[at == k], minlength=CLASSES**3)
-                    sums[name] = sums[name] + own if name in sums else own
+                codes, which, owner, _ = batch_codes(texts[a:b])
+                of = np.array([names.index(x) for x in langs[a:b]])[owner]
+                for name, own in zip(names, bundled(codes, which, of, len(names)), strict=True):
+                    sums[name] = sums.get(name, 0) + own.astype(np.int64)
             if len(sums) > 64:  # many languages: hand the sums on
                 yield from out(sums)
                 sums = {}
@@ -163,17 +187,16 @@ def learning_counts(learn: DataFrame) -> DataFrame:
 
     def out(sums: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         for name, n in sums.items():
-            used = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * len(used), pa.string()), pa.array(used, pa.int64()), pa.array(n[used], pa.int64())], names=["lang", "code", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([name] * DIMENSIONS, pa.string()), pa.array(np.arange(DIMENSIONS)), pa.array(n)], names=["lang", "k", "n"])
 
-    return learn.select("text", "lang").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    return learn.select("text", "lang").mapInArrow(add, "lang string, k long, n long").groupBy("lang", "k").agg(F.sum("n").alias("n"))
 
 
 def learn(docs: DataFrame) -> Profiles:
     """Prototypes from every row of docs with a language."""
-    pdf = learning_counts(docs.where("lang is not null")).toPandas().sort_values(["lang", "code"])
-    counts = {name: (x["code"].to_numpy(), x["n"].to_numpy()) for name, x in pdf.groupby("lang")}
-    return Profiles(sorted(counts), counts)
+    pdf = learning_sums(docs.where("lang is not null")).toPandas().sort_values(["lang", "k"])
+    langs = sorted(pdf["lang"].unique())
+    return Profiles(langs, pdf["n"].to_numpy(np.float64).reshape(len(langs), DIMENSIONS))
 
 
 def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:

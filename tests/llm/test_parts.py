@@ -234,3 +234,44 @@ def test_lines_are_decoded_whole():
 
     text = "1 " + "word " * 300 + "password = correcthorsebattery " + "word " * 300
     assert [text[a:b] for _, a, b in pii.spans([text], pii.model())[0][1]] == ["correcthorsebattery"]
+
+
+def test_letters_share_no_vector():
+    from marketlens.llm import language_id
+
+    alphabet = [chr(c) for c in range(0x41, 0x3000) if chr(c).isalpha() and chr(c).lower() == chr(c)] + ["\u4e00", "\u4e01"]
+    codes = [language_id.batch_codes([x])[0] for x in alphabet]
+    vectors = {language_id.trigram_vectors(x).tobytes() for x in codes}
+    assert len(vectors) == len(alphabet)
+    assert language_id.batch_codes(["ЯЗЫК Ωμ"])[0].tolist() == language_id.batch_codes(["язык ωμ"])[0].tolist()
+
+
+@pytest.mark.parametrize("first", ["а", "α", "ا", "अ"])
+def test_made_up_languages_in_one_script(spark, first):
+    """Words of the same lengths from the same letters, in other proportions."""
+    from marketlens.llm import language_id
+
+    dice = random.Random(first)
+    letters = [c for c in map(chr, range(ord(first), ord(first) + 40)) if c.isalpha()][:20]
+    rows = []
+    for k in range(120):
+        weights = [1 + (j * (k % 3 + 1) * 7 + 3 * (k % 3)) % 11 for j in range(len(letters))]
+        rows.append((k, f"l{k % 3}", " ".join("".join(dice.choices(letters, weights, k=n)) for n in (3, 5, 7, 4, 6) * 12)))
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    profiles = language_id.learn(docs.where("doc_id < 60"))
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(docs.where("doc_id >= 60"), profiles).collect()}
+    assert sum(got[k] == lang for k, lang, _ in rows if k >= 60) >= 57
+
+
+def test_bundles_are_sums_of_trigram_vectors(monkeypatch):
+    from marketlens.llm import language_id
+
+    texts = ["abc cab", "", "язык" * 3, "漢字" + "".join(map(chr, range(0x4E00, 0x4F00)))]
+    codes, which, owner, lettered = language_id.batch_codes(texts)
+    expected = np.zeros((4, language_id.DIMENSIONS))
+    np.add.at(expected, owner, language_id.trigram_vectors(codes)[which])
+    for size, sparse in ((4096, 16), (7, 16), (4096, 0), (7, 0)):
+        monkeypatch.setattr(language_id, "VECTORS", size)
+        monkeypatch.setattr(language_id, "SPARSE", sparse)
+        assert (language_id.bundled(codes, which, owner, 4) == expected).all()
+    assert lettered.tolist() == [True, False, True, True]
