@@ -188,15 +188,29 @@ def near_groups(docs: DataFrame) -> DataFrame:
     return prints.join(named, "fp").select("doc_id", "fp", F.when(F.col("root") <= top, F.col("root")).alias("component_id"))
 
 
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("h")
+
+
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of docs, whole, one for each component: that with its smallest doc_id (of rows that share it, the one whose text sorts first).
+    """The rows of docs, whole, one for each component: that with its smallest doc_id (of rows that share it, the one with the least hash of its text).
 
-    A row without an id can't be named by a component and stays. Texts move once, for the join by id.
+    Components are those of fingerprints, whatever ids their rows have: unlike texts that share an id are in different ones. A row without an id
+    stays. Texts move once, for the join by id and hash.
     """
-    named = near_groups(docs).where("doc_id = component_id").select("doc_id").distinct()
-    own = docs.where("doc_id is not null").join(named, "doc_id", "left_semi")
-    first = Window.partitionBy("doc_id").orderBy("text")
-    kept = own.select(F.struct(*docs.columns).alias("row"), "doc_id", "text").withColumn("at", F.row_number().over(first)).where("at = 1").select("row.*")
+    keyed = id_text(docs).select("doc_id", "text", text_hash())
+
+    def of_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return fingerprint_batch(batch).append_column("h", batch.column("h"))
+
+    prints = saved(mapped(keyed, of_batch, "doc_id long, fp long, h long"))
+    reps = saved(prints.select(F.col("fp").alias("node"), "fp").distinct())
+    roots = components(links(reps)).withColumnsRenamed({"u": "fp", "v": "root"})
+    least = prints.where("doc_id is not null").join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min(F.struct("doc_id", "h")).alias("least"))
+    named = least.select(F.col("least.doc_id").alias("named_id"), F.col("least.h").alias("named_h"))
+    row = docs.where("doc_id is not null").select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("own_id"), text_hash(), "text")
+    own = row.join(named, (F.col("own_id") == F.col("named_id")) & (F.col("h") == F.col("named_h")), "left_semi")
+    kept = own.withColumn("at", F.row_number().over(Window.partitionBy("own_id", "h").orderBy("text"))).where("at = 1").select("row.*")
     return kept.unionByName(docs.where("doc_id is null"))
 
 

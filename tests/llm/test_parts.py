@@ -275,3 +275,10 @@ def test_bundles_are_sums_of_trigram_vectors(monkeypatch):
         monkeypatch.setattr(language_id, "SPARSE", sparse)
         assert (language_id.bundled(codes, which, owner, 4) == expected).all()
     assert lettered.tolist() == [True, False, True, True]
+
+
+def test_unlike_texts_with_one_id_each_stay(spark):
+    body = [" ".join(f"{w}{k}" for k in range(80)) for w in ("alpha", "beta", "gamma")]
+    rows = [(5, body[0]), (5, body[1]), (5, body[1]), (5, body[1]), (3, body[0]), (7, body[2]), (7, None), (7, ""), (None, body[2])]
+    kept = simhash.first_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(((r.doc_id, r.text or "") for r in kept), key=str) == sorted([(5, body[1]), (3, body[0]), (7, body[2]), (7, ""), (None, body[2])], key=str)
