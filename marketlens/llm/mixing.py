@@ -4,7 +4,8 @@ Targets: sources share ``SHARE`` of all words by weight; none gets more than ``E
 is shared again by weight. Schedule: slot i has the golden-ratio point frac(i * 0.618...), mapped through the cumulative targets to a source; a
 slot's rank among its source's slots picks the source's next block of equal tokens. Blocks cut the source's documents, shuffled by hash and
 laid end to end (twice, where the target asks for repeats). The last block of a source ends at its target. Where the schedule leaves a
-source short of slots, which the low discrepancy keeps to a handful, the missing ranks follow at the end.
+source short of slots, which the low discrepancy keeps to a handful, the missing ranks follow at the end. The words taken of a document are settled by the
+targets; the schedule gives the mix's order: a document stands at the first slot that takes a block with words of it.
 
 Running sums are in two steps, over buckets of the hash and within a bucket, and ranks likewise over stretches of slots, so that a source
 with a third of all rows is many small groups. What is broadcast or held in one window is a row per source (and bucket).
@@ -94,7 +95,10 @@ def schedule(goals: DataFrame, block: int) -> DataFrame:
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
-    """(doc_id, key, source, size, source_size, target, taken): one row per document with the words that the mix takes of it, repeats counted."""
+    """(doc_id, key, source, size, source_size, target, taken, slot, rank, offset): one row per document with the words that the mix takes of it, repeats counted.
+
+    slot is the first that takes words of it (null if none does) rank its source's block there, offset where the words stand in it: (slot, source, rank, offset) is the mix's order.
+    """
     sizes = saved(sized(docs))
     goals = saved(targets(sizes, weights, share, epochs))
     block = block_size(goals)
@@ -108,25 +112,25 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHAR
     # a document's stretches in the endless repetition of its source, up to the target, cut at the blocks' ends
     copies = lined.where("size > 0").select("row", "s", F.explode(F.expr(f"transform(sequence(0, {epochs - 1}), e -> struct(e * source_size + before as a, least(e * source_size + before + size, cast(round(target) as bigint)) as b))")).alias("x")).where("x.a < x.b")
     parts = copies.select("row", "s", "x", F.explode(F.sequence(F.floor(F.col("x.a") / block), F.floor((F.col("x.b") - 1) / block))).alias("rank"))
-    parts = parts.select("row", "s", "rank", (F.least(F.col("x.b"), (F.col("rank") + 1) * block) - F.greatest(F.col("x.a"), F.col("rank") * block)).alias("words"))
-    taken = parts.join(slots, ["s", "rank"]).groupBy("row").agg(F.sum("words").alias("taken"))
-    return lined.join(taken, "row", "left").select("doc_id", "key", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    parts = parts.select("row", "s", "rank", (F.least(F.col("x.b"), (F.col("rank") + 1) * block) - F.greatest(F.col("x.a"), F.col("rank") * block)).alias("words"), F.greatest(F.col("x.a") - F.col("rank") * block, F.lit(0)).alias("offset"))
+    taken = parts.join(slots, ["s", "rank"]).groupBy("row").agg(F.sum("words").alias("taken"), F.min(F.struct("slot", "s", "rank", "offset")).alias("first"))
+    return lined.join(taken, "row", "left").select("doc_id", "key", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.col("first.slot").alias("slot"), F.col("first.rank").alias("rank"), F.col("first.offset").alias("offset"))
 
 
 def mixed_texts(docs: DataFrame) -> DataFrame:
     """The rows of docs as the mix takes them: left out, whole, or repeated in one text, a line end between; n_chars, if there, is counted anew.
 
     The one document of each source at which its target is reached is cut after the last word taken, with single spaces between its words.
-    Rows with one id and text share what the mix takes of them equally, rounded down.
+    Rows with one id and text share what the mix takes of them equally, rounded down. The rows are in the mix's order.
     """
-    shares = mix(docs).groupBy("key").agg(F.floor(F.sum("taken") / F.count(F.lit(1))).alias("taken"), F.max("size").alias("size")).where("taken > 0").withColumnsRenamed({"key": "mix_key", "taken": "mix_taken", "size": "mix_size"})
+    shares = mix(docs).groupBy("key").agg(F.floor(F.sum("taken") / F.count(F.lit(1))).alias("taken"), F.max("size").alias("size"), F.min(F.when(F.col("slot").isNotNull(), F.struct("slot", "source", "rank", "offset"))).alias("place")).where("taken > 0").withColumnsRenamed({"key": "mix_key", "taken": "mix_taken", "size": "mix_size", "place": "mix_place"})
     row = docs.select(F.struct(*docs.columns).alias("row"), row_key().alias("mix_key"))
     rest = F.when(F.col("mix_taken") % F.col("mix_size") > 0, F.array_join(F.slice(F.filter(F.split("row.text", SPACE + "+"), lambda x: x != ""), F.lit(1), (F.col("mix_taken") % F.col("mix_size")).cast("int")), " "))
     parts = F.array_join(F.concat(F.array_repeat(F.col("row.text"), F.floor(F.col("mix_taken") / F.col("mix_size")).cast("int")), F.array(rest)), "\n")
-    taken = row.join(shares, "mix_key").select("row", parts.alias("mix_text"))
+    taken = row.join(shares, "mix_key").select("row", parts.alias("mix_text"), "mix_place").orderBy("mix_place")
     new = {"text": F.col("mix_text"), "n_chars": F.length("mix_text").cast(dict(docs.dtypes).get("n_chars", "long"))}
     return taken.select(*(new.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "slot", "rank", "offset")

@@ -282,3 +282,21 @@ def test_unlike_texts_with_one_id_each_stay(spark):
     rows = [(5, body[0]), (5, body[1]), (5, body[1]), (5, body[1]), (3, body[0]), (7, body[2]), (7, None), (7, ""), (None, body[2])]
     kept = simhash.first_of_each(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert sorted(((r.doc_id, r.text or "") for r in kept), key=str) == sorted([(5, body[1]), (3, body[0]), (7, body[2]), (7, ""), (None, body[2])], key=str)
+
+
+def test_the_mix_is_interleaved(spark):
+    """Documents of each source are spread over the whole mix, as the schedule's slots have it."""
+    from marketlens.llm import mixing
+
+    docs = spark.createDataFrame([(k, f"w{k} " * 40, "abc"[k % 3]) for k in range(600)], "doc_id long, text string, source string")
+    rows = mixing.mix(docs).where("taken > 0").collect()
+    slots = {r.slot: r.source for r in rows}
+    goals = mixing.targets(mixing.sized(docs))
+    names = {r.s: r.source for r in goals.collect()}
+    block = mixing.block_size(goals)
+    expected = {(r.slot, names[r.s], r.rank) for r in mixing.schedule(goals, block).collect()}
+    assert all((r.slot, r.source, r["rank"]) in expected and 0 <= r.offset < block for r in rows)
+    order = [r.source for r in mixing.mixed_texts(docs).collect()]
+    assert order == [r.source for r in sorted(rows, key=lambda r: (r.slot, r.source, r["rank"], r.offset))]
+    first, second = order[: len(order) // 3], order[len(order) // 3 : 2 * len(order) // 3]
+    assert len(set(slots.values())) == 3 and all(0.5 < (first.count(x) + 1) / (second.count(x) + 1) < 2 for x in "abc")
