@@ -1,16 +1,16 @@
-"""Suffix-array dedup: bytes that an earlier 100-byte string already holds, by longest-previous-factor arrays.
+"""Suffix-array dedup: bytes that an earlier 100-byte string already holds, by winnowing and the grouping of equal windows.
 
 A byte goes if a string of ``LENGTH`` bytes over it also starts earlier in the corpus: in a smaller doc_id, or further left in the same document.
-Whether the string at a position has an earlier copy is what the longest-previous-factor (LPF) array says: LPF >= LENGTH. One suffix array over
-all texts would not be distributed, so positions that can match are first brought together by content:
+That is where a longest-previous-factor (LPF) array would have LENGTH or more. One suffix array over all texts would not be distributed, and no
+LPF array is computed: equal windows are grouped instead, which gives the same bytes, and positions that can match are first brought together by content:
 
 1. Every window of ``LENGTH`` bytes takes the least hash among its grams of ``GRAM`` bytes, its anchor (winnowing). Equal windows have equal anchors.
    A run of windows with one anchor is a stretch: one row with the anchor, the place, and a digest of the bytes that the windows cover. Equal
    stretches within a batch collapse to the first, the rest being copies: a passage in a third of all documents costs a row per batch.
 2. Stretches meet by anchor. Equal ones (anchor, digest of 64 bits and number of windows) are copies of the first. Where stretches with one anchor differ, as at the
    edges of a copied passage, the first of each kind goes on.
-3. Their bytes are fetched and laid end to end; the suffixes that start windows are put in order (prefix doubling) and in that order the previous
-   smaller position with a common prefix of ``LENGTH`` makes a window a copy.
+3. Their bytes are fetched and laid end to end; the windows are ranked by their ``LENGTH`` bytes (prefix doubling), and of equal ones all but those at
+   the least place are copies.
 4. The copied windows of a document merge to intervals, which are cut out of its text.
 
 Texts travel by doc_id only, for steps 3 and 4; everything else is numbers. Texts are read whole.
@@ -171,10 +171,10 @@ def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def copied_windows(data: bytes, starts: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Which of the windows that start there have LPF >= LENGTH: an equal window at a smaller place.
+    """Which of the windows that start there have an equal window at a smaller place.
 
     ``place`` orders the windows' places in the corpus, equal places being the same. Suffixes get their order from the order of their first 8, 16, 32
-    and 64 bytes and of LENGTH bytes; the previous smaller position in suffix order counts if its first LENGTH bytes are the same.
+    and 64 bytes and of LENGTH bytes; windows of one rank are equal, and the least place of each rank is the original.
     """
     rank, known = np.unique(words8(data, ">u8"), return_inverse=True)[1], 8
     while 2 * known <= LENGTH:
