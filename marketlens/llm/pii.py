@@ -158,7 +158,7 @@ HEAD, IBAN_HEAD, CODE = re.compile("|".join(map(re.escape, HEADS))), re.compile(
 SEED = re.compile("[0-9]|" + HEAD.pattern + "|(?i:" + "|".join(sorted({x for words in CUES.values() for x in words})) + ")")
 N_FEATURES = 40
 #: Characters whose tokens are held at once, or one longer text's.
-CHARS = 1 << 20
+CHARS = 1 << 18
 
 
 def value_of(token: str) -> tuple[int, str]:
@@ -170,7 +170,7 @@ def value_of(token: str) -> tuple[int, str]:
     return at, rest.strip(EDGES)
 
 
-@lru_cache(maxsize=1 << 16)
+@lru_cache(maxsize=1 << 14)
 def shape(token: str) -> tuple[int, ...]:
     """Features of a token alone."""
     at, value = value_of(token)
@@ -204,7 +204,7 @@ def shape(token: str) -> tuple[int, ...]:
     return tuple(out)
 
 
-@lru_cache(maxsize=1 << 16)
+@lru_cache(maxsize=1 << 14)
 def cue(token: str) -> int:
     word = token.strip(EDGES).partition("=")[0].lower()
     return next((k for k, words in CUES.items() if word in words), 0)

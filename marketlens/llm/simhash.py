@@ -208,9 +208,9 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     roots = components(links(reps)).withColumnsRenamed({"u": "fp", "v": "root"})
     least = prints.where("doc_id is not null").join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min(F.struct("doc_id", "h")).alias("least"))
     named = least.select(F.col("least.doc_id").alias("named_id"), F.col("least.h").alias("named_h"))
-    row = docs.where("doc_id is not null").select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("own_id"), text_hash(), "text")
+    row = docs.where("doc_id is not null").select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("own_id"), text_hash())
     own = row.join(named, (F.col("own_id") == F.col("named_id")) & (F.col("h") == F.col("named_h")), "left_semi")
-    kept = own.withColumn("at", F.row_number().over(Window.partitionBy("own_id", "h").orderBy("text"))).where("at = 1").select("row.*")
+    kept = own.withColumn("at", F.row_number().over(Window.partitionBy("own_id", "h").orderBy(F.isnull("row.text")))).where("at = 1").select("row.*")
     return kept.unionByName(docs.where("doc_id is null"))
 
 
