@@ -1,7 +1,8 @@
 """Licence scans: ordered signature rules over normalised words.
 
 Hundreds of hand-written patterns (``license_rules``) each wait behind a keyword; what they find is settled by priority, and a detection
-that lies within one already kept goes. Everything is a map over documents: no shuffle, memory bounded by a batch of about 8 MB of text.
+that lies within one already kept goes. Everything is a map over documents: no shuffle, memory bounded by a batch of about 8 MB of text. Work
+grows with a text's length times the logarithm of its detections: places are looked up among the text's spaces, spans in a tree of largest ends.
 
 Defined cases: a null or empty text has no words and no labels (empty strings, null positions); repeated rows give repeated rows; a null
 ``doc_id`` stays null; an empty table gives an empty result; other columns are not read.
@@ -12,6 +13,7 @@ from __future__ import annotations
 import re
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -38,26 +40,57 @@ def normal(text: bytes) -> tuple[bytes, int]:
     return b" " + b" ".join(words) + b" ", len(words)
 
 
+def spaces(text: bytes) -> np.ndarray:
+    """Places of the spaces of normalised text: number k stands before word k."""
+    return np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
+
+
 def base_places(text: bytes) -> list[tuple[int, str]]:
     """Word index and label of every place of a base phrase, overlapping ones too, in order."""
     found = []
     for phrase, label in BASE.items():
         sought, at = b" " + phrase.encode() + b" ", -1
         while (at := text.find(sought, at + 1)) >= 0:
-            found.append((text.count(b" ", 0, at + 1) - 1, label))
-    return sorted(found)
+            found.append((at, label))
+    words = np.searchsorted(spaces(text), [at for at, _ in found]).tolist() if found else []
+    return sorted((word, label) for word, (_, label) in zip(words, found, strict=True))
+
 
+Detection = tuple[int, int, int, str, float]
 
-def settled(found: list[tuple[int, int, int, str, float]]) -> list[tuple[int, int, int, str, float]]:
+
+def settled(found: list[Detection]) -> list[Detection]:
     """Detections (start, end, priority, label, confidence) by priority, longer first; one within the span of a kept detection of no lower priority goes."""
-    kept: list[tuple[int, int, int, str, float]] = []
+    starts = {x: k + 1 for k, x in enumerate(sorted({x[0] for x in found}))}
+    reach = [-1] * (len(starts) + 1)  # node k: the largest end kept among starts k - (k & -k) + 1 to k
+    kept: list[Detection] = []
     for x in sorted(found, key=lambda x: (-x[2], x[0] - x[1], x[0], x[3])):
-        if not any(y[0] <= x[0] and x[1] <= y[1] for y in kept):
-            kept.append(x)
+        k, furthest = starts[x[0]], -1
+        while k:
+            furthest = max(furthest, reach[k])
+            k &= k - 1
+        if furthest >= x[1]:
+            continue
+        kept.append(x)
+        k = starts[x[0]]
+        while k < len(reach):
+            reach[k] = max(reach[k], x[1])
+            k += k & -k
     return sorted(kept)
 
 
-def detections(text: bytes) -> list[tuple[int, int, int, str, float]]:
+def without_refined(found: list[Detection]) -> list[Detection]:
+    """A form that a later clause turns into a stricter one goes, if that clause stands before the form begins again."""
+    for form, clause in license_rules.REFINED.items():
+        begins, ends = (np.array(sorted(x[0] for x in found if x[2:4] == (license_rules.KINDS["text"][0], label))) for label in (form, clause))
+        if len(begins) and len(ends):
+            upto = np.r_[begins[1:], max(begins[-1], ends[-1]) + 1]
+            gone = set(begins[np.searchsorted(ends, begins, "right") < np.searchsorted(ends, upto)].tolist())
+            found = [x for x in found if x[0] not in gone or x[2:4] != (license_rules.KINDS["text"][0], form)]
+    return found
+
+
+def detections(text: bytes) -> list[Detection]:
     """Of normalised text: what the rules find, after suppression; positions count words."""
     if not any(a.encode() in text for a in license_rules.ANCHORS):
         return []
@@ -67,10 +100,9 @@ def detections(text: bytes) -> list[tuple[int, int, int, str, float]]:
         if keywords not in has:
             has[keywords] = any(x in text for x in keywords)
         if has[keywords]:
-            for m in pattern.finditer(text):
-                start = text.count(b" ", 0, m.start()) - 1
-                found.append((start, start + m[0].count(b" ") + 1, priority, label, sure))
-    return settled(found)
+            found += [(m.start(), m[0].count(b" ") + 1, priority, label, sure) for m in pattern.finditer(text)]
+    words = (np.searchsorted(spaces(text), [x[0] for x in found]) - 1).tolist() if found else []
+    return settled(without_refined([(word, word + x[1], *x[2:]) for word, x in zip(words, found, strict=True)]))
 
 
 def scan_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
