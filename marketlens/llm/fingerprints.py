@@ -4,18 +4,25 @@ A text is cut at line ends, and long lines into stretches of ``PIECE`` character
 parts of eight cells; a digest goes into one cell of each part, where a count, the exclusive-or of digests and that of their check hashes are kept. Two
 sketches subtract cell by cell, and peeling takes digests out of cells that hold just one until nothing is left: the digests that only one
 text has. If peeling sticks, the texts' digests are dealt by hash to as many sketches of the same size as they need, a larger sketch in parts
-that peel by themselves; a part that sticks is dealt again, to eight. The likeness is the share of digests in common, (a + b - d) / (a + b + d) for a and b digests of which d differ.
+that peel by themselves; a part that sticks is dealt again, to eight, and should these stick under every hash function, their digests are
+compared as sets. The likeness is the share of digests in common, (a + b - d) / (a + b + d) for a and b digests of which d differ.
 
-The edited text of a document takes the beginning of the next one by doc_id. Documents are dealt once into ranges of ids; the first of each
-range is also sent to the range before it (that of the first range to the last), so that each range finds its neighbours itself. The bounds
-come from approximate quantiles, about one for ``RANGE`` rows and at most ``RANGES``.
+The edited text of a document takes the beginning of the next one by doc_id. Documents are dealt into ranges of ids, and the rows of an id that
+fills ranges of its own (also those without an id) by a hash of their text; the first document of each range is also sent to the range before it
+(that of the first range to the last), so that each range finds its neighbours itself. The bounds come from approximate quantiles, about one for
+``RANGE`` rows, or ``RANGES`` of them where that were more: ranges then hold more rows, which are sorted with spilling and read as a stream.
 
-Defined cases: null text is empty; equal ids are ordered by text; null ids come first; a lone document is its own next one; texts without a
-character are alike (1.0); an empty table gives an empty result; other columns are not read.
+Work is linear in a text's length but for a sort of its digests: lines are cut by one pass of a pattern, and digests meet their parts by sorting.
+
+Defined cases: null text is empty; rows of equal ids are ordered by a hash of the text; null ids come first; a lone document is its own next
+one; texts without a character are alike (1.0); repeated rows are neighbours of each other; very long texts are cut and sketched whole; an empty table
+gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,10 +41,9 @@ RANGE, RANGES = 2048, 65536
 
 def digests(text: str) -> str:
     """SQL for the distinct paragraph digests of a text."""
-    long = f"if(length(l) <= {PIECE}, array(l), transform(sequence(1, length(l), {PIECE}), k -> substring(l, k, {PIECE})))"
-    first = f"transform(sequence(1, greatest(1, least(length(l), {PIECE})), {FINE}), k -> substring(l, k, {FINE}))"
-    cut = f"flatten(transform(split({text}, '\\n', -1), (l, i) -> if(i > 0, {long}, if(length(l) <= {PIECE}, {first}, concat({first}, transform(sequence({PIECE + 1}, length(l), {PIECE}), k -> substring(l, k, {PIECE})))))))"
-    return f"array_sort(array_distinct(transform(filter({cut}, l -> l <> ''), l -> xxhash64(l))))"
+    first = f"substring_index(substring({text}, 1, {PIECE}), '\\n', 1)"
+    cut = let("f", first, f"concat(regexp_extract_all(f, '[^\\n]{{1,{FINE}}}', 0), regexp_extract_all(substring({text}, length(f) + 1), '[^\\n]{{1,{PIECE}}}', 0))")
+    return f"array_distinct(transform({cut}, l -> xxhash64(l)))"
 
 
 def let(name: str, value: str, then: str) -> str:
@@ -81,24 +87,29 @@ def both(a: str, b: str, salt: int) -> str:
 
 
 def dealt(a: str, b: str, parts: str, depth: int) -> str:
-    """SQL for the difference of two arrays by one sketch for each part of their digests, by hash; a part that doesn't peel is dealt to eight, and those that don't either are tried with other hash functions."""
-    n, v, g, ab, t = (f"{x}{depth}" for x in ("n", "v", "g", "ab", "t"))
-    tagged = lambda x: f"transform({x}, z -> named_struct('z', z, 'g', pmod(xxhash64(z, 'part', {depth}), {n})))"
-    own = lambda x: f"transform(filter({v}.{x}, z -> z.g = {g}), z -> z.z)"
-    one = both(f"{ab}.a", f"{ab}.b", depth)
+    """SQL for the difference of two arrays by one sketch for each part of their digests, by hash.
+
+    A part that doesn't peel is dealt to eight; of those that don't either, other hash functions are tried, and then the digests compared as sets.
+    """
+    e, f, p = (f"{x}{depth}" for x in "efp")
+    tagged = lambda x, sign: f"transform({x}, z -> struct(pmod(xxhash64(z, 'part', {depth}), {parts}) as g, {sign} as s, z))"
+    own = lambda sign: f"transform(filter({p}, x -> x.s = {sign}), x -> x.z)"
+    x, y = f"ab{depth}.a", f"ab{depth}.b"
+    one = both(x, y, depth)
     if depth == 1:
-        one = f"coalesce({one}, {dealt(f'{ab}.a', f'{ab}.b', '8L', 2)})"
+        one = f"coalesce({one}, {dealt(x, y, '8L', 2)})"
     else:
-        one = f"coalesce({', '.join([one, *(both(f'{ab}.a', f'{ab}.b', salt) for salt in SALTS)])})"
-    each = f"transform(sequence(0L, {n} - 1), {g} -> {let(ab, f'named_struct({chr(39)}a{chr(39)}, {own(chr(97))}, {chr(39)}b{chr(39)}, {own(chr(98))})', one)})"
-    whole = let(v, f"named_struct('a', {tagged(a)}, 'b', {tagged(b)})", f"aggregate({each}, 0, ({t}, d) -> {t} + d)")
-    return let(n, parts, whole)
+        one = f"coalesce({', '.join([one, *(both(x, y, salt) for salt in SALTS)])}, size(array_except({x}, {y})) + size(array_except({y}, {x})))"
+    each = let(p, f"slice({e}, i + 1, coalesce(get({f}, cast(j + 1 as int)), size({e})) - i)", let(f"ab{depth}", f"named_struct('a', {own(0)}, 'b', {own(1)})", one))
+    begins = f"filter(sequence(0, size({e}) - 1), i -> i = 0 or {e}[greatest(i - 1, 0)].g <> {e}[i].g)"
+    whole = let(f, begins, f"aggregate(transform({f}, (i, j) -> {each}), 0, (t, d) -> t + d)")
+    return let(e, f"sort_array(concat({tagged(a, 0)}, {tagged(b, 1)}))", whole)
 
 
 def likeness(a: str, b: str, sketch_a: str, sketch_b: str) -> Column:
-    """(common digests) / (all digests) of two arrays: from their sketches, and larger ones where these don't peel. Should even the finest not peel, which takes equal hashes, all digests count as different."""
+    """(common digests) / (all digests) of two arrays: from their sketches, and larger ones where these don't peel."""
     n = f"(size({a}) + size({b}))"
-    found = f"coalesce({peeled(subtracted(sketch_a, sketch_b), 0)}, {dealt(a, b, f'greatest(1L, cast(ceil({n} / {PER_SKETCH}.0D) as bigint))', 1)}, {n})"
+    found = f"coalesce({peeled(subtracted(sketch_a, sketch_b), 0)}, {dealt(a, b, f'greatest(1L, cast(ceil({n} / {PER_SKETCH}.0D) as bigint))', 1)})"
     return F.expr(f"if({n} = 0, 1.0D, {let('d', found, f'({n} - d) / cast({n} + d as double)')})")
 
 
@@ -107,24 +118,37 @@ def written(of: str, cells: str) -> Column:
     return F.expr(f"concat(size({of}), ':', array_join(transform({cells}, x -> if(x.n = 0, '', concat(x.n, '.', lower(hex(x.key)), '.', lower(hex(x.chk))))), ','))")
 
 
-def neighbours(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, next_text): each document with the one that follows by doc_id, the first after the last."""
-    rows = id_text(docs)
-    n, named, least = rows.agg(F.count(F.lit(1)), F.count("doc_id"), F.min("doc_id")).head()
+def ranged(rows: DataFrame) -> DataFrame:
+    """Adds h, a hash of the text, and (r, part), the range of a row: ranges in order hold the rows in order of (doc_id, h), none first."""
+    n, named = rows.agg(F.count(F.lit(1)), F.count("doc_id")).head()
     k = max(1, min(RANGES, -(-n // RANGE)))
     found = rows.agg(F.percentile_approx("doc_id", [i / k for i in range(1, k)], max(10_000, 4 * k))).head()[0] if k > 1 else None
-    bounds = sorted({b for b in found or [] if b is not None and b > least})
-    m = len(bounds)
-    # a row's range is the number of bounds up to its id, by bisection in a constant array; every bound is an id, so it begins its range
-    sought, steps = F.lit(bounds or [0]), F.array(*(F.lit(1 << j) for j in range(m.bit_length() - 1, -1, -1))) if m else F.array(F.lit(1))
+    often = Counter(b for b in found or [] if b is not None)
+    bounds, m = sorted(often), len(often)
+    # a row's range is the number of bounds up to its id, by bisection in a constant array; an id that is several quantiles has as many parts
+    sought, parts, steps = F.lit(bounds or [0]), F.lit([often[b] for b in bounds] or [1]), F.array(*(F.lit(1 << j) for j in range(max(1, m.bit_length()) - 1, -1, -1)))
     upto = F.aggregate(steps, F.lit(0), lambda at, step: F.when((at + step <= m) & (F.try_element_at(sought, at + step) <= F.col("doc_id")), at + step).otherwise(at))
-    ranged = rows.withColumn("r", F.when(F.col("doc_id").isNull() | F.lit(m == 0), F.lit(0)).otherwise(upto))
-    begins = (F.col("r") > 0) & (F.try_element_at(sought, F.greatest("r", F.lit(1))) == F.col("doc_id"))
-    first = F.col("doc_id").isNull() if named < n else F.col("doc_id") == F.lit(least)
-    places = F.array(F.struct(F.col("r").alias("r"), F.lit(0).alias("guest")), F.when(F.col("r") == 0, F.when(first, F.struct(F.lit(m).alias("r"), F.lit(1).alias("guest")))).when(begins, F.struct((F.col("r") - 1).alias("r"), F.lit(1).alias("guest"))))
-    dealt = ranged.select("doc_id", "text", F.explode(F.filter(places, lambda x: x.isNotNull())).alias("x")).select("doc_id", "text", F.col("x.r").alias("r"), F.col("x.guest").alias("guest"))
-    order = Window.partitionBy("r").orderBy("guest", F.col("doc_id").asc_nulls_first(), "text")
-    return dealt.withColumn("next_text", F.lead("text").over(order)).where("guest = 0").select("doc_id", "text", "next_text")
+    at = F.greatest("r", F.lit(1))
+    heavy = F.when(F.col("r") < 0, F.lit(max(1, -(-(n - named) * k // max(1, n))))).otherwise(F.try_element_at(parts, at))
+    part = F.when((F.col("r") < 0) | (F.col("r") > 0) & (F.try_element_at(sought, at) == F.col("doc_id")), F.floor(F.shiftrightunsigned("h", 33) * heavy / F.lit(float(1 << 31)))).otherwise(heavy)
+    return rows.withColumn("h", F.xxhash64("text")).withColumn("r", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(upto)).withColumn("part", part)
+
+
+def neighbours(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, a, next_text, c): each document with the one that follows by doc_id, the first after the last, and both digests."""
+    rows = ranged(id_text(docs))
+    order = [F.col("doc_id").asc_nulls_first(), F.shiftrightunsigned("h", 33), F.col("h")]
+    # a row for each range: its first document's id and hash, and the range before it
+    firsts = rows.groupBy("r", "part").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id", F.shiftrightunsigned("h", 33), "h")).alias("first"))
+    along = Window.orderBy("r", "part")
+    last = F.last(F.struct("r", "part")).over(along.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    before = firsts.select(F.col("first.doc_id").alias("first_id"), F.col("first.h").alias("first_h"), F.coalesce(F.lag(F.struct("r", "part")).over(along), last).alias("to"))
+    # at most about 2 * RANGES rows of four numbers
+    guests = rows.join(F.broadcast(before), F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h"))).groupBy("to").agg(F.min(F.struct("doc_id", "text", "h")).alias("x"))
+    guests = guests.select("x.doc_id", "x.text", "x.h", "to.r", "to.part", F.lit(1).alias("guest"))
+    dealt = rows.withColumn("guest", F.lit(0)).unionByName(guests).repartition("r", "part").withColumn("a", F.expr(digests("text")))
+    here = Window.partitionBy("r", "part").orderBy("guest", *order, "text")
+    return dealt.select("*", F.lead("text").over(here).alias("next_text"), F.lead("a").over(here).alias("c")).where("guest = 0").select("doc_id", "text", "a", "next_text", "c")
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -134,8 +158,8 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 def compare(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint against those of its edited text and of the next document."""
-    edited = neighbours(docs).select("doc_id", "text", "next_text", F.length("text").cast("long").alias("n_chars")).withColumn("edited", F.expr("concat(substring(text, 1, n_chars - n_chars div 4), substring(next_text, 1, cast(n_chars div 4 as int)))"))
-    found = edited.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), F.expr(digests("text")).alias("a"), F.expr(digests("edited")).alias("b"), F.expr(digests("next_text")).alias("c"))
+    edited = neighbours(docs).select("doc_id", "text", "a", "next_text", "c", F.length("text").cast("long").alias("n_chars")).withColumn("edited", F.expr("concat(substring(text, 1, n_chars - n_chars div 4), substring(next_text, 1, cast(n_chars div 4 as int)))"))
+    found = edited.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "a", F.expr(digests("edited")).alias("b"), "c")
     found = found.select("*", *(F.expr(sketch(hashed(x, 0))).alias(f"s{x}") for x in "abc"))
     return found.select("doc_id", "n_chars", "edited_sha256", written("a", "sa").alias("fingerprint"), written("b", "sb").alias("edited_fingerprint"), likeness("a", "b", "sa", "sb").alias("near_edited"), likeness("a", "c", "sa", "sc").alias("near_next"))
 

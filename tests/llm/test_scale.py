@@ -99,3 +99,69 @@ def test_many_sources_each_get_their_slots(spark):
     quota = {r.s: int(np.ceil(r.target)) for r in rows}
     assert collections.Counter(r.s for r in got) == quota
     assert collections.Counter(r.s for r in got if r.slot < n) == {s: min(quota[s], k) for s, k in expected.items()}
+
+
+def fingerprints_of(spark, rows, parts=3):
+    from marketlens.llm import fingerprints
+
+    return fingerprints.compare(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)).collect()
+
+
+def test_neighbours_of_heavy_ids_and_rows_without_one(spark, monkeypatch):
+    """Ids that fill ranges, alike texts among them, and rows without an id: every row's next one is that of the whole order, around its end."""
+    from marketlens.llm import fingerprints
+
+    monkeypatch.setattr(fingerprints, "RANGE", 8)
+    dice = random.Random(8)
+    ids = [None] * 60 + [7] * 50 + list(range(1, 40))
+    rows = [(k, dice.choice(["", "same text", f"text {dice.random()}"])) for k in ids]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = fingerprints.neighbours(df).collect()
+    placed = fingerprints.ranged(df).collect()
+    assert len({(r.r, r.part) for r in placed}) > 12 and collections.Counter((r.doc_id, r.text) for r in got) == collections.Counter(rows)
+    order = sorted(placed, key=lambda r: (r.doc_id is not None, r.doc_id or 0, (r.h % 2**64) >> 33, r.h, r.text))
+    assert [(r.r, r.part) for r in order] == sorted((r.r, r.part) for r in placed)
+    assert collections.Counter((r.doc_id, r.text, r.next_text) for r in got) == collections.Counter((x.doc_id, x.text, y.text) for x, y in zip(order, order[1:] + order[:1], strict=True))
+
+
+def test_sketches_of_long_and_many_line_texts(spark):
+    from .test_queries import alike, paragraphs
+
+    dice = random.Random(9)
+    line = lambda n: "".join(dice.choice("abc é\U0001f600") for _ in range(n))
+    texts = [line(5000), "\n".join(line(dice.randint(0, 600)) for _ in range(400)), "\n" + line(300), line(256) + "\n" + line(256), line(255) + "\nx", "a\r\nb c\n\n\nd", ""]
+    texts += [texts[1] + "\nmore", texts[1].replace("a", "b", 40)]
+    rows = fingerprints_of(spark, list(enumerate(texts)))
+    for r in rows:
+        text, after = texts[r.doc_id], texts[(r.doc_id + 1) % len(texts)]
+        edited = text[: len(text) - len(text) // 4] + after[: len(text) // 4]
+        assert r.near_edited == pytest.approx(alike(text, edited)) and r.near_next == pytest.approx(alike(text, after))
+        assert int(r.fingerprint.split(":")[0]) == len(paragraphs(text) - {""})
+
+
+def test_what_never_peels_is_compared_as_sets(spark, monkeypatch):
+    from marketlens.llm import fingerprints
+
+    from .test_queries import alike
+
+    monkeypatch.setattr(fingerprints, "ROUNDS", 1)
+    texts = ["\n".join(f"line {k * j}" for k in range(60)) for j in (1, 2, 3, 4)]
+    for r in fingerprints_of(spark, list(enumerate(texts))):
+        assert r.near_next == pytest.approx(alike(texts[r.doc_id], texts[(r.doc_id + 1) % 4]))
+
+
+def test_sketches_are_linear_in_a_text(spark):
+    from marketlens.llm import fingerprints
+
+    def run(text):
+        spark.createDataFrame([(1, text)], "doc_id long, text string").select(*(fingerprints.F.expr(fingerprints.digests("text")).alias(x) for x in "a")).select(fingerprints.likeness("a", "array(1L)", fingerprints.sketch(fingerprints.hashed("a", 0)), fingerprints.sketch(fingerprints.hashed("array(1L)", 0)))).collect()
+
+    def wall(n):
+        text = "".join(random.Random(n).choices("abcdefgh ", k=n))
+        began = time.time()
+        run(text)
+        return time.time() - began
+
+    wall(1000)
+    small, large = min(wall(1_000_000) for _ in range(2)), min(wall(2_000_000) for _ in range(2))
+    assert large < 3 * small
