@@ -165,3 +165,72 @@ def test_sketches_are_linear_in_a_text(spark):
     wall(1000)
     small, large = min(wall(1_000_000) for _ in range(2)), min(wall(2_000_000) for _ in range(2))
     assert large < 3 * small
+
+
+def check_removal(spark, docs, parts=3):
+    """docs: (doc_id, text), distinct ids but for None; brute force over all rows, ids in order."""
+    import hashlib
+
+    from marketlens.llm.suffix_dedup import LENGTH, remove
+
+    first = {}  # window -> smallest (doc_id, start)
+    for k, text in docs:
+        data = (text or "").encode()
+        for p in range(len(data) - LENGTH + 1):
+            w, place = data[p : p + LENGTH], (k is not None, k or 0, p)
+            first[w] = min(first.get(w, place), place)
+    expected = collections.Counter()
+    for k, text in docs:
+        data = (text or "").encode()
+        gone = bytearray(len(data))
+        for p in range(len(data) - LENGTH + 1):
+            if first[data[p : p + LENGTH]] < (k is not None, k or 0, p):
+                gone[p : p + LENGTH] = b"\1" * LENGTH
+        expected[k, sum(gone), hashlib.sha256(bytes(c for c, g in zip(data, gone, strict=True) if not g)).hexdigest()] += 1
+    got = remove(spark.createDataFrame(docs, "doc_id long, text string").repartition(parts)).collect()
+    assert collections.Counter((r.doc_id, r.n_removed, r.kept_sha256) for r in got) == expected
+
+
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_common_lines_in_ever_different_surroundings(spark, monkeypatch, hot):
+    """One short and one long common line, copies and near copies, rows of one id and without one; anchors of more than a few rows are parted."""
+    from marketlens.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    dice = random.Random(hot)
+    noise = lambda n: "".join(dice.choice("abcdefgh é") for _ in range(n))
+    short, long, passage = "=" * 30 + " all rights reserved ", noise(170), noise(400)
+    texts = [noise(dice.randint(0, 90)) + dice.choice([short, long, short + long, passage[dice.randint(0, 200) :], "ab" * dice.randint(40, 90), passage]) + noise(dice.randint(0, 90)) for _ in range(120)]
+    docs = [(k if k % 9 else None if k % 2 else 4, t) for k, t in enumerate(texts)]
+    check_removal(spark, docs + docs[:7] + [(200, texts[0]), (None, texts[5]), (None, None)])
+
+
+def test_groups_come_whole_or_as_a_stream():
+    import pyarrow as pa
+
+    from marketlens.llm.suffix_dedup import by_group
+
+    dice = random.Random(4)
+    for _ in range(200):
+        values = sorted(dice.choice(range(6)) for _ in range(dice.randint(0, 40)))
+        batches, at = [], 0
+        while at < len(values):
+            to = at + dice.randint(1, 7)
+            batches.append(pa.RecordBatch.from_arrays([pa.array(values[at:to], pa.int64())], names=["h"]))
+            at = to
+        found = [(t.column("h").to_pylist(), hot) for t, hot in by_group(iter(batches), dice.choice([0, 60, 1000]), 8)]
+        assert [x for part, _ in found for x in part] == values
+        n = collections.Counter(values)
+        for part, hot in found:
+            assert hot == (n[part[0]] > 8) and (len(set(part)) == 1 if hot else all(part.count(x) == n[x] for x in part))
+
+
+def test_nearest_smaller_places():
+    from marketlens.llm.suffix_dedup import next_smaller, previous_smaller
+
+    dice = random.Random(6)
+    for _ in range(100):
+        x = [dice.randint(0, 9) for _ in range(dice.randint(0, 30))]
+        a = np.array(x, int)
+        assert previous_smaller(a).tolist() == [max((j for j in range(i) if x[j] < x[i]), default=-1) for i in range(len(x))]
+        assert next_smaller(a).tolist() == [min((j for j in range(i + 1, len(x)) if x[j] < x[i]), default=len(x)) for i in range(len(x))]
