@@ -1,6 +1,6 @@
 """Packing: best-fit decreasing over blocks of documents' token pieces.
 
-A document's ids are cut into full windows and one rest. The pieces are dealt by hash into blocks of about ``BLOCK`` pieces, and each block
+A document's ids are cut into full windows and one rest. The pieces are dealt by a hash of their number into blocks of about ``BLOCK`` pieces, and each block
 is packed by itself: pieces in falling length go to the tightest open window, found by a segment tree indexed by remaining capacity.
 The number of blocks follows the number of pieces, so a task's work and memory stay the same at any size; a block wastes about one window.
 
@@ -8,8 +8,9 @@ Ids come from the public tokenizer. A word always has the same ids there, since
 worker keeps the ids of words it has seen (at most ``MEMO``). Texts with characters whose folding or splitting would need the tokenizer's
 own rules, or with its special tokens, go through it whole. Texts are read whole.
 
-Defined cases: a null or empty text is one piece holding the closing id; repeated rows are packed once each; a null ``doc_id`` stays null;
-an empty table gives an empty result; other columns are not read.
+Defined cases: a null or empty text is one piece holding the closing id; repeated rows are packed once each, wherever they are dealt; pieces of one
+length are packed in order of doc_id, start and checksum; a null ``doc_id`` stays null; a very long text is tokenised whole by one task; an empty table
+gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -198,10 +199,11 @@ def best_fit(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int]]:
 
 
 def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, with_ids: bool = False) -> DataFrame:
-    """One row per piece with its sequence and offset there; ``with_ids`` adds the ids themselves."""
+    """One row per piece with its sequence and offset there; ``with_ids`` adds the ids themselves. The tokenizer's file must stand under ``path`` on every machine."""
     cut = saved(pieces(docs, path or public_tokenizers.path(TOKENIZER), window, with_ids))
     blocks = max(1, -(-cut.count() // BLOCK))
-    dealt = cut.withColumn("block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(blocks)))
+    # by the row's number, so that pieces alike in every column are dealt to all blocks; the numbers hold, as the pieces are saved
+    dealt = cut.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)))
     keep = [c for c in cut.columns]
     kinds = ", ".join(f"{name} {kind}" for name, kind in cut.dtypes)
 
