@@ -32,11 +32,13 @@ def id_text(docs: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines share, as ``spark.checkpoint.dir`` names it. Where neither the session nor its context has one (single-machine tests), a temporary folder is set."""
+    """The folder that all machines share, as ``spark.checkpoint.dir`` names it. Where neither the session nor its context has one, a temporary folder is set on a single machine; a cluster must name one."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         where = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
         if not where:
+            if not sc.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
             where = tempfile.mkdtemp(prefix="marketlens-checkpoint-")
             atexit.register(shutil.rmtree, where, ignore_errors=True)
         sc.setCheckpointDir(where)
@@ -49,6 +51,25 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Keys with this many rows, and a share of all rows, are joined apart.
+HOT_ROWS, HOT_SHARE = 100_000, 10_000
+
+
+def joined(many: DataFrame, one: DataFrame, key: str, rows: int) -> DataFrame:
+    """``many`` joined by key with ``one``, which has a row for each key and counts its rows in ``many`` in a column n; ``rows`` is about the number of all.
+
+    Keys with more than HOT_ROWS rows and one in HOT_SHARE of all, at most HOT_SHARE of them, are joined by broadcast, so that no task takes such a key whole.
+    """
+    least = max(HOT_ROWS, rows // HOT_SHARE)
+    if rows <= least:
+        return many.join(one.drop("n"), key)
+    hot = one.where(F.col("n") > least).drop("n")
+    if hot.isEmpty():
+        return many.join(one.drop("n"), key)
+    few, rest = F.broadcast(hot), one.where(F.col("n") <= least).drop("n")
+    return many.join(few, key).unionByName(many.join(few.select(key), key, "left_anti").join(rest, key))
+
+
 def raw(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     """A batch's texts as UTF-8 bytes, none decoded."""
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]

@@ -7,9 +7,12 @@ count are compared exactly by exclusive-or and bit counts; tile pairs whose popu
 with more rows than ``TILE`` is dealt to several tasks as tile pairs. A unit gives a spanning forest of its links, not all pairs, which keeps
 the components and no more rows than it has members.
 
+Nodes are fingerprints, not ids: what ids a component's rows have matters only for its name. A fingerprint or a node with a great many rows or links is
+joined apart (``common.joined``), so that no task takes it whole.
+
 Defined cases: null text is empty; a text without words has fingerprint zero, linked like any other; documents with equal or null ``doc_id``
-are rows of their own with one component id (null only if every id in the component is null); an empty table gives an empty result;
-other columns are not read.
+are rows of their own with one component id (null only if every id in the component is null); repeated rows are linked like copies; very long texts
+are hashed whole; an empty table gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, id_text, mapped, raw, saved
+from .common import documents, id_text, joined, mapped, raw, saved
 
 RADIUS = 2
 SHINGLE = 3
@@ -168,24 +171,27 @@ def components(edges: DataFrame) -> DataFrame:
             return now
         was = mark
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("low"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("low"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").union(least.select("u", "low"))
+        low = both.groupBy("u").agg(F.min("v").alias("low"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "low").alias("low"), "n")
+        large = joined(both, low, "u", 2 * mark[0]).where("v > u").select(F.col("v").alias("u"), F.col("low").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("low"), F.count(F.lit(1)).alias("n"))
+        small = joined(large, least, "u", mark[0]).select(F.col("v").alias("u"), F.col("low").alias("v")).where("u <> v").union(least.select("u", F.col("low").alias("v")))
         now = saved(small.distinct())
 
 
+def named(prints: DataFrame, of: list[str]) -> DataFrame:
+    """(fp, n, first): each fingerprint's number of rows, and the least (``of``) of its component's rows that have an id."""
+    reps = saved(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n"), F.min(F.when(F.col("doc_id").isNotNull(), F.struct(*of))).alias("first")))
+    roots = components(links(reps.select(F.col("fp").alias("node"), "fp")))
+    placed = reps.join(roots.withColumnsRenamed({"u": "fp", "v": "root"}), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    least = placed.groupBy("root").agg(F.min("first").alias("first"), F.count(F.lit(1)).alias("n"))
+    return joined(placed.select("fp", "root", F.col("n").alias("rows")), least, "root", reps.count()).select("fp", F.col("rows").alias("n"), "first")
+
+
 def near_groups(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id) for every row of docs."""
     prints = saved(fingerprints(docs))
-    reps = prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("node"))
-    unnamed = prints.where("doc_id is null").select("fp").distinct().join(reps.select("fp"), "fp", "left_anti")
-    # a fingerprint that only rows without an id have gets a node above all ids, so that it links others and never names a component
-    reps = saved(reps.unionByName(unnamed.select("fp", F.expr("bigint(9223372036854775807) - pmod(xxhash64(fp), 1099511627776)").alias("node"))).select("node", "fp"))
-    roots = components(links(reps))
-    named = reps.join(roots.withColumnsRenamed({"u": "node", "v": "root"}), "node", "left").select("fp", F.coalesce("root", "node").alias("root"))
-    top = F.lit(9223372036854775807 - 1099511627776)
-    return prints.join(named, "fp").select("doc_id", "fp", F.when(F.col("root") <= top, F.col("root")).alias("component_id"))
+    own = saved(named(prints, ["doc_id"]).select("fp", "n", F.col("first.doc_id").alias("component_id")))
+    return joined(prints, own, "fp", prints.count())
 
 
 def text_hash() -> Column:
@@ -204,12 +210,10 @@ def first_of_each(docs: DataFrame) -> DataFrame:
         return fingerprint_batch(batch).append_column("h", batch.column("h"))
 
     prints = saved(mapped(keyed, of_batch, "doc_id long, fp long, h long"))
-    reps = saved(prints.select(F.col("fp").alias("node"), "fp").distinct())
-    roots = components(links(reps)).withColumnsRenamed({"u": "fp", "v": "root"})
-    least = prints.where("doc_id is not null").join(roots, "fp", "left").groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min(F.struct("doc_id", "h")).alias("least"))
-    named = least.select(F.col("least.doc_id").alias("named_id"), F.col("least.h").alias("named_h"))
+    # one row of each component: the least of its fingerprints' own
+    least = named(prints, ["doc_id", "h"]).where("first is not null").select(F.col("first.doc_id").alias("named_id"), F.col("first.h").alias("named_h")).distinct()
     row = docs.where("doc_id is not null").select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("own_id"), text_hash())
-    own = row.join(named, (F.col("own_id") == F.col("named_id")) & (F.col("h") == F.col("named_h")), "left_semi")
+    own = row.join(least, (F.col("own_id") == F.col("named_id")) & (F.col("h") == F.col("named_h")), "left_semi")
     kept = own.withColumn("at", F.row_number().over(Window.partitionBy("own_id", "h").orderBy(F.isnull("row.text")))).where("at = 1").select("row.*")
     return kept.unionByName(docs.where("doc_id is null"))
 
