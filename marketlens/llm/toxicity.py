@@ -3,23 +3,27 @@
 Positives are documents labelled toxic; every other text is unlabelled, some of it toxic. A linear classifier over the presence of words and
 word beginnings is trained with the risk pi * R+(positives) + max(0, R-(unlabelled) - pi * R-(positives)), where pi is the share of toxic
 documents among the labelled ones. Training takes at most ``POSITIVES`` and ``UNLABELLED`` documents, chosen by hash of the id (the bound
-of the fit; the class prior and the scores cover all rows), outside the held-out fold. Scoring is a map over documents.
+of the fit, parameters of ``learn``; the class prior and the scores cover all rows), outside the held-out fold. Features are counted on executors; the driver gets two
+numbers for each of at most ``SPACE`` features, and of each chosen document those of the at most ``FEATURES`` kept ones that it has. Scoring is a map
+over documents.
 
 Defined cases: a null or empty text scores as one without known words; without positives every score is the prior; a doc with labels 0 and 1
-counts as toxic; repeated rows give repeated rows; a null ``doc_id`` counts as held out; an empty table gives an empty result; other columns are
-not read.
+counts as toxic; of rows with one id the least text is learned from, and repeated rows give repeated rows; ties in the choice go to the smaller id, those among features
+to the smaller number; a null ``doc_id`` counts as held out; very long texts are read whole; an empty table gives an empty result; other columns, whatever their
+names, are not read.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, id_text, mapped, table
+from .common import documents, id_text, mapped, saved, table
 
 #: Held-out rows: crc32 of the id's text mod FOLDS is 0. Fixed by the contract.
 FOLDS = 5
@@ -71,18 +75,23 @@ class Toxicity:
         return sigmoid(out)
 
 
-def fit(rows: list[tuple[bool, np.ndarray]], prior: float, rounds: int = 300, rate: float = 0.1, decay: float = 1e-4) -> Toxicity:
-    """rows: (positive, distinct feature ids). A positive also stands among the unlabelled, as it would in a sample of all text."""
-    n_pos, n_un = sum(p for p, _ in rows), sum(not p for p, _ in rows)
-    if not n_pos or not n_un:
-        return Toxicity(np.zeros(0, int), np.zeros(0), float(np.log((prior + 1e-6) / (1 - prior + 1e-6))))
-    seen = [np.bincount(np.concatenate([f for q, f in rows if q == p]), minlength=SPACE) for p in (True, False)]
+def telling(seen: list[np.ndarray], n_pos: int, n_un: int, prior: float) -> np.ndarray:
+    """The features that a model keeps, in order; seen: of each feature how many positives and how many unlabelled documents have it."""
     in_pos, in_un = (seen[0] + 0.5) / (n_pos + 1), (seen[1] + 0.5) / (n_un + 1)
     # a feature must be clearly more common among positives, by its standard error, and in more than a few of them: copies share rare words by chance
     sure = (in_pos - in_un) / np.sqrt(in_pos / n_pos + in_un / n_un)
     gain = np.where((seen[0] >= max(LEAST_POSITIVES, LEAST_SHARE * n_pos)) & (sure >= LEAST_SURE) & (in_pos * prior >= EXCLUSIVE * in_un), sure, -np.inf)
     kept = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
-    kept = kept[gain[kept] > 0]
+    return kept[gain[kept] > 0]
+
+
+def constant(prior: float) -> Toxicity:
+    return Toxicity(np.zeros(0, int), np.zeros(0), float(np.log((prior + 1e-6) / (1 - prior + 1e-6))))
+
+
+def fit(rows: list[tuple[bool, np.ndarray]], kept: np.ndarray, prior: float, rounds: int = 300, rate: float = 0.1, decay: float = 1e-4) -> Toxicity:
+    """rows: (positive, distinct feature ids among ``kept``). A positive also stands among the unlabelled, as it would in a sample of all text."""
+    n_pos, n_un = sum(p for p, _ in rows), sum(not p for p, _ in rows)
     place = np.full(SPACE, -1)
     place[kept] = np.arange(len(kept))
     positive = np.array([p for p, _ in rows])
@@ -114,20 +123,61 @@ def features_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(found, pa.list_(pa.int32()))], names=["toxic", "features"])
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> Toxicity:
-    """A model from labelled documents and unlabelled text outside the held-out fold."""
+def lists(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of (toxic, features): toxic, and the row and number of each feature."""
+    column = batch.column("features")
+    sizes = column.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    return batch.column("toxic").to_numpy(zero_copy_only=False).astype(bool), np.repeat(np.arange(len(sizes)), sizes), column.flatten().to_numpy()
+
+
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's numbers of positives and of unlabelled documents with each feature."""
+    sums = np.zeros((2, SPACE), np.int64)
+    for batch in batches:
+        toxic, row, feature = lists(batch)
+        for own, of in zip(sums, (toxic, ~toxic), strict=True):
+            own += np.bincount(feature[of[row]], minlength=SPACE)
+    at = np.flatnonzero(sums.any(axis=0))
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[0, at]), pa.array(sums[1, at])], names=["f", "pos", "un"])
+
+
+def chosen(ids: DataFrame, salt: int, most: int) -> DataFrame:
+    """At most so many of the ids, those with the least hashes; where there are many more, a bound on the hash leaves about four times as many to order."""
+    n, order = ids.count(), F.xxhash64("doc_id", F.lit(salt))
+    near = ids.where(F.shiftrightunsigned(order.bitwiseXOR(F.lit(-1 << 63)), 1) <= int((1 << 63) * 4 * most / n)) if n > 8 * most else ids
+    return near.distinct().orderBy(order, "doc_id").limit(most)
+
+
+def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Toxicity:
+    """A model from labelled documents and unlabelled text outside the held-out fold; at most so many of either are learned from."""
     own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n, toxic = own.agg(F.count(F.lit(1)), F.sum("toxic")).head()
     prior = min(0.9, max(1e-3, (toxic or 0) / n)) if n else 0.0
-    some = lambda x, salt, most: x.orderBy(F.xxhash64("doc_id", F.lit(salt)), "doc_id").limit(most)
-    positives = some(own.where("toxic = 1").select("doc_id"), 1, POSITIVES).withColumn("toxic", F.lit(True))
-    others = some(docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(~held_out()).where("doc_id is not null"), 2, UNLABELLED).distinct().withColumn("toxic", F.lit(False))
-    # at most POSITIVES + UNLABELLED rows of two numbers: the broadcast is bounded by those parameters
-    chosen = id_text(docs).join(F.broadcast(positives.unionByName(others)), "doc_id").select("toxic", "text")
-    found = mapped(chosen, features_batch, "toxic boolean, features array<int>").toArrow()
-    rows = list(zip(found.column("toxic").to_pylist(), (np.asarray(x.values.to_numpy()) for x in found.column("features")), strict=True))
+    known = chosen(own.where("toxic = 1").select("doc_id"), 1, positives).withColumn("toxic", F.lit(True))
+    others = chosen(docs.select(F.col("doc_id").cast("long").alias("doc_id")).where(~held_out()).where("doc_id is not null"), 2, unlabelled).withColumn("toxic", F.lit(False))
+    # at most positives + unlabelled rows of two numbers: the broadcast is bounded by those parameters
+    texts = id_text(docs).join(F.broadcast(known.unionByName(others)), "doc_id").groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
+    found = saved(mapped(texts.select("toxic", "text"), features_batch, "toxic boolean, features array<int>"))
+    sizes = {r.toxic: r.n for r in found.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(sizes) < 2:
+        return constant(prior)
+    counts = found.mapInArrow(counted, "f long, pos long, un long").groupBy("f").agg(F.sum("pos").alias("pos"), F.sum("un").alias("un")).toArrow()
+    at, *numbers = (c.to_numpy() for c in counts.columns)
+    seen = [np.zeros(SPACE, np.int64) for _ in range(2)]
+    for of, own_numbers in zip(seen, numbers, strict=True):
+        of[at] = own_numbers
+    kept = telling(seen, sizes[True], sizes[False], prior)
+
+    def restricted(batch: pa.RecordBatch) -> pa.RecordBatch:
+        toxic, row, feature = lists(batch)
+        own = np.isin(feature, kept)
+        ends = np.cumsum(np.bincount(row[own], minlength=len(toxic)))
+        return pa.RecordBatch.from_arrays([batch.column("toxic"), pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(feature[own].astype(np.int32)))], names=["toxic", "features"])
+
+    few = found.mapInArrow(lambda batches: map(restricted, batches), "toxic boolean, features array<int>").toArrow()
+    rows = list(zip(few.column("toxic").to_pylist(), (np.array(x, np.int64) for x in few.column("features").to_pylist()), strict=True))
     rows.sort(key=lambda x: (x[0], len(x[1]), x[1].tobytes()))  # sums don't depend on the order of arrival
-    return fit(rows, prior)
+    return fit(rows, kept, prior)
 
 
 def score(docs: DataFrame, model: Toxicity) -> DataFrame:
