@@ -6,11 +6,12 @@ text gets the language whose prototype, less the mean of all prototypes, has the
 
 Since bundling is a sum, a text's vector is its trigram counts times the trigrams' vectors: counts are integers per batch, and one matrix
 product gives a batch of texts. Learning reads all learning texts once and shuffles only sums of vectors; what reaches the driver is
-``DIMENSIONS`` numbers a language, whatever its script. Texts are read whole, in pieces of bounded memory.
+``DIMENSIONS`` numbers for each of at most ``LANGUAGES`` languages, whatever their scripts. Texts are read whole, in pieces of about ``CHARS`` code points,
+cut where no letter stands; a run of letters longer than a piece is cut within, which splits the one trigram over each cut.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0; learning skips null ``lang``; without learning rows every
-language is ``und``; repeated rows give repeated rows; a null ``doc_id`` is treated as held out; an empty table gives an empty result; other columns
-are not read.
+language is ``und``; of languages that fit a text equally the first in order is taken; repeated rows give repeated rows; a null ``doc_id`` is treated as held out; an empty
+table gives an empty result; more than LANGUAGES languages raise an error; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, mapped, slices
+from .common import documents, mapped, saved, slices
 
 UNKNOWN = "und"
 DIMENSIONS = 1024
@@ -37,8 +38,10 @@ VECTORS = 4096
 SPARSE = 16
 #: Learning rows: those whose crc32 of the id's text mod FOLDS isn't HELD. Fixed by the contract.
 FOLDS, HELD = 3, 1
-#: Code points that are counted at once.
-CHARS = 1 << 21
+#: Code points that are counted at once, about.
+CHARS = 1 << 19
+#: Languages whose sums go to the driver, at most: 8 kB each.
+LANGUAGES = 20_000
 
 
 @lru_cache(maxsize=1)
@@ -120,16 +123,32 @@ def composed(texts: list[str | None]) -> list[str]:
     return [x if x.isascii() else unicodedata.normalize("NFC", x) for x in (y or "" for y in texts)]
 
 
-def groups(texts: list[str]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts with about CHARS code points together."""
-    at, size = 0, 0
+def pieces(text: str) -> Iterator[str]:
+    """A text in pieces of CHARS code points or fewer that end at the last character of theirs that isn't a letter."""
+    at = 0
+    while len(text) - at > CHARS:
+        to = at + CHARS
+        while to > at and text[to - 1].isalpha():
+            to -= 1
+        to = to if to > at else at + CHARS
+        yield text[at:to]
+        at = to
+    yield text[at:]
+
+
+def groups(texts: list[str]) -> Iterator[list[tuple[int, str]]]:
+    """(number of a text, piece of it), in groups of about CHARS code points together."""
+    group: list[tuple[int, str]] = []
+    size = 0
     for i, x in enumerate(texts):
-        if size and (size + len(x) > CHARS or i - at >= 1000):
-            yield at, i
-            at, size = i, 0
-        size += len(x)
-    if texts:
-        yield at, len(texts)
+        for piece in pieces(x):
+            if group and (size + len(piece) > CHARS or len(group) >= 1000):
+                yield group
+                group, size = [], 0
+            group.append((i, piece))
+            size += len(piece)
+    if group:
+        yield group
 
 
 class Profiles:
@@ -142,28 +161,32 @@ class Profiles:
         apart = sums - self.mean if len(langs) > 1 else sums
         self.prototypes = apart / np.maximum(np.linalg.norm(apart, axis=1, keepdims=True), 1e-12)
 
-    def cosines(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(texts x languages) cosines, and which texts have letters."""
-        *places, lettered = batch_codes(texts)
-        vectors = bundled(*places, len(texts))
-        vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
+    def cosines(self, vectors: np.ndarray) -> np.ndarray:
+        """(texts x languages) of the texts' sums of trigram vectors."""
+        vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
         if len(self.langs) > 1:
             vectors -= self.mean
             vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-        return vectors @ self.prototypes.T, lettered
+        return vectors @ self.prototypes.T
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        langs, scores = [], []
-        for a, b in groups(texts := composed(texts)):
-            cos, lettered = self.cosines(texts[a:b])
-            if not self.langs:
-                langs += [UNKNOWN] * (b - a)
-                scores += [0.0] * (b - a)
-                continue
+        langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
+        if not self.langs:
+            return langs, scores
+        open_, before = -1, np.zeros(DIMENSIONS)  # a text that goes on in the next group, and what its pieces have so far
+        for group in groups(composed(texts)):
+            numbers, own = np.unique([i for i, _ in group], return_inverse=True)
+            codes, which, owner, _ = batch_codes([x for _, x in group])
+            vectors = bundled(codes, which, own[owner], len(numbers)).astype(np.float64)
+            if numbers[0] == open_:
+                vectors[0] += before
+            open_, before = int(numbers[-1]), vectors[-1].copy()
+            cos = self.cosines(vectors)
             best = cos.argmax(axis=1)
-            top = np.clip((1 + cos[np.arange(b - a), best]) / 2, 0, 1)
-            langs += [self.langs[k] if has else UNKNOWN for k, has in zip(best, lettered, strict=True)]
-            scores += np.where(lettered, top, 0.0).tolist()
+            top = np.clip((1 + cos[np.arange(len(best)), best]) / 2, 0, 1)
+            for i, k, score, lettered in zip(numbers.tolist(), best.tolist(), top.tolist(), vectors.any(axis=1).tolist(), strict=True):
+                if lettered:
+                    langs[i], scores[i] = self.langs[k], score
         return langs, scores
 
 
@@ -174,10 +197,11 @@ def learning_sums(learn: DataFrame) -> DataFrame:
         sums: dict[str, np.ndarray] = {}
         for batch in (x for whole in batches for x in slices(iter([whole]))):
             texts, langs = composed(batch.column("text").to_pylist()), batch.column("lang").to_pylist()
-            for a, b in groups(texts):
-                names = sorted(set(langs[a:b]))
-                codes, which, owner, _ = batch_codes(texts[a:b])
-                of = np.array([names.index(x) for x in langs[a:b]])[owner]
+            for group in groups(texts):
+                own_langs = [langs[i] for i, _ in group]
+                names = sorted(set(own_langs))
+                codes, which, owner, _ = batch_codes([x for _, x in group])
+                of = np.array([names.index(x) for x in own_langs])[owner]
                 for name, own in zip(names, bundled(codes, which, of, len(names)), strict=True):
                     sums[name] = sums.get(name, 0) + own.astype(np.int64)
             if len(sums) > 64:  # many languages: hand the sums on
@@ -194,7 +218,10 @@ def learning_sums(learn: DataFrame) -> DataFrame:
 
 def learn(docs: DataFrame) -> Profiles:
     """Prototypes from every row of docs with a language."""
-    pdf = learning_sums(docs.where("lang is not null")).toPandas().sort_values(["lang", "k"])
+    sums = saved(learning_sums(docs.where("lang is not null")))
+    if (n := sums.count() // DIMENSIONS) > LANGUAGES:
+        raise ValueError(f"{n} languages, more than {LANGUAGES}")
+    pdf = sums.toPandas().sort_values(["lang", "k"])
     langs = sorted(pdf["lang"].unique())
     return Profiles(langs, pdf["n"].to_numpy(np.float64).reshape(len(langs), DIMENSIONS))
 
