@@ -4,8 +4,9 @@ Hundreds of hand-written patterns (``license_rules``) each wait behind a keyword
 that lies within one already kept goes. Everything is a map over documents: no shuffle, memory bounded by a batch of about 8 MB of text. Work
 grows with a text's length times the logarithm of its detections: places are looked up among the text's spaces, spans in a tree of largest ends.
 
-Defined cases: a null or empty text has no words and no labels (empty strings, null positions); repeated rows give repeated rows; a null
-``doc_id`` stays null; an empty table gives an empty result; other columns are not read.
+Defined cases: a null or empty text has no words and no labels (empty strings, null positions); of detections of one priority the longer goes first, then the
+earlier, then the label; repeated rows give repeated rows; a null ``doc_id`` stays null; a very long text is scanned whole by one task; an empty table gives
+an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

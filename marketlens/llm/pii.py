@@ -6,7 +6,8 @@ time. Tokens without a digit count as keys after a cue or with such a head, and
 texts are read; all is a map over documents.
 
 Defined cases: a null or empty text has no spans (for ``redacted`` a null text stays null); repeated rows give repeated rows; a null
-``doc_id`` stays null; an empty table gives an empty result; columns besides those used pass through ``redacted`` and are ignored elsewhere.
+``doc_id`` stays null; spans may overlap, and are masked together; a very long text is searched whole by one task, its lines decoded one after another; an empty
+table gives an empty result; columns besides those used, whatever their names, pass through ``redacted`` and are ignored elsewhere.
 """
 
 from __future__ import annotations
@@ -327,16 +328,16 @@ def masked(text: str, of: list[Span]) -> str:
 
 
 def find(docs: DataFrame) -> DataFrame:
-    """One row per document: counts of the base kinds, the digest of the base spans, and all spans."""
+    """One row per document: counts of the base kinds, the digest of the base spans, all spans and their number."""
     chain = model()
 
     def of_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = spans(batch.column("text").to_pylist(), chain)
         counts = [pa.array([sum(x[0] == kind for x in base) for base, _ in found], pa.int64()) for kind in KINDS]
         digests = pa.array([hashlib.sha256(joined(base).encode()).hexdigest() for base, _ in found], pa.string())
-        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, digests, pa.array([joined(x) for _, x in found], pa.string())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, digests, pa.array([joined(x) for _, x in found], pa.string()), pa.array([len(x) for _, x in found], pa.int64())], names=["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_spans"])
 
-    return mapped(id_text(docs), of_batch, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return mapped(id_text(docs), of_batch, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, n_spans long")
 
 
 def redacted(docs: DataFrame) -> DataFrame:

@@ -1,11 +1,12 @@
 """Quality rules: a linear-chain conditional random field labels a text's lines as content or boilerplate; the share of content decides.
 
 A line's features are cheap measures (length, symbols, capitals, repeats, ending) in a few bins; the field is trained on the small labelled
-table below, and Viterbi decoding runs over batches of documents. A document is kept if at least half of its characters that stand in lines with a word
+table below, and Viterbi decoding runs over batches of documents. A document is kept if at least half of the UTF-8 bytes of its lines with a word
 are content, and the base rules of word count and repeated word windows do not fail it. Everything is a map over documents.
 
-Defined cases: a null or empty text has no words, fails the base rules and is not kept; repeated rows give repeated rows; a null ``doc_id``
-stays null; an empty table gives an empty result; other columns are not read.
+Defined cases: a null or empty text has no words, fails the base rules and is not kept; of labels equally likely the first is taken; a share of exactly half
+keeps; repeated rows give repeated rows; a null ``doc_id`` stays null; a very long text is judged whole by one task; an empty table gives an empty
+result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations

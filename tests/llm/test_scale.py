@@ -234,3 +234,114 @@ def test_nearest_smaller_places():
         a = np.array(x, int)
         assert previous_smaller(a).tolist() == [max((j for j in range(i) if x[j] < x[i]), default=-1) for i in range(len(x))]
         assert next_smaller(a).tolist() == [min((j for j in range(i + 1, len(x)) if x[j] < x[i]), default=len(x)) for i in range(len(x))]
+
+
+def test_keys_with_many_rows_are_joined_apart(spark, monkeypatch):
+    from marketlens.llm import common, simhash
+
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
+    monkeypatch.setattr(common, "HOT_SHARE", 10)
+    body = [" ".join(f"{w}{k}" for k in range(40)) for w in ("a", "b", "c")]
+    rows = [(None, body[0])] * 30 + [(None, body[1])] * 5 + [(k, body[1]) for k in range(50, 60)] + [(9223372036854775807, body[2]), (9223372036854775806, body[2]), (None, ""), (-3, " ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = collections.Counter((r.doc_id, r.component_id) for r in simhash.near_groups(docs).collect())
+    assert got == collections.Counter([(None, None)] * 30 + [(None, 50)] * 5 + [(k, 50) for k in range(50, 60)] + [(9223372036854775807, 9223372036854775806), (9223372036854775806, 9223372036854775806), (None, -3), (-3, -3)])
+    star = spark.createDataFrame([(k, 0) for k in range(1, 80)] + [(k + 100, k) for k in range(1, 20)], "u long, v long")
+    assert {r.u: r.v for r in simhash.components(star).collect()} == {k: 0 for k in [*range(1, 80), *range(101, 120)]}
+
+
+def test_equal_pieces_are_dealt_to_all_blocks(spark, monkeypatch):
+    from marketlens.llm import packing
+
+    monkeypatch.setattr(packing, "BLOCK", 500)
+    docs = spark.range(20_000).selectExpr("cast(null as long) as doc_id", "'the same few words' as text")
+    rows = packing.pack(docs).groupBy((packing.F.col("sequence_id") / (1 << 32)).cast("long").alias("b")).count().collect()
+    assert len(rows) == 40 and sum(r["count"] for r in rows) == 20_000 and max(r["count"] for r in rows) < 800
+
+
+def test_toxicity_scores_are_sums_of_weights(spark):
+    from marketlens.llm import toxicity
+
+    dice = random.Random(3)
+    clean = [f"word{k}" for k in range(300)]
+    texts = [" ".join(dice.choices(clean, k=20) + (["Vile", "vilest", "horrid"] if k % 5 == 0 else [])) for k in range(400)]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(5, "another text of an id"), (None, "none")], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, 0, int(k % 5 == 0)) for k in range(0, 400, 2)], "doc_id long, quality int, toxic int")
+    model = toxicity.learn(docs, labels)
+    for text, score in zip(texts[:40], model.scores(texts[:40]), strict=True):
+        features = {f for w in toxicity.words_of(text) for f in toxicity.word_features(w)}
+        assert score == pytest.approx(1 / (1 + np.exp(-model.bias - sum(model.weights.get(f, 0.0) for f in features))))
+    assert [s >= 0.5 for s in model.scores(texts)] == [k % 5 == 0 for k in range(400)]
+    few = toxicity.learn(docs, labels, positives=20, unlabelled=30)
+    assert set(few.weights) <= {f for t in texts for w in toxicity.words_of(t) for f in toxicity.word_features(w)}
+
+
+def test_ids_behind_the_bound_are_those_with_the_least_hashes(spark):
+    from marketlens.llm import toxicity
+
+    ids = spark.range(5000).selectExpr("if(id < 2000, 7, id) as doc_id")
+    every = [r.doc_id for r in ids.distinct().selectExpr("doc_id", "xxhash64(doc_id, 2) as x").orderBy("x", "doc_id").limit(40).collect()]
+    assert sorted(r.doc_id for r in toxicity.chosen(ids, 2, 40).collect()) == sorted(every)
+
+
+@pytest.mark.parametrize("chars", [1 << 19, 50])
+def test_languages_are_those_of_the_largest_cosine(monkeypatch, chars):
+    """Against trigram vectors made one by one; also where texts go through in pieces."""
+    from marketlens.llm import language_id
+
+    monkeypatch.setattr(language_id, "CHARS", chars)
+    dice = random.Random(2)
+    texts = [" ".join("".join(dice.choices("abcdeäя漢", k=dice.randint(1, 9))) + dice.choice(["", ",", "--", "1"]) for _ in range(dice.randint(1, 60))) for _ in range(30)] + ["", None, "12 34", "a"]
+    profiles = language_id.Profiles(["x", "y", "z"], np.random.default_rng(1).normal(size=(3, language_id.DIMENSIONS)))
+    langs, scores = profiles.predict(texts)
+    for text, lang, score in zip(texts, langs, scores, strict=True):
+        letters = [ord(c) if c.isalpha() else 0 for c in f" {text or ''} "]
+        letters = [c for k, c in enumerate(letters) if c or not k or letters[k - 1]]
+        vector = np.zeros(language_id.DIMENSIONS)
+        for a, b, c in zip(letters, letters[1:], letters[2:], strict=False):
+            if b:
+                v = np.ones(language_id.DIMENSIONS)
+                for k, x in enumerate((a, b, c)):
+                    v *= np.roll(language_id.letter_vector(x), k)
+                vector += v
+        if not vector.any():
+            assert (lang, score) == ("und", 0.0)
+            continue
+        apart = vector / np.linalg.norm(vector) - profiles.mean
+        cosines = profiles.prototypes @ (apart / np.linalg.norm(apart))
+        assert lang == "xyz"[int(cosines.argmax())] and score == pytest.approx((1 + cosines.max()) / 2, abs=1e-6)
+
+
+def test_kept_is_the_share_of_content_in_the_best_labelling():
+    """Every labelling of short texts is tried."""
+    import itertools
+
+    import pyarrow as pa
+
+    from marketlens.llm import quality
+
+    chain, dice = quality.model(), random.Random(7)
+    lines = ["The road was long, and the house stood at its end under old trees.", "Home | About | Login", "BUY NOW!! CHEAP!! FREE!!", "Later.", "", "12 | 44 | 90"]
+    texts = ["\n".join(dice.choice(lines) for _ in range(dice.randint(1, 7))) + "\n" + " ".join(f"word{k}" for k in range(60)) for _ in range(40)]
+    out = quality.judge_batch(pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array(texts)], names=["doc_id", "text"]), chain).to_pylist()
+    for text, row in zip(texts, out, strict=True):
+        _, own, features, _ = quality.document(text.encode())
+        at = chain.scores(features)
+        value = lambda y: chain.start[y[0]] + sum(at[k, v] for k, v in enumerate(y)) + sum(chain.move[a, b] for a, b in itertools.pairwise(y))
+        best = max(itertools.product((0, 1), repeat=len(own)), key=value)
+        share = sum(len(x) for x, y in zip(own, best, strict=True) if y == quality.CONTENT) / sum(map(len, own))
+        assert row["content_share"] == pytest.approx(share) and row["kept"] == (not row["base_failed"] and share >= 0.5)
+
+
+def test_overlapping_spans_are_found_in_time_linear_in_a_text():
+    from marketlens.llm import pii
+
+    assert doubling(lambda x: pii.spans([x], pii.model()), lambda n: "GB29NWBK60161331926819 a@b.co +1 555 010 9999 " * n, 2000) < 3
+
+
+def test_the_pipelines_folders_go(spark, sf, tmp_path, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(corpus_pipeline, "shared_folder", lambda _: str(tmp_path))
+    assert corpus_pipeline.run(spark, sf).count() > 0
+    assert [x.name for x in next(tmp_path.iterdir()).iterdir()] == ["4-packing"]
