@@ -61,8 +61,8 @@ def sketch(of: str) -> str:
     """SQL for the cells (n, key, chk) of hashed digests."""
     empty = "named_struct('n', 0, 'key', 0L, 'chk', 0L)"
     add = "named_struct('n', s.n + 1, 'key', s.key ^ x.key, 'chk', s.chk ^ x.chk)"
-    parts = (f"transform(sequence({p * SIDE}, {p * SIDE + SIDE - 1}), i -> aggregate(filter({of}, x -> x.p{p} = i), {empty}, (s, x) -> {add}))" for p in range(PARTS))
-    return f"concat({', '.join(parts)})"
+    parts = (f"transform(sequence({p * SIDE}, {p * SIDE + SIDE - 1}), i -> aggregate(filter(q, x -> x.p{p} = i), {empty}, (s, x) -> {add}))" for p in range(PARTS))
+    return let("q", of, f"concat({', '.join(parts)})")
 
 
 def subtracted(a: str, b: str) -> str:
@@ -92,7 +92,7 @@ def dealt(a: str, b: str, parts: str, depth: int) -> str:
     A part that doesn't peel is dealt to eight; of those that don't either, other hash functions are tried, and then the digests compared as sets.
     """
     e, f, p = (f"{x}{depth}" for x in "efp")
-    tagged = lambda x, sign: f"transform({x}, z -> struct(pmod(xxhash64(z, 'part', {depth}), {parts}) as g, {sign} as s, z))"
+    tagged = lambda x, sign: f"transform({x}, z -> struct(pmod(xxhash64(z, 'part', {depth}), n{depth}) as g, {sign} as s, z))"
     own = lambda sign: f"transform(filter({p}, x -> x.s = {sign}), x -> x.z)"
     x, y = f"ab{depth}.a", f"ab{depth}.b"
     one = both(x, y, depth)
@@ -103,7 +103,7 @@ def dealt(a: str, b: str, parts: str, depth: int) -> str:
     each = let(p, f"slice({e}, i + 1, coalesce(get({f}, cast(j + 1 as int)), size({e})) - i)", let(f"ab{depth}", f"named_struct('a', {own(0)}, 'b', {own(1)})", one))
     begins = f"filter(sequence(0, size({e}) - 1), i -> i = 0 or {e}[greatest(i - 1, 0)].g <> {e}[i].g)"
     whole = let(f, begins, f"aggregate(transform({f}, (i, j) -> {each}), 0, (t, d) -> t + d)")
-    return let(e, f"sort_array(concat({tagged(a, 0)}, {tagged(b, 1)}))", whole)
+    return let(f"n{depth}", parts, let(e, f"sort_array(concat({tagged(a, 0)}, {tagged(b, 1)}))", whole))
 
 
 def likeness(a: str, b: str, sketch_a: str, sketch_b: str) -> Column:
