@@ -1,7 +1,8 @@
 """Matching competitors' listings with the reference site's, and what is built on matched groups.
 
-A listing has unit_key, ord, site, marque, modele, name, annee, prix, etat, category. Joins are on normalised keys; of several reference
-rows with one key the nearest in price is taken from an array of the key's distinct prices.
+A listing has unit_key, ord, site, marque, modele, name, annee, prix, etat, category. Joins are on product keys (brand, and model without dealers, kinds
+in front, states and colours), which rows may bring along as brand_key and model_key from where products are kept. Of several reference rows with one key the
+nearest in price is found by bisection in an array of the key's distinct prices.
 """
 
 from __future__ import annotations
@@ -9,50 +10,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import aliased_brand, deep_normalize, strip_trims
-from ..functions.values import valid_price
+from ..functions.text import product_key, strip_trims
+from ..functions.values import valid_price, year_in_text
 
 MODES = ("exact", "base", "no_year", "flexible")
 
 
-def keyed(rows: DataFrame, mode: str = "exact") -> DataFrame:
-    """Adds k_marque, k_modele (empty if there is none), k_annee. ``base`` drops trim words, ``no_year`` the year, ``flexible`` both."""
+def keyed(rows: DataFrame, mode: str = "exact", colors: bool = True) -> DataFrame:
+    """Adds k_marque, k_modele (empty if there is none), k_annee. ``base`` drops trim words, ``no_year`` the year, ``flexible`` both; ``colors`` says that colours are no part of a model.
+
+    A year that isn't given is looked for in the name.
+    """
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    model = deep_normalize(F.col("modele"))
+    if colors and {"brand_key", "model_key"} <= set(rows.columns):
+        brand, model = F.col("brand_key"), F.col("model_key")
+    else:
+        brand, model = product_key(F.col("marque"), F.col("modele"), F.col("name"), colors)
+    year = F.coalesce(F.nullif("annee", F.lit(0)), year_in_text(F.col("name")), F.lit(0)).cast("int") if "name" in rows.columns else F.coalesce("annee", F.lit(0))
     return rows.select(
         "*",
-        aliased_brand(deep_normalize(F.col("marque"))).alias("k_marque"),
+        brand.alias("k_marque"),
         (strip_trims(model) if mode in ("base", "flexible") else model).alias("k_modele"),
-        (F.lit(0) if mode in ("no_year", "flexible") else F.coalesce("annee", F.lit(0))).alias("k_annee"),
+        (F.lit(0) if mode in ("no_year", "flexible") else year).alias("k_annee"),
     )
 
 
-def nearest(prix: Column, ref_prix: Column, ref_ord: Column, ref_unit: Column) -> Column:
-    """Sorts reference candidates: priced pairs by distance, then first seen."""
-    priced = F.coalesce((prix > 0) & (ref_prix > 0), F.lit(False))
-    return F.struct((~priced).alias("a"), F.when(priced, F.abs(prix - ref_prix)).alias("b"), ref_ord.alias("c"), ref_unit.alias("d"))
-
-
 def candidates(ref: DataFrame, key: list[str]) -> DataFrame:
-    """(key, refs): the reference's rows of a key as an array, one for each distinct price (the first seen has it)."""
+    """(key, refs): the reference's rows of a key: ``priced``, one for each distinct price in its order (the first seen has it), the first seen of all, and the steps of a bisection."""
     first = F.min(F.struct("ord", "unit_key", "category")).alias("x")
-    return ref.groupBy(*key, "prix").agg(first).groupBy(*key).agg(F.collect_list(F.struct("prix", "x.ord", "x.unit_key", "x.category")).alias("refs"))
+    one = ref.groupBy(*key, "prix").agg(first).select(*key, F.struct("prix", "x.ord", "x.unit_key", "x.category").alias("r"))
+    g = one.groupBy(*key).agg(F.array_sort(F.collect_list(F.when(F.col("r.prix") > 0, F.col("r")))).alias("priced"), F.min(F.struct("r.ord", "r.unit_key", "r")).alias("first"))
+    bits = F.length(F.bin(F.size("priced").cast("long")))
+    steps = F.transform(F.sequence(F.lit(1), bits), lambda k: F.pow(F.lit(2), bits - k).cast("int"))
+    return g.select(*key, F.struct("priced", F.col("first.r").alias("first"), steps.alias("steps")).alias("refs"))
 
 
 def best_of(refs: Column, prix: Column) -> Column:
-    """The nearest of an array of candidates."""
-    ways = F.transform(refs, lambda r: F.struct(nearest(prix, r["prix"], r["ord"], r["unit_key"]).alias("order"), r.alias("r")))
-    return F.array_min(ways)["r"]
+    """The nearest of the priced candidates, of two as near the first seen; without a price on either side the first seen of all."""
+    priced = refs["priced"]
+    upto = F.aggregate(refs["steps"], F.lit(0), lambda at, step: F.when((at + step <= F.size(priced)) & (F.get(priced, at + step - 1)["prix"] <= prix), at + step).otherwise(at))
+    far = lambda r: F.struct(F.abs(prix - r["prix"]).alias("far"), r["ord"].alias("ord"), r["unit_key"].alias("unit_key"), r.alias("r"))
+    near = F.array_min(F.transform(F.filter(F.array(F.get(priced, upto - 1), F.get(priced, upto)), lambda r: r.isNotNull()), far))["r"]
+    return F.when((prix > 0) & (F.size(priced) > 0), near).otherwise(refs["first"])
 
 
-def match(rows: DataFrame, reference: int, mode: str = "exact", how: str = "inner") -> DataFrame:
+def match(rows: DataFrame, reference: int, mode: str = "exact", how: str = "inner", colors: bool = True) -> DataFrame:
     """Competitor rows with ref_unit_key, ref_prix and difference of their best reference row; ``left`` keeps those without one.
 
     The reference's side is one site's rows, reduced to an array a key, so the competitors' side is neither multiplied nor grouped again, and
     Spark can broadcast the small side if it is.
     """
-    own = keyed(rows, mode)
+    own = keyed(rows, mode, colors)
     key = ["k_marque", "k_modele", "k_annee"]
     refs = candidates(own.where((F.col("site") == reference) & (F.col("k_modele") != "")), key)
     other = own.where(F.col("site") != reference)

@@ -1,5 +1,6 @@
 """The listing view: line items as product listings of retailers (suppliers), with supplier 0 as the reference site.
 
+Brand and model keys belong to the product, so they are made once a part, before the join; a query that doesn't use them doesn't compute them.
 ``ord`` with ``unit_key`` gives the first-seen order that first-wins rules go by; it is computed row by row, never by numbering a whole table.
 """
 
@@ -8,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import product_key
+
 REFERENCE = 0
 
 
@@ -17,6 +20,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     li, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+    brand, model = product_key(F.col("p_brand"), F.concat_ws(" ", "p_type", "p_size"), F.concat_ws(" ", "p_name", "p_brand", "p_type"))
+    part = part.select("*", brand.alias("brand_key"), model.alias("model_key"))
     state = F.when(F.col("l_returnflag") == "N", "neuf").when(F.col("l_returnflag") == "R", "occasion").otherwise("demonstrateur")
     return li.join(part, li["l_partkey"] == part["p_partkey"]).select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("unit_key"),
@@ -32,6 +37,8 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linestatus").alias("disponibilite"),
         F.col("p_type").alias("category"),
         F.col("l_shipdate").alias("scraped_at"),
+        "brand_key",
+        "model_key",
     )
 
 

@@ -9,22 +9,23 @@ from ..functions.vocab import TRIMS
 from ..operators import match as m
 from ..functions.values import state_family
 from .listing import REFERENCE, SQL, listing
-from .scalars import deep
+from .scalars import deep, model_sql
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
 
 
-def keyed_sql(mode: str) -> str:
-    model = deep("modele")
+def keyed_sql(mode: str, modele: str = "modele") -> str:
+    model = model_sql(deep("shown"))
     if mode in ("base", "flexible"):
         model = f"trim(regexp_replace(regexp_replace({model}, '(?i)\\b(?:{'|'.join(TRIMS)})\\b', '', 'g'), '\\s+', ' ', 'g'))"
     year = "0" if mode in ("no_year", "flexible") else "coalesce(annee, 0)"
-    return f"{SQL}, keyed AS (SELECT *, {deep('marque')} AS k_marque, {model} AS k_modele, {year} AS k_annee FROM listing)"
+    return f"""{SQL}, offered AS (SELECT *, {modele} AS shown FROM listing), names AS (SELECT marque, shown, {deep('marque')} AS k_marque, {model} AS k_modele FROM (SELECT DISTINCT marque, shown FROM offered)),
+    keyed AS (SELECT *, {year} AS k_annee FROM offered JOIN names USING (marque, shown))"""
 
 
-def matched_sql(mode: str) -> str:
-    return f"""{keyed_sql(mode)}, pairs AS (SELECT c.*, r.unit_key AS ref_unit_key, r.prix AS ref_prix, row_number() OVER (PARTITION BY c.unit_key ORDER BY CASE WHEN c.prix > 0 AND r.prix > 0 THEN 0 ELSE 1 END,
+def matched_sql(mode: str, modele: str = "modele") -> str:
+    return f"""{keyed_sql(mode, modele)}, pairs AS (SELECT c.*, r.unit_key AS ref_unit_key, r.prix AS ref_prix, row_number() OVER (PARTITION BY c.unit_key ORDER BY CASE WHEN c.prix > 0 AND r.prix > 0 THEN 0 ELSE 1 END,
     abs(c.prix - r.prix), r.ord, r.unit_key) AS rn FROM keyed c JOIN keyed r USING (k_marque, k_modele, k_annee) WHERE c.site <> {REFERENCE} AND r.site = {REFERENCE} AND k_modele <> ''), matched AS (SELECT * FROM pairs WHERE rn = 1)"""
 
 
@@ -55,6 +56,16 @@ for _mode in m.MODES:
         return m.match(listing(spark, d), REFERENCE, mode).select("unit_key", "ref_unit_key", F.round("ref_prix", 6).alias("ref_prix"), F.round("difference", 6).alias("difference"))
 
 
+#: Models as retailers show them: kinds in front, colours, states, dealers.
+SHOWN = "concat(CASE ord % 4 WHEN 0 THEN 'VTT ' WHEN 1 THEN 'Moto sportive ' ELSE '' END, modele, CASE ord % 6 WHEN 0 THEN ' Noir usage a Laval' WHEN 1 THEN ' Rouge' WHEN 2 THEN ' pre-commande' WHEN 3 THEN ' Rive powersports' WHEN 4 THEN ' neuf, disponible chez nous' ELSE '' END)"
+
+
+@query("j1_reference_match_as_shown", matched_sql("no_year", SHOWN) + " SELECT unit_key, ref_unit_key, round(ref_prix, 6) AS ref_prix FROM matched")
+def j1s(spark: SparkSession, d: str) -> DataFrame:
+    rows = listing(spark, d).withColumn("modele", F.expr(SHOWN)).drop("brand_key", "model_key")
+    return m.match(rows, REFERENCE, "no_year").select("unit_key", "ref_unit_key", F.round("ref_prix", 6).alias("ref_prix"))
+
+
 @query(
     "j2_nearest_price_by_product",
     f"""{SQL} SELECT unit_key, ref_unit_key, round(gap, 6) AS gap FROM (SELECT c.unit_key, r.unit_key AS ref_unit_key, abs(c.prix - r.prix) AS gap, row_number() OVER (PARTITION BY c.unit_key ORDER BY abs(c.prix - r.prix), r.ord, r.unit_key) AS rn

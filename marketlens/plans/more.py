@@ -7,14 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions.text import deep_normalize
-from ..functions.vocab import COLORS
 from ..operators import html, match, merge, resolve, search, valuation
 from ..sources import readers
 from ..streaming.jobs import shared_folder
 from .listing import REFERENCE, SQL, listing, table
 from .matching import matched_sql
 from .engine import blocked_pairs
-from .scalars import deep, listed
+from .scalars import deep, model_sql
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -332,15 +331,7 @@ def v4q(spark: SparkSession, d: str) -> DataFrame:
 SHOWN = "concat(CASE p_size % 5 WHEN 0 THEN 'VTT ' WHEN 1 THEN 'Moto sportive ' WHEN 2 THEN 'cote a cote ' ELSE '' END, p_name, ' ', p_size, CASE p_size % 6 WHEN 0 THEN ' Noir usage a Laval' WHEN 1 THEN ' 50th anniversary' WHEN 2 THEN ' pre-commande' WHEN 3 THEN ' Rive Sud powersports' WHEN 4 THEN ' demo' ELSE '' END)"
 
 
-def model_sql() -> str:
-    x = deep(SHOWN)
-    for pattern in [*t.DEALER_NOISE, *t.CATEGORY_PREFIXES, t.STATE_WORDS, t.PRE_ORDER]:
-        x = f"trim(regexp_replace({x}, '{pattern}', '', 'g'))"
-    x = f"array_to_string(list_filter(string_split(trim(regexp_replace({x}, '\\s+', ' ', 'g')), ' '), lambda w: w NOT IN {listed(COLORS)}), ' ')"
-    return f"trim(regexp_replace(regexp_replace({x}, '{t.ANNIVERSARY}', '\\1 anniversaire', 'g'), '\\s+', ' ', 'g'))"
-
-
-@query("f5_product_key", f"SELECT p_partkey, {deep('p_brand')} AS brand, {model_sql()} AS model FROM part")
+@query("f5_product_key", f"SELECT p_partkey, {deep('p_brand')} AS brand, {model_sql(deep(SHOWN))} AS model FROM part")
 def f5(spark: SparkSession, d: str) -> DataFrame:
     brand, model = t.product_key(F.concat(F.lit("Marque: "), "p_brand"), F.expr(SHOWN), F.col("p_name"))
     return table(spark, d, "part").select("p_partkey", brand.alias("brand"), model.alias("model"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions import values as v
-from ..functions.vocab import ACCENTS, BRANDS, CANONICAL_BRANDS, CATEGORIES, COLORS, DEPRECIATION, TITLE_NOISE, TRIMS
+from ..functions.vocab import ACCENTS, AVAILABILITY, BRANDS, CANONICAL_BRANDS, CATEGORIES, COLORS, DEPRECIATION, PREORDERS, STATES, TITLE_NOISE, TRIMS
 from .listing import SQL, listing, table
 
 QUERIES: dict = {}
@@ -43,7 +43,15 @@ def deep(x: str) -> str:
     return f"(SELECT array_to_string(list_transform(range(1, len(w) + 1), lambda i: (CASE WHEN i > 1 AND NOT ({one('i')} AND {one('i - 1')}) THEN ' ' ELSE '' END) || w[i]), '') FROM (SELECT {w} AS w))"
 
 
-DOC_PARTS = "list_transform"
+def model_sql(x: str, colors: bool = True) -> str:
+    """DuckDB SQL of cleaned_model over SQL of a normalised model."""
+    x = f"trim(regexp_replace(concat(' ', {x}, ' '), '{t.OFFER}', ''))"
+    for name in t.DEALER_NAMES:
+        x = f"trim(regexp_replace({x}, '{name}', ''))"
+    without = lambda y, words: f"array_to_string(list_filter(string_split({y}, ' '), lambda w: w NOT IN {listed(words)}), ' ')"
+    x = without(f"regexp_replace({x}, '{t.FRONT}', '')", STATES)
+    x = f"trim(regexp_replace(regexp_replace(concat(' ', {x}, ' '), ' {t.one_of(PREORDERS)} ', ' ', 'g'), '\\s+', ' ', 'g'))"
+    return f"regexp_replace({without(x, COLORS) if colors else x}, '{t.ANNIVERSARY}', '\\1 anniversaire\\2', 'g')"
 
 
 @query("f1_deep_normalize", f"SELECT doc_id, md5({deep('text')}) AS normalized FROM documents")
@@ -70,7 +78,7 @@ def f4(spark: SparkSession, d: str) -> DataFrame:
 
 
 TAGGED = "concat(CASE p_size % 3 WHEN 0 THEN 'EN STOCK - ' WHEN 1 THEN 'Pré-commande ' ELSE '' END, p_name, CASE p_size % 2 WHEN 0 THEN ' - Sold out' ELSE ' – liquidation' END)"
-STATUS_RE2 = r"(?i)\b(?:pr[ée][\s-]?commande|pre[\s-]?order|en\s+stock|in\s+stock|disponible|available|sold\s+out|out\s+of\s+stock|indisponible|sur\s+commande|on\s+order|liquidation|clearance)\b"
+STATUS_RE2 = t.status_tags([x for x in AVAILABILITY if x.isascii() or not x.startswith("é") and not x.endswith("é")])
 
 
 @query("f6_clean_name", f"SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({TAGGED}, '{STATUS_RE2}', '', 'g'), '^[\\s\\-–—]+|[\\s\\-–—]+$', '', 'g'), '\\s[\\-–—]\\s', ' ', 'g'), '\\s{{2,}}', ' ', 'g')) AS cleaned FROM part")
