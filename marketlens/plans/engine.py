@@ -96,11 +96,6 @@ def st2(spark: SparkSession, d: str) -> DataFrame:
     return changes.price_history(snaps)
 
 
-@query("st3_price_updates", HISTORY + " SELECT site, unit_key, t, previous, prix FROM z WHERE previous <> prix")
-def st3(spark: SparkSession, d: str) -> DataFrame:
-    return st2(spark, d).where("change_type = 'price_change'").select("site", "unit_key", "t", "previous", "prix")
-
-
 # --- valuation ----------------------------------------------------------------------------------------------------------------------
 def left(age: str) -> str:
     return depreciation_sql("powersport").replace("age", f"({age})")
