@@ -87,8 +87,16 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(x, y)) / F.size(F.array_union(x, y))
 
 
+def spec_similarity(a: Column, b: Column) -> Column:
+    """Of the keys that two maps share, the part whose values are equal; 0 without shared keys."""
+    keys = F.array_intersect(F.map_keys(a), F.map_keys(b))
+    plain = lambda m, k: F.lower(F.trim(m[k]))
+    same = F.size(F.filter(keys, lambda k: plain(a, k) == plain(b, k)))
+    return F.coalesce(F.when(F.size(keys) > 0, same / F.size(keys)), F.lit(0.0))
+
+
 def scored(pairs: DataFrame) -> DataFrame:
-    """pairs with l_ and c_ brand, model, year, title, category: confidences of the three fuzzy strategies and the best, by first-reached threshold."""
+    """pairs with l_ and c_ brand, model, year, title, category, and specs if there: confidences of the three fuzzy strategies and the best, by first-reached threshold."""
     model, title = seq_ratio("l_model", "c_model"), seq_ratio("l_title", "c_title")
     x = pairs.withColumns({"model_sim": model, "title_sim": title})
     same_year = F.coalesce(F.col("l_year") == F.col("c_year"), F.lit(True))
@@ -97,6 +105,8 @@ def scored(pairs: DataFrame) -> DataFrame:
     m4 = F.col("title_sim") * 0.6 + jaccard(F.col("l_title"), F.col("c_title")) * 0.4
     year = F.coalesce(F.greatest(F.lit(0.0), 1 - F.abs(F.col("l_year") - F.col("c_year")) * 0.5), F.lit(0.5))
     m5 = (F.col("l_brand") == F.col("c_brand")).cast("double") * 0.25 + F.col("model_sim") * 0.25 + year * 0.15 + F.col("title_sim") * 0.15 + (F.col("l_category") == F.col("c_category")).cast("double") * 0.10
+    if {"l_specs", "c_specs"} <= set(pairs.columns):
+        m5 = m5 + spec_similarity(F.col("l_specs"), F.col("c_specs")) * 0.10
     x = x.withColumns({"m3": m3, "m4": F.when(m4 >= CANDIDATE, F.round(m4, 3)), "m5": F.when(m5 >= CANDIDATE, F.round(m5, 3))})
     ways = F.array(*(F.struct(F.col(m).alias("confidence"), F.lit(name).alias("method")) for m, name in (("m3", "brand_model_year"), ("m4", "title_similarity"), ("m5", "composite"))))
     known = F.filter(ways, lambda w: w["confidence"].isNotNull())
@@ -105,15 +115,21 @@ def scored(pairs: DataFrame) -> DataFrame:
     return x.withColumn("match", F.coalesce(sure, best)).where(F.col("match.confidence") >= CANDIDATE)
 
 
-def blocked(listings: DataFrame, catalog: DataFrame, most: int = 100) -> DataFrame:
-    """Pairs of one brand and category with years at most one apart; at most ``most`` candidates a listing, by catalogue id."""
-    near = listings.join(catalog, (F.col("l_brand") == F.col("c_brand")) & (F.col("l_category") == F.col("c_category")) & (F.abs(F.col("l_year") - F.col("c_year")) <= 1))
+def blocked(listings: DataFrame, catalog: DataFrame, most: int | None = None) -> DataFrame:
+    """Pairs of one brand and category with years at most one apart (listings and catalogue entries without a year meet all); with ``most``, so many candidates a listing, by catalogue id."""
+    near = listings.join(catalog, (F.col("l_brand") == F.col("c_brand")) & (F.col("l_category") == F.col("c_category")) & F.coalesce(F.abs(F.col("l_year") - F.col("c_year")) <= 1, F.lit(True)))
+    if most is None:
+        return near
     return near.withColumn("at", F.row_number().over(Window.partitionBy("l_id").orderBy("c_id"))).where(F.col("at") <= most).drop("at")
 
 
-def route(best: DataFrame) -> DataFrame:
-    """What ingestion does with each listing's best match: matched, to review, or a new product."""
-    return best.withColumn("outcome", F.when(F.col("confidence") >= AUTO, "matched").when(F.col("confidence") >= CANDIDATE, "review").otherwise("new"))
+def route(listings: DataFrame, best: DataFrame, existing: DataFrame) -> DataFrame:
+    """listings (l_id) with their best match (c_id, method, confidence) and what ingestion does: ids that exist are updated, others matched, put to review, or new products with a confidence of 1."""
+    known = existing.select("l_id").distinct().withColumn("known", F.lit(True))
+    x = listings.join(known, "l_id", "left").join(best, "l_id", "left")
+    found = F.when(F.col("known"), "updated").when(F.col("confidence") >= AUTO, "matched").when(F.col("confidence") >= CANDIDATE, "review").otherwise("new")
+    new = F.col("outcome") == "new"
+    return x.withColumn("outcome", found).select("l_id", F.when(~new, F.col("c_id")).alias("c_id"), F.when(new, "new_canonical").otherwise(F.col("method")).alias("method"), F.when(new, 1.0).otherwise(F.col("confidence")).alias("confidence"), "outcome")
 
 
 def contained(needle: str, hay: str, least: float = 0.85) -> bool:

@@ -308,19 +308,6 @@ def st4(spark: SparkSession, d: str) -> DataFrame:
     return part("annee < 1998").unionByName(part("annee >= 1998")).groupBy("product").agg(F.sum("n").alias("n"), F.round(F.sum("t"), 4).alias("total"))
 
 
-@query("st7_run_gate", "SELECT user_id, count(*) AS n FROM events WHERE ts > TIMESTAMP '2024-01-20 00:00:00' GROUP BY user_id")
-def st7(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").where(F.col("ts") > F.expr("timestamp_ntz'2024-01-20 00:00:00'")).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("st12_ping_pong", "SELECT user_id, count(*) AS n FROM (SELECT user_id, event_type, lag(event_type) OVER w AS a, lag(event_type, 2) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)) WHERE event_type = b AND event_type <> a GROUP BY user_id")
-def st12(spark: SparkSession, d: str) -> DataFrame:
-    """Changes that go back to what was before."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    e = table(spark, d, "events").select("user_id", "event_type", F.lag("event_type").over(w).alias("a"), F.lag("event_type", 2).over(w).alias("b"))
-    return e.where("event_type = b and event_type <> a").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("v4_weighted_quartiles", f"{SQL}, x AS (SELECT product, prix, 1 + site % 3 AS w, unit_key FROM listing), r AS (SELECT *, sum(w) OVER (PARTITION BY product ORDER BY prix, unit_key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rw, sum(w) OVER (PARTITION BY product) AS tw FROM x) SELECT product, min(CASE WHEN rw >= 0.25 * tw THEN prix END) AS low, min(CASE WHEN rw >= 0.75 * tw THEN prix END) AS high FROM r GROUP BY product")
 def v4q(spark: SparkSession, d: str) -> DataFrame:
     rows = listing(spark, d).withColumn("w", 1 + F.col("site") % 3)
