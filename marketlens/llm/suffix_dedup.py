@@ -40,7 +40,7 @@ GRAM = 24
 #: Bytes whose suffixes are put in order at once; a group of stretches with one anchor isn't parted.
 SUFFIXES = 4 << 20
 #: Stretches of an anchor beyond which its kinds are parted by so many more hashes.
-HOT, MINIMA = 4096, 6
+HOT, MINIMA = 1024, 6
 NULL_ID = -(1 << 63)
 
 LOW = (1 << 32) - 1
