@@ -29,7 +29,7 @@ GOLDEN = 0.6180339887498949
 #: Words in a block; where all targets together have fewer than ``LEAST_SLOTS`` blocks, smaller ones make so many.
 BLOCK, LEAST_SLOTS = 1024, 1024
 #: Distinct rows in a bucket of a source's hash range, about; slots in a stretch; copies of a row that are dealt at once.
-BUCKET, STRETCH, COPIES = 8192, 8192, 8192
+BUCKET, STRETCH, COPIES = 1024, 8192, 8192
 
 
 def word_count(text: Column) -> Column:
