@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -22,11 +24,38 @@ def latest(df: DataFrame, by: list[str], order: list[str], n: int) -> DataFrame:
     return df.withColumn("_at", F.row_number().over(w)).where(F.col("_at") <= n).drop("_at")
 
 
-def upsert_stream(batch: DataFrame, path: str, keys: list[str]) -> None:
-    """A ``foreachBatch`` sink: merges a micro-batch into a Parquet folder by writing the next version beside it and a pointer last."""
-    spark = batch.sparkSession
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
-    versions = sorted(int(s.getPath().getName()[1:]) for s in fs.listStatus(hadoop) if s.getPath().getName()[1:].isdigit()) if fs.exists(hadoop) else []
-    old = spark.read.parquet(f"{path}/v{versions[-1]}") if versions else None
-    upsert(old, batch, keys).write.parquet(f"{path}/v{versions[-1] + 1}") if versions else batch.write.parquet(f"{path}/v0")
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the finished versions of a table that ``upsert_stream`` writes, in order: those that a pointer names."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/done")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(int(x.getPath().getName()) for x in fs.listStatus(folder)) if fs.exists(folder) else []
+
+
+def current(spark: SparkSession, path: str) -> DataFrame | None:
+    """The last finished version, or None where there is none; one half written is not seen."""
+    found = versions(spark, path)
+    return spark.read.parquet(f"{path}/v{found[-1]}") if found else None
+
+
+def upsert_stream(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` sink that merges each micro-batch into a Parquet table: the version of the batch's number beside the one before, then an empty pointer file of that name.
+
+    A batch that is retried after its pointer stands changes nothing; one that broke off is written anew. Every batch rewrites the table, so it suits tables of
+    the size of a batch, not a log; versions before the last two go.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        path_of = spark._jvm.org.apache.hadoop.fs.Path
+        fs = path_of(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        found = versions(spark, path)
+        if number in found:
+            return
+        old = current(spark, path)
+        (batch if old is None else upsert(old, batch, keys)).write.mode("overwrite").parquet(f"{path}/v{number}")
+        fs.create(path_of(f"{path}/done/{number}"), True).close()
+        for gone in found[:-1]:
+            fs.delete(path_of(f"{path}/done/{gone}"), False)
+            fs.delete(path_of(f"{path}/v{gone}"), True)
+
+    return write

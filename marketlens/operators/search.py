@@ -54,7 +54,8 @@ def score(q: Query, approximate: bool = False) -> Column:
 def strict_or_relaxed(rows: DataFrame, q: Query, least: float = 0.4) -> DataFrame:
     """Strict hits of the sources that have any; of the others the approximate ones, at half the threshold. Adds score and is_approximate."""
     both = rows.withColumns({"strict": F.round(score(q), 6), "loose": F.round(score(q, True), 6)})
-    own = both.withColumn("any_strict", F.max((F.col("strict") >= least).cast("int")).over(Window.partitionBy("site")) == 1)
+    # a flag for each source, found by grouping: a source with a third of all offers is no single task
+    own = both.join(both.groupBy("site").agg((F.max((F.col("strict") >= least).cast("int")) == 1).alias("any_strict")), "site")
     kept = own.where(F.when(F.col("any_strict"), F.col("strict") >= least).otherwise(F.col("loose") >= least * RELAXED))
     return kept.withColumns({"score": F.when(F.col("any_strict"), F.col("strict")).otherwise(F.col("loose")), "is_approximate": ~F.col("any_strict")}).drop("strict", "loose", "any_strict")
 

@@ -72,5 +72,7 @@ def catalog(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
     return spark.createDataFrame([(name, len(df.columns)) for name, df in sorted(tables.items())], "table_name string, n_columns long")
 
 
-def describe(spark: SparkSession, df: DataFrame) -> DataFrame:
-    return spark.createDataFrame([(f.name, f.dataType.simpleString(), k) for k, f in enumerate(df.schema.fields)], "column_name string, type string, position int")
+def describe(spark: SparkSession, df: DataFrame, keys: tuple[str, ...] = (), defaults: dict[str, str] | None = None) -> DataFrame:
+    """Columns with type, place, whether a value is required (part of the key, or not nullable), whether part of the primary key, and the default."""
+    rows = [(f.name, f.dataType.simpleString(), k, f.name in keys or not f.nullable, f.name in keys, (defaults or {}).get(f.name)) for k, f in enumerate(df.schema.fields)]
+    return spark.createDataFrame(rows, "column_name string, type string, position int, required boolean, pk boolean, default_value string")

@@ -52,9 +52,9 @@ def s26(spark: SparkSession, d: str) -> DataFrame:
     return table_query.catalog(spark, {t: table(spark, d, t) for t in TABLES})
 
 
-@query("s27_describe_table", "SELECT column_name, CAST(row_number() OVER (ORDER BY column_index) - 1 AS INTEGER) AS position, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' ELSE 'timestamp_ntz' END AS type FROM duckdb_columns() WHERE table_name = 'lineitem'")
+@query("s27_describe_table", "SELECT column_name, CAST(row_number() OVER (ORDER BY column_index) - 1 AS INTEGER) AS position, CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int' WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' ELSE 'timestamp_ntz' END AS type, column_name IN ('l_orderkey', 'l_linenumber') AS required, column_name IN ('l_orderkey', 'l_linenumber') AS pk, CASE WHEN column_name = 'l_discount' THEN '0' END AS default_value FROM duckdb_columns() WHERE table_name = 'lineitem'")
 def s27(spark: SparkSession, d: str) -> DataFrame:
-    return table_query.describe(spark, table(spark, d, "lineitem"))
+    return table_query.describe(spark, table(spark, d, "lineitem"), ("l_orderkey", "l_linenumber"), {"l_discount": "0"})
 
 
 # --- changes ------------------------------------------------------------------------------------------------------------------------
@@ -120,12 +120,6 @@ def v6(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", F.filter(words, lambda w: F.regexp_like(F.lower("p_name"), F.concat(F.lit(r"\b"), w, F.lit(r"\b")))).alias("variants"))
 
 
-@query("v8_golden_equivalence", "SELECT o_orderkey, abs(o_totalprice - round(o_totalprice, -2)) <= 0.05 * o_totalprice AND lower(o_orderpriority) = lower(upper(o_orderpriority)) AS same FROM orders")
-def v8(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders")
-    return o.select("o_orderkey", ((F.abs(F.col("o_totalprice") - F.round("o_totalprice", -2)) <= F.col("o_totalprice") * 0.05) & (F.lower("o_orderpriority") == F.lower(F.upper("o_orderpriority")))).alias("same"))
-
-
 # --- entity resolution --------------------------------------------------------------------------------------------------------------
 def sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Parts offered under a changed name, every tenth by a brand that the catalogue hasn't, and the catalogue, which is as large as the part table."""
@@ -214,12 +208,6 @@ def s12(spark: SparkSession, d: str) -> DataFrame:
     return readers.union_of([rows.where(F.col("category") == c) for c in ("PROMO", "SMALL")], ["product"]).select("product")
 
 
-@query("s13_seed_derivation", f"{SQL} SELECT marque, string_split(modele, ' ')[1] AS seed, count(*) AS n FROM listing WHERE site = 0 GROUP BY 1, 2 ORDER BY n DESC, marque, seed LIMIT 20")
-def s13(spark: SparkSession, d: str) -> DataFrame:
-    g = listing(spark, d).where("site = 0").groupBy("marque", F.split("modele", " ")[0].alias("seed")).agg(F.count(F.lit(1)).alias("n"))
-    return g.orderBy(F.desc("n"), "marque", "seed").limit(20)
-
-
 @query("s20_upsert_sink", "SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 0 THEN 'error' ELSE 'success' END AS status, CASE WHEN s_suppkey % 3 = 0 THEN s_acctbal ELSE s_acctbal + 1 END AS value FROM supplier")
 def s20(spark: SparkSession, d: str) -> DataFrame:
     s = table(spark, d, "supplier")

@@ -78,13 +78,6 @@ def s6(spark: SparkSession, d: str) -> DataFrame:
     return items.select("doc_id", F.explode("items").alias("tag"))
 
 
-@query("s8_scraper_bridge", f"{SQL} SELECT unit_key, CASE etat WHEN 'neuf' THEN 'new' WHEN 'occasion' THEN 'used' ELSE 'demo' END AS condition, CAST(annee AS VARCHAR) AS spec_year, category AS spec_category FROM listing")
-def s8(spark: SparkSession, d: str) -> DataFrame:
-    names = F.create_map(*map(F.lit, ("neuf", "new", "occasion", "used", "demonstrateur", "demo")))
-    rows = listing(spark, d).select("unit_key", names[F.col("etat")].alias("condition"), F.create_map(F.lit("year"), F.col("annee").cast("string"), F.lit("category"), F.col("category")).alias("specs"))
-    return rows.select("unit_key", "condition", F.col("specs")["year"].alias("spec_year"), F.col("specs")["category"].alias("spec_category"))
-
-
 @query("s9_source_registry", "SELECT s_name, n_name AS region, 'site' || s_suppkey || '.example.com' AS domain FROM supplier JOIN nation ON n_nationkey = s_nationkey")
 def s9(spark: SparkSession, d: str) -> DataFrame:
     s, n = table(spark, d, "supplier"), table(spark, d, "nation")
@@ -186,13 +179,6 @@ def t1(spark: SparkSession, d: str) -> DataFrame:
     return listing(spark, d).orderBy(F.when(F.col("etat") == "neuf", 0).otherwise(1), F.desc("prix"), "unit_key").limit(40).select("unit_key")
 
 
-@query("t3_strict_suppresses_approximate", f"{SQL} SELECT site, count(*) AS n FROM (SELECT site, etat = 'neuf' AND annee = 1999 AS strict, bool_or(etat = 'neuf' AND annee = 1999) OVER (PARTITION BY site) AS some_ FROM listing) WHERE strict = some_ GROUP BY site")
-def t3(spark: SparkSession, d: str) -> DataFrame:
-    strict = (F.col("etat") == "neuf") & (F.col("annee") == 1999)
-    rows = listing(spark, d).select("site", strict.alias("strict")).withColumn("some", F.bool_or("strict").over(Window.partitionBy("site")))
-    return rows.where("strict = some").groupBy("site").agg(F.count(F.lit(1)).alias("n"))
-
-
 @query("dd2_union_dedup", matched_sql("exact") + f" SELECT kind, count(*) AS n FROM (SELECT DISTINCT unit_key, CASE WHEN l.site = {REFERENCE} THEN 'reference' WHEN x.ref_unit_key IS NULL THEN 'unmatched' ELSE 'matched' END AS kind FROM listing l LEFT JOIN (SELECT unit_key, ref_unit_key FROM matched) x USING (unit_key)) GROUP BY kind")
 def dd2(spark: SparkSession, d: str) -> DataFrame:
     return match.union_of_sites(listing(spark, d), REFERENCE).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
@@ -230,25 +216,12 @@ def f30(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", (F.col("value") / 40).alias("r")).select("event_id", F.round(F.expr(ratio_factor("r")).cast("double"), 9).alias("factor"))
 
 
-@query("f32_token_cost", "SELECT conv_id, round(sum(CASE role WHEN 'assistant' THEN 15.0 ELSE 3.0 END * length(text) / 4.0) / 1000000, 9) AS usd FROM conversations GROUP BY conv_id")
-def f32(spark: SparkSession, d: str) -> DataFrame:
-    rate = F.when(F.col("role") == "assistant", F.lit(15.0)).otherwise(F.lit(3.0))
-    return table(spark, d, "conversations").groupBy("conv_id").agg(F.round(F.sum(rate * F.length("text") / F.lit(4.0)) / 1_000_000, 9).alias("usd"))
-
-
 @query("f22_last_price_in_text", "SELECT p_partkey, TRY_CAST(regexp_extract_all(t, '([0-9]+\\.[0-9]{2}) [$]', 1)[-1] AS DOUBLE) AS price FROM (SELECT p_partkey, concat('was ', p_size, '.99 $ now ', p_size * 2, '.50 $ each') AS t FROM part)")
 def f22(spark: SparkSession, d: str) -> DataFrame:
     text = F.expr("concat('was ', p_size, '.99 $ now ', p_size * 2, '.50 $ each')")
     return table(spark, d, "part").select("p_partkey", F.element_at(F.regexp_extract_all(text, F.lit("([0-9]+\\.[0-9]{2}) [$]")), -1).try_cast("double").alias("price"))
 
 
-@query("v5_reliability", f"{SQL} SELECT product, CASE WHEN n < 4 OR s < 2 OR disp > 0.25 THEN 'low' WHEN n >= 8 AND s >= 4 AND disp < 0.1 THEN 'good' ELSE 'indicative' END AS reliability FROM (SELECT product, count(*) AS n, count(DISTINCT site) AS s, (percentile_cont(0.75) WITHIN GROUP (ORDER BY prix) - percentile_cont(0.25) WITHIN GROUP (ORDER BY prix)) / median(prix) AS disp FROM listing WHERE prix > 0 GROUP BY product)")
-def v5(spark: SparkSession, d: str) -> DataFrame:
-    g = listing(spark, d).where("prix > 0").groupBy("product").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("site").alias("s"), F.percentile("prix", [0.25, 0.5, 0.75]).alias("q"))
-    spread = (F.col("q")[2] - F.col("q")[0]) / F.col("q")[1]
-    return g.select("product", F.when((F.col("n") < 4) | (F.col("s") < 2) | (spread > 0.25), "low").when((F.col("n") >= 8) & (F.col("s") >= 4) & (spread < 0.1), "good").otherwise("indicative").alias("reliability"))
-
-
 @query("v2_strategy_by_type", "SELECT p_partkey, coalesce(s, 'lowest_minus_amount') AS strategy FROM part LEFT JOIN (VALUES ('PROMO', 'market_average'), ('SMALL', 'match_lowest')) v(t, s) ON t = p_type")
 def v2(spark: SparkSession, d: str) -> DataFrame:
     rules = F.create_map(*map(F.lit, ("PROMO", "market_average", "SMALL", "match_lowest")))

@@ -34,10 +34,6 @@ add("p1_valid_price", "SELECT unit_key, prix AS prix FROM {listing} WHERE prix >
 add("p3_minimum_price", "SELECT unit_key FROM {listing} WHERE prix >= 1")
 add("p6_non_product_url", "SELECT page_id FROM (SELECT page_id, lower(url) AS u FROM {pages}) WHERE u LIKE '%/cart%' OR u LIKE '%/login%' OR u LIKE '%/contact%' OR u LIKE '%page=%' OR u LIKE '%/tag/%' OR u LIKE '%#%'")
 add("p9_inventory_only", "SELECT unit_key FROM {listing} WHERE (etat = 'occasion' OR disponibilite = 'F') OR NOT (etat = 'neuf' AND disponibilite = 'O' AND prix IS NULL)")
-add(
-    "p10_catalogue_exclusion",
-    "SELECT unit_key FROM (SELECT unit_key, stock, max(CASE WHEN stock THEN 1 ELSE 0 END) OVER (PARTITION BY site) AS any_kept FROM (SELECT unit_key, site, disponibilite = 'F' AND etat <> 'neuf' AS stock FROM {listing})) WHERE stock OR any_kept = 0",
-)
 add("p11_facet_filter", "SELECT unit_key FROM {listing} WHERE (lower(name) LIKE '%small%' OR lower(marque) LIKE '%small%') AND annee = 1997 AND etat = 'neuf' AND prix >= 10")
 add("p12_facet_values", "SELECT 'site' AS facet, CAST(site AS VARCHAR(20)) AS value FROM {listing} GROUP BY site UNION ALL SELECT 'brand', marque FROM {listing} GROUP BY marque UNION ALL SELECT 'year', CAST(annee AS VARCHAR(20)) FROM {listing} GROUP BY annee UNION ALL SELECT 'state', etat FROM {listing} GROUP BY etat UNION ALL SELECT 'type', category FROM {listing} GROUP BY category UNION ALL SELECT 'status', disponibilite FROM {listing} GROUP BY disponibilite")
 add("p14_tab_partition", "SELECT CASE WHEN site = 0 THEN 'reference' WHEN EXISTS (SELECT 1 FROM {listing} r WHERE r.site = 0 AND r.product = l.product) THEN 'compared' ELSE 'other' END AS tab, count(*) AS n FROM {listing} l GROUP BY 1")
@@ -120,7 +116,6 @@ add("w16_retention", "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OV
 add("w17_spaced_sample", "SELECT unit_key FROM (SELECT unit_key, row_number() OVER (PARTITION BY site ORDER BY prix, unit_key) AS rn FROM {listing}) WHERE rn % 10 = 1")
 
 # --- order, top-k, dedup, sets ----------------------------------------------------------------------------------------------------
-add("t2_strict_then_relaxed", "SELECT site, unit_key FROM (SELECT site, unit_key, row_number() OVER (PARTITION BY site ORDER BY prix, unit_key) AS rn FROM (SELECT site, unit_key, prix, strict, max(strict) OVER (PARTITION BY site) AS any_kept FROM (SELECT site, unit_key, prix, CASE WHEN etat = 'neuf' AND annee = 1998 THEN 1 ELSE 0 END AS strict FROM {listing})) WHERE strict = any_kept) WHERE rn <= 3")
 add("t4_multi_key_sort", "SELECT unit_key FROM {listing} ORDER BY annee DESC, prix, unit_key LIMIT 100")
 add("t5_digest_sort", "SELECT event_id FROM {events} ORDER BY CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END, abs(value) DESC, event_id LIMIT 20")
 add("t7_queue_pop", "SELECT o_orderkey FROM {orders} WHERE o_orderstatus = 'O' ORDER BY o_orderpriority, o_orderdate, o_orderkey LIMIT 25")

@@ -7,7 +7,11 @@ from __future__ import annotations
 
 import re
 
-from .listing import SQL
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.text import fixed_mojibake
+from .listing import SQL, table
 from .relational import STEP, views
 
 QUERIES: dict = {}
@@ -294,3 +298,61 @@ add("st11_ttl", "SELECT o_custkey, max(o_orderdate) + INTERVAL 7 DAY AS expires,
 HERE = "from_utc_timestamp(ts, 'America/Toronto')"
 DUE = "SELECT user_id, event_id, ts FROM (SELECT user_id, event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM (SELECT user_id, event_id, ts, {0} AS h FROM {{events}}) WHERE h = user_id % 24) WHERE was IS NULL OR ts >= was + INTERVAL 20 HOUR"
 add("st13_local_hour", DUE.format(f"hour({HERE})"), DUE.format("hour(ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/Toronto')"))
+
+# --- flags of a site, by grouping: a site with a third of all rows is no single task ------------------------------------------------------
+STOCK = "disponibilite = 'F' AND etat <> 'neuf'"
+add("p10_catalogue_exclusion", f"SELECT unit_key FROM {{listing}} JOIN (SELECT site AS s2, max(CASE WHEN {STOCK} THEN 1 ELSE 0 END) AS any_kept FROM {{listing}} GROUP BY site) ON site = s2 WHERE ({STOCK}) OR any_kept = 0")
+STRICT = "CASE WHEN etat = 'neuf' AND annee = 1998 THEN 1 ELSE 0 END"
+add("t2_strict_then_relaxed", f"SELECT site, unit_key FROM (SELECT site, unit_key, row_number() OVER (PARTITION BY site ORDER BY prix, unit_key) AS rn FROM {{listing}} JOIN (SELECT site AS s2, max({STRICT}) AS any_kept FROM {{listing}} GROUP BY site) ON site = s2 WHERE {STRICT} = any_kept) WHERE rn <= 3")
+add("t3_strict_suppresses_approximate", "SELECT site, CASE WHEN strict > 0 THEN strict ELSE n - strict END AS n FROM (SELECT site, count(*) AS n, count(*) FILTER (WHERE etat = 'neuf' AND annee = 1999) AS strict FROM {listing} GROUP BY site)")
+
+# --- sources, scalars, valuation parts ---------------------------------------------------------------------------------------------------
+# States of scraped products, and the specs that go along.
+BRIDGE = {"neuf": "neuf", "occasion": "occasion", "demonstrateur": "demonstrateur", "usagé": "occasion", "usagee": "occasion", "certifié": "certifie"}
+SPECS = ["cylindree", "kilometrage", "couleur", "transmission", "poids"]
+SCRAPED = "CASE product % 6 WHEN 0 THEN 'Usagé' WHEN 1 THEN 'certifié' WHEN 2 THEN '' ELSE etat END"
+STATES_SQL = " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in BRIDGE.items())
+SPECS_SQL = ", ".join(f"nullif({c}, '') AS spec_{c}" for c in SPECS)
+add(
+    "s8_scraper_bridge",
+    f"SELECT unit_key, CASE lower(state) {STATES_SQL} ELSE 'inconnu' END AS condition, annee AS raw_year, {SPECS_SQL} FROM (SELECT unit_key, {SCRAPED} AS state, annee, CAST(product % 900 AS VARCHAR(9)) AS cylindree, CASE WHEN etat = 'occasion' THEN CAST(ord AS VARCHAR(20)) END AS kilometrage, CASE WHEN ord % 2 = 0 THEN 'noir' ELSE '' END AS couleur, CASE WHEN ord % 3 = 0 THEN 'manuelle' END AS transmission, '' AS poids FROM {{listing}} WHERE name <> '')",
+)
+#: Seeds of a marketplace: models of the sites whose configurations name it, brand and at most three words of the model.
+SEEDS = "SELECT lower(trim(marque)) || ' ' || {0} AS seed, count(*) AS n FROM (SELECT marque, split(lower(trim(name || ' ' || modele)), ' ') AS w FROM {{listing}} WHERE site IN (SELECT s_suppkey FROM {{supplier}} WHERE s_suppkey % 4 = 0 AND s_acctbal > 0) AND marque <> '') GROUP BY 1 ORDER BY n DESC, seed LIMIT 40"
+add("s13_seed_derivation", SEEDS.format("concat_ws(' ', try_element_at(w, 1), try_element_at(w, 2), try_element_at(w, 3))"), SEEDS.format("concat_ws(' ', w[1], w[2], w[3])").replace("split(", "string_split("))
+#: Golden values: numbers within 5 %, texts without regard to case and outer space; every third text is another.
+add("v8_golden_equivalence", "SELECT o_orderkey, abs(got - o_totalprice) <= 0.05 * abs(o_totalprice) AS same_number, lower(trim(o_orderpriority)) = lower(trim(shown)) AS same_text FROM (SELECT o_orderkey, o_totalprice, o_orderpriority, o_totalprice * (1 + (o_orderkey % 21 - 10) / 90.0) AS got, CASE o_orderkey % 3 WHEN 0 THEN ' ' || upper(o_orderpriority) || ' ' WHEN 1 THEN o_orderpriority ELSE 'other' END AS shown FROM {orders})")
+#: Texts with accents that were read as Latin-1, made by hand, so that the expected text doesn't come from the same functions.
+MENDED = {"CafÃ© glacÃ©": "Café glacé", "MontrÃ©al": "Montréal", "dÃ©jÃ\xa0": "déjà", "plain text": "plain text", "Café": "Café", "naÃ¯ve": "naïve", "lâ\x80\x99eau": "l’eau"}
+
+
+def f12(spark: SparkSession, d: str) -> DataFrame:
+    """Each document's digest behind one of the texts."""
+    shown = F.element_at(F.array(*map(F.lit, MENDED)), (F.col("doc_id") % len(MENDED) + 1).cast("int"))
+    return table(spark, d, "documents").select("doc_id", fixed_mojibake(F.concat_ws(" ", shown, F.md5("text"))).alias("repaired"))
+
+
+QUERIES["f12_fix_mojibake"] = f12
+ORACLE["f12_fix_mojibake"] = f"SELECT doc_id, concat_ws(' ', ({list(MENDED.values())})[doc_id % {len(MENDED)} + 1], md5(text)) AS repaired FROM documents"
+#: A price text's signs go; a dot before more than two digits is none; 1 to 1,000,000 count. A year is the first of 1900 to 2099.
+PRICE_TEXT = "CASE o_orderkey % 4 WHEN 0 THEN '$ ' || CAST(o_custkey AS VARCHAR(9)) || ',000.50' WHEN 1 THEN CAST(o_custkey AS VARCHAR(9)) || '.000 $' WHEN 2 THEN 'Prix: 0.25' ELSE CAST(o_custkey AS VARCHAR(9)) || '99999999' END"
+CLEANED = """SELECT o_orderkey, CASE WHEN v BETWEEN 1 AND 1000000 THEN v END AS price, km AS mileage, nullif(y, '') AS year FROM (SELECT o_orderkey, TRY_CAST(CASE WHEN contains(c, '.') AND length(regexp_extract(c, '[.]([0-9]*)$', 1)) > 2 THEN replace(c, '.', '') ELSE c END AS DOUBLE) AS v,
+    TRY_CAST(regexp_replace(k, '[^0-9]', ''{0}) AS BIGINT) AS km, regexp_extract(m, '((?:19|20)[0-9][0-9])', 1) AS y FROM (SELECT o_orderkey, regexp_replace(p, '[^0-9.]', ''{0}) AS c, k, m FROM (SELECT o_orderkey, {1} AS p, CAST(o_custkey AS VARCHAR(9)) || ' 5' || CAST(o_orderkey % 100 AS VARCHAR(3)) || ' km' AS k, 'no ' || CAST(o_custkey AS VARCHAR(9)) || ', of ' || CAST(year(o_orderdate) AS VARCHAR(4)) AS m FROM {{orders}})))"""
+add("f24_clean_mileage_year", CLEANED.format("", PRICE_TEXT), CLEANED.format(", 'g'", PRICE_TEXT))
+#: Prices in dollars for a million tokens read and written, by the beginning of the model's name; cached reading costs a tenth, caching 1.25 times.
+RATES = {"large-v2": (12.0, 60.0), "large": (15.0, 75.0), "medium": (3.0, 15.0), "small": (0.8, 4.0)}
+MODEL = "CASE conv_id % 5 WHEN 0 THEN 'large-v2-0614' WHEN 1 THEN 'large-v1' WHEN 2 THEN 'medium-3' WHEN 3 THEN 'small' ELSE 'unknown' END"
+
+
+def rate(k: int) -> str:
+    return "CASE " + " ".join(f"WHEN starts_with(model, '{p}') THEN CAST({x[k]} AS DOUBLE)" for p, x in RATES.items()) + " ELSE CAST(0 AS DOUBLE) END"
+
+
+COST = f"SELECT conv_id, model, round(CAST((got * {rate(0)} + wrote * {rate(1)} + cached * {rate(0)} * 0.1e0 + caching * {rate(0)} * 1.25e0) / 1000000 AS DOUBLE), 6) AS usd FROM (SELECT conv_id, {MODEL} AS model, sum(CASE WHEN role <> 'assistant' THEN length(text) ELSE 0 END) AS got, sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS wrote, sum(turn * 100) AS cached, sum(CASE WHEN turn = 0 THEN length(text) ELSE 0 END) AS caching FROM {{conversations}} GROUP BY conv_id)"
+add("f32_token_cost", COST.replace("starts_with(", "startswith("), COST)
+#: How sure a valuation is, by number, spread and sources of offers, and where a price stands against it.
+LEVELS = "CASE WHEN n < 4 OR s < 2 OR disp > 0.25 THEN 'low' WHEN n >= 8 AND s >= 4 AND disp < 0.1 THEN 'good' ELSE 'indicative' END AS reliability, CASE WHEN target < low THEN 'below' WHEN target > high * 1.15 THEN 'off' WHEN target > high THEN 'above' ELSE 'aligned' END AS position, round(target / mid - 1, 6) AS vs_median, round(greatest(0e0, least(100e0, (target - low) / greatest(1e0, high - low) * 100)), 6) AS marker"
+add(
+    "v5_reliability",
+    f"SELECT product, {LEVELS} FROM (SELECT product, n, s, low, mid, high, target, (high - low) / mid AS disp FROM (SELECT product, count(*) AS n, count(DISTINCT site) AS s, percentile_cont(0.25) WITHIN GROUP (ORDER BY prix) AS low, percentile_cont(0.5) WITHIN GROUP (ORDER BY prix) AS mid, percentile_cont(0.75) WITHIN GROUP (ORDER BY prix) AS high FROM {{listing}} WHERE prix > 0 GROUP BY product) JOIN (SELECT p_partkey, p_retailprice * (1 + (p_partkey % 9 - 4) / 20e0) AS target FROM {{part}}) ON p_partkey = product)",
+)

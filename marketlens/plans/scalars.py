@@ -123,13 +123,6 @@ def f11(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "part").select("p_partkey", t.model_core(t.deep_normalize(F.expr(PAINTED))).alias("core"))
 
 
-@query("f12_fix_mojibake", "SELECT doc_id, md5(text) AS repaired FROM documents")
-def f12(spark: SparkSession, d: str) -> DataFrame:
-    """Every text is broken first (UTF-8 read as Latin-1) where it can be, then repaired: the repaired text is the original."""
-    broken = F.when(F.col("text").rlike("[^\u0000-\u007f]") & ~F.col("text").rlike("[^\u0000-ÿ]"), F.decode(F.encode("text", "UTF-8"), "ISO-8859-1")).otherwise(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.md5(t.fixed_mojibake(broken)).alias("repaired"))
-
-
 LABEL = "CASE p_size % 6 WHEN 0 THEN 'Neuf' WHEN 1 THEN 'Usagé' WHEN 2 THEN 'Démo' WHEN 3 THEN 'pre-owned' WHEN 4 THEN 'brand new' ELSE '' END"
 
 
@@ -194,11 +187,6 @@ def f23(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", v.parsed_price(F.expr(WRITTEN)).alias("price"))
 
 
-@query("f24_clean_mileage_year", "SELECT o_orderkey, TRY_CAST(regexp_replace(concat(o_orderkey, ' 000 km'), '[^0-9]', '', 'g') AS BIGINT) AS mileage, TRY_CAST(regexp_extract(concat('model ', year(o_orderdate), ' x'), '\\b((?:19|20)[0-9]{2})\\b', 1) AS INTEGER) AS year FROM orders")
-def f24(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").select("o_orderkey", F.regexp_replace(F.expr("concat(o_orderkey, ' 000 km')"), "[^0-9]", "").try_cast("long").alias("mileage"), v.year_in_text(F.expr("concat('model ', year(o_orderdate), ' x')")).alias("year"))
-
-
 @query("f26_guarded_cast", "SELECT o_orderkey, CASE WHEN regexp_matches(s, '^-?[0-9.]+$') THEN TRY_CAST(s AS DOUBLE) END AS n FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN '12.5' WHEN 1 THEN '1.2.3' WHEN 2 THEN '-7' ELSE 'n/a' END AS s FROM orders)")
 def f26(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "orders").select("o_orderkey", v.guarded_number(F.expr("CASE o_orderkey % 4 WHEN 0 THEN '12.5' WHEN 1 THEN '1.2.3' WHEN 2 THEN '-7' ELSE 'n/a' END")).alias("n"))

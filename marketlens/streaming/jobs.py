@@ -15,9 +15,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all machines share; a temporary one where none is set (single-machine tests)."""
+    """The folder that all machines share; a temporary one where none is set on a single machine. A cluster must name one."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not where:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         where = tempfile.mkdtemp(prefix="marketlens-stream-")
         atexit.register(shutil.rmtree, where, ignore_errors=True)
     return f"{where}/stream-{uuid.uuid4().hex}"

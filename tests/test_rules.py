@@ -169,3 +169,21 @@ def test_nearest_price_is_the_least_distance(spark):
             both = lambda x, r=r: bool(r[7] and x[7])
             expected[r[0]] = min(refs, key=lambda x: (not both(x), abs(r[7] - x[7]) if both(x) else 0, x[1]))[0]
     assert got == expected
+
+
+def test_a_stream_of_updates_survives_retries(spark, tmp_path):
+    from marketlens.operators import merge
+
+    path, of = str(tmp_path / "t"), lambda *rows: spark.createDataFrame(list(rows), "k long, status string, v long")
+    write = merge.upsert_stream(path, ["k"])
+    now = lambda: {r.k: r.v for r in merge.current(spark, path).collect()}
+    assert merge.current(spark, path) is None
+    write(of((1, "success", 10), (2, "success", 20)), 0)
+    write(of((2, "success", 21)), 1)
+    write(of((2, "success", 99)), 1)  # a retry of a batch that was finished
+    assert now() == {1: 10, 2: 21}
+    of((7, "success", 7)).write.parquet(f"{path}/v2")  # broken off before its pointer
+    assert now() == {1: 10, 2: 21}
+    write(of((3, "success", 30)), 2)
+    write(of((1, "success", 11)), 3)
+    assert now() == {1: 11, 2: 21, 3: 30} and merge.versions(spark, path) == [2, 3]
