@@ -14,8 +14,8 @@ def text(name: str) -> Column:
 
 
 def first_of(rows: DataFrame, key: Column) -> DataFrame:
-    """Of rows of a site with one key that isn't empty, the first seen."""
-    at = F.row_number().over(Window.partitionBy("site", "_key").orderBy("ord", "unit_key"))
+    """Of rows of a site with one key that isn't empty, the first seen (of those seen at once the least by price and state)."""
+    at = F.row_number().over(Window.partitionBy("site", "_key").orderBy("ord", "unit_key", "prix", "etat"))
     keyed = rows.withColumn("_key", key)
     return keyed.where("_key <> ''").withColumn("_at", at).where("_at = 1").drop("_at").unionByName(keyed.where("_key = ''")).drop("_key")
 

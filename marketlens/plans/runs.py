@@ -42,7 +42,7 @@ def grouped_sql(by_url: bool, by_stock: bool, vin_split: bool) -> str:
     rows = f"(SELECT site, ord, unit_key, marque, name, annee, etat, {', '.join(f'{x} AS {c}' for c, x in UNIT.items())} FROM listing)"
     for wanted, of in ((by_url, "rtrim(coalesce(url, ''), '/')"), (by_stock, "coalesce(stock, '')")):
         if wanted:
-            rows = f"(SELECT * EXCLUDE (_k, _n) FROM (SELECT *, {of} AS _k, row_number() OVER (PARTITION BY site, {of} ORDER BY ord, unit_key) AS _n FROM {rows}) WHERE _k = '' OR _n = 1)"
+            rows = f"(SELECT * EXCLUDE (_k, _n) FROM (SELECT *, {of} AS _k, row_number() OVER (PARTITION BY site, {of} ORDER BY ord, unit_key, prix NULLS FIRST, etat NULLS FIRST) AS _n FROM {rows}) WHERE _k = '' OR _n = 1)"
     return f"""{SQL} SELECT site, k, count(*) AS quantity, round(min(CASE WHEN prix <> 0 THEN prix END), 6) AS prix, count(*) >= 2 AS multi_unit, array_to_string(list_concat([arg_min(url, (ord, unit_key))], coalesce(list(url ORDER BY ord, unit_key) FILTER (WHERE url <> '' AND NOT lead_), [])), ',') AS urls,
     CASE WHEN count(*) >= 2 THEN array_to_string(list(unit_key ORDER BY ord, unit_key), ',') END AS units FROM (SELECT *, row_number() OVER (PARTITION BY site, k ORDER BY ord, unit_key) = 1 AS lead_ FROM (SELECT *, {key} AS k FROM {rows})) GROUP BY site, k"""
 
