@@ -162,12 +162,20 @@ def m8(spark: SparkSession, d: str) -> DataFrame:
 
 
 # --- search -------------------------------------------------------------------------------------------------------------------------
-QUERY = search.Query(words=("blue", "anvil"), brand="brand#13", year=1997, max_price=2000.0, state="neuf")
+QUERY = search.Query(words=("blue", "anvil"), brand="brand#13", year=1997, max_price=2000.0, state="neuf", min_price=950.0, color="red", keywords=("bolt", "gear"))
 HAS_BRAND = "(lower(marque) = 'brand#13' OR contains(lower(name), 'brand#13'))"
-WORD_SQL = "0.3 * (CASE WHEN contains(lower(name), 'blue') THEN 1 ELSE 0 END + CASE WHEN contains(lower(name), 'anvil') THEN 1 ELSE 0 END) / 2 + CASE WHEN prix <= 2000 THEN 0.1 ELSE 0 END + CASE WHEN etat = 'neuf' THEN 0.1 ELSE 0 END"
-OVER_SQL = "CASE WHEN prix > 2200 THEN 0.5 ELSE 1 END"
-SCORE_SQL = f"CASE WHEN NOT {HAS_BRAND} OR abs(annee - 1997) > 1 THEN 0.0 ELSE (0.3 + CASE WHEN annee = 1997 THEN 0.2 ELSE 0.1 END + {WORD_SQL}) * {OVER_SQL} END"
-LOOSE_SQL = f"(CASE WHEN {HAS_BRAND} THEN 0.3 ELSE 0 END + CASE abs(annee - 1997) WHEN 0 THEN 0.2 WHEN 1 THEN 0.1 ELSE greatest(0.0, 0.05 - (abs(annee - 1997) - 2) * 0.005) END + {WORD_SQL}) * CASE WHEN {HAS_BRAND} THEN 1.0 ELSE 0.5 END * {OVER_SQL}"
+SHARE = "(CASE WHEN contains(lower(name), '{0}') THEN 1 ELSE 0 END + CASE WHEN contains(lower(name), '{1}') THEN 1 ELSE 0 END) / 2"
+
+
+def score_sql(year: str) -> str:
+    """Points in their order: brand, year and model, then price, colour, state and keywords."""
+    first = f"(CASE WHEN {HAS_BRAND} THEN 0.3 ELSE 0 END + {year} + 0.3 * {SHARE.format('blue', 'anvil')})"
+    priced = f"(CASE WHEN prix BETWEEN 950 AND 2000 THEN {first} + 0.1 WHEN prix > 2200 THEN {first} * 0.5 ELSE {first} END + CASE WHEN contains(lower(name), 'red') THEN 0.05 ELSE 0 END)"
+    return f"least(1.0, CASE WHEN etat = 'neuf' THEN {priced} + 0.05 ELSE {priced} * 0.7 END + 0.05 * {SHARE.format('bolt', 'gear')})"
+
+
+SCORE_SQL = f"CASE WHEN NOT {HAS_BRAND} OR abs(annee - 1997) > 1 THEN 0.0 ELSE {score_sql('CASE WHEN annee = 1997 THEN 0.2 ELSE 0.1 END')} END"
+LOOSE_SQL = f"{score_sql('CASE abs(annee - 1997) WHEN 0 THEN 0.2 WHEN 1 THEN 0.1 ELSE greatest(0.0, 0.05 - (abs(annee - 1997) - 2) * 0.005) END')} * CASE WHEN {HAS_BRAND} THEN 1.0 ELSE 0.5 END"
 
 
 @query("q4_relaxed_search", f"{SQL}, s AS (SELECT *, round({SCORE_SQL}, 6) AS st, round({LOOSE_SQL}, 6) AS lo FROM listing), o AS (SELECT *, max(CASE WHEN st >= 0.6 THEN 1 ELSE 0 END) OVER (PARTITION BY site) = 1 AS a FROM s) SELECT unit_key, CAST(CASE WHEN a THEN st ELSE lo END AS DOUBLE) AS score, NOT a AS is_approximate FROM o WHERE CASE WHEN a THEN st >= 0.6 ELSE lo >= 0.3 END")

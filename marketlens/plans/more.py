@@ -169,8 +169,8 @@ def q7(spark: SparkSession, d: str) -> DataFrame:
 
 @query("q1_parsed_query_search")
 def q1(spark: SparkSession, d: str) -> DataFrame:
-    """A free-text query, parsed on the driver, scored on the cluster (also Q3, Q8)."""
-    q = search.parse("blue anvil brand#13 1997 neuf moins de 2000", ["brand#13", "brand#1"])
+    """A free-text query, parsed on the driver, scored on the cluster."""
+    q = search.parse("blue Anvil Brand#13 1997 neuf moins de 2000", ["brand#13", "brand#1"], colors=["blue", "red"])
     return search.federated(listing(spark, d), q, 0.3).select("unit_key", "score")
 
 
@@ -360,19 +360,39 @@ def m2(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, "v").select("o_orderkey", "p_partkey")
 
 
-@query("q3_generic_scores", "SELECT p_partkey, round(least(1.0, CASE WHEN p_partkey = 7 THEN 0.5 ELSE 0 END + CASE WHEN p_brand = 'Brand#13' THEN 0.2 ELSE 0 END + 0.4 * (CASE WHEN contains(p_name, 'blue') THEN 1 ELSE 0 END + CASE WHEN contains(p_name, 'gear') THEN 1 ELSE 0 END) / 2 + CASE WHEN p_type = 'PROMO' THEN 0.1 ELSE 0 END + CASE WHEN p_retailprice <= 1000 THEN 0.1 ELSE 0 END) * CASE WHEN p_retailprice > 1200 THEN 0.5 ELSE 1 END, 6)::DOUBLE AS score FROM part")
+GENERIC = search.Query(words=("blue",), keywords=("gear",), brand="brand#13", sku="7", kind="promo", max_price=1000.0, state="neuf", generic=True)
+G_WORDS_SQL = "0.4 * (CASE WHEN contains(p_name, 'blue') THEN 1 ELSE 0 END + CASE WHEN contains(p_name, 'gear') THEN 1 ELSE 0 END) / 2"
+G_FIRST = f"(CASE WHEN p_partkey = 7 THEN 0.5 WHEN contains(lower(concat_ws(' ', p_name, p_type, p_brand, p_partkey)), '7') THEN 0.3 ELSE 0 END + CASE WHEN p_brand = 'Brand#13' THEN 0.2 ELSE 0 END + {G_WORDS_SQL} + CASE WHEN p_type = 'PROMO' THEN 0.1 ELSE 0 END)"
+
+
+@query("q3_generic_scores", f"SELECT p_partkey, round(least(1.0, CASE WHEN p_retailprice <= 1000 THEN {G_FIRST} + 0.1 WHEN p_retailprice > 1200 THEN {G_FIRST} * 0.5 ELSE {G_FIRST} END + CASE WHEN p_size % 2 = 0 THEN 0.05 ELSE 0 END), 6)::DOUBLE AS score FROM part")
 def q3(spark: SparkSession, d: str) -> DataFrame:
-    """Products without vetoes: article number, brand, words, category, price."""
-    give = search.points
-    words = (give(F.contains("p_name", F.lit("blue")), 1.0) + give(F.contains("p_name", F.lit("gear")), 1.0)) * 0.4 / 2
-    total = give(F.col("p_partkey") == 7, 0.5) + give(F.col("p_brand") == "Brand#13", 0.2) + words + give(F.col("p_type") == "PROMO", 0.1) + give(F.col("p_retailprice") <= 1000, 0.1)
-    return table(spark, d, "part").select("p_partkey", F.round(F.least(F.lit(1.0), total) * F.when(F.col("p_retailprice") > 1200, 0.5).otherwise(1.0), 6).alias("score"))
+    """Products without vetoes: article number, brand, words, category, price, state."""
+    rows = table(spark, d, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("sku"), F.col("p_name").alias("name"), F.col("p_type").alias("category"), F.col("p_brand").alias("marque"), F.col("p_retailprice").alias("prix"), F.expr("CASE WHEN p_size % 2 = 0 THEN 'neuf' ELSE 'occasion' END").alias("etat"))
+    return rows.select("p_partkey", F.round(search.score(GENERIC), 6).alias("score"))
+
+
+# Free texts, and by hand what they ask for: brand, year, first and last year, least and largest price, state, colour, kind, words, keywords, generic.
+ASKED = {
+    "Blue Anvil Brand#13 1997 neuf moins de 2000": ("brand#13", 1997, None, None, None, 2000.0, "neuf", "blue", None, "anvil", "", False),
+    "moto Kawasaky Ninja 500 2022-2024 usagé 5 000 $": ("kawasaki", None, 2022, 2024, None, 5000.0, "occasion", None, "vehicule.moto", "ninja 500", "", False),
+    "Honda CRF250R entre 4k et 8k": ("honda", None, None, None, 4000.0, 8000.0, None, None, None, "crf250r", "", False),
+    "casque intégral bluetooth min 100": (None, None, None, None, 100.0, None, None, None, None, "", "casque intégral bluetooth", True),
+}
+QUERY_TYPE = "brand string, year int, first_year int, last_year int, min_price double, max_price double, state string, color string, kind string, words string, keywords string, generic boolean"
+
+
+def literal(x: object) -> str:
+    return "NULL" if x is None else f"'{x}'" if isinstance(x, str) else str(x)
 
 
-@query("q8_evaluation_query", "SELECT 'brand#13' AS brand, 1997 AS year, 2000.0::DOUBLE AS max_price, 'neuf' AS state, 'blue anvil' AS words")
+@query("q8_evaluation_query", "SELECT * FROM (VALUES " + ", ".join(f"({literal(t)}, {', '.join(map(literal, x))})" for t, x in ASKED.items()) + f") v(asked, {', '.join(c.split()[0] for c in QUERY_TYPE.split(', '))})")
 def q8(spark: SparkSession, d: str) -> DataFrame:
-    q = search.parse("Blue anvil Brand#13 1997 neuf moins de 2000", ["brand#13"])
-    return spark.createDataFrame([(q.brand, q.year, q.max_price, q.state, " ".join(q.words))], "brand string, year int, max_price double, state string, words string")
+    out = []
+    for text in ASKED:
+        q = search.parse(text, ["brand#13", "honda", "kawasaki"], kinds={"moto": "vehicule.moto"}, colors=["blue", "red"])
+        out.append((text, q.brand, q.year, *(q.years or (None, None)), q.min_price, q.max_price, q.state, q.color, q.kind, " ".join(q.words), " ".join(q.keywords), q.generic))
+    return spark.createDataFrame(out, f"asked string, {QUERY_TYPE}")
 
 
 # --- pages and sources ------------------------------------------------------------------------------------------------------------------------
