@@ -101,17 +101,47 @@ def left(age: str) -> str:
     return depreciation_sql("powersport").replace("age", f"({age})")
 
 
+# Premiums of options, and what the query's offers and targets state beside the listing's columns; reads the same in both dialects.
+PREMIUMS = {"abs": 40.0, "sport": 400.0}
+OFFER = ["CASE WHEN ord % 7 = 0 THEN NULL ELSE (ord % 61) * 1000 END AS kilometrage", "CASE ord % 3 WHEN 0 THEN array('abs') WHEN 1 THEN array('abs', 'sport') END AS options", "(ord % 10) / 10 AS score"]
+TARGET = ["p_partkey AS product", "CASE WHEN p_partkey % 5 > 0 THEN 1998 END AS target_year", "CASE WHEN p_partkey % 4 > 0 THEN 'occasion' ELSE 'neuf' END AS target_state", "CASE WHEN p_partkey % 3 > 0 THEN 15000 END AS target_km", "CASE p_partkey % 6 WHEN 0 THEN array('abs') WHEN 1 THEN array('sport', 'heat') END AS target_options"]
+
+
+def duck(columns: list[str]) -> str:
+    return ", ".join(columns).replace("array(", "list_value(")
+
+
+def ages(year: str) -> str:
+    return f"greatest(0, 2003 - {year})"
+
+
+def km_factor(r: str) -> str:
+    return f"(CASE WHEN {r} <= 0.4 THEN 1.15 WHEN {r} < 0.7 THEN 1.15 - ({r} - 0.4) / 0.3 * 0.10 WHEN {r} < 1 THEN 1.05 - ({r} - 0.7) / 0.3 * 0.05 WHEN {r} < 1.2 THEN 1 - ({r} - 1) / 0.2 * 0.05 WHEN {r} < 1.5 THEN 0.95 - ({r} - 1.2) / 0.3 * 0.1 WHEN {r} < 2.5 THEN 0.85 - ({r} - 1.5) * 0.15 ELSE 0.7 END)"
+
+
 @query(
     "v4_evaluate_value",
-    f"""{SQL}, near AS (SELECT product, unit_key, site, prix * ({left('2003 - 1998')}) / ({left('2003 - annee')}) AS v, greatest(0.05, 0.5 * greatest(0.0, 1 - abs(annee - 1998) / 4) + 0.3 * CAST(etat = 'occasion' AS INTEGER) + 0.2) AS w FROM listing WHERE abs(annee - 1998) <= 3 AND prix > 0),
-    q AS (SELECT product, quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.5) AS m, quantile_cont(v, 0.75) AS b, count(*) AS n FROM near GROUP BY product), kept AS (SELECT near.* FROM near JOIN q USING (product) WHERE n < 6 OR abs(v - m) <= (CASE WHEN n < 10 THEN 2.5 ELSE 1.5 END) * (b - a)),
+    f"""{SQL}, offer AS (SELECT *, {duck(OFFER)} FROM listing WHERE prix > 0),
+    once AS (SELECT * FROM offer QUALIFY row_number() OVER (PARTITION BY product, name, floor(prix / 100 + 0.5), site ORDER BY ord, unit_key) = 1),
+    target AS (SELECT {duck(TARGET)} FROM part),
+    near AS (SELECT *, coalesce(options, []) AS has, coalesce(target_options, []) AS asked, len(asked) > 0 AND len(list_filter(asked, lambda o: NOT list_contains(has, o))) = 0 AS fits FROM once JOIN target USING (product) WHERE coalesce(abs(annee - target_year) <= 3, true)),
+    fitting AS (SELECT *, CASE WHEN etat = 'neuf' THEN 'neuf' WHEN etat = 'occasion' THEN 'occasion' WHEN kilometrage <= 500 THEN 'neuf' END AS state FROM (SELECT *, count(*) FILTER (WHERE fits) OVER (PARTITION BY product) AS fit FROM near) WHERE fit < 3 OR fits),
+    rated AS (SELECT *, coalesce(kilometrage, CASE WHEN state = 'neuf' THEN 0 END) / (greatest(0.5, {ages('annee')}) * 5000)::DOUBLE AS r, target_km / (greatest(0.5, {ages('coalesce(target_year, annee)')}) * 5000)::DOUBLE AS tr FROM fitting),
+    factors AS (SELECT *, CASE WHEN target_year IS NULL THEN 1.0 ELSE ({left('2003 - target_year')}) / ({left('2003 - annee')}) END AS fy, CASE WHEN tr IS NULL THEN 1.0::DOUBLE ELSE {km_factor('tr')} / (CASE WHEN r IS NULL THEN 1.0::DOUBLE ELSE {km_factor('r')} END) END AS fk, CASE WHEN state = 'neuf' AND target_state = 'occasion' THEN 0.82 WHEN state = 'occasion' AND target_state = 'neuf' THEN 1 / 0.82 ELSE 1 END::DOUBLE AS fs,
+      CASE WHEN list_contains(asked, 'abs') AND NOT list_contains(has, 'abs') THEN 40 ELSE 0 END + CASE WHEN list_contains(asked, 'sport') AND NOT list_contains(has, 'sport') THEN 400 ELSE 0 END AS extra FROM rated),
+    near2 AS (SELECT product, unit_key, site, round(greatest(prix * 0.1, least(prix * (CASE WHEN state = 'neuf' AND target_state = 'occasion' THEN 0.95 ELSE 1.2 END), prix * fy * (CASE WHEN abs(fk - 1) <= 0.005 THEN 1 ELSE fk END) * fs + least(prix * 0.3, extra))), 6) AS v,
+      CAST(round(greatest(0.05, 0.42 * score + 0.23 * (CASE WHEN target_year IS NULL THEN 0.5 ELSE greatest(0, 1 - abs(annee - target_year) / 3) END) + 0.15 * (CASE WHEN r IS NULL OR tr IS NULL THEN 0.5 ELSE greatest(0, 1 - abs(tr - r) / 1.5) END) + 0.12 * (CASE WHEN len(asked) = 0 THEN 0.5 ELSE len(list_filter(asked, lambda o: list_contains(has, o))) / len(asked) END) + 0.08 * (CASE WHEN state IS NULL THEN 0.75 WHEN state = target_state THEN 1 ELSE 0.65 END)) * 1e6) AS BIGINT) AS w FROM factors),
+    q AS (SELECT product, quantile_cont(v, 0.25) AS a, quantile_cont(v, 0.5) AS m, quantile_cont(v, 0.75) AS b, count(*) AS n FROM near2 GROUP BY product), kept AS (SELECT near2.* FROM near2 JOIN q USING (product) WHERE n < 6 OR abs(v - m) <= (CASE WHEN n < 10 THEN 2.5 ELSE 1.5 END) * (b - a) + 1e-6),
     r AS (SELECT *, sum(w) OVER (PARTITION BY product ORDER BY v, unit_key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rw, sum(w) OVER (PARTITION BY product) AS tw FROM kept),
-    p AS (SELECT product, min(CASE WHEN rw >= 0.25 * tw THEN v END) AS lo, min(CASE WHEN rw >= 0.5 * tw THEN v END) AS mid, min(CASE WHEN rw >= 0.75 * tw THEN v END) AS hi, count(*) AS n_used, count(DISTINCT site) AS n_sources FROM r GROUP BY product)
-    SELECT product, n_used, n_sources, CASE WHEN n_used >= 8 AND n_sources >= 4 AND (greatest(hi, mid * 1.1) - least(lo, mid * 0.9)) / mid <= 0.5 THEN 'high' WHEN n_used >= 4 AND n_sources >= 2 THEN 'medium' ELSE 'low' END AS reliability FROM p""",
+    p AS (SELECT product, min(CASE WHEN rw >= 0.25 * tw THEN v END) AS lo, min(CASE WHEN rw >= 0.5 * tw THEN v END) AS mid, min(CASE WHEN rw >= 0.75 * tw THEN v END) AS hi, count(*) AS n_used, count(DISTINCT site) AS n_sources FROM r GROUP BY product),
+    e AS (SELECT *, least(lo, mid * 0.9) AS low, greatest(hi, mid * 1.1) AS high FROM p)
+    SELECT product, CASE WHEN n_used >= 3 THEN round(low, 4) END AS low, CASE WHEN n_used >= 3 THEN round(mid, 4) END AS median, CASE WHEN n_used >= 3 THEN round(high, 4) END AS high, n_used, n_sources,
+      CASE WHEN n_used < 3 THEN 'insufficient' WHEN n_used < 4 OR (high - low) / mid > 0.25 OR n_sources < 2 THEN 'low' WHEN n_used >= 8 AND (high - low) / mid < 0.1 AND n_sources >= 4 THEN 'good' ELSE 'indicative' END AS reliability FROM e""",
 )
 def v4(spark: SparkSession, d: str) -> DataFrame:
-    targets = table(spark, d, "part").select(F.col("p_partkey").alias("product"), F.lit(1998).alias("target_year"), F.lit("occasion").alias("target_state"))
-    return valuation.evaluate(listing(spark, d), targets, 2003).select("product", "n_used", "n_sources", "reliability")
+    offers, targets = listing(spark, d).selectExpr("*", *OFFER), table(spark, d, "part").selectExpr(*TARGET)
+    worth = valuation.evaluate(offers, targets, 2003, PREMIUMS)
+    return worth.select("product", *(F.round(c, 4).alias(c) for c in ("low", "median", "high")), "n_used", "n_sources", "reliability")
 
 
 @query("v6_variant_detection", "SELECT p_partkey, list_filter(['anvil', 'bolt', 'gear'], lambda w: regexp_matches(lower(p_name), '\\b' || w || '\\b')) AS variants FROM part")
