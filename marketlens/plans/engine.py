@@ -81,9 +81,29 @@ def st1(spark: SparkSession, d: str) -> DataFrame:
     return detected(spark, d).withColumn("pct", F.round("pct", 6))
 
 
-@query("j7_snapshot_diff", CHANGES + " SELECT site, change_type, count(*) AS n FROM ch GROUP BY site, change_type")
+# Every fifth product is posted anew each year, so its key changes and its name stays; every seventh lists several units from 1998 on.
+KEY = "CASE WHEN product % 5 = 0 THEN concat(product, '@', annee) ELSE CAST(product AS STRING) END"
+NAMED = "(SELECT site, " + KEY.replace("STRING", "VARCHAR") + " AS unit_key, min(prix) AS prix, max(disponibilite) AS disponibilite, min(lower(name)) AS k, bool_or(product % 7 = 0 AND annee >= 1998) AS multi FROM listing WHERE annee = {0} GROUP BY 1, 2)"
+NAMED_CHANGES = f"""{SQL}, c AS (SELECT * FROM {NAMED.format(1998)}), p AS (SELECT * FROM {NAMED.format(1997)}), q AS (SELECT * FROM {NAMED.format(1996)}),
+ ln AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY site, k ORDER BY unit_key DESC) = 1),
+ cp AS (SELECT c.*, coalesce(p.prix, CASE WHEN again THEN ln.prix END) AS old, coalesce(p.disponibilite, CASE WHEN again THEN ln.disponibilite END) AS was, CASE WHEN p.unit_key IS NOT NULL THEN p.multi ELSE ln.multi END AS pm, p.unit_key IS NOT NULL OR again AS paired, ln.unit_key IS NOT NULL AND NOT ln.multi AS single
+   FROM (SELECT c.*, coalesce(p.unit_key IS NULL AND NOT c.multi AND NOT ln.multi AND (ln.site, ln.unit_key) NOT IN (SELECT site, unit_key FROM c), false) AS again FROM c LEFT JOIN p USING (site, unit_key) LEFT JOIN ln ON ln.site = c.site AND ln.k = c.k) c LEFT JOIN p USING (site, unit_key) LEFT JOIN ln ON ln.site = c.site AND ln.k = c.k),
+ ch AS (SELECT site, unit_key, CASE WHEN prix > old THEN 'price_increase' ELSE 'price_decrease' END AS change_type, old AS old_value, prix AS new_value FROM cp WHERE paired AND NOT (multi AND NOT pm) AND old >= 1 AND prix >= 1 AND old <> prix AND abs((prix - old) / old * 100) >= 2 AND abs(prix - old) >= 5
+ UNION ALL SELECT site, unit_key, 'new_product', NULL, prix FROM cp WHERE NOT paired AND prix >= 1 AND NOT (multi AND single) AND (site, unit_key) NOT IN (SELECT site, unit_key FROM q)
+ UNION ALL SELECT site, unit_key, 'removed_product', prix, NULL FROM q WHERE prix >= 1 AND (site, unit_key) NOT IN (SELECT site, unit_key FROM p) AND (site, unit_key) NOT IN (SELECT site, unit_key FROM c) AND NOT (NOT multi AND (site, k) IN (SELECT site, k FROM c))
+ UNION ALL SELECT site, min(unit_key), 'stock_change', NULL, NULL FROM cp WHERE paired AND lower(trim(disponibilite)) <> lower(trim(was)) GROUP BY site, k)"""
+
+
+@query("j7_snapshot_diff", NAMED_CHANGES + " SELECT site, unit_key, change_type, round(old_value, 6) AS old_value, round(new_value, 6) AS new_value FROM ch")
 def j7(spark: SparkSession, d: str) -> DataFrame:
-    return detected(spark, d).groupBy("site", "change_type").agg(F.count(F.lit(1)).alias("n"))
+    rows = listing(spark, d).withColumn("unit_key", F.expr(KEY))
+
+    def year(y: int) -> DataFrame:
+        own = rows.where(F.col("annee") == y).groupBy("site", "unit_key")
+        return own.agg(F.min("prix").alias("prix"), F.max("disponibilite").alias("disponibilite"), F.min("name").alias("name"), F.expr("bool_or(product % 7 = 0 and annee >= 1998)").alias("multi"))
+
+    found = changes.detect(year(1996), year(1997), year(1998), 2.0, 5.0)
+    return found.select("site", "unit_key", "change_type", F.round("old_value", 6).alias("old_value"), F.round("new_value", 6).alias("new_value"))
 
 
 HISTORY = f"""{SQL}, s AS (SELECT site, CAST(product AS VARCHAR) AS unit_key, annee AS t, min(prix) AS prix FROM listing GROUP BY site, product, annee), x AS (SELECT site, t, lag(t) OVER (PARTITION BY site ORDER BY t) AS b FROM (SELECT DISTINCT site, t FROM s)),
