@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import html
 from ..sources import readers
 from ..streaming.jobs import shared_folder
-from .listing import table
+from .listing import SQL, listing, table
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -78,7 +78,7 @@ def s16(spark: SparkSession, d: str) -> DataFrame:
     return readers.sitemap_index(spark, f"{to}/index", drop="[?#&]")
 
 
-CARD = """concat('<div class="card"><a href="/p/', p_partkey, '?from=list"><img src="', p_partkey, '.jpg">', p_name, ' number ', p_partkey, ' of ', 1990 + p_size % 30, '</a><s>$9,999.99</s> <b>1 ', 100 + p_size, ',50 $</b></div>')"""
+CARD = """concat('<div class="card"><a href="/p/', p_partkey, '?from=list"><img src="', p_partkey, '.jpg">', p_name, ' number n', p_partkey, ' of ', 1990 + p_size % 30, '</a><s>$9,999.99</s> <b>1 ', 100 + p_size, ',50 $</b></div>')"""
 
 
 def listing_pages(spark: SparkSession, d: str) -> DataFrame:
@@ -89,7 +89,7 @@ def listing_pages(spark: SparkSession, d: str) -> DataFrame:
     return cards.select("page", F.concat(F.lit(head), F.lit("<dl><dt>Mileage</dt>: <dd>"), F.format_number(F.col("page") * 777 + 1, 0), F.lit(" km</dd></dl><h2>"), "n", F.lit(" produits</h2><div>"), "cards", F.lit("</div></body></html>")).alias("html"))
 
 
-@query("h4_listing_products", "SELECT p_partkey // 25 AS page, CAST(row_number() OVER (PARTITION BY p_partkey // 25 ORDER BY p_partkey) - 1 AS INTEGER) AS position, concat(p_name, ' number ', p_partkey, ' of ', 1990 + p_size % 30) AS name, 1100 + p_size + 0.5::DOUBLE AS price, CAST(1990 + p_size % 30 AS INTEGER) AS year, concat('/p/', p_partkey, '?from=list') AS url, 'siblings' AS layer FROM part")
+@query("h4_listing_products", "SELECT p_partkey // 25 AS page, CAST(row_number() OVER (PARTITION BY p_partkey // 25 ORDER BY p_partkey) - 1 AS INTEGER) AS position, concat(p_name, ' number n', p_partkey, ' of ', 1990 + p_size % 30) AS name, 1100 + p_size + 0.5::DOUBLE AS price, CAST(1990 + p_size % 30 AS INTEGER) AS year, concat('/p/', p_partkey, '?from=list') AS url, 'siblings' AS layer FROM part")
 def h4(spark: SparkSession, d: str) -> DataFrame:
     return listing_pages(spark, d).select("page", F.explode(html.products("html")).alias("x")).select("page", "x.*")
 
@@ -125,3 +125,13 @@ PRICES = {
 def f22(spark: SparkSession, d: str) -> DataFrame:
     text = F.array(*map(F.lit, PRICES))[(F.col("o_orderkey") % len(PRICES)).cast("int")]
     return table(spark, d, "orders").select("o_orderkey", html.price_in(text).alias("price"))
+
+
+CELL = "'<td>' || replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</td>'"
+
+
+@query("s25_comparison_report", f"{SQL}, k AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY prix, ord, unit_key) AS n FROM listing) SELECT site, '<h1>Site ' || site || '</h1><table><tr><th>name</th><th>state</th><th>price</th></tr>' || string_agg('<tr>' || {CELL.format("name || ' <&>'")} || {CELL.format('etat')} || {CELL.format('CAST(CAST(floor(prix) AS BIGINT) AS VARCHAR)')} || '</tr>', '' ORDER BY n) || '</table>' AS html FROM k WHERE n <= 10 GROUP BY site")
+def s25(spark: SparkSession, d: str) -> DataFrame:
+    """The ten cheapest offers of each site as a page."""
+    columns = {"name": F.concat("name", F.lit(" <&>")), "state": F.col("etat"), "price": F.floor("prix")}
+    return html.reports(listing(spark, d), "site", F.concat(F.lit("Site "), "site"), columns, [F.col("prix"), F.col("ord"), F.col("unit_key")], 10)
