@@ -155,13 +155,13 @@ def km_factor(r: str) -> str:
     r AS (SELECT *, sum(w) OVER (PARTITION BY product ORDER BY v, unit_key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS rw, sum(w) OVER (PARTITION BY product) AS tw FROM kept),
     p AS (SELECT product, min(CASE WHEN rw >= 0.25 * tw THEN v END) AS lo, min(CASE WHEN rw >= 0.5 * tw THEN v END) AS mid, min(CASE WHEN rw >= 0.75 * tw THEN v END) AS hi, count(*) AS n_used, count(DISTINCT site) AS n_sources FROM r GROUP BY product),
     e AS (SELECT *, least(lo, mid * 0.9) AS low, greatest(hi, mid * 1.1) AS high FROM p)
-    SELECT product, CASE WHEN n_used >= 3 THEN round(low, 4) END AS low, CASE WHEN n_used >= 3 THEN round(mid, 4) END AS median, CASE WHEN n_used >= 3 THEN round(high, 4) END AS high, n_used, n_sources,
+    SELECT product, CASE WHEN n_used >= 3 THEN round(low, 8) END AS low, CASE WHEN n_used >= 3 THEN round(mid, 8) END AS median, CASE WHEN n_used >= 3 THEN round(high, 8) END AS high, n_used, n_sources,
       CASE WHEN n_used < 3 THEN 'insufficient' WHEN n_used < 4 OR (high - low) / mid > 0.25 OR n_sources < 2 THEN 'low' WHEN n_used >= 8 AND (high - low) / mid < 0.1 AND n_sources >= 4 THEN 'good' ELSE 'indicative' END AS reliability FROM e""",
 )
 def v4(spark: SparkSession, d: str) -> DataFrame:
     offers, targets = listing(spark, d).selectExpr("*", *OFFER), table(spark, d, "part").selectExpr(*TARGET)
     worth = valuation.evaluate(offers, targets, 2003, PREMIUMS)
-    return worth.select("product", *(F.round(c, 4).alias(c) for c in ("low", "median", "high")), "n_used", "n_sources", "reliability")
+    return worth.select("product", *(F.round(c, 8).alias(c) for c in ("low", "median", "high")), "n_used", "n_sources", "reliability")
 
 
 @query("v6_variant_detection", "SELECT p_partkey, list_filter(['anvil', 'bolt', 'gear'], lambda w: regexp_matches(lower(p_name), '\\b' || w || '\\b')) AS variants FROM part")
