@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language_id, licenses, mixing, packing, pii, quality, simhash, suffix_dedup, toxicity
+from . import fingerprints, language_id, licenses, mixing, ngram_join, packing, pii, quality, simhash, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_pii": pii.query,
         "op9_mixing_sources": mixing.query,
         "op10_document_fingerprints": fingerprints.query,
+        "op11_ngram_jaccard_join": ngram_join.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_ngram_jaccard_join": ngram_join.SQL}
