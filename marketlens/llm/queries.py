@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, language_id, licenses, mixing, ngram_join, packing, pii, quality, simhash, suffix_dedup, toxicity
+from . import conversation_trie, fingerprints, language_id, lexical_search, licenses, mixing, ngram_join, packing, pii, quality, simhash, suffix_dedup, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,8 +22,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_mixing_sources": mixing.query,
         "op10_document_fingerprints": fingerprints.query,
         "op11_ngram_jaccard_join": ngram_join.query,
+        "op12_conversation_trie": conversation_trie.query,
+        "op13_lexical_search": lexical_search.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_ngram_jaccard_join": ngram_join.SQL}
+    return {"op11_ngram_jaccard_join": ngram_join.SQL, "op12_conversation_trie": conversation_trie.SQL, "op13_lexical_search": lexical_search.SQL}
