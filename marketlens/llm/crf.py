@@ -6,8 +6,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 
-#: Padded positions decoded at once.
-POSITIONS = 1 << 19
+#: Padded positions decoded at once; positions of a piece of a long sequence.
+POSITIONS, CUT = 1 << 19, 128
 
 
 def logsumexp(x: np.ndarray, axis: int) -> np.ndarray:
@@ -29,9 +29,8 @@ class LinearChain:
         return np.stack([np.bincount(owner, self.emit[flat, k], len(features)) for k in range(self.emit.shape[1])], axis=1)
 
     @staticmethod
-    def padded(scores: np.ndarray, lengths: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """Groups of sequences of like length: (their numbers, their lengths, scores padded with zeros)."""
-        starts = np.cumsum(lengths) - lengths
+    def padded(scores: np.ndarray, lengths: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Groups of sequences of like length: (their numbers, their lengths, scores padded with zeros). A sequence begins at its place in ``starts``."""
         order, at = np.argsort(lengths, kind="stable"), 0
         while at < len(order):
             to = at + 1
@@ -45,23 +44,55 @@ class LinearChain:
             at = to
 
     def viterbi(self, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """The best label of each position; scores holds the sequences end to end."""
+        """The best label of each position; scores holds the sequences end to end.
+
+        A sequence longer than CUT is decoded in pieces side by side, each once for every label that may stand before it: a piece is then a
+        max-plus matrix from the label before to its last label, the matrices' product along the sequence settles the labels at the cuts, and each
+        piece is traced back from there. Time is linear in the positions, whatever the lengths.
+        """
+        n_labels = scores.shape[1]
         starts, out = np.cumsum(lengths) - lengths, np.zeros(len(scores), np.int8)
-        for which, own, x in self.padded(scores, lengths):
-            if not x.shape[1]:
-                continue
-            rows, best = np.arange(len(which)), x[:, 0] + self.start
-            back = np.zeros(x.shape, np.int8)
+        counts = -(-lengths // CUT)
+        owner = np.repeat(np.arange(len(lengths)), counts)
+        nth = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+        piece_start, piece_length = starts[owner] + nth * CUT, np.minimum(CUT, lengths[owner] - nth * CUT)
+        # a first piece begins with the start weights; a later one is decoded for each label before it
+        ways = np.where(nth == 0, 1, n_labels)
+        first_run = np.cumsum(ways) - ways
+        piece = np.repeat(np.arange(len(owner)), ways)
+        before = np.where(nth[piece] == 0, -1, np.arange(len(piece)) - first_run[piece])
+        begin, length = piece_start[piece], piece_length[piece]
+        offset = np.cumsum(length) - length
+        back, ends = np.zeros((int(length.sum()), n_labels), np.int8), np.zeros((len(piece), n_labels))
+        entry = np.concatenate([self.move, self.start[None]])  # the last row, -1, is the start
+        for which, own, x in self.padded(scores, length, begin):
+            best = x[:, 0] + entry[before[which]]
             for t in range(1, x.shape[1]):
-                ways = best[:, :, None] + self.move[None]
-                back[:, t] = ways.argmax(axis=1)
-                now = ways.max(axis=1) + x[:, t]
-                best = np.where((t < own)[:, None], now, best)
-            label = best.argmax(axis=1)
-            for t in range(x.shape[1] - 1, -1, -1):
+                steps = best[:, :, None] + self.move[None]
                 live = t < own
-                out[starts[which[live]] + t] = label[live]
-                label = np.where(live & (t > 0), back[rows, t, label], label)
+                back[offset[which[live]] + t] = steps.argmax(axis=1)[live]
+                best = np.where(live[:, None], steps.max(axis=1) + x[:, t], best)
+            ends[which] = best
+        run, label = first_run.copy(), np.zeros(len(owner), np.int64)
+        last = np.cumsum(counts) - 1
+        single = np.flatnonzero(counts == 1)
+        label[last[single]] = ends[first_run[last[single]]].argmax(axis=1)
+        for k in np.flatnonzero(counts > 1).tolist():
+            a, b = int(last[k] - counts[k] + 1), int(last[k])
+            total, came = ends[first_run[a]], np.zeros((b - a + 1, n_labels), np.int64)
+            for p in range(a + 1, b + 1):
+                paths = total[:, None] + ends[first_run[p] : first_run[p] + n_labels]
+                came[p - a], total = paths.argmax(axis=0), paths.max(axis=0)
+                total -= total.max()  # a difference is all that counts; sums of long sequences stay small
+            label[b] = total.argmax()
+            for p in range(b, a, -1):
+                label[p - 1] = came[p - a, label[p]]
+                run[p] = first_run[p] + label[p - 1]
+        for t in range(int(piece_length.max(initial=0)) - 1, -1, -1):
+            live = np.flatnonzero(t < piece_length)
+            out[piece_start[live] + t] = label[live]
+            if t:
+                label[live] = back[offset[run[live]] + t, label[live]]
         return out
 
     def fit(self, features: Sequence[Sequence[Sequence[int]]], labels: Sequence[Sequence[int]], rounds: int = 150, rate: float = 0.2, decay: float = 1e-3) -> LinearChain:

@@ -6,15 +6,18 @@ time. Tokens without a digit count as keys after a cue or with such a head, and
 texts are read; all is a map over documents.
 
 Defined cases: a null or empty text has no spans (for ``redacted`` a null text stays null); repeated rows give repeated rows; a null
-``doc_id`` stays null; spans may overlap, and are masked together; a very long text is searched whole by one task, its lines decoded one after another; an empty
-table gives an empty result; columns besides those used, whatever their names, pass through ``redacted`` and are ignored elsewhere.
+``doc_id`` stays null; spans may overlap, and are masked together; a very long text is searched whole by one task, its lines decoded in groups of about CHARS characters and a longer
+line by itself, in time linear in its length; an empty table gives an empty result; columns besides those used, whatever their names, pass through ``redacted`` and are ignored elsewhere.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from array import array
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -62,7 +65,7 @@ def base_spans(text: str) -> list[Span]:
     out = emails(text) if "@" in text else []
     if DIGIT.search(text):
         if "." in text:
-            out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(x.lstrip("0")) <= 3 and int(x) <= 255 for x in m[0].split("."))]
+            out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(x) <= 3 and int(x or "0") <= 255 for x in (y.lstrip("0") for y in m[0].split(".")))]
         for m in CARD.finditer(text):
             if len(m[0]) >= 13:
                 digits = m[0].replace(" ", "").replace("-", "")
@@ -158,8 +161,8 @@ HEAD, IBAN_HEAD, CODE = re.compile("|".join(map(re.escape, HEADS))), re.compile(
 #: What a line to decode holds. Cues are found in any case.
 SEED = re.compile("[0-9]|" + HEAD.pattern + "|(?i:" + "|".join(sorted({x for words in CUES.values() for x in words})) + ")")
 N_FEATURES = 40
-#: Characters whose tokens are held at once, or one longer text's.
-CHARS = 1 << 18
+#: Characters of the lines that are decoded together, or one longer line's; tokens whose features are held at once; the longest token that is remembered.
+CHARS, TOKENS, REMEMBERED = 1 << 18, 1 << 14, 256
 
 
 def value_of(token: str) -> tuple[int, str]:
@@ -213,9 +216,9 @@ def cue(token: str) -> int:
 
 def features(tokens: list[str]) -> list[list[int]]:
     """Shapes with cues among the three tokens before and in the token itself."""
-    cues, out = [cue(x) for x in tokens], []
+    cues, out = [(cue if len(x) <= REMEMBERED else cue.__wrapped__)(x) for x in tokens], []
     for k, token in enumerate(tokens):
-        own = list(shape(token))
+        own = list((shape if len(token) <= REMEMBERED else shape.__wrapped__)(token))
         if cues[k]:
             own.append(25 + cues[k])
         own += sorted({28 + c for c in cues[max(0, k - 3) : k] if c})
@@ -245,16 +248,15 @@ def model() -> LinearChain:
     return LinearChain(N_FEATURES, len(LABELS)).fit(lines, labels, rounds=120)
 
 
-def candidates(text: str) -> list[list[tuple[int, str]]]:
-    """Tokens (start, token) of each line that may hold something."""
-    out, m = [], SEED.search(text)
+def candidates(text: str) -> Iterator[tuple[int, int]]:
+    """Where each line that may hold something begins and ends."""
+    m = SEED.search(text)
     while m:
         start = text.rfind("\n", 0, m.start()) + 1
         end = text.find("\n", m.start())
         end = len(text) if end < 0 else end
-        out.append([(x.start(), x[0]) for x in TOKEN.finditer(text, start, end)])
+        yield start, end
         m = SEED.search(text, end)
-    return out
 
 
 def checked(iban: str) -> bool:
@@ -263,52 +265,94 @@ def checked(iban: str) -> bool:
     return 15 <= len(iban) <= 34 and iban.isascii() and iban.isalnum() and int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97 == 1
 
 
-def added_spans(texts: list[str], chain: LinearChain) -> list[list[Span]]:
-    """What the field finds in each text: keys, national numbers, and runs of tokens of an IBAN.
+class Lines:
+    """Lines of several texts, scored as they are read and decoded together: a token is two places and a row of scores."""
+
+    def __init__(self, chain: LinearChain) -> None:
+        self.chain, self.owners, self.counts, self.size = chain, [], [], 0
+        self.starts, self.ends = array("q"), array("q")
+        self.open: list[list[int]] = []
+        self.scored: list[np.ndarray] = []
+
+    def add(self, owner: int, text: str, start: int, end: int) -> None:
+        before: list[str] = []  # the three tokens that a token's features look back to
+        tokens, n = TOKEN.finditer(text, start, end), 0
+        while part := list(islice(tokens, TOKENS)):
+            words = [x[0] for x in part]
+            self.open += features([*before, *words])[len(before) :]
+            self.starts.extend([x.start() for x in part])
+            self.ends.extend([x.end() for x in part])
+            before, n = [*before, *words[-3:]][-3:], n + len(part)
+            if len(self.open) >= TOKENS:
+                self.score()
+        self.owners.append(owner)
+        self.counts.append(n)
+        self.size += end - start
+
+    def score(self) -> None:
+        self.scored.append(self.chain.scores(self.open))
+        self.open = []
+
+    def labels(self) -> np.ndarray:
+        self.score()
+        return self.chain.viterbi(np.concatenate(self.scored), np.array(self.counts, np.int64))
+
+
+def told(text: str, starts: Sequence[int], ends: Sequence[int]) -> bool:
+    """Whether a cue or a head says that the last of these tokens is a key."""
+    return not {29, 35, 36, 38}.isdisjoint(features([text[a:b] for a, b in zip(starts, ends, strict=True)])[-1])
+
+
+def collect(lines: Lines, texts: list[str], found: list[list[Span]]) -> None:
+    """Adds the spans of the decoded lines: keys, national numbers, and runs of tokens of an IBAN.
 
     A token without a digit is a key if a cue or a head says so; in an IBAN it lies between others, or the check digits hold with it.
     """
-    found: list[list[Span]] = [[] for _ in texts]
-    lines = [(k, tokens) for k, text in enumerate(texts) for tokens in candidates(text)]
-    flat = [f for _, tokens in lines for f in features([x for _, x in tokens])]
-    labels = chain.viterbi(chain.scores(flat), np.array([len(x) for _, x in lines], np.int64))
-    at = 0
-    for k, tokens in lines:
-        last = 0
-        for j in np.flatnonzero(labels[at : at + len(tokens)]).tolist():
-            (start, token), label = tokens[j], int(labels[at + j])
-            if j and not labels[at + j - 1]:
+    labels, at = lines.labels(), 0
+    for k, count in zip(lines.owners, lines.counts, strict=True):
+        last, text = 0, texts[k]
+        for j in (at + np.flatnonzero(labels[at : at + count])).tolist():
+            label, token = int(labels[j]), text[lines.starts[j] : lines.ends[j]]
+            if j > at and not labels[j - 1]:
                 last = 0
             offset, value = value_of(token)
-            span = (LABELS[label], start + offset, start + offset + len(value))
-            whole = last == label == 2
-            if DIGIT.search(token) or label == 1 and not {29, 35, 36, 38}.isdisjoint(flat[at + j]):
+            start = lines.starts[j] + offset
+            span = (LABELS[label], start, start + len(value))
+            whole, since = last == label == 2, max(at, j - 3)
+            if DIGIT.search(token) or label == 1 and told(text, lines.starts[since : j + 1], lines.ends[since : j + 1]):
                 if whole:
                     found[k][-1] = (span[0], found[k][-1][1], span[2])
                 else:
                     found[k].append(span)
                 last = label
             elif whole:
-                if checked(texts[k][found[k][-1][1] : span[2]]):
+                if checked(text[found[k][-1][1] : span[2]]):
                     found[k][-1] = (span[0], found[k][-1][1], span[2])
             else:
                 last = 0
-        at += len(tokens)
+        at += count
+
+
+def added_spans(texts: list[str], chain: LinearChain) -> list[list[Span]]:
+    """What the field finds in each text, its lines decoded in groups of about CHARS characters."""
+    found: list[list[Span]] = [[] for _ in texts]
+    lines = Lines(chain)
+    for k, text in enumerate(texts):
+        for start, end in candidates(text):
+            lines.add(k, text, start, end)
+            if lines.size > CHARS:
+                collect(lines, texts, found)
+                lines = Lines(chain)
+    collect(lines, texts, found)
     return found
 
 
 def spans(texts: list[str], chain: LinearChain) -> list[tuple[list[Span], list[Span]]]:
     """(base spans, all spans) of each text; added spans may overlap base ones."""
-    found: list[list[Span]] = []
-    while len(found) < len(texts):
-        at, size = len(found), 0
-        to = next((k for k in range(at, len(texts)) if (size := size + len(texts[k])) > CHARS and k > at), len(texts))
-        found += added_spans(texts[at:to], chain)
-    out = []
-    for text, added in zip(texts, found, strict=True):
+    out, order = [], {kind: k for k, kind in enumerate(KINDS)}
+    for text, added in zip(texts, added_spans(texts, chain), strict=True):
         base = base_spans(text)
         more = [x for x in added if x[1] < x[2]]
-        order = {kind: k for k, kind in enumerate(KINDS)}
         out.append((base, sorted(base + more, key=lambda x: (order.get(x[0], len(KINDS)), x[0], x[1], x[2]))))
     return out
 
