@@ -5,13 +5,14 @@ by its place; a text's vector bundles (adds) those of its trigrams, and a langua
 text gets the language whose prototype, less the mean of all prototypes, has the largest cosine with the text's vector, less the same mean.
 
 Since bundling is a sum, a text's vector is its trigram counts times the trigrams' vectors: counts are integers per batch, and one matrix
-product gives a batch of texts. Learning reads all learning texts once and shuffles only sums of vectors; what reaches the driver is
-``DIMENSIONS`` numbers for each of at most ``LANGUAGES`` languages, whatever their scripts. Texts are read whole, in pieces of about ``CHARS`` code points,
+product gives a batch of texts. Learning reads all learning texts once and shuffles only sums of vectors; they pass through the driver in order of
+language, one partition at a time, and go out in broadcasts of ``LANGUAGES`` prototypes each, which a text meets one after another, so that neither the
+driver nor a task holds more than one at a time, however many languages there are. Texts are read whole, in pieces of about ``CHARS`` code points,
 cut where no letter stands; a run of letters longer than a piece is cut within, which splits the one trigram over each cut.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0; learning skips null ``lang``; without learning rows every
 language is ``und``; of languages that fit a text equally the first in order is taken; repeated rows give repeated rows; a null ``doc_id`` is treated as held out; an empty
-table gives an empty result; more than LANGUAGES languages raise an error; other columns, whatever their names, are not read.
+table gives an empty result; other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -40,8 +41,8 @@ SPARSE = 16
 FOLDS, HELD = 3, 1
 #: Code points that are counted at once, about.
 CHARS = 1 << 19
-#: Languages whose sums go to the driver, at most: 8 kB each.
-LANGUAGES = 20_000
+#: Languages in one broadcast, 8 kB each.
+LANGUAGES = 2048
 
 
 @lru_cache(maxsize=1)
@@ -151,27 +152,69 @@ def groups(texts: list[str]) -> Iterator[list[tuple[int, str]]]:
         yield group
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+
+
 class Profiles:
-    """Languages in order and their prototypes."""
+    """Languages in order and their prototypes, in parts: lists of languages with their prototypes, or broadcasts of such."""
 
     def __init__(self, langs: list[str], sums: np.ndarray):
-        self.langs = langs
+        self.several = len(langs) > 1
         sums = sums / np.maximum(1, np.linalg.norm(sums, axis=1, keepdims=True))
         self.mean = sums.mean(axis=0) if langs else np.zeros(DIMENSIONS)
-        apart = sums - self.mean if len(langs) > 1 else sums
-        self.prototypes = apart / np.maximum(np.linalg.norm(apart, axis=1, keepdims=True), 1e-12)
-
-    def cosines(self, vectors: np.ndarray) -> np.ndarray:
-        """(texts x languages) of the texts' sums of trigram vectors."""
-        vectors = vectors / np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-        if len(self.langs) > 1:
-            vectors -= self.mean
-            vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
-        return vectors @ self.prototypes.T
+        self.parts: list = [(langs, unit(sums - self.mean if self.several else sums))] if langs else []
+
+    @classmethod
+    def of(cls, frame: DataFrame) -> Profiles:
+        """From rows (lang, sums) in order of language."""
+        spark, own = frame.sparkSession, cls([], np.zeros((0, DIMENSIONS)))
+
+        def parts() -> Iterator[tuple[list[str], np.ndarray]]:
+            langs, sums = [], []
+            for row in frame.toLocalIterator():
+                langs.append(row.lang)
+                sums.append(np.array(row.sums, np.float64))
+                if len(langs) == LANGUAGES:
+                    yield langs, np.stack(sums)
+                    langs, sums = [], []
+            if langs:
+                yield langs, np.stack(sums)
+
+        n, total = 0, np.zeros(DIMENSIONS)
+        for langs, sums in parts():
+            n, total = n + len(langs), total + (sums / np.maximum(1, np.linalg.norm(sums, axis=1, keepdims=True))).sum(axis=0)
+        own.several, own.mean = n > 1, total / max(1, n)
+        for langs, sums in parts():
+            sums /= np.maximum(1, np.linalg.norm(sums, axis=1, keepdims=True))
+            own.parts.append(spark.sparkContext.broadcast((langs, unit(sums - own.mean if own.several else sums))))
+        return own
+
+    @property
+    def prototypes(self) -> np.ndarray:
+        return np.concatenate([(part if isinstance(part, tuple) else part.value)[1] for part in self.parts])
+
+    def nearest(self, vectors: np.ndarray) -> tuple[list[str], np.ndarray]:
+        """Of each text's sum of trigram vectors the language with the largest cosine, the first in order of equals, and the cosine."""
+        vectors = unit(vectors)
+        if self.several:
+            vectors = unit(vectors - self.mean)
+        langs, best = [UNKNOWN] * len(vectors), np.full(len(vectors), -np.inf)
+        for part in self.parts:
+            names, prototypes = part if isinstance(part, tuple) else part.value
+            cos = vectors @ prototypes.T
+            at = cos.argmax(axis=1)
+            top = cos[np.arange(len(at)), at]
+            for k in np.flatnonzero(top > best).tolist():
+                langs[k] = names[at[k]]
+            best = np.maximum(best, top)
+            if len(self.parts) > 1 and not isinstance(part, tuple):
+                part.__dict__.pop("_value", None)  # read again for the next texts: one part at a time is held
+        return langs, best
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         langs, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        if not self.langs:
+        if not self.parts:
             return langs, scores
         open_, before = -1, np.zeros(DIMENSIONS)  # a text that goes on in the next group, and what its pieces have so far
         for group in groups(composed(texts)):
@@ -181,12 +224,11 @@ class Profiles:
             if numbers[0] == open_:
                 vectors[0] += before
             open_, before = int(numbers[-1]), vectors[-1].copy()
-            cos = self.cosines(vectors)
-            best = cos.argmax(axis=1)
-            top = np.clip((1 + cos[np.arange(len(best)), best]) / 2, 0, 1)
-            for i, k, score, lettered in zip(numbers.tolist(), best.tolist(), top.tolist(), vectors.any(axis=1).tolist(), strict=True):
+            names, cos = self.nearest(vectors)
+            top = np.clip((1 + cos) / 2, 0, 1)
+            for i, name, score, lettered in zip(numbers.tolist(), names, top.tolist(), vectors.any(axis=1).tolist(), strict=True):
                 if lettered:
-                    langs[i], scores[i] = self.langs[k], score
+                    langs[i], scores[i] = name, score
         return langs, scores
 
 
@@ -218,20 +260,16 @@ def learning_sums(learn: DataFrame) -> DataFrame:
 
 def learn(docs: DataFrame) -> Profiles:
     """Prototypes from every row of docs with a language."""
-    sums = saved(learning_sums(docs.where("lang is not null")))
-    if (n := sums.count() // DIMENSIONS) > LANGUAGES:
-        raise ValueError(f"{n} languages, more than {LANGUAGES}")
-    pdf = sums.toPandas().sort_values(["lang", "k"])
-    langs = sorted(pdf["lang"].unique())
-    return Profiles(langs, pdf["n"].to_numpy(np.float64).reshape(len(langs), DIMENSIONS))
+    sums = learning_sums(docs.where("lang is not null"))
+    whole = sums.groupBy("lang").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "n"))), lambda x: x["n"]).alias("sums"))
+    return Profiles.of(saved(whole.orderBy("lang")))
 
 
 def identify(docs: DataFrame, profiles: Profiles) -> DataFrame:
     """(doc_id, lang_pred, score) for each row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(profiles)
 
     def of_batch(batch: pa.RecordBatch) -> pa.RecordBatch:
-        langs, scores = shared.value.predict(batch.column("text").to_pylist())
+        langs, scores = profiles.predict(batch.column("text").to_pylist())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return mapped(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), of_batch, "doc_id long, lang_pred string, score double")

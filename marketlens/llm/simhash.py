@@ -22,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, id_text, joined, mapped, raw, saved
@@ -214,7 +214,7 @@ def first_of_each(docs: DataFrame) -> DataFrame:
     least = named(prints, ["doc_id", "h"]).where("first is not null").select(F.col("first.doc_id").alias("named_id"), F.col("first.h").alias("named_h")).distinct()
     row = docs.where("doc_id is not null").select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("own_id"), text_hash())
     own = row.join(least, (F.col("own_id") == F.col("named_id")) & (F.col("h") == F.col("named_h")), "left_semi")
-    kept = own.withColumn("at", F.row_number().over(Window.partitionBy("own_id", "h").orderBy(F.isnull("row.text")))).where("at = 1").select("row.*")
+    kept = own.groupBy("own_id", "h").agg(F.min_by("row", F.isnull("row.text")).alias("row")).select("row.*")
     return kept.unionByName(docs.where("doc_id is null"))
 
 

@@ -142,10 +142,11 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def chosen(ids: DataFrame, salt: int, most: int) -> DataFrame:
-    """At most so many of the ids, those with the least hashes; where there are many more, a bound on the hash leaves about four times as many to order."""
-    n, order = ids.count(), F.xxhash64("doc_id", F.lit(salt))
-    near = ids.where(F.shiftrightunsigned(order.bitwiseXOR(F.lit(-1 << 63)), 1) <= int((1 << 63) * 4 * most / n)) if n > 8 * most else ids
-    return near.distinct().orderBy(order, "doc_id").limit(most)
+    """At most so many of the distinct ids, those with the least hashes; where there are many more, a bound on the hash leaves about four times as many to order."""
+    own = saved(ids.distinct())
+    n, order = own.count(), F.xxhash64("doc_id", F.lit(salt))
+    near = own.where(F.shiftrightunsigned(order.bitwiseXOR(F.lit(-1 << 63)), 1) <= int((1 << 63) * 4 * most / n)) if n > 8 * most else own
+    return near.orderBy(order, "doc_id").limit(most)
 
 
 def learn(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabelled: int = UNLABELLED) -> Toxicity:

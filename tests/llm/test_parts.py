@@ -300,3 +300,87 @@ def test_the_mix_is_interleaved(spark):
     assert order == [r.source for r in sorted(rows, key=lambda r: (r.slot, r.source, r["rank"], r.offset))]
     first, second = order[: len(order) // 3], order[len(order) // 3 : 2 * len(order) // 3]
     assert len(set(slots.values())) == 3 and all(0.5 < (first.count(x) + 1) / (second.count(x) + 1) < 2 for x in "abc")
+
+
+def test_long_sequences_decode_as_in_one_piece():
+    """Against step-by-step decoding, with lengths on both sides of a cut."""
+    dice = np.random.default_rng(3)
+    for n_labels in (2, 4):
+        chain = crf.LinearChain(1, n_labels)
+        chain.move, chain.start = dice.normal(size=(n_labels, n_labels)), dice.normal(size=n_labels)
+        lengths = np.array([0, 1, crf.CUT - 1, crf.CUT, crf.CUT + 1, 0, 5 * crf.CUT, 1000, 2])
+        scores = dice.normal(size=(int(lengths.sum()), n_labels))
+        got, at = chain.viterbi(scores, lengths), 0
+        for n in lengths.tolist():
+            x, back = scores[at : at + n], []
+            best = x[0] + chain.start if n else None
+            for k in range(1, n):
+                ways = best[:, None] + chain.move
+                back.append(ways.argmax(axis=0))
+                best = ways.max(axis=0) + x[k]
+            path = [int(best.argmax())] if n else []
+            for step in reversed(back):
+                path.append(int(step[path[-1]]))
+            assert got[at : at + n].tolist() == path[::-1]
+            at += n
+
+
+def test_a_long_line_costs_what_short_lines_cost():
+    import time
+    import tracemalloc
+
+    from marketlens.llm import pii
+
+    line = "alpha 12 beta takes abcd9 more words here " * 25_000
+    pii.spans([line[:1000]], pii.model())
+    took = []
+    for text in (line, line.replace("more ", "more\n")):
+        began = time.process_time()
+        pii.spans([text], pii.model())
+        took.append(time.process_time() - began)
+    assert took[0] < 1.5 * took[1]
+    tracemalloc.start()
+    pii.spans([line * 3], pii.model())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 30 * len(line) * 3
+
+
+@pytest.mark.parametrize("text", ["0" * 5000 + "1.1.1.1", "1." + "0" * 5000 + "1.1.1"])
+def test_an_address_with_thousands_of_leading_zeros(text):
+    from marketlens.llm import pii
+
+    assert pii.base_spans(text)[0] == ("ip", 0, len(text))
+    assert ("ip", 0, len(text)) in pii.spans([text], pii.model())[0][1]
+
+
+@pytest.mark.parametrize("n_ids", [100, 50_000])
+def test_repeated_ids_leave_the_sample_whole(spark, n_ids):
+    """The ids with the least hashes, however often each is repeated."""
+    from pyspark.sql import functions as F
+
+    from marketlens.llm import toxicity
+
+    ids = spark.range(500_000).select((F.col("id") % n_ids).alias("doc_id"))
+    got = [r.doc_id for r in toxicity.chosen(ids, 2, 6000).collect()]
+    order = spark.range(n_ids).select(F.col("id").alias("doc_id"), F.xxhash64("id", F.lit(2)).alias("h")).orderBy("h", "doc_id").limit(6000)
+    assert got == [r.doc_id for r in order.collect()]
+
+
+def test_languages_beyond_one_broadcast(spark, monkeypatch):
+    """Profiles in parts give what they give in one, and a great many languages are no error."""
+    from pyspark.sql import functions as F
+
+    from marketlens.llm import language_id
+
+    texts = [("".join(chr(97 + (k * 7 + j * j) % 26) for j in range(3 + k % 5)) + f" {'xyz' * (k % 3)}", f"l{k % 60:02d}") for k in range(120)]
+    docs = spark.createDataFrame([(k, t, lang) for k, (t, lang) in enumerate(texts)], "doc_id long, text string, lang string")
+    whole = language_id.learn(docs)
+    monkeypatch.setattr(language_id, "LANGUAGES", 7)
+    parts = language_id.learn(docs)
+    assert len(parts.parts) == 9 and np.allclose(parts.prototypes, whole.prototypes)
+    assert parts.predict([t for t, _ in texts]) == whole.predict([t for t, _ in texts])
+    monkeypatch.setattr(language_id, "LANGUAGES", 2048)
+    many = spark.range(25_000).select(F.transform(F.sequence(F.lit(0), F.lit(language_id.DIMENSIONS - 1)), lambda k: (F.xxhash64("id", k) % 100).cast("long")).alias("sums"), F.format_string("%06d", "id").alias("lang")).orderBy("lang")
+    own = language_id.Profiles.of(many)
+    assert sum(len(x.value[0]) for x in own.parts) == 25_000 and len(own.parts) == 13
