@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,12 +104,15 @@ def title_key(title: Column) -> Column:
     return without_words(squeezed(x), TITLE_NOISE)
 
 
+def let(x: Column, of: Callable[[Column], Column]) -> Column:
+    """A function of a column that names it more than once, without a copy of its expression for each."""
+    return F.get(F.transform(F.array(x), of), 0)
+
+
 def brand_in(text: Column) -> Column:
     """The first known brand, longest first, that the normalised text contains."""
-    out = F.lit(None).cast("string")
-    for brand in sorted(BRANDS, key=lambda b: (len(b), b)):
-        out = F.when(F.contains(text, F.lit(brand)), F.lit(brand)).otherwise(out)
-    return out
+    known = F.array(*(F.lit(b) for b in sorted(BRANDS, key=lambda b: (len(b), b), reverse=True)))
+    return F.get(F.filter(known, lambda b: F.contains(text, b)), 0)
 
 
 def aliased_brand(brand: Column) -> Column:
@@ -125,23 +130,69 @@ def slug(x: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(strip_accents(F.lower(x)), "[^a-z0-9]+", "-"), "^-|-$", "")
 
 
-#: A normalised model from where it is offered, or sold by a dealer, on (it has a space at either end).
-OFFER = f" (?:{one_of(OFFERED)} {one_of(AT)}|{one_of(DEALER_WORDS)}) .*$"
-#: A dealer's name at the end: two words of which one says what it sells, tried in this order.
-DEALER_NAMES = [rf"(?:^| )[a-z0-9]+ {one_of(POWERSPORT_WORDS)}$", rf"(?:^| ){one_of(VEHICLE_WORDS)} [a-z0-9]+$", rf"(?:^| )[a-z0-9]+ {one_of(SHOP_WORDS)}$"]
-#: Kinds of vehicle in front, at most one of each group in their order.
-FRONT = "^" + "".join(f"(?:{one_of(group)} )?" for group in KINDS_IN_FRONT)
-ANNIVERSARY = rf"([0-9]+) {one_of(ORDINALS)} anniv(?:ers[a-z0-9]*)?( |$)"
+def phrase(words: Column, at: Column | int, n: int) -> Column:
+    """n words from a place, counted from 0, as one text."""
+    return F.array_join(F.slice(words, F.lit(at) + 1, n), " ")
+
+
+def sized(phrases: list[str]) -> dict[int, list[str]]:
+    """The phrases by their number of words, most first."""
+    return {n: [p for p in phrases if len(p.split()) == n] for n in sorted({len(p.split()) for p in phrases}, reverse=True)}
+
+
+def before_offer(words: Column) -> Column:
+    """The words before the first that begins an offer (some phrase, then where) or names a dealer's place."""
+
+    def begins(word: Column, at: Column) -> Column:
+        test = word.isin(DEALER_WORDS)
+        for n, phrases in sized(OFFERED).items():
+            test |= phrase(words, at, n).isin(phrases) & F.coalesce(F.get(words, at + n).isin(AT), F.lit(False))
+        return test
+
+    first = F.array_min(F.filter(F.transform(words, lambda word, at: F.when(begins(word, at), at)), lambda at: at.isNotNull()))
+    return F.when(first.isNull(), words).otherwise(F.slice(words, F.lit(1), first))
+
+
+def without_dealer(words: Column) -> Column:
+    """Without two words at the end that make a dealer's name, as one of them says: what it sells, behind or in front, or that it is a shop."""
+    for place, kinds in ((1, POWERSPORT_WORDS), (2, VEHICLE_WORDS), (1, SHOP_WORDS)):
+        words = let(words, lambda w: F.when((F.size(w) >= 2) & F.get(w, F.size(w) - place).isin(kinds), F.slice(w, F.lit(1), F.size(w) - 2)).otherwise(w))
+    return words
+
+
+def without_kinds(words: Column) -> Column:
+    """Without kinds of vehicle in front of something, at most one of each group in their order."""
+
+    def rest(w: Column, group: list[str]) -> Column:
+        return F.coalesce(*(F.when((F.size(w) > n) & phrase(w, 0, n).isin(phrases), F.slice(w, F.lit(n + 1), F.size(w))) for n, phrases in sized(group).items()), w)
+
+    for group in KINDS_IN_FRONT:
+        words = let(words, lambda w: rest(w, group))
+    return words
+
+
+def without_preorders(words: Column) -> Column:
+    alone, ends = [p for p in PREORDERS if " " not in p], [p.split()[1] for p in PREORDERS if " " in p]
+    is_pre, is_end = (lambda x: F.coalesce(x == "pre", F.lit(False))), (lambda x: F.coalesce(x.isin(ends), F.lit(False)))
+    return F.filter(words, lambda x, at: ~(x.isin(alone) | is_pre(x) & is_end(F.get(words, at + 1)) | is_end(x) & is_pre(F.get(words, at - 1))))
+
+
+def with_anniversaries(words: Column) -> Column:
+    """A number, its ending and any form of anniversary as the number and one form."""
+    is_form, is_number = (lambda x: F.coalesce((x == "anniv") | F.startswith(x, F.lit("annivers")), F.lit(False))), (lambda x: F.coalesce(x.try_cast("decimal(38,0)").isNotNull(), F.lit(False)))
+    is_ending = lambda x: F.coalesce(x.isin(ORDINALS), F.lit(False))
+    formed = F.transform(words, lambda x, at: F.when(is_form(x) & is_ending(F.get(words, at - 1)) & is_number(F.get(words, at - 2)), F.lit("anniversaire")).otherwise(x))
+    return let(formed, lambda w: F.filter(w, lambda x, at: ~(is_ending(x) & is_form(F.get(w, at + 1)) & is_number(F.get(w, at - 1)))))
 
 
 def cleaned_model(model: Column, colors: bool = True) -> Column:
     """A normalised model without offers, dealers, kinds of vehicle in front, states, pre-orders and (unless told) colours."""
-    model = F.trim(F.regexp_replace(F.concat(F.lit(" "), model, F.lit(" ")), OFFER, ""))
-    for name in DEALER_NAMES:
-        model = F.trim(F.regexp_replace(model, name, ""))
-    words = without_words(F.regexp_replace(model, FRONT, ""), STATES)
-    words = squeezed(F.regexp_replace(F.concat(F.lit(" "), words, F.lit(" ")), f" {one_of(PREORDERS)} ", " "))
-    return F.regexp_replace(without_words(words, COLORS) if colors else words, ANNIVERSARY, "$1 anniversaire$2")
+    words = let(F.filter(F.split(model, " "), lambda x: x != ""), before_offer)
+    words = let(without_kinds(without_dealer(words)), lambda w: F.filter(w, lambda x: ~x.isin(STATES)))
+    words = let(words, without_preorders)
+    if colors:
+        words = let(words, lambda w: F.filter(w, lambda x: ~x.isin(COLORS)))
+    return F.array_join(let(words, with_anniversaries), " ")
 
 
 def product_key(marque: Column, modele: Column, name: Column, colors: bool = True) -> tuple[Column, Column]:
@@ -151,10 +202,18 @@ def product_key(marque: Column, modele: Column, name: Column, colors: bool = Tru
     """
     brand = deep_normalize(F.regexp_replace(marque, r"(?i)^(?:manufacturier|fabricant|marque|brand)\s*:\s*", ""))
     model = deep_normalize(F.regexp_replace(modele, r"(?i)^(?:mod[èe]le|model)\s*:\s*", ""))
-    full = deep_normalize(name)
-    found = F.coalesce(brand_in(full), F.lit(""))
-    plain = squeezed(F.regexp_replace(full, r"\b(?:19|20)[0-9]{2}\b", ""))
-    ahead, behind = F.concat(brand, F.lit(" ")), F.concat(F.lit(" "), brand)
-    alone = F.when((brand != "") & F.startswith(plain, ahead), F.substr(plain, F.length(ahead) + 1)).when((brand != "") & F.endswith(plain, behind), F.substr(plain, F.lit(1), F.length(plain) - F.length(behind))).otherwise(plain)
-    rest = F.when(found != "", squeezed(F.regexp_replace(F.replace(full, found, F.lit(" ")), r"\b(?:19|20)[0-9]{2}\b", ""))).otherwise(alone)
-    return aliased_brand(F.when(brand != "", brand).otherwise(found)), cleaned_model(F.when(model != "", model).otherwise(rest), colors)
+    year = r"\b(?:19|20)[0-9]{2}\b"
+
+    def named(x: Column) -> Column:
+        found = F.coalesce(brand_in(x["full"]), F.lit(""))
+        return F.struct(x["brand"].alias("brand"), x["model"].alias("model"), x["full"].alias("full"), found.alias("found"), squeezed(F.regexp_replace(x["full"], year, "")).alias("plain"))
+
+    def parted(x: Column) -> Column:
+        brand, plain, found = x["brand"], x["plain"], x["found"]
+        ahead, behind = F.concat(brand, F.lit(" ")), F.concat(F.lit(" "), brand)
+        alone = F.when((brand != "") & F.startswith(plain, ahead), F.substr(plain, F.length(ahead) + 1)).when((brand != "") & F.endswith(plain, behind), F.substr(plain, F.lit(1), F.length(plain) - F.length(behind))).otherwise(plain)
+        rest = F.when(found != "", squeezed(F.regexp_replace(F.replace(x["full"], found, F.lit(" ")), year, ""))).otherwise(alone)
+        return F.struct(F.when(brand != "", brand).otherwise(found).alias("brand"), F.when(x["model"] != "", x["model"]).otherwise(rest).alias("model"))
+
+    key = let(let(F.struct(brand.alias("brand"), model.alias("model"), deep_normalize(name).alias("full")), named), parted)
+    return aliased_brand(key["brand"]), cleaned_model(key["model"], colors)

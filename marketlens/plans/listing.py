@@ -1,6 +1,6 @@
 """The listing view: line items as product listings of retailers (suppliers), with supplier 0 as the reference site.
 
-Brand and model keys belong to the product, so they are made once a part, before the join; a query that doesn't use them doesn't compute them.
+Brand and model keys belong to the product, so they are made once a part, before the join, in a view of their own for the queries that match.
 ``ord`` with ``unit_key`` gives the first-seen order that first-wins rules go by; it is computed row by row, never by numbering a whole table.
 """
 
@@ -18,10 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li, part = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part")
+def keyed_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The listing view with brand_key and model_key."""
     brand, model = product_key(F.col("p_brand"), F.concat_ws(" ", "p_type", "p_size"), F.concat_ws(" ", "p_name", "p_brand", "p_type"))
-    part = part.select("*", brand.alias("brand_key"), model.alias("model_key"))
+    return _listing(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part").select("*", brand.alias("brand_key"), model.alias("model_key")), "brand_key", "model_key")
+
+
+def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _listing(table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "part"))
+
+
+def _listing(li: DataFrame, part: DataFrame, *more: str) -> DataFrame:
     state = F.when(F.col("l_returnflag") == "N", "neuf").when(F.col("l_returnflag") == "R", "occasion").otherwise("demonstrateur")
     return li.join(part, li["l_partkey"] == part["p_partkey"]).select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("unit_key"),
@@ -37,8 +44,7 @@ def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_linestatus").alias("disponibilite"),
         F.col("p_type").alias("category"),
         F.col("l_shipdate").alias("scraped_at"),
-        "brand_key",
-        "model_key",
+        *more,
     )
 
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.vocab import TRIMS
 from ..operators import match as m
 from ..functions.values import state_family
-from .listing import REFERENCE, SQL, listing
+from .listing import REFERENCE, SQL
+from .listing import keyed_listing as listing
 from .scalars import deep, model_sql
 
 QUERIES: dict = {}

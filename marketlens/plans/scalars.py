@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..functions import values as v
-from ..functions.vocab import ACCENTS, AVAILABILITY, BRANDS, CANONICAL_BRANDS, CATEGORIES, COLORS, DEPRECIATION, PREORDERS, STATES, TITLE_NOISE, TRIMS
+from ..functions.vocab import ACCENTS, AT, AVAILABILITY, BRANDS, CANONICAL_BRANDS, CATEGORIES, COLORS, DEALER_WORDS, DEPRECIATION, KINDS_IN_FRONT, OFFERED, ORDINALS, POWERSPORT_WORDS, PREORDERS, SHOP_WORDS, STATES, TITLE_NOISE, TRIMS, VEHICLE_WORDS
 from .listing import SQL, listing, table
 
 QUERIES: dict = {}
@@ -44,14 +44,24 @@ def deep(x: str) -> str:
 
 
 def model_sql(x: str, colors: bool = True) -> str:
-    """DuckDB SQL of cleaned_model over SQL of a normalised model."""
-    x = f"trim(regexp_replace(concat(' ', {x}, ' '), '{t.OFFER}', ''))"
-    for name in t.DEALER_NAMES:
-        x = f"trim(regexp_replace({x}, '{name}', ''))"
-    without = lambda y, words: f"array_to_string(list_filter(string_split({y}, ' '), lambda w: w NOT IN {listed(words)}), ' ')"
-    x = without(f"regexp_replace({x}, '{t.FRONT}', '')", STATES)
-    x = f"trim(regexp_replace(regexp_replace(concat(' ', {x}, ' '), ' {t.one_of(PREORDERS)} ', ' ', 'g'), '\\s+', ' ', 'g'))"
-    return f"regexp_replace({without(x, COLORS) if colors else x}, '{t.ANNIVERSARY}', '\\1 anniversaire\\2', 'g')"
+    """DuckDB SQL of cleaned_model over SQL of a normalised model: rules over its list of words, one after another."""
+    phrase = lambda at, n: " || ' ' || ".join(f"w[{at} + {k}]" for k in range(n))
+    step = lambda of, x: f"(SELECT {of} FROM (SELECT {x} AS w))"
+    without = lambda words: f"list_filter(w, lambda y: y NOT IN {listed(words)})"
+    x = f"list_filter(string_split({x}, ' '), lambda y: y <> '')"
+    offers = " OR ".join([f"w[i] IN {listed(DEALER_WORDS)}", *(f"{phrase('i', n)} IN {listed(phrases)} AND w[i + {n}] IN {listed(AT)}" for n, phrases in t.sized(OFFERED).items())])
+    x = step(f"w[1:coalesce(list_min(list_filter(range(1, len(w) + 1), lambda i: {offers})) - 1, len(w))]", x)
+    for place, kinds in ((0, POWERSPORT_WORDS), (1, VEHICLE_WORDS), (0, SHOP_WORDS)):
+        x = step(f"CASE WHEN len(w) >= 2 AND w[len(w) - {place}] IN {listed(kinds)} THEN w[1:len(w) - 2] ELSE w END", x)
+    for group in KINDS_IN_FRONT:
+        x = step("CASE " + " ".join(f"WHEN len(w) > {n} AND {phrase('1', n)} IN {listed(phrases)} THEN w[{n + 1}:]" for n, phrases in t.sized(group).items()) + " ELSE w END", x)
+    x = step(without(STATES), x)
+    alone, ends = listed([p for p in PREORDERS if " " not in p]), listed([p.split()[1] for p in PREORDERS if " " in p])
+    x = step(f"list_filter(w, lambda y, i: NOT (y IN {alone} OR coalesce(y = 'pre' AND w[i + 1] IN {ends}, false) OR coalesce(i > 1 AND y IN {ends} AND w[i - 1] = 'pre', false)))", x)
+    x = step(without(COLORS), x) if colors else x
+    form, number = "(w[{0}] = 'anniv' OR starts_with(w[{0}], 'annivers'))", "regexp_full_match(w[{0}], '[0-9]+')"
+    x = step(f"list_transform(w, lambda y, i: CASE WHEN i > 2 AND {form.format('i')} AND w[i - 1] IN {listed(ORDINALS)} AND {number.format('i - 2')} THEN 'anniversaire' ELSE y END)", x)
+    return step(f"array_to_string(list_filter(w, lambda y, i: NOT coalesce(i > 1 AND y IN {listed(ORDINALS)} AND {form.format('i + 1')} AND {number.format('i - 1')}, false)), ' ')", x)
 
 
 @query("f1_deep_normalize", f"SELECT doc_id, md5({deep('text')}) AS normalized FROM documents")
