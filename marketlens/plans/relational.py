@@ -68,8 +68,6 @@ add("j33_enrichment", "SELECT l_orderkey * 10 + l_linenumber AS k, l_partkey, l_
 # --- aggregations -------------------------------------------------------------------------------------------------------------------
 GROUP_KEY = "lower(marque) || '|' || lower(modele) || '|' || annee || '|' || etat"
 add("a2_canonical_aggregate", "SELECT product, round(avg(prix), 6) AS mean, min(prix) AS low, max(prix) AS high, count(*) AS n FROM {listing} WHERE disponibilite = 'O' AND prix > 0 GROUP BY product")
-for _k in ("category", "site", "etat"):
-    add(f"a10_report_present_{_k}", f"SELECT {_k}, count(*) AS n, round(avg(prix), 6) AS mean, round(median(prix), 6) AS median, min(prix) AS low, max(prix) AS high FROM {{listing}} WHERE prix > 0 AND prix < 500000 GROUP BY {_k}")
 add("a11_report_past", "SELECT annee, count(*) AS n, count(DISTINCT product) AS products, count(DISTINCT site) AS sites, round(avg(prix), 6) AS mean FROM {listing} GROUP BY annee")
 add("a12_events_per_day", "SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM {events} GROUP BY 1")
 add("a16_change_summary", "SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS clicks, count(*) FILTER (WHERE event_type = 'view') AS views, count(*) AS n FROM {events} GROUP BY user_id")
@@ -108,8 +106,6 @@ add("w7_first_last_snapshot", "SELECT site, round((l - f) / f * 100, 6) AS pct F
 add("w9_delta_alert", "SELECT event_id, round(value - was, 6) AS delta FROM (SELECT event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM {events}) WHERE value - was < -50")
 add("w10_distinct_on", "SELECT product, unit_key FROM (SELECT product, unit_key, row_number() OVER (PARTITION BY product ORDER BY ord, unit_key) AS rn FROM {listing}) WHERE rn = 1")
 add("w11_weighted_percentile", "SELECT product, round(min(CASE WHEN cw >= 0.5 * tw THEN prix END), 6) AS p50, round(min(CASE WHEN cw >= 0.25 * tw THEN prix END), 6) AS p25 FROM (SELECT product, prix, sum(w) OVER (PARTITION BY product ORDER BY prix, unit_key ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS cw, sum(w) OVER (PARTITION BY product) AS tw FROM (SELECT product, prix, unit_key, 1 + site % 4 AS w FROM {listing})) GROUP BY product")
-add("w12_linear_percentile", "SELECT product, round(percentile_cont(0.25) WITHIN GROUP (ORDER BY prix), 6) AS p25, round(percentile_cont(0.75) WITHIN GROUP (ORDER BY prix), 6) AS p75 FROM {listing} GROUP BY product")
-add("w13_iqr_filter", "WITH q AS (SELECT product, percentile_cont(0.25) WITHIN GROUP (ORDER BY prix) AS a, percentile_cont(0.5) WITHIN GROUP (ORDER BY prix) AS m, percentile_cont(0.75) WITHIN GROUP (ORDER BY prix) AS b, count(*) AS n FROM {listing} GROUP BY product) SELECT unit_key FROM {listing} l JOIN q ON l.product = q.product WHERE n < 6 OR abs(prix - m) <= (CASE WHEN n < 10 THEN 2.5 ELSE 1.5 END) * (b - a)")
 add("w14_unit_position", "SELECT unit_key, CAST(row_number() OVER (PARTITION BY site, product ORDER BY ord, unit_key) AS VARCHAR(9)) || '/' || CAST(count(*) OVER (PARTITION BY site, product) AS VARCHAR(9)) AS position FROM {listing}")
 add("w15_least_recent", "SELECT c_custkey FROM {customer} LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS latest FROM {orders} GROUP BY o_custkey) ON o_custkey = c_custkey ORDER BY latest ASC NULLS FIRST, c_custkey LIMIT 20")
 add("w16_retention", "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM {orders}) WHERE rn <= 5")
