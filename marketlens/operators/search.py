@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterable
 from dataclasses import dataclass, field
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.values import year_in_text
+from .kept import kept
 from .resolve import fuzzy_contains
 
 
@@ -227,16 +229,55 @@ def federated(rows: DataFrame, q: Query, least: float = 0.4, per_source: int = 3
     return hits.withColumn("_at", F.row_number().over(top)).where(F.col("_at") <= per_source).drop("_at").orderBy(F.desc("score"), "unit_key").limit(limit)
 
 
+#: Sources whose gains are found out at once, and that the driver takes over at once.
+BATCH, PAGE = 32, 1024
+
+
 def greedy_coverage(pairs: DataFrame, who: str, what: str, k: int) -> DataFrame:
-    """k sources that one after another add most items not yet covered (ties: the smaller). The driver sees one row a step."""
-    chosen: list[tuple] = []
-    left = pairs
-    for step in range(k):
-        best = left.groupBy(who).agg(F.count(F.lit(1)).alias("gain")).orderBy(F.desc("gain"), who).limit(1).head()
-        if best is None:
+    """k sources that one after another add most items (whole numbers) not yet covered (ties: the smaller).
+
+    What a source has is bitmaps, made in one pass over the pairs. A gain can only fall, so an old one is a bound: only the sources with the largest bounds
+    are counted again, until the first of them is up to date. The driver holds the bounds of the sources looked at, which come in order of their number of items.
+    """
+    spark = pairs.sparkSession
+    item = F.col(what).cast("long")
+    bitmaps = kept(pairs.where(item.isNotNull() & F.col(who).isNotNull()).groupBy(F.col(who).cast("long").alias("who"), F.bitmap_bucket_number(item).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(item)).alias("bits")))
+    ordered = kept(bitmaps.groupBy("who").agg(F.sum(F.bitmap_count("bits")).alias("n")).orderBy(F.desc("n"), "who"))
+    rest = ordered.toLocalIterator()
+    nothing = spark.createDataFrame([], "bucket long, bits binary")
+    covered, chosen, bounds = nothing, [], []
+    ahead = next(rest, None)
+    for step in range(1, k + 1):
+        while True:
+            while ahead is not None and (not bounds or ahead.n >= -bounds[0][0]):
+                for _ in range(PAGE):
+                    if ahead is None:
+                        break
+                    heapq.heappush(bounds, (-ahead.n, ahead.who, 1))
+                    ahead = next(rest, None)
+            if not bounds or bounds[0][2] == step:
+                break
+            stale = [heapq.heappop(bounds)[1] for _ in range(min(BATCH, len(bounds))) if bounds[0][2] < step]
+            own = bitmaps.where(F.col("who").isin(stale))
+            met = own.unionByName(covered.join(own.select("who", "bucket"), "bucket")).groupBy("who", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+            gains = met.groupBy("who").agg(F.sum(F.bitmap_count("bits")).alias("n"))
+            there = covered.join(own.select("who", "bucket"), "bucket").groupBy("who").agg(F.sum(F.bitmap_count("bits")).alias("had"))
+            for r in gains.join(there, "who", "left").collect():
+                heapq.heappush(bounds, (-(r.n - (r.had or 0)), r.who, step))
+        if not bounds or not bounds[0][0]:
             break
-        chosen.append((step + 1, best[0], best[1]))
-        # what the chosen sources have is read from the pairs each time, so the plan stays as long as the list, not as the steps
-        taken = pairs.where(F.col(who).isin([c[1] for c in chosen])).select(what).distinct()
-        left = pairs.join(taken, what, "left_anti")
-    return pairs.sparkSession.createDataFrame(chosen, f"step int, {who} long, gain long")
+        gain, source, _ = heapq.heappop(bounds)
+        chosen.append((step, source, -gain))
+        covered = kept(covered.unionByName(bitmaps.where(F.col("who") == source).select("bucket", "bits")).groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits")))
+    return spark.createDataFrame(chosen, f"step int, {who} long, gain long")
+
+
+def completions(names: DataFrame, most: int = 20) -> DataFrame:
+    """(prefix, completion): for every prefix of up to ``most`` letters, in lower case, the shortest name (name, first_seen) that goes on after it, then the first seen.
+
+    One aggregation with a map side, so a prefix that very many names have is combined before it is shuffled; the result is an index to look up.
+    """
+    own = names.where("name <> ''").groupBy("name").agg(F.min("first_seen").alias("first_seen")).withColumn("n", F.length("name"))
+    every = own.where("n > 1").select("name", "n", "first_seen", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), F.col("n") - 1))).alias("k"))
+    best = every.groupBy(F.lower(F.substring("name", F.lit(1), F.col("k"))).alias("prefix")).agg(F.min(F.struct("n", "first_seen", "name")).alias("x"))
+    return best.select("prefix", F.col("x.name").alias("completion"))

@@ -284,11 +284,6 @@ def s23(spark: SparkSession, d: str) -> DataFrame:
     return listing(spark, d).groupBy("product").pivot("etat", ["neuf", "occasion", "demonstrateur"]).agg(F.min("prix"))
 
 
-@query("a15_greedy_coverage")
-def a15(spark: SparkSession, d: str) -> DataFrame:
-    return search.greedy_coverage(listing(spark, d).select("site", "product").distinct(), "site", "product", 8)
-
-
 @query("j13_similarity_join")
 def j13(spark: SparkSession, d: str) -> DataFrame:
     p = table(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("brand"), deep_normalize(F.col("p_name")).alias("n"))

@@ -140,24 +140,6 @@ def s21(spark: SparkSession, d: str) -> DataFrame:
 PATH = "CASE p_size % 4 WHEN 0 THEN 'vehicule.moto' WHEN 1 THEN 'vehicule' WHEN 2 THEN 'vehicule.moto.sport' ELSE 'maison' END"
 
 
-@query("p17_category_fit", f"SELECT p_partkey, path = 'vehicule.moto' OR starts_with(path, 'vehicule.moto.') OR starts_with('vehicule.moto', path || '.') AS fits FROM (SELECT p_partkey, {PATH} AS path FROM part)")
-def p17(spark: SparkSession, d: str) -> DataFrame:
-    want, path = F.lit("vehicule.moto"), F.expr(PATH)
-    return table(spark, d, "part").select("p_partkey", ((path == want) | F.startswith(path, F.concat(want, F.lit("."))) | F.startswith(want, F.concat(path, F.lit(".")))).alias("fits"))
-
-
-# Aliases of taxonomy nodes, the longest found in a text wins.
-ALIASES = {"anvil": "outil.enclume", "blue anvil": "outil.enclume.bleue", "bolt": "piece.boulon", "gear": "piece.engrenage", "ring": "piece.bague"}
-
-
-@query("q6_category_from_text", "SELECT p_partkey, max_by(path, (length(alias), alias)) AS path FROM part JOIN (VALUES " + ", ".join(f"('{a}', '{p}')" for a, p in ALIASES.items()) + ") v(alias, path) ON contains(lower(p_name), alias) GROUP BY p_partkey")
-def q6(spark: SparkSession, d: str) -> DataFrame:
-    """The aliases are constants of the query, so each name is tried against them in place, without a join."""
-    known = F.array(*(F.struct(F.lit(len(a)).alias("n"), F.lit(a).alias("alias"), F.lit(p).alias("path")) for a, p in ALIASES.items()))
-    hits = F.filter(known, lambda x: F.contains(F.lower("p_name"), x["alias"]))
-    return table(spark, d, "part").select("p_partkey", F.array_max(hits)["path"].alias("path")).where("path is not null")
-
-
 @query("q7_score_hits", f"{SQL}, s AS (SELECT unit_key, product, prix, floor(greatest(0, least(100, 100 - abs(1997 - annee) * 15)) + 0.5) AS y, CASE WHEN contains(lower(name), 'blue') THEN 100 ELSE 0 END AS t FROM listing), m AS (SELECT product, CASE WHEN count(*) >= 2 THEN median(prix) END AS med FROM listing GROUP BY product) SELECT unit_key, CAST(floor(t * 0.6 + y * 0.4 + 0.5) AS BIGINT) AS score, floor(t * 0.6 + y * 0.4 + 0.5) >= 70 AND coalesce(prix / med - 1 <= -0.08, false) AS is_deal FROM s JOIN m USING (product)")
 def q7(spark: SparkSession, d: str) -> DataFrame:
     rows = listing(spark, d)
@@ -253,13 +235,6 @@ def h2(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.length("html").alias("n"), html.clean("html").alias("c")).select("page_id", F.round(1 - F.length("c") / F.col("n"), 6).alias("saved"))
 
 
-@query("h7_platform_fingerprint", "SELECT page_id, CASE WHEN s >= n AND s > 0 THEN 'shop' WHEN n > 0 THEN 'news' ELSE 'unknown' END AS platform FROM (SELECT page_id, (CASE WHEN contains(html, '<table') THEN 1 ELSE 0 END + CASE WHEN contains(html, '<form') THEN 1 ELSE 0 END) / 2 AS s, (CASE WHEN contains(html, '<article') THEN 1 ELSE 0 END + CASE WHEN contains(html, '<p>') THEN 1 ELSE 0 END) / 2 AS n FROM pages)")
-def h7(spark: SparkSession, d: str) -> DataFrame:
-    has = lambda x: F.contains(F.col("html"), F.lit(x)).cast("int")
-    s, n = (has("<table") + has("<form")) / 2, (has("<article") + has("<p>")) / 2
-    return table(spark, d, "pages").select("page_id", F.when((s >= n) & (s > 0), "shop").when(n > 0, "news").otherwise("unknown").alias("platform"))
-
-
 @query("h8_numbers_in_page", "SELECT page_id, TRY_CAST(regexp_extract(html, '([0-9]+)', 1) AS BIGINT) AS first_number FROM pages WHERE length(regexp_extract(html, '([0-9]+)', 1)) BETWEEN 1 AND 15")
 def h8(spark: SparkSession, d: str) -> DataFrame:
     found = F.regexp_extract("html", "([0-9]+)", 1)

@@ -45,10 +45,6 @@ add("p20_read_filters", "SELECT o_orderkey FROM {orders} WHERE o_orderstatus IN
 STEP = "SELECT site, product, y, p, lag(p) OVER (PARTITION BY site, product ORDER BY y) AS was, lag(y) OVER (PARTITION BY site, product ORDER BY y) AS wy FROM (SELECT site, product, annee AS y, min(prix) AS p FROM {listing} GROUP BY site, product, annee)"
 add("j8_trigger_diff", f"SELECT site, product, y, was AS old_price, p AS new_price, CASE WHEN was IS NULL THEN 'baseline' ELSE 'price_change' END AS change_type FROM ({STEP}) WHERE p >= 1 AND (was IS NULL OR p <> was)")
 add("j9_expand_units", "SELECT site, product, u.unit_key AS unit_key, u.prix AS prix FROM (SELECT site, product, collect_list(named_struct('unit_key', unit_key, 'prix', prix)) AS units FROM {listing} GROUP BY site, product) LATERAL VIEW explode(units) x AS u", "SELECT site, product, unit_key, prix AS prix FROM {listing}")
-add(
-    "j12_blocking_candidates",
-    "SELECT a, b FROM (SELECT x.p_partkey AS a, y.p_partkey AS b, row_number() OVER (PARTITION BY x.p_partkey ORDER BY y.p_partkey) AS rn FROM {part} x JOIN {part} y ON lower(x.p_brand) = lower(y.p_brand) AND x.p_type = y.p_type AND y.p_size BETWEEN x.p_size - 1 AND x.p_size + 1 WHERE x.p_partkey <> y.p_partkey) WHERE rn <= 100",
-)
 add("j17_canonical_view", "SELECT p.p_partkey, l.l_suppkey, round(l.l_extendedprice / l.l_quantity / p.p_retailprice * 100, 6) AS pct_of_list FROM {part} p JOIN {lineitem} l ON l.l_partkey = p.p_partkey WHERE l.l_linestatus = 'O' AND p.p_retailprice > 0")
 add("j18_unmatched_view", "SELECT o_orderkey, o_custkey FROM {orders} LEFT JOIN {customer} ON c_custkey = o_custkey AND c_mktsegment = 'BUILDING' WHERE c_custkey IS NULL")
 add("j19_cache_stats_view", "SELECT c_custkey, count(o_orderkey) AS n, max(o_totalprice) AS top, round(avg(o_totalprice), 6) AS mean FROM {customer} LEFT JOIN {orders} ON o_custkey = c_custkey AND o_orderstatus = 'F' GROUP BY c_custkey")

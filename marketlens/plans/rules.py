@@ -262,11 +262,6 @@ add(
     "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn, rank FROM {events} JOIN (SELECT user_id AS u, row_number() OVER (ORDER BY n DESC, user_id) AS rank FROM (SELECT user_id, count(*) AS n FROM {events} GROUP BY user_id)) ON u = user_id) WHERE rn <= 200 AND rank <= 10",
 )
 add("t12_sort_nulls_as_zero", "SELECT c_custkey, round(abs(diff), 2) AS impact FROM (SELECT c_custkey, CASE WHEN c_custkey % 9 > 0 THEN t - 100 * c_acctbal END AS diff FROM {customer} LEFT JOIN (SELECT o_custkey, sum(o_totalprice) AS t FROM {orders} GROUP BY o_custkey) ON o_custkey = c_custkey) ORDER BY coalesce(abs(diff), 0) DESC, c_custkey LIMIT 50")
-#: Prefixes as typed; of the candidates that begin with one and go on, the shortest, then the first.
-add(
-    "t14_prefix_completion",
-    "SELECT q, c AS completion FROM (SELECT q, c, row_number() OVER (PARTITION BY q ORDER BY length(c), first_seen) AS rn FROM (SELECT DISTINCT lower(substr(p_name, 1, 4)) AS q FROM {part} WHERE p_partkey < 60) JOIN (SELECT p_name AS c, min(p_partkey) AS first_seen FROM {part} GROUP BY p_name) ON lower(substr(c, 1, 4)) = q AND length(c) > length(q)) WHERE rn = 1",
-)
 #: New suggestions first, then what was remembered; each once, at most 50, none of fewer than three characters.
 add(
     "t15_history_merge",
