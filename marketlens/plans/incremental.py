@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import incremental, selection
+from ..operators import incremental, numbering, selection
 from ..operators.kept import kept
 from ..streaming import jobs, state
 from .listing import SQL, listing
@@ -106,3 +106,15 @@ def w12(spark: SparkSession, d: str) -> DataFrame:
 @query("w13_iqr_filter", f"{SQL}, q AS (SELECT product, quantile_cont(prix, 0.25) AS a, quantile_cont(prix, 0.5) AS m, quantile_cont(prix, 0.75) AS b, count(*) AS n FROM listing GROUP BY product) SELECT unit_key FROM listing l JOIN q ON l.product = q.product WHERE n < 6 OR abs(prix - m) <= (CASE WHEN n < 10 THEN 2.5 ELSE 1.5 END) * (b - a)")
 def w13(spark: SparkSession, d: str) -> DataFrame:
     return selection.within_quartiles(listing(spark, d).select("unit_key", "product", "prix"), ["product"], "prix", 6, 10, 2.5, 1.5).select("unit_key")
+
+
+@query("w4_running_count", f"{SQL} SELECT unit_key, CAST(row_number() OVER (PARTITION BY site ORDER BY scraped_at, ord, unit_key) AS INTEGER) AS n FROM listing")
+def w4(spark: SparkSession, d: str) -> DataFrame:
+    rows = listing(spark, d).select("unit_key", "site", "scraped_at", "ord")
+    return numbering.numbered(rows, ["site"], [F.col("scraped_at"), F.col("ord"), F.col("unit_key")]).select("unit_key", F.col("n").cast("int").alias("n"))
+
+
+@query("w17_spaced_sample", f"{SQL} SELECT unit_key FROM (SELECT unit_key, row_number() OVER (PARTITION BY site ORDER BY prix, unit_key) AS rn FROM listing) WHERE rn % 10 = 1")
+def w17(spark: SparkSession, d: str) -> DataFrame:
+    rows = listing(spark, d).select("unit_key", "site", "prix")
+    return numbering.numbered(rows, ["site"], [F.col("prix"), F.col("unit_key")]).where("n % 10 = 1").select("unit_key")

@@ -96,7 +96,6 @@ add("a50_first_last_variation", "SELECT user_id, round((l - f) / f * 100, 6) AS
 # --- windows ------------------------------------------------------------------------------------------------------------------------
 add("w2_leave_one_out", "SELECT unit_key, round((sum(prix) OVER (PARTITION BY product) - prix) / nullif(count(*) OVER (PARTITION BY product) - 1, 0), 6) AS others FROM {listing}")
 add("w3_latest_per_key", "SELECT site, product, unit_key FROM (SELECT site, product, unit_key, row_number() OVER (PARTITION BY site, product ORDER BY scraped_at DESC, ord DESC, unit_key DESC) AS rn FROM {listing}) WHERE rn = 1")
-add("w4_running_count", "SELECT unit_key, row_number() OVER (PARTITION BY site ORDER BY scraped_at, ord, unit_key) AS n FROM {listing}", "SELECT unit_key, CAST(row_number() OVER (PARTITION BY site ORDER BY scraped_at, ord, unit_key) AS INTEGER) AS n FROM {listing}")
 add("w5_running_sum", "SELECT event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 3) AS total FROM {events}")
 add("w7_first_last_snapshot", "SELECT site, round((l - f) / f * 100, 6) AS pct FROM (SELECT site, avg(CASE WHEN annee = 1995 THEN prix END) AS f, avg(CASE WHEN annee = 2000 THEN prix END) AS l FROM {listing} GROUP BY site) WHERE f IS NOT NULL AND l IS NOT NULL")
 add("w9_delta_alert", "SELECT event_id, round(value - was, 6) AS delta FROM (SELECT event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS was FROM {events}) WHERE value - was < -50")
@@ -105,7 +104,6 @@ add("w11_weighted_percentile", "SELECT product, round(min(CASE WHEN cw >= 0.5 *
 add("w14_unit_position", "SELECT unit_key, CAST(row_number() OVER (PARTITION BY site, product ORDER BY ord, unit_key) AS VARCHAR(9)) || '/' || CAST(count(*) OVER (PARTITION BY site, product) AS VARCHAR(9)) AS position FROM {listing}")
 add("w15_least_recent", "SELECT c_custkey FROM {customer} LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS latest FROM {orders} GROUP BY o_custkey) ON o_custkey = c_custkey ORDER BY latest ASC NULLS FIRST, c_custkey LIMIT 20")
 add("w16_retention", "SELECT o_orderkey FROM (SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn FROM {orders}) WHERE rn <= 5")
-add("w17_spaced_sample", "SELECT unit_key FROM (SELECT unit_key, row_number() OVER (PARTITION BY site ORDER BY prix, unit_key) AS rn FROM {listing}) WHERE rn % 10 = 1")
 
 # --- order, top-k, dedup, sets ----------------------------------------------------------------------------------------------------
 add("t4_multi_key_sort", "SELECT unit_key FROM {listing} ORDER BY annee DESC, prix, unit_key LIMIT 100")

@@ -86,3 +86,17 @@ def test_quartile_filter(spark):
     rows = [(1, float(x)) for x in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 100)] + [(2, 1.0), (2, 1000.0)]
     got = selection.within_quartiles(spark.createDataFrame(rows, "g long, x double"), ["g"], "x", 6, 10, 2.5, 1.5).collect()
     assert sorted((r.g, r.x) for r in got) == sorted(r for r in rows if r != (1, 100.0))
+
+
+def test_numbers_of_a_large_group(spark):
+    """One group over all ranges, with nulls and ties in the order and a null group."""
+    from marketlens.operators.numbering import numbered
+
+    dice = random.Random(2)
+    rows = [(dice.choice([1, 1, 1, 2, None]), dice.choice([None, dice.randrange(30)]), k) for k in range(4000)]
+    got = {r.k: r.n for r in numbered(spark.createDataFrame(rows, "g long, x long, k long"), ["g"], [F.col("x").desc_nulls_last(), F.col("k")]).collect()}
+    expected = {}
+    for g in {r[0] for r in rows}:
+        own = sorted((r for r in rows if r[0] == g), key=lambda r: (r[1] is None, -(r[1] or 0), r[2]))
+        expected |= {r[2]: n for n, r in enumerate(own, 1)}
+    assert got == expected
