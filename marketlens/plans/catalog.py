@@ -69,7 +69,7 @@ KNOWN = "SELECT w AS term, count(*) AS n FROM (SELECT unnest(string_split(lower(
     f"""{SQL}, known AS ({KNOWN}), typed AS (SELECT p_partkey, unnest(string_split(lower({TYPED}), ' ')) AS word FROM part), meant AS (
     SELECT word, term FROM (SELECT word, term, row_number() OVER (PARTITION BY word ORDER BY levenshtein(word, term), n DESC, term) AS rn FROM (SELECT DISTINCT word FROM typed WHERE word <> '') CROSS JOIN known
     WHERE levenshtein(word, term) <= CASE WHEN length(word) < 4 THEN 0 WHEN length(word) < 7 THEN 1 ELSE 2 END) WHERE rn = 1)
-    SELECT unit_key, string_agg(DISTINCT term, ' ' ORDER BY term) AS meant FROM listing JOIN typed ON typed.p_partkey = product JOIN meant USING (word) GROUP BY unit_key""",
+    SELECT unit_key, words AS meant FROM listing JOIN (SELECT p_partkey, string_agg(DISTINCT term, ' ' ORDER BY term) AS words FROM typed JOIN meant USING (word) GROUP BY p_partkey) ON p_partkey = product""",
 )
 def q1(spark: SparkSession, d: str) -> DataFrame:
     """What every listing's typed name means, word by word."""
