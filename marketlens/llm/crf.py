@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 
 #: Padded positions decoded at once; positions of a piece of a long sequence.
-POSITIONS, CUT = 1 << 19, 128
+POSITIONS, CUT = 1 << 17, 128
 
 
 def logsumexp(x: np.ndarray, axis: int) -> np.ndarray:

@@ -295,7 +295,12 @@ class Lines:
 
     def labels(self) -> np.ndarray:
         self.score()
-        return self.chain.viterbi(np.concatenate(self.scored), np.array(self.counts, np.int64))
+        scores, at = np.empty((len(self.starts), len(LABELS))), len(self.starts)
+        while self.scored:  # each part goes as it is copied
+            part = self.scored.pop()
+            scores[at - len(part) : at] = part
+            at -= len(part)
+        return self.chain.viterbi(scores, np.array(self.counts, np.int64))
 
 
 def told(text: str, starts: Sequence[int], ends: Sequence[int]) -> bool:

@@ -379,7 +379,9 @@ def test_languages_beyond_one_broadcast(spark, monkeypatch):
     monkeypatch.setattr(language_id, "LANGUAGES", 7)
     parts = language_id.learn(docs)
     assert len(parts.parts) == 9 and np.allclose(parts.prototypes, whole.prototypes)
-    assert parts.predict([t for t, _ in texts]) == whole.predict([t for t, _ in texts])
+    (langs, scores), expected = parts.predict([t for t, _ in texts]), whole.predict([t for t, _ in texts])
+    # products of matrices of other shapes may differ in their last bits
+    assert langs == expected[0] and np.allclose(scores, expected[1], rtol=0, atol=1e-12)
     monkeypatch.setattr(language_id, "LANGUAGES", 2048)
     many = spark.range(25_000).select(F.transform(F.sequence(F.lit(0), F.lit(language_id.DIMENSIONS - 1)), lambda k: (F.xxhash64("id", k) % 100).cast("long")).alias("sums"), F.format_string("%06d", "id").alias("lang")).orderBy("lang")
     own = language_id.Profiles.of(many)
