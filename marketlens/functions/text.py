@@ -217,3 +217,13 @@ def product_key(marque: Column, modele: Column, name: Column, colors: bool = Tru
 
     key = let(let(F.struct(brand.alias("brand"), model.alias("model"), deep_normalize(name).alias("full")), named), parted)
     return aliased_brand(key["brand"]), cleaned_model(key["model"], colors)
+
+
+def model_tokens(model: Column) -> Column:
+    """A model's runs of letters and of digits, as written."""
+    return F.regexp_extract_all(F.coalesce(model, F.lit("")), F.lit("([A-Za-z]+|[0-9]+)"))
+
+
+def precise_model(model: Column) -> Column:
+    """Whether a model is two to four tokens of which a number and a word both tell it from others, so that a match needs all of them."""
+    return let(model_tokens(model), lambda x: F.size(x).between(2, 4) & F.exists(x, lambda w: w.rlike("^[0-9]+$")) & F.exists(x, lambda w: w.rlike("^[A-Za-z]+$")))

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import identifier
+
 #: Confidence that links at once, and that makes a candidate.
 AUTO, CANDIDATE = 0.85, 0.50
 EXACT = 0.99
@@ -145,3 +147,19 @@ def contained(needle: str, hay: str, least: float = 0.85) -> bool:
 
 def fuzzy_contains(needle: str, hay: str) -> Column:
     return F.pandas_udf(lambda x, y: pd.Series([contained(a or "", b or "") for a, b in zip(x, y, strict=True)], dtype=bool), "boolean")(needle, hay)
+
+
+# Fixed value: how many characters of a vehicle number name its maker, model and year.
+VIN_PREFIX = 11
+
+
+def vin_matches(listings: DataFrame, catalogue: DataFrame) -> DataFrame:
+    """(l_id, c_id, vin_prefix, confidence): the catalogue's first product (least c_id) of the prefix of each listing's vehicle number.
+
+    listings: l_id, vin; catalogue: c_id, c_specs (a map with vin_prefix). Numbers are compared without spaces and dashes, in capitals; shorter ones match nothing.
+    The catalogue becomes one row a prefix before listings meet it, so a prefix with many products is one row.
+    """
+    first = catalogue.select("c_id", F.try_element_at("c_specs", F.lit("vin_prefix")).alias("vin_prefix")).where("vin_prefix is not null").groupBy("vin_prefix").agg(F.min("c_id").alias("c_id"))
+    number = identifier(F.col("vin"))
+    rows = listings.select("l_id", F.when(F.length(number) >= VIN_PREFIX, F.left(number, F.lit(VIN_PREFIX))).alias("vin_prefix")).where("vin_prefix is not null")
+    return rows.join(first, "vin_prefix").select("l_id", "c_id", "vin_prefix", F.lit(EXACT).alias("confidence"))
