@@ -181,14 +181,9 @@ def sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return side("l", brand, F.concat_ws(" ", F.lit("new"), "p_name", F.lit("for sale")), F.concat(model, F.lit("x")), size), side("c", F.lower("p_brand"), F.col("p_name"), model, F.col("p_size"))
 
 
-def blocked_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return resolve.blocked(*sides(spark, d))
-
-
 def best_matches(spark: SparkSession, d: str) -> DataFrame:
     """The best match of each listing."""
-    top = F.max_by(F.struct("c_id", "match"), F.struct(F.col("match.confidence"), -F.col("c_id"))).alias("b")
-    return resolve.scored(blocked_pairs(spark, d)).groupBy("l_id").agg(top).select("l_id", F.col("b.c_id").alias("c_id"), F.col("b.match.method").alias("method"), F.col("b.match.confidence").alias("confidence"))
+    return resolve.best(*sides(spark, d))
 
 
 @query("m3_m5_resolution_cascade")

@@ -132,6 +132,27 @@ def test_ingestion_routes_every_listing(spark, resolved):
     assert {r.outcome for r in got.values()} >= {"updated", "new", "matched"}
 
 
+def test_copies_are_compared_once(spark, resolved):
+    """Six copies of the parts: no more pairs are scored, each listing has its match, and each pair of a block its rank."""
+    from marketlens.plans import engine
+
+    sf, _, pairs = resolved
+    again = lambda rows, x: rows.crossJoin(spark.range(6).withColumnRenamed("id", "k")).withColumn(f"{x}_id", F.col(f"{x}_id") + F.col("k") * 1000).drop("k")
+    listings, catalog = engine.sides(spark, sf)
+    many, most = again(listings, "l"), again(catalog, "c")
+    classes = [resolve.represented(rows, x)[0] for rows, x in ((many, "l"), (most, "c"))]
+    assert resolve.blocked(*classes).count() <= resolve.blocked(listings, catalog).count()
+    one = {r.l_id: r for r in resolve.best(listings, catalog).collect()}
+    got = resolve.best(many, most).collect()
+    assert len(got) == 6 * len(one) and all((r.c_id, r.method, r.confidence) == one[r.l_id % 1000][1:] for r in got)
+    ranks = {}
+    for r in resolve.candidates(many, most).collect():
+        ranks.setdefault(r.l_id, []).append((r["rank"], -r.confidence, r.c_id))
+    assert {(x, c % 1000) for x, of in ranks.items() for _, _, c in of} == {(a + 1000 * k, c) for a, c in pairs for k in range(6)}
+    for of in ranks.values():
+        assert [x[0] for x in sorted(of, key=lambda x: x[1:])] == [*range(1, len(of) + 1)]
+
+
 @pytest.mark.parametrize(("a", "b", "expected"), [({"x": "1", "y": "B "}, {"y": "b", "z": "3"}, 1.0), ({"x": "1", "y": "2"}, {"x": "1", "y": "3"}, 0.5), ({"x": "1"}, {"y": "1"}, 0.0), (None, {"y": "1"}, 0.0)])
 def test_spec_similarity(spark, a, b, expected):
     df = spark.createDataFrame([(a, b)], "a map<string,string>, b map<string,string>")
