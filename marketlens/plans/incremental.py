@@ -49,7 +49,7 @@ def st7(spark: SparkSession, d: str) -> DataFrame:
 def st11(spark: SparkSession, d: str) -> DataFrame:
     """Entries of a cache that orders write: one that isn't written again for seven days expires."""
     writes = jobs.stream_of(spark, d, "orders").select(F.col("o_custkey").cast("long").alias("key"), F.col("o_orderkey").cast("long").alias("id"), F.col("o_orderdate").cast("timestamp").alias("ts"))
-    out = state.ran(state.expiries(writes, DELAY), jobs.shared_folder(spark))
+    out = state.ran(jobs.expiries(writes, DELAY), jobs.shared_folder(spark))
     return out.select("key", F.col("expired").cast("timestamp_ntz").alias("expired"), "writes")
 
 

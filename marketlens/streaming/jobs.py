@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .state import HOLDS_DAYS
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all machines share; a temporary one where none is set on a single machine. A cluster must name one."""
@@ -75,3 +77,12 @@ def sessions(spark: SparkSession, sf_dir: str, gap: str = "30 minutes") -> DataF
     e = stream_of(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     g = e.withWatermark("ts", "1 hour").groupBy("user_id", F.session_window("ts", gap)).agg(F.count(F.lit(1)).alias("n"))
     return drained(g.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n"), spark)
+
+
+def expiries(writes: DataFrame, delay: str, days: int = HOLDS_DAYS) -> DataFrame:
+    """(key, expired, writes) of a stream of writes (key, id, ts), as ``state.expiries`` gives them: an entry is a session whose gap is the days that a write holds.
+
+    Sessions that touch are one, and a write at the very end of an entry begins a new one, so the gap is a microsecond short and the end is put right.
+    """
+    own = writes.withWatermark("ts", delay).groupBy("key", F.session_window("ts", f"{days * 86_400_000_000 - 1} microseconds").alias("entry")).agg(F.count(F.lit(1)).alias("writes"))
+    return own.select("key", (F.col("entry.end") + F.expr("interval 1 microsecond")).alias("expired"), "writes")

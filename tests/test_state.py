@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marketlens.operators import snapshots
-from marketlens.streaming import state
+from marketlens.streaming import jobs, state
 
 T0 = pd.Timestamp("2024-03-01")
 
@@ -75,3 +75,13 @@ def test_nothing_is_left_of_silent_keys(spark, tmp_path):
     with state.rocks_db(spark):
         left = spark.read.format("statestore").option("stateVarName", "entry").load(str(folder))
         assert left.where(F.col("key.key") > 0).count() == 0
+
+
+@pytest.mark.parametrize(("parts", "restarts"), [(1, False), (3, True)])
+def test_entries_as_sessions_are_those_of_the_state(spark, tmp_path, parts, restarts):
+    """Sessions, which need no Python, give what the processor gives; a write when the days are just over begins a new entry."""
+    week, dice = 7 * 24 * 60, random.Random(3)
+    rows = [(1, 1, minutes(0)), (1, 2, minutes(week)), (2, 3, minutes(0)), (2, 4, minutes(week - 1)), *((3 + dice.randrange(9), k, minutes(dice.randrange(20 * week))) for k in range(10, 200))]
+    got = streamed(spark, tmp_path, rows, WRITE, lambda s: jobs.expiries(s, "1 minute"), parts, restarts)
+    assert {x for x in got if x[0] < 3} == {(1, minutes(week), 1), (1, minutes(2 * week), 1), (2, minutes(2 * week - 1), 2)}
+    assert got == streamed(spark, tmp_path, rows, WRITE, lambda s: state.expiries(s, "1 minute"), parts, restarts)
