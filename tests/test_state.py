@@ -85,3 +85,21 @@ def test_entries_as_sessions_are_those_of_the_state(spark, tmp_path, parts, rest
     got = streamed(spark, tmp_path, rows, WRITE, lambda s: jobs.expiries(s, "1 minute"), parts, restarts)
     assert {x for x in got if x[0] < 3} == {(1, minutes(week), 1), (1, minutes(2 * week), 1), (2, minutes(2 * week - 1), 2)}
     assert got == streamed(spark, tmp_path, rows, WRITE, lambda s: state.expiries(s, "1 minute"), parts, restarts)
+
+
+def test_a_user_is_one_key_for_all_changes(spark, tmp_path):
+    """Calls to the state store go by users and sites, not by products and values."""
+    streamed(spark, tmp_path, changes(4), CHANGE, lambda s: state.taken_back(s, "1 minute"), 1, False)
+    folder = next(tmp_path.glob("*/job/state"))
+    with state.rocks_db(spark):
+        left = spark.read.format("statestore").option("stateVarName", "doomed").load(str(folder))
+        assert left.select("key").distinct().count() == 3
+
+
+def test_a_user_is_one_key_for_all_changes(spark, tmp_path):
+    """Calls to the state store go by users and sites, not by products and values."""
+    streamed(spark, tmp_path, changes(4), CHANGE, lambda s: state.taken_back(s, "1 minute"), 1, False)
+    folder = next(tmp_path.glob("*/job/state"))
+    with state.rocks_db(spark):
+        left = spark.read.format("statestore").option("stateVarName", "doomed").load(str(folder))
+        assert left.select("key").distinct().count() == 3
