@@ -169,3 +169,28 @@ def test_completions_of_every_prefix(spark):
         for p in {n[:k].lower() for n, _ in names if len(n) > k}:
             expected[p] = min((len(n), s, n) for n, s in names if n[:k].lower() == p and len(n) > k)[2]
     assert got == expected
+
+
+def test_ids_of_common_sets_are_joined_in_lists(spark):
+    """Copies of three sets: every pair of ids comes once, and what is dealt out are pairs of lists, a fraction of the pairs of ids."""
+    words = ["a b c d e", "a b c d", "x y"]
+    rows = [(k, "m", words[k % 3].split()) for k in range(900)]
+    df = spark.createDataFrame(rows, "id long, block string, tokens array<string>")
+    lists = setjoin.listed(df, ["block", "tokens"]).collect()
+    assert sorted(i for r in lists for i in r.ids) == [*range(900)] and len(lists) <= 9
+    got = sorted(tuple(r) for r in setjoin.similar(df, 0.8, 6).collect())
+    assert got == sorted((a, b, 1.0 if a % 3 == b % 3 else 0.8) for a in range(900) for b in range(a + 1, 900) if a % 3 == b % 3 or {a % 3, b % 3} == {0, 1})
+
+
+def test_common_names_have_every_pair(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__
+
+    name = "u3_jaccard_of_names"
+    rows = [(k, ["", "red bolt", "red nut", "red"][k % 4], f"Brand#{k % 2}", ["A", None][k % 7 == 0]) for k in range(700)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    key = lambda r: (r[0], r[1], -1.0 if r[2] is None else r[2])
+    assert sorted(key(r) for r in __spark_entry__.queries()[name](spark, str(tmp_path)).collect()) == sorted(key(r) for r in duck.execute(__spark_entry__.oracle_sql()[name]).fetchall())
