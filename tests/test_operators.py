@@ -217,3 +217,30 @@ def test_similarity_query_has_no_prefix_rule(spark):
     expected = {(a, b, round(SequenceMatcher(None, x, y).ratio(), 6)) for a, p, x in parts for b, q, y in parts if a < b and p == q}
     rows = __spark_entry__.queries()["j13_similarity_join"](spark, "/root/testdata/sf0.001").collect()
     assert sorted((r.a, r.b, r.ratio) for r in rows) == sorted(x for x in expected if x[2] >= 0.6)
+
+
+def test_keys_are_made_once_a_content(spark, monkeypatch):
+    made = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        made.add(1)
+        return x
+
+    def counting(marque, modele, name, colors=True):
+        return marque, F.udf(count, "string")(modele)
+
+    monkeypatch.setattr(match, "product_key", counting)
+    rows = spark.range(3000).coalesce(1).selectExpr("cast(id as string) AS unit_key", "id AS ord", "id % 3 AS site", "'Yamaha' AS marque", "concat('MT-0', id % 2) AS modele", "concat('n', id) AS name", "2024 AS annee", "1.0 * id AS prix", "'neuf' AS etat", "'moto' AS category")
+    assert match.match(rows, 0).count() == 2000
+    assert made.value == 2
+
+
+def test_keys_of_contents_are_those_of_rows(spark):
+    odd = [None, "", " ", "Yamaha", "Marque: ", "marque : Honda", "--", "é", "BRP", "Model: MT-07", "MT 07 rouge ABS"]
+    rows = spark.createDataFrame([(a, b, c) for a in odd for b in odd for c in (None, "", "2024 Honda CRF 450", "Yamaha MT-07 2023")], "marque string, modele string, name string").withColumn("annee", F.lit(2024))
+    for colors in (True, False):
+        brand, model = t.product_key(F.col("marque"), F.col("modele"), F.col("name"), colors)
+        plain = rows.select("*", brand.alias("k_marque"), t.strip_trims(model).alias("k_modele"), F.lit(0).alias("k_annee"))
+        got = match.keyed(rows, "flexible", colors)
+        assert got.columns == plain.columns
+        assert sorted(map(repr, got.collect())) == sorted(map(repr, plain.collect()))
