@@ -231,21 +231,23 @@ def federated(rows: DataFrame, q: Query, least: float = 0.4, per_source: int = 3
 
 #: Sources whose gains are found out at once, and that the driver takes over at once.
 BATCH, PAGE = 32, 1024
+RUN_BITS = 15
 
 
 def greedy_coverage(pairs: DataFrame, who: str, what: str, k: int) -> DataFrame:
     """k sources that one after another add most items (whole numbers) not yet covered (ties: the smaller).
 
-    What a source has is bitmaps, made in one pass over the pairs. A gain can only fall, so an old one is a bound: only the sources with the largest bounds
-    are counted again, until the first of them is up to date. The driver holds the bounds of the sources looked at, which come in order of their number of items.
+    What a source has is lists of places in runs of ``2 ** RUN_BITS`` items, made in one pass over the pairs, so it takes as much room as its items however far apart
+    they lie. A gain can only fall, so an old one is a bound: only the sources with the largest bounds are counted again, until the first of them is up to
+    date. The driver holds the bounds of the sources looked at, which come in order of their number of items.
     """
     spark = pairs.sparkSession
     item = F.col(what).cast("long")
-    bitmaps = kept(pairs.where(item.isNotNull() & F.col(who).isNotNull()).groupBy(F.col(who).cast("long").alias("who"), F.bitmap_bucket_number(item).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(item)).alias("bits")))
-    ordered = kept(bitmaps.groupBy("who").agg(F.sum(F.bitmap_count("bits")).alias("n")).orderBy(F.desc("n"), "who"))
+    run, place = F.shiftright(item, RUN_BITS), F.pmod(item, F.lit(1 << RUN_BITS)).cast("int")
+    lists = kept(pairs.where(item.isNotNull() & F.col(who).isNotNull()).groupBy(F.col(who).cast("long").alias("who"), run.alias("run")).agg(F.collect_set(place).alias("items")))
+    ordered = kept(lists.groupBy("who").agg(F.sum(F.size("items")).alias("n")).orderBy(F.desc("n"), "who"))
     rest = ordered.toLocalIterator()
-    nothing = spark.createDataFrame([], "bucket long, bits binary")
-    covered, chosen, bounds = nothing, [], []
+    covered, chosen, bounds = spark.createDataFrame([], "run long, had array<int>"), [], []
     ahead = next(rest, None)
     for step in range(1, k + 1):
         while True:
@@ -258,17 +260,16 @@ def greedy_coverage(pairs: DataFrame, who: str, what: str, k: int) -> DataFrame:
             if not bounds or bounds[0][2] == step:
                 break
             stale = [heapq.heappop(bounds)[1] for _ in range(min(BATCH, len(bounds))) if bounds[0][2] < step]
-            own = bitmaps.where(F.col("who").isin(stale))
-            met = own.unionByName(covered.join(own.select("who", "bucket"), "bucket")).groupBy("who", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
-            gains = met.groupBy("who").agg(F.sum(F.bitmap_count("bits")).alias("n"))
-            there = covered.join(own.select("who", "bucket"), "bucket").groupBy("who").agg(F.sum(F.bitmap_count("bits")).alias("had"))
-            for r in gains.join(there, "who", "left").collect():
-                heapq.heappush(bounds, (-(r.n - (r.had or 0)), r.who, step))
+            met = lists.where(F.col("who").isin(stale)).join(covered, "run", "left")
+            fresh = F.size(F.array_except("items", F.coalesce("had", F.array().cast("array<int>"))))
+            for r in met.groupBy("who").agg(F.sum(fresh).alias("n")).collect():
+                heapq.heappush(bounds, (-r.n, r.who, step))
         if not bounds or not bounds[0][0]:
             break
         gain, source, _ = heapq.heappop(bounds)
         chosen.append((step, source, -gain))
-        covered = kept(covered.unionByName(bitmaps.where(F.col("who") == source).select("bucket", "bits")).groupBy("bucket").agg(F.bitmap_or_agg("bits").alias("bits")))
+        own = lists.where(F.col("who") == source).select("run", F.col("items").alias("had"))
+        covered = kept(covered.unionByName(own).groupBy("run").agg(F.array_distinct(F.flatten(F.collect_list("had"))).alias("had")))
     return spark.createDataFrame(chosen, f"step int, {who} long, gain long")
 
 

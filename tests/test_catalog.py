@@ -194,3 +194,13 @@ def test_common_names_have_every_pair(spark, tmp_path):
     duck.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
     key = lambda r: (r[0], r[1], -1.0 if r[2] is None else r[2])
     assert sorted(key(r) for r in __spark_entry__.queries()[name](spark, str(tmp_path)).collect()) == sorted(key(r) for r in duck.execute(__spark_entry__.oracle_sql()[name]).fetchall())
+
+
+def test_coverage_takes_room_as_its_pairs_do(spark, monkeypatch):
+    """Sources with few items far apart: no row that is held is larger than its items."""
+    held, real = [], search.kept
+    monkeypatch.setattr(search, "kept", lambda df: held.append(real(df)) or held[-1])
+    pairs = [(w, (w * 7 + k) * 1_000_003 - 9) for w in range(40) for k in range(5)]
+    got = search.greedy_coverage(spark.createDataFrame(pairs, "site long, product long"), "site", "product", 3).collect()
+    assert [tuple(r) for r in got] == plain_greedy(pairs, 3)
+    assert max(r[0] for df in held for r in df.select(F.length(F.to_json(F.struct("*")))).collect()) < 200
