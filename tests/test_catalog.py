@@ -204,3 +204,17 @@ def test_coverage_takes_room_as_its_pairs_do(spark, monkeypatch):
     got = search.greedy_coverage(spark.createDataFrame(pairs, "site long, product long"), "site", "product", 3).collect()
     assert [tuple(r) for r in got] == plain_greedy(pairs, 3)
     assert max(r[0] for df in held for r in df.select(F.length(F.to_json(F.struct("*")))).collect()) < 200
+
+
+def test_blocking_candidates_of_ids_that_repeat(spark, tmp_path):
+    """Ids of many rows, in one block and in several, null ids and empty blocks, as the SQL has them."""
+    import duckdb
+
+    import __spark_entry__
+
+    rows = [(1, "A", "t", 5)] * 103 + [(2, "a", "t", 5)] * 3 + [(2, "a", "t", 6), (2, "b", "t", 6)] + [(None, "a", "t", 5)] * 4 + [(k, "a", "t", 4 + k % 4) for k in range(10, 150)] + [(200, None, "t", 5), (201, "b", None, 5), (202, "b", "t", None), (203, "b", "t", 7)]
+    spark.createDataFrame(rows, "p_partkey long, p_brand string, p_type string, p_size int").repartition(3).write.parquet(f"{tmp_path}/part.parquet")
+    got = __spark_entry__.queries()["j12_blocking_candidates"](spark, str(tmp_path)).collect()
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    assert sorted(map(tuple, got)) == sorted(duck.execute(__spark_entry__.oracle_sql()["j12_blocking_candidates"]).fetchall())
