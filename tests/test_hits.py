@@ -75,3 +75,16 @@ def test_rank_of_the_reference(spark, rows, rank):
 def test_strategies_in_order(spark, key, amount, expected):
     row = spark.createDataFrame([(key, amount)], "k string, a double")
     assert tuple(row.select(hits.strategy(F.col("k"), F.col("a")).alias("s")).head().s) == expected
+
+
+def test_texts_are_read_once_a_content(spark, monkeypatch):
+    made, real = spark.sparkContext.accumulator(0), hits.plain
+
+    def count(x):
+        made.add(1)
+        return real(x or "")
+
+    monkeypatch.setattr(hits, "plain_column", lambda x: F.udf(count, "string")(x))
+    rows = spark.range(600).coalesce(1).selectExpr("concat('Honda CRF ', 250 + id % 2) AS name", "'Honda' AS marque", "'CRF' AS modele", "2024 AS annee", "1 AS kilometrage", "'used' AS etat", "1.0D * id AS prix", "0.5D AS score", "false AS is_approximate")
+    assert hits.scored_hits(rows, hits.Asked("honda crf 250", variants=("crf 250",))).count() == 300
+    assert made.value <= 4
