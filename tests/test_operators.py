@@ -244,3 +244,16 @@ def test_keys_of_contents_are_those_of_rows(spark):
         got = match.keyed(rows, "flexible", colors)
         assert got.columns == plain.columns
         assert sorted(map(repr, got.collect())) == sorted(map(repr, plain.collect()))
+
+
+def test_similar_classes_stand_for_every_pair(spark):
+    """Each pair of keys follows from the classes and their copies, and common names are no product of their numbers."""
+    names = ["large ring", "blue ring", "large ring", "tide", "diet", "ring large", "", None]
+    rows = [(k, f"b{k % 2}", n) for k, n in enumerate(names * 12)]
+    df = spark.createDataFrame(rows, "key long, brand string, n string")
+    got = resolve.similar_classes(df, 0.5).collect()
+    assert len(got) <= len(rows) + 2 * 2 * 6 * 5
+    of = {k: k for k, _, n in rows if n} | {r.b: r.a for r in got if r.kind == "copy"}
+    link = {(r.a, r.b): r.r for r in got if r.kind == "similar"} | {(k, k): 1.0 for k in of.values()}
+    spread = {(a, b, link[of[a], of[b]]) for a in of for b in of if a < b and (of[a], of[b]) in link}
+    assert spread == {tuple(r) for r in resolve.similar_pairs(df, 0.5).collect()}
