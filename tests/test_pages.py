@@ -216,3 +216,22 @@ def test_mileage_of_any_page_number(spark, tmp_path):
     part.withColumn("p_partkey", F.col("p_partkey") + 50_000).write.parquet(f"{tmp_path}/part.parquet")
     got = __spark_entry__.queries()["h8_mileage_and_total"](spark, str(tmp_path)).collect()
     assert {r.page: r.mileage for r in got} == {2000 + k: (2000 + k) * 777 + 1 for k in range(8)}
+
+
+def test_pages_are_cleaned_in_pieces(monkeypatch):
+    """A batch's pages and results aren't all Python objects at once; nulls, empty pages and batches, and pages longer than a piece come out in place."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    pages = pa.array([f"<p>{k}{'x' * 10_000}</p><script>y</script>" for k in range(2000)])
+    tracemalloc.start()
+    got = html.in_pieces(pages, html.cleaned)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6 * html.PIECE
+    assert got.to_pylist() == [html.cleaned(x) for x in pages.to_pylist()]
+    monkeypatch.setattr(html, "PIECE", 5)
+    odd = [None, "", "<b>long page</b>", "a", None, "b"]
+    assert html.in_pieces(pa.array(odd, pa.string()), html.cleaned).to_pylist() == [html.cleaned(x) for x in odd]
+    assert html.in_pieces(pa.array([], pa.string()), html.cleaned).to_pylist() == []
