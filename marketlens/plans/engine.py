@@ -174,12 +174,14 @@ def v6(spark: SparkSession, d: str) -> DataFrame:
 # --- entity resolution --------------------------------------------------------------------------------------------------------------
 def sides(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Parts offered under a changed name, every tenth by a brand that the catalogue hasn't, and the catalogue, which is as large as the part table."""
-    p = table(spark, d, "part")
+    new = lambda name: F.concat_ws(" ", F.lit("new"), name, F.lit("for sale"))
+    titles = lambda names: names.withColumns({"l_title": title_key(new(F.col("_name"))), "c_title": title_key(F.col("_name"))})
+    p = by_content(table(spark, d, "part"), {"_name": F.col("p_name")}, titles, ["l_title", "c_title"])
     specs = lambda size: F.create_map(F.lit("size"), size.cast("string"), F.lit("type"), F.col("p_type"))
-    side = lambda x, brand, name, model, size: p.select(F.col("p_partkey").alias(f"{x}_id"), brand.alias(f"{x}_brand"), model.alias(f"{x}_model"), size.alias(f"{x}_year"), title_key(name).alias(f"{x}_title"), F.lower("p_type").alias(f"{x}_category"), specs(size).alias(f"{x}_specs"))
+    side = lambda x, brand, model, size: p.select(F.col("p_partkey").alias(f"{x}_id"), brand.alias(f"{x}_brand"), model.alias(f"{x}_model"), size.alias(f"{x}_year"), f"{x}_title", F.lower("p_type").alias(f"{x}_category"), specs(size).alias(f"{x}_specs"))
     model, size = F.lower(F.concat_ws(" ", "p_name", "p_size")), F.when(F.col("p_partkey") % 4 > 0, F.col("p_size")).otherwise(F.col("p_size") + 1)
     brand = F.when(F.col("p_partkey") % 10 == 0, "nobody").otherwise(F.lower("p_brand"))
-    return side("l", brand, F.concat_ws(" ", F.lit("new"), "p_name", F.lit("for sale")), F.concat(model, F.lit("x")), size), side("c", F.lower("p_brand"), F.col("p_name"), model, F.col("p_size"))
+    return side("l", brand, F.concat(model, F.lit("x")), size), side("c", F.lower("p_brand"), model, F.col("p_size"))
 
 
 def best_matches(spark: SparkSession, d: str) -> DataFrame:
@@ -195,8 +197,9 @@ def m35(spark: SparkSession, d: str) -> DataFrame:
 @query("m7_ingest_routing")
 def m7(spark: SparkSession, d: str) -> DataFrame:
     """Every listing with what ingestion does; those whose id is a multiple of 7 exist already."""
-    listings = sides(spark, d)[0].select("l_id")
-    return resolve.route(listings, best_matches(spark, d), listings.where("l_id % 7 = 0"))
+    listings, catalog = sides(spark, d)
+    ids = listings.select("l_id")
+    return resolve.route(ids, resolve.best(listings, catalog), ids.where("l_id % 7 = 0"))
 
 
 M8_TITLE = f"array_to_string(list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace({PLAIN.format('lower(t)')}, '\\$[0-9,]+\\.?[0-9]*', '', 'g'), '[^a-z0-9_\\s\\-.]', ' ', 'g'), '\\s+', ' ', 'g')), ' '), lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in TITLE_NOISE) + ")), ' ')"

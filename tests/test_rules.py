@@ -208,3 +208,35 @@ def test_a_stream_of_updates_survives_retries(spark, tmp_path):
     write(of((3, "success", 30)), 2)
     write(of((1, "success", 11)), 3)
     assert now() == {1: 11, 2: 21, 3: 30} and merge.versions(spark, path) == [2, 3]
+
+
+def test_two_contents_are_rated_once_in_whatever_blocks_they_meet(spark, monkeypatch):
+    """Five brands with the same names: each two texts are compared once, and the pairs, years missing or not, and matches are those of plain loops."""
+    made, ratio = spark.sparkContext.accumulator(0), lambda x, y: SequenceMatcher(None, x or "", y or "").ratio()
+
+    def counted(x, y):
+        made.add(1)
+        return ratio(x, y)
+
+    monkeypatch.setattr(resolve, "seq_ratio", lambda a, b: F.udf(counted, "double")(a, b))
+    names, years = ["red bolt", "red bolts", "gear", None], [None, 2000, 2001, 2003]
+    rows = lambda end, at: [(at + 100 * k + 10 * i + j, f"b{k}", f"{n} {end}" if n else None, y, n, "c", {"y": str(y)}) for k in range(5) for i, n in enumerate(names) for j, y in enumerate(years)]
+    frame = lambda x, of: spark.createDataFrame(of, ", ".join(f"{x}_{c}" for c in ("id long", "brand string", "model string", "year int", "title string", "category string", "specs map<string,string>")))
+    left, right = rows("x", 0), rows("y", 1000)
+    listings, catalog = frame("l", left), frame("c", right)
+    pairs = {(a[0], c[0]) for a in left for c in right if a[1] == c[1] and (a[3] is None or c[3] is None or abs(a[3] - c[3]) <= 1)}
+    met = [(r.l_id, r.c_id) for r in resolve.blocked(listings, catalog).collect()]
+    assert len(met) == len(pairs) and set(met) == pairs
+    got = {r.l_id: (r.c_id, r.confidence) for r in resolve.best(listings, catalog, "m4", None).collect()}
+    assert made.value == 2 * len(names) ** 2
+
+    def m4(a, c):
+        x, y = ({*(r[4] or "").split(" ")} for r in (a, c))
+        return round(ratio(a[4], c[4]) * 0.6 + len(x & y) / len(x | y) * 0.4, 3) if a[4] and c[4] else 0
+
+    of = {r[0]: r for r in left + right}
+    every = {}
+    for a, c in pairs:
+        if (rate := m4(of[a], of[c])) >= 0.5:
+            every.setdefault(a, []).append((-rate, c))
+    assert got.keys() == every.keys() and all(got[a] == (min(every[a])[1], pytest.approx(-min(every[a])[0], abs=0.00051)) for a in got)
