@@ -196,6 +196,26 @@ def test_common_names_have_every_pair(spark, tmp_path):
     assert sorted(key(r) for r in __spark_entry__.queries()[name](spark, str(tmp_path)).collect()) == sorted(key(r) for r in duck.execute(__spark_entry__.oracle_sql()[name]).fetchall())
 
 
+def test_pairs_of_a_block_move_once_a_tile(spark, tmp_path, monkeypatch):
+    """Every two ids of a block, ids that repeat and blocks of many tiles too; no pair of lists is moved."""
+    import __spark_entry__
+    import duckdb
+
+    monkeypatch.setattr(setjoin, "LIST", 4)
+    monkeypatch.setattr(setjoin, "TILE", 16)
+    name = "u3_jaccard_of_names"
+    rows = [(k % 190, ["", "nut", "red bolt", "red nut red", "red"][k % 5], f"Brand#{k % 2}", ["A", None][k % 11 == 0]) for k in range(300)] + [(None, "red", "Brand#1", "A"), (1, "red", None, "A")]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_brand string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    duck = duckdb.connect()
+    duck.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    key = lambda r: (r[0], r[1], -1.0 if r[2] is None else r[2])
+    got = __spark_entry__.queries()[name](spark, str(tmp_path))
+    assert sorted(key(r) for r in got.collect()) == sorted(key(r) for r in duck.execute(__spark_entry__.oracle_sql()[name]).fetchall())
+    moved = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Repartition" in line]
+    above = got._jdf.queryExecution().optimizedPlan().toString().split("Join Inner")[0]
+    assert moved and "Repartition" not in above
+
+
 def test_coverage_takes_room_as_its_pairs_do(spark, monkeypatch):
     """Sources with few items far apart: no row that is held is larger than its items."""
     held, real = [], search.kept
