@@ -209,6 +209,14 @@ def test_similarity_join_is_brute_force(spark, monkeypatch, tile):
     assert {r for _, _, r in got} >= {1.0} and (0, 1) in {(a, b) for a, b, _ in got}
 
 
+def test_ratios_are_rounded_before_pairs_are_handed_out(spark):
+    rows = spark.createDataFrame([(k, "b", ("tide", "diet", "tides")[k % 3]) for k in range(30)], "key long, brand string, n string")
+    got = resolve.similar_pairs(rows, 0.1, 3)
+    plain = {(r.a, r.b, round(r.r, 3)) for r in resolve.similar_pairs(rows, 0.1).collect()}
+    assert {tuple(r) for r in got.collect()} == plain
+    assert "round(" not in got._jdf.queryExecution().optimizedPlan().toString().split("Repartition")[0]
+
+
 def test_similarity_query_has_no_prefix_rule(spark):
     import __spark_entry__
     import pyarrow.parquet as pq
