@@ -10,6 +10,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from marketlens.llm import conversation_trie, lexical_search, ngram_join, queries
 
@@ -65,6 +66,14 @@ def near_texts(seed, n_groups=12, size=12):
     return [(k, t) for k, t in enumerate(rows)] + [(None, "a a a a"), (None, "alone here now"), (5, rows[5]), (5, "another text of row five")]
 
 
+def test_prefixes_move_once(spark, monkeypatch):
+    """What counts the n-grams and what meets the counts read one exchange of the prefixes."""
+    monkeypatch.setattr(ngram_join, "saved", lambda df: df)
+    rows = spark.createDataFrame([(k, list(range(k, k + 9))) for k in range(40)], "node long, prefix array<long>").repartition(3)
+    went = ngram_join.routes(rows.groupBy("node").agg(F.first("prefix").alias("prefix")), rows.select("node", F.lit(9).cast("long").alias("n")))
+    assert went.collect() and went._jdf.queryExecution().executedPlan().toString().count("ReusedExchange")
+
+
 @pytest.mark.parametrize("tile", [ngram_join.TILE, 400])
 def test_join_is_exact(spark, tile):
     rows = near_texts(3)
